@@ -6,16 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridmill.llm import bpe, exact_dedup, sharding
+from gridmill.llm import bpe, chat, decontaminate, exact_dedup, language_id, secret_scan, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_chat_format": chat.query,
+        "op2_secret_scan": secret_scan.query,
+        "op3_decontaminate": decontaminate.query,
         "op5_exact_dedup": exact_dedup.query,
+        "op7_language_id": language_id.query,
         "op8_sharding": sharding.query,
         "op10_bpe": bpe.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": exact_dedup.ORACLE}
+    return {
+        "op1_chat_format": chat.ORACLE,
+        "op3_decontaminate": decontaminate.ORACLE,
+        "op5_exact_dedup": exact_dedup.ORACLE,
+    }
