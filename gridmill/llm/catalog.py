@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridmill.llm import bpe, chat, decontaminate, exact_dedup, language_id, secret_scan, sharding
+from gridmill.llm import bpe, chat, decontaminate, exact_dedup, language_id, near_dedup, secret_scan, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_exact_dedup": exact_dedup.query,
         "op7_language_id": language_id.query,
         "op8_sharding": sharding.query,
+        "op9_near_dedup": near_dedup.query,
         "op10_bpe": bpe.query,
     }
 

@@ -84,3 +84,14 @@ def pieces(array: pa.Array, most: int) -> Iterator[tuple[int, int]]:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1)
         yield i, min(j, n)
         i = min(j, n)
+
+
+def spread(array: pa.Array, mapped: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of the texts, each byte mapped, with a blank before and after each text."""
+    data, offsets = buffers(array)
+    n = len(array)
+    out = np.full(len(data) + 2 * n, 32, np.uint8)
+    at = offsets[:-1] + 2 * np.arange(n) + 1
+    if len(data):
+        out[np.arange(len(data)) + np.repeat(at - offsets[:-1], np.diff(offsets))] = np.frombuffer(mapped, np.uint8)[data]
+    return out, np.append(at - 1, len(out))

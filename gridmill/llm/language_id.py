@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridmill.llm.common import binary, buffers, pieces, table
+from gridmill.llm.common import binary, pieces, spread, table
 
 #: Bytes of an n-gram; labelled texts to learn from, about, and n-grams to keep, at most, of each language.
 GRAM, SAMPLE, GRAMS = 4, 20_000, 60_000
@@ -49,15 +49,7 @@ def grams(data: np.ndarray) -> np.ndarray:
 
 def letters(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of the texts, letters alone; a blank leads and follows each text."""
-    data, offsets = buffers(array)
-    n = len(array)
-    out = np.full(len(data) + 2 * n, 32, np.uint8)
-    table_ = np.frombuffer(LETTERS, np.uint8)
-    lengths = np.diff(offsets)
-    at = offsets[:-1] + 2 * np.arange(n) + 1
-    if len(data):
-        out[np.arange(len(data)) + np.repeat(at - offsets[:-1], lengths)] = table_[data]
-    return out, np.append(at - 1, len(out))
+    return spread(array, LETTERS)
 
 
 def slots(codes: np.ndarray, size: int = SLOTS) -> list[np.ndarray]:
