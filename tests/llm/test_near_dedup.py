@@ -75,9 +75,9 @@ def test_estimate_and_densification():
     rng = np.random.default_rng(3)
     a = np.unique(rng.integers(0, 1 << 63, 2000, dtype=np.uint64) * np.uint64(2))
     b = np.unique(np.concatenate([a[:1700], rng.integers(0, 1 << 63, 300, dtype=np.uint64)]))
-    s = N.signatures([a, b, a[:3]])
+    s = N.signatures([a, b, a[::700]])
     true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
-    assert abs((s[0] == s[1]).mean() - true) < 0.15 and set(s[2]) == set(a[:3])
+    assert abs((s[0] == s[1]).mean() - true) < 0.15 and set(s[2]) == set(a[::700])
 
 
 def test_components_of_chains_and_hubs(spark):
