@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridmill.llm import bpe, chat, decontaminate, exact_dedup, language_id, near_dedup, secret_scan, sharding
+from gridmill.llm import bpe, chat, decontaminate, exact_dedup, language_id, near_dedup, secret_scan, sharding, substring_dedup, suffix_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,7 +14,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_chat_format": chat.query,
         "op2_secret_scan": secret_scan.query,
         "op3_decontaminate": decontaminate.query,
+        "op4_suffix_dedup": suffix_dedup.query,
         "op5_exact_dedup": exact_dedup.query,
+        "op6_substring_dedup": substring_dedup.query,
         "op7_language_id": language_id.query,
         "op8_sharding": sharding.query,
         "op9_near_dedup": near_dedup.query,
@@ -27,4 +29,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_chat_format": chat.ORACLE,
         "op3_decontaminate": decontaminate.ORACLE,
         "op5_exact_dedup": exact_dedup.ORACLE,
+        "op6_substring_dedup": substring_dedup.ORACLE,
     }
