@@ -1,18 +1,25 @@
-"""The corpus pipeline: stages in order, each over all that the one before it kept."""
+"""The corpus pipeline: stages in order, each over all that the one before it kept.
+
+Nulls, empty texts, ties, repeated rows and empty tables are handled as the operators' docstrings say.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridmill.llm import bpe, exact_dedup
+from gridmill.llm import bpe, decontaminate, exact_dedup, language_id, near_dedup
 from gridmill.llm.common import materialize, table
 
+#: (name, function) in order. All but the last return the columns of documents, rows that they keep.
 STAGES = [
+    ("language ID", language_id.stage),
     ("exact dedup", exact_dedup.stage),
+    ("MinHash near-dedup", near_dedup.stage),
+    ("benchmark decontamination", decontaminate.stage),
     ("byte-level BPE", bpe.stage),
 ]
 
-#: Not expressible in SQL: BPE.
+#: Language identification, densified signatures and BPE are beyond SQL.
 ORACLE_SQL = None
 
 
