@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gridmill.queries import analytics
+
 FLAGSHIP = "search_fused"
-MODULES: list = []
+MODULES: list = [analytics]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
