@@ -73,20 +73,26 @@ def in_ring(lat: Column, lng: Column, ring: Column) -> Column:
     return F.size(F.filter(edges(ring), crosses)) % 2 == 1
 
 
+def crosses(ring: Column, e: Column) -> Column:
+    """Cross product of an edge, taken from the ring's first point so that no digits are lost."""
+    o = ring[0]
+    return (e["a"]["lng"] - o["lng"]) * (e["b"]["lat"] - o["lat"]) - (e["b"]["lng"] - o["lng"]) * (e["a"]["lat"] - o["lat"])
+
+
 def ring_area(ring: Column) -> Column:
     """Square metres of a closed ring, by the shoelace rule on its own tangent plane."""
     lat0 = F.aggregate(ring, F.lit(0.0), lambda s, p: s + p["lat"]) / F.size(ring)
-    twice = F.aggregate(edges(ring), F.lit(0.0), lambda s, e: s + e["a"]["lng"] * e["b"]["lat"] - e["b"]["lng"] * e["a"]["lat"])
+    twice = F.aggregate(edges(ring), F.lit(0.0), lambda s, e: s + crosses(ring, e))
     return F.abs(twice) / 2 * DEGREE_M * DEGREE_M * F.cos(F.radians(lat0))
 
 
 def ring_centroid(ring: Column) -> Column:
     """(lng, lat) of the area's centre; degenerate rings have none."""
-    step = lambda e: e["a"]["lng"] * e["b"]["lat"] - e["b"]["lng"] * e["a"]["lat"]
-    twice = F.aggregate(edges(ring), F.lit(0.0), lambda s, e: s + step(e))
-    lng = F.aggregate(edges(ring), F.lit(0.0), lambda s, e: s + (e["a"]["lng"] + e["b"]["lng"]) * step(e))
-    lat = F.aggregate(edges(ring), F.lit(0.0), lambda s, e: s + (e["a"]["lat"] + e["b"]["lat"]) * step(e))
-    return F.when(twice != 0, F.struct((lng / (3 * twice)).alias("lng"), (lat / (3 * twice)).alias("lat")))
+    o = ring[0]
+    twice = F.aggregate(edges(ring), F.lit(0.0), lambda s, e: s + crosses(ring, e))
+    lng = F.aggregate(edges(ring), F.lit(0.0), lambda s, e: s + (e["a"]["lng"] + e["b"]["lng"] - 2 * o["lng"]) * crosses(ring, e))
+    lat = F.aggregate(edges(ring), F.lit(0.0), lambda s, e: s + (e["a"]["lat"] + e["b"]["lat"] - 2 * o["lat"]) * crosses(ring, e))
+    return F.when(twice != 0, F.struct((o["lng"] + lng / (3 * twice)).alias("lng"), (o["lat"] + lat / (3 * twice)).alias("lat")))
 
 
 def longest_edge(ring: Column) -> Column:
