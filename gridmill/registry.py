@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridmill.queries import analytics, community, places, texts
+from gridmill.queries import analytics, community, places, searches, texts
 
 FLAGSHIP = "search_fused"
-MODULES: list = [analytics, community, places, texts]
+MODULES: list = [searches, analytics, community, places, texts]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
