@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridmill.functions import geo
+from gridmill.functions import camera, geo
 from gridmill.functions import text as T
 from gridmill.operators import spatial
 from gridmill.queries.base import HAVERSINE, LAT, LNG, lat, lng, load
@@ -130,7 +130,15 @@ def names_collapsed(spark: SparkSession, d: str) -> DataFrame:
     return spatial.collapse_near(hits).select("p_partkey", "pos")
 
 
-QUERIES = {f.__name__: f for f in (radius_filter, bearings, nearest_structure, block_context, neighbour_stories, walk_marks, cone_points, point_in_polygon, ring_measures, nearest_street, ray_hits, tiles, names_collapsed)}
+def picture_overlap(spark: SparkSession, d: str) -> DataFrame:
+    """Buildings projected into a picture, and the overlap of their hulls with a mask."""
+    near = places(spark, d, "part", "p_partkey").where(F.col("lat").between(AT_LAT - 0.01, AT_LAT + 0.01) & F.col("lng").between(AT_LNG - 0.01, AT_LNG + 0.01))
+    rows = near.select("p_partkey", square(F.col("lat"), F.col("lng"), 0.0002).alias("ring"), F.lit(20.0).alias("height"))
+    told = camera.picture_overlap(rows, (AT_LAT, AT_LNG), TOWARDS, 5.0, 73.0, [(300.0, 200.0), (700.0, 200.0), (700.0, 600.0), (300.0, 600.0)], "p_partkey")
+    return told.select("p_partkey", F.round("pixels", 1).alias("pixels"), F.round("overlap", 4).alias("overlap"))
+
+
+QUERIES = {f.__name__: f for f in (picture_overlap, radius_filter, bearings, nearest_structure, block_context, neighbour_stories, walk_marks, cone_points, point_in_polygon, ring_measures, nearest_street, ray_hits, tiles, names_collapsed)}
 
 
 def between(a: str, b: str) -> str:
