@@ -197,7 +197,7 @@ def style_tokens(query: Column, noun: Column) -> Column:
 
 
 def style_parts(style: Column) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(style, F.lit("")), r"(?i)\s+or\s+|\s*/\s*|\s*;\s*|\s*,\s*"), F.trim), lambda p: p != "")
+    return F.filter(F.transform(F.split(F.coalesce(style, F.lit("")), r"(?i)\s+or\s+|\s*/\s*|\s*;\s*|\s*,\s*"), lambda x: F.trim(x)), lambda p: p != "")
 
 
 def hedged_style(styles: Column, style: Column) -> Column:

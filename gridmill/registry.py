@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridmill.queries import analytics, community, places, searches, texts
+from gridmill.queries import analytics, community, places, reports, searches, texts
 from gridmill.streaming import daily
 
 FLAGSHIP = "search_fused"
-MODULES: list = [searches, analytics, community, places, texts, daily]
+MODULES: list = [searches, analytics, community, places, texts, reports, daily]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
