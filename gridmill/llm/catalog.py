@@ -27,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_chat_format": chat.ORACLE,
+        "op2_secret_scan": secret_scan.oracle(),
         "op3_decontaminate": decontaminate.ORACLE,
         "op5_exact_dedup": exact_dedup.ORACLE,
         "op6_substring_dedup": substring_dedup.ORACLE,
