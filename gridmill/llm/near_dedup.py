@@ -4,8 +4,8 @@ One hash of each shingle fills the bins of a signature with their least members,
 densification fills empty bins from full ones, picked by a hash of the bin alone. Bands of the
 signature name buckets. In a bucket every document is paired with one centre, not with every other,
 so a bucket of n makes n - 1 pairs. Pairs are confirmed on full shingle sets, and components follow.
-Where a bucket still holds several components, further centres are paired with the members of
-other components, four times as many in each round, until no such pair is untested.
+Links between documents that share a bucket but not its centre are found by their differences from
+what most of their block has in common; see ``resolve``.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridmill.llm.common import binary, fresh, materialize, pieces, table
@@ -124,40 +124,94 @@ def link(docs: DataFrame, percent: int, words: int = WORDS) -> tuple[DataFrame,
     rows = docs.select(F.monotonically_increasing_id().alias("node"), "text")
     texts = materialize(rows.join(wanted, "node", "left_semi"), "texts")
     links = materialize(confirm(pairs, texts, percent, words), "links")
-    tested, used, most = pairs, shared.select("bucket", F.col("centre.node").alias("node")), 1
-    while True:
-        labels = materialize(components(links), "labels")
-        mixed = materialize(several(members, labels), "mixed")
-        rank = Window.partitionBy("bucket").orderBy("node")
-        outer = mixed.where("label <> largest").join(used, ["bucket", "node"], "left_anti")
-        stars = materialize(outer.withColumn("nth", F.row_number().over(rank)).where(F.col("nth") <= most).drop("nth", "largest"), "stars")
-        if stars.isEmpty():
-            return seen, labels
-        more = materialize(untested(mixed, stars, tested, percent), "untested")
-        links = materialize(links.unionByName(confirm(more, texts, percent, words)), "links")
-        tested = tested.unionByName(more)
-        used = used.unionByName(stars.select("bucket", "node"))
-        most *= 4
-
-
-def several(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """(bucket, node, n, label, largest) of the buckets that hold several components."""
-    told = members.select("bucket", "node", "n").join(labels, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("label"))
-    parts = told.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("members"))
-    split = parts.groupBy("bucket").agg(F.max(F.struct("members", "label")).alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    return told.join(split.select("bucket", F.col("most.label").alias("largest")), "bucket")
-
-
-def untested(mixed: DataFrame, stars: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u, v) of each centre in ``stars`` with its bucket's members of other components.
-
-    Only pairs that pass the size bound and were not ``tested`` remain. Members of the largest
-    component are never centres: all their pairs with others start at the others.
+    return seen, resolve(texts, pairs, links, percent, words)
+
+
+def reach(n: Column, other: Column, percent: int) -> Column:
+    """How many shingles two sets of these sizes may differ in at most."""
+    return F.lit((100 - percent) / (100 + percent)) * (n + other) + 1e-6
+
+
+def resolve(texts: DataFrame, pairs: DataFrame, links: DataFrame, percent: int, words: int) -> DataFrame:
+    """(node, component) over all links among candidates, also those that the stars have missed.
+
+    A block is a component of the candidate pairs; what may still be missed lies in blocks of several
+    labels. A block's consensus is the set of shingles that over half of its documents hold. Two sets
+    differ exactly where their differences from the consensus do, so
+
+    - the document nearest the consensus is paired with the others first, and
+    - a pair that is left either has differences so small that it is a link, or must share some: then a
+      prefix of the rarest ones of the smaller difference meets the other, and an equi-join finds it.
+
+    In a group of copies with edits of their own the rarest differences stand once, and the join is
+    empty, however large the group is.
     """
-    centre = stars.select("bucket", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a"))
-    near = F.lit(100) * F.least("n", "n_a") >= F.lit(percent) * F.greatest("n", "n_a")
-    pairs = mixed.join(centre, "bucket").where("node <> a AND label <> label_a").where(near)
-    return pairs.select(F.least("a", "node").alias("u"), F.greatest("a", "node").alias("v")).distinct().join(tested, ["u", "v"], "left_anti")
+    blocks = components(pairs).withColumnRenamed("component", "block")
+
+    def labelled(rows: DataFrame, known: DataFrame) -> DataFrame:
+        return rows.join(components(known), "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+
+    told = materialize(labelled(blocks, links), "blocks")
+    mixed = told.groupBy("block").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("a"), F.max("label").alias("b")).where("size > 2 AND a <> b").select("block", "size")
+    sets = materialize(shingles(told.drop("label").join(mixed, "block").join(texts, "node"), words), "sets")
+    counted = sets.select("block", "size", F.explode("tokens").alias("token")).groupBy("block", "size", "token").agg(F.count(F.lit(1)).alias("n"))
+    consensus = counted.where("2 * n > size").groupBy("block").agg(F.collect_list("token").alias("held"))
+    held = F.coalesce("held", F.array().cast("array<long>"))
+    differ = F.concat(F.array_except("tokens", held), F.transform(F.array_except(held, F.col("tokens")), lambda x: F.bitwise_not(x)))
+    deltas = sets.join(consensus, "block", "left").select("block", "node", F.size("tokens").alias("n"), differ.alias("delta"))
+    deltas = materialize(deltas.withColumn("d", F.size("delta")), "deltas")
+    rows = deltas.drop("delta")
+
+    near = F.lit(100) * F.least("n", "n2") >= F.lit(percent) * F.greatest("n", "n2")
+    fits = (F.col("label") != F.col("label2")) & near & (F.abs(F.col("d") - F.col("d2")) <= reach(F.col("n"), F.col("n2"), percent))
+    pair = (F.least("node", "node2").alias("u"), F.greatest("node", "node2").alias("v"))
+
+    def second(side: DataFrame) -> DataFrame:
+        return side.select("block", *[F.col(c).alias(f"{c}2") for c in ("node", "n", "d", "label")])
+
+    now = materialize(labelled(rows, links), "labels")
+    best = now.groupBy("block").agg(F.min(F.struct("d", "node", "n", "label")).alias("m")).select("block", "m.*")
+    stars = now.join(second(best), "block").where(fits).select(*pair).distinct().join(pairs, ["u", "v"], "left_anti")
+    links = materialize(links.unionByName(confirm(stars, texts, percent, words)), "links")
+
+    now = materialize(labelled(rows, links), "labels")
+    parts = now.groupBy("block", "label").agg(F.count(F.lit(1)).alias("members"), F.min("d").alias("d"), F.max("n").alias("n"))
+    largest = parts.groupBy("block").agg(F.max(F.struct("members", "label")).alias("m"), F.max("n").alias("most"), F.count(F.lit(1)).alias("labels")).where("labels > 1").select("block", F.col("m.label").alias("largest"), "most")
+    outside = parts.join(largest, "block").where("label <> largest").groupBy("block").agg(F.min("d").alias("outer_d"))
+    frame = largest.join(outside, "block")
+    now = materialize(now.join(frame, "block"), "strays")
+    # Differences so small that they need share nothing: one of the two lies outside the largest component.
+    small = second(now.where((F.col("label") != F.col("largest")) & (F.col("d") <= reach(F.col("n"), F.least(F.col("n") * 100 / percent, F.col("most")), percent))))
+    little = now.join(small, "block").where(fits & (F.col("d") + F.col("d2") <= reach(F.col("n"), F.col("n2"), percent))).select(*pair)
+    # The others: the smaller difference's prefix of the rarest tokens against whole differences.
+    tokens = now.join(deltas.select("block", "node", F.explode("delta").alias("token")), ["block", "node"])
+    often = tokens.groupBy("block", "token").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    shared = materialize(tokens.join(often, ["block", "token"]), "shared")
+    partner = F.when(F.col("label") == F.col("largest"), F.greatest("d", "outer_d")).otherwise(F.col("d"))
+    length = F.floor((F.col("d") - partner + reach(F.col("n"), F.least(F.col("n") * 100 / percent, F.col("most")), percent)) / 2) + 1
+    alone = now.join(shared.groupBy("block", "node").agg(F.count(F.lit(1)).alias("common")), ["block", "node"]).select("block", "node", (F.col("d") - F.col("common")).alias("alone"))
+    rank = Window.partitionBy("block", "node").orderBy("often", "token")
+    ranked = shared.withColumn("nth", F.row_number().over(rank)).join(alone, ["block", "node"])
+    prefix = ranked.where(F.col("nth") + F.col("alone") <= length).select("block", "token", "node", "n", "d", "label")
+    whole = shared.select("block", "token", *[F.col(c).alias(f"{c}2") for c in ("node", "n", "d", "label")])
+    met = prefix.join(whole, ["block", "token"]).where(fits & (F.col("d2") >= F.col("d"))).select(*pair)
+    more = little.unionByName(met).distinct().join(pairs, ["u", "v"], "left_anti")
+    return materialize(components(materialize(links.unionByName(confirm(more, texts, percent, words)), "links")), "labels")
+
+
+def shingles(rows: DataFrame, words: int) -> DataFrame:
+    """(block, node, size, tokens) of rows with these columns and text: the shingle sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = binary(batch.column(3))
+            for i, j in pieces(texts, BLOCK_BYTES):
+                sets = shingle_sets(texts.slice(i, j - i), words)
+                ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+                values = np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*[batch.column(k).slice(i, j - i) for k in range(3)], pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], names=["block", "node", "size", "tokens"])
+
+    return rows.select("block", "node", "size", "text").mapInArrow(run, "block long, node long, size long, tokens array<long>")
 
 
 def near_groups(docs: DataFrame, percent: int = 85, words: int = WORDS) -> DataFrame:

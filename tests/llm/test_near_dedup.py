@@ -3,6 +3,7 @@ import re
 import string
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from gridmill.llm import near_dedup as N
@@ -56,19 +57,38 @@ def test_components_match_all_pairs(spark):
     assert N.near_groups(df.where("false")).count() == 0
 
 
-def test_later_stars_find_links_that_the_first_misses(spark):
-    """A bucket whose centre is like none of the others still links these with each other."""
-    words = lambda a, b: " ".join(f"v{i}" for i in range(a, b))
-    rows = [(0, words(0, 100)), (1, words(30, 145)), (2, words(32, 145)), (3, words(28, 141)), (4, words(200, 300))]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    members = spark.createDataFrame([(7, n, 100) for n in range(4)], "bucket long, node long, n long")
-    labels = spark.createDataFrame([(1, 1), (2, 1)], "node long, component long")
-    mixed = N.several(members, labels)
-    assert {r.largest for r in mixed.collect()} == {1}
-    stars = mixed.where("node = 3")
-    tested = spark.createDataFrame([(0, 1), (0, 2), (0, 3)], "u long, v long")
-    assert {(r.u, r.v) for r in N.untested(mixed, stars, tested, 85).collect()} == {(1, 3), (2, 3)}
-    assert sorted((r.doc_id, r.component_id) for r in N.near_groups(df).collect()) == sorted((d, c) for d, _, c in brute(rows, 85))
+@pytest.mark.parametrize("hub", [True, False])
+def test_one_large_group_of_edited_copies(spark, hub):
+    """Copies of a text that most of them are too far from each other to link, copies of copies among them."""
+    rng = random.Random(11)
+    base = [f"b{i}" for i in range(150)]
+
+    def edited(words, n):
+        words = list(words)
+        for at in rng.sample(range(len(words)), n):
+            words[at] = f"e{rng.randrange(10**9)}"
+        return words
+
+    made = [edited(base, rng.choice([1, 1, 2, 3, 4, 6])) for _ in range(140)] + ([base] if hub else [])
+    made += [edited(rng.choice(made), rng.choice([0, 1, 1, 2])) for _ in range(80)]
+    rng.shuffle(made)
+    rows = [(i, " ".join(w)) for i, w in enumerate(made)]
+    got = N.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = brute(rows, 85)
+    assert len({c for _, _, c in want}) > 5
+    assert sorted((r.doc_id, r.component_id) for r in got) == sorted((d, c) for d, _, c in want)
+
+
+def test_differences_find_links_that_no_star_tested(spark):
+    """Only the pair (0, 1) is tested and fails; the links among the other candidates must be found all the same."""
+    words = lambda *parts: " ".join(f"v{i}" for a, b in parts for i in range(a, b))
+    rows = [(0, words((0, 100))), (1, words((30, 145))), (2, words((32, 145))), (3, words((28, 141))), (4, words((200, 300))), (5, words((203, 300)))]
+    texts = spark.createDataFrame(rows, "node long, text string")
+    pairs = spark.createDataFrame([(0, k) for k in range(1, 6)], "u long, v long")
+    none = pairs.where("false")
+    got = {r.node: r.component for r in N.resolve(texts, pairs, none, 85, 5).collect()}
+    want = {d: c for d, _, c in brute(rows, 85)}
+    assert all(got.get(d, d) == c for d, c in want.items()) and len(set(want.values())) == 3
 
 
 def test_estimate_and_densification():
