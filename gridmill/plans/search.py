@@ -15,6 +15,7 @@ from gridmill.functions import ranking as R
 from gridmill.functions import text as T
 from gridmill.operators import fusion
 from gridmill.operators.keyed import best_per_key
+from gridmill.sources.tables import stored
 
 LEX_FLOOR, FUZZY_FLOOR, VECTOR_WEIGHT, LEG_FAME = 0.3, 0.2, 0.7, 0.15
 FAMOUS, FAMOUS_KEPT = 1000, 40
@@ -29,7 +30,8 @@ def leg(corpus: DataFrame, query: Column, vector: DataFrame, limit: int, floor:
     pool = fusion.pool_size(limit)
     names = corpus.select("name").distinct()  # similar names repeat, so each is compared once
     said = names.select("name", T.word_similarity(query, F.col("name")).alias("word"), T.trigram_similarity(query, F.col("name")).alias("tri"))
-    rows = corpus.crossJoin(F.broadcast(vector)).select("id", "name", F.round(R.cosine(F.col("embedding"), F.col("q")), 9).alias("cos"), "fame").join(said, "name")
+    scored = corpus.crossJoin(F.broadcast(vector)).select("id", "name", F.round(R.cosine(F.col("embedding"), F.col("q")), 9).alias("cos"), "fame").join(said, "name")
+    rows = stored(scored, "leg")  # a few narrow columns that five branches read; vectors stay behind
     lexical = rows.where(F.col("word") > floor)
     if guard and (condition := T.word_guard(F.col("name"), guard)) is not None:
         lexical = lexical.where(condition)

@@ -74,6 +74,22 @@ def resolved_names(spark: SparkSession, d: str) -> DataFrame:
     return P.resolve_streets(wrong, known)
 
 
+RUNS = [("172-178 Elm", "172,174,176,178"), ("172, 174 and 176", "172,174,176"), ("128~146", ",".join(map(str, range(128, 147, 2)))), ("1~5-163", ""), ("262-2", "262"), ("85-02 Road", "85"), ("10 to 13", "10,13"), ("2-200", "2"), ("none", "")]
+OCR = [("r", "EIGHTH AVENUE", 5), ("r", "EIGIITH AVENUE", 2), ("r", "EIGHI'H AVENUE", 1), ("r", "EAST 68 STREET", 4), ("r", "EAST 78 STREET", 1), ("s", "EIGIITH AVENUE", 1)]
+FOLDED = ["EIGHTH AVENUE", "EIGHTH AVENUE", "EIGHTH AVENUE", "EAST 68 STREET", "EAST 78 STREET", "EIGIITH AVENUE"]
+
+
+def number_runs(spark: SparkSession, d: str) -> DataFrame:
+    """STR12: house numbers of leading runs."""
+    return spark.createDataFrame([(r,) for r, _ in RUNS], "run string").select("run", F.array_join(P.number_run(F.col("run")).cast("array<string>"), ",").alias("numbers"))
+
+
+def canonical_streets(spark: SparkSession, d: str) -> DataFrame:
+    """STR10: damaged street names folded onto their frequent twins."""
+    rows = spark.createDataFrame([(r, s, list(range(n))) for r, s, n in OCR], "report string, street string, numbers array<int>")
+    return P.canonical_streets(rows)
+
+
 def lore_tiers(spark: SparkSession, d: str) -> DataFrame:
     """X10, X1, STR15, STR39: the first source that has text, the report's number and lots named in picture ids."""
     k = F.col("p_partkey")
@@ -83,8 +99,10 @@ def lore_tiers(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "part").select("p_partkey", tier.alias("tier"), F.coalesce(*[t for _, t in sources]).alias("lore"), F.concat(*[F.regexp_extract(picture, r"^dof_(\d)_(\d{5})_(\d{4})$", i) for i in (1, 2, 3)]).alias("bbl"), F.format_string("%05d", F.regexp_extract(F.concat(F.lit("LP-"), k.cast("string")), r"(\d+)", 1).cast("int")).alias("report"))
 
 
-QUERIES = {f.__name__: f for f in (streets, table_addresses, venue_labels, handles, web_queries, lot_records, resolved_names, lore_tiers)}
+QUERIES = {f.__name__: f for f in (streets, table_addresses, venue_labels, handles, web_queries, lot_records, resolved_names, lore_tiers, number_runs, canonical_streets)}
 ORACLE = {
+    "number_runs": values(RUNS, "run, numbers"),
+    "canonical_streets": values([(r, s, f) for (r, s, _), f in zip(OCR, FOLDED)], "report, street, canonical"),
     "streets": values(STREETS, "raw, street"),
     "table_addresses": values(ADDRESSES, "raw, said"),
     "venue_labels": values(VENUES, "labels, leaf, leaves, domains"),

@@ -24,6 +24,13 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Writes ``df`` into scratch once and returns a scan of it, for rows that several branches read."""
+    path = scratch(df.sparkSession, label)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_text_table(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     """A CSV with a header, all columns as strings, a byte-order mark taken off the first name."""
     df = spark.read.option("header", True).option("sep", sep).option("multiLine", True).option("escape", '"').csv(path)
