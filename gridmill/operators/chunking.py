@@ -8,36 +8,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
-def by_characters(text: str, size: int = 1500, overlap: int = 150, least: int = 80) -> Iterator[str]:
-    start, n = 0, len(text)
-    while start < n:
-        end = min(start + size, n)
-        if end < n:
-            for sep in ("\n\n", "\n", ". "):
-                at = text.rfind(sep, start, end)
-                if at - start > size * 0.5:
-                    end = at + len(sep)
-                    break
-        chunk = text[start:end].strip()
-        if len(chunk) >= least:
-            yield chunk
-        if end >= n:
+def ending(text: str, begin: int, size: int, breaks: dict[str, int]) -> int:
+    """Where a chunk from ``begin`` ends: after the last break in its second half, the first kind that is there.
+
+    ``breaks`` gives for each break how many of its characters the chunk keeps.
+    """
+    limit = begin + size
+    if limit >= len(text):
+        return limit
+    places = ((text.rfind(mark, begin, limit), kept) for mark, kept in breaks.items())
+    return next((at + kept for at, kept in places if at - begin > size / 2), limit)
+
+
+def overlapping(text: str, size: int, overlap: int, breaks: dict[str, int], to_the_end: bool) -> Iterator[str]:
+    """Chunks that share ``overlap`` characters; the last one ends the text, or a short tail may follow it."""
+    begin = 0
+    while begin < len(text):
+        stop = ending(text, begin, size, breaks)
+        yield text[begin:stop].strip()
+        if to_the_end and stop >= len(text):
             return
-        start = max(end - overlap, start + 1)
+        begin = max(stop - overlap, begin + 1)
+
+
+def by_characters(text: str, size: int = 1500, overlap: int = 150, least: int = 80) -> Iterator[str]:
+    """Chunks that end at a paragraph, a line or a sentence; short ones are dropped."""
+    yield from (c for c in overlapping(text, size, overlap, {"\n\n": 2, "\n": 1, ". ": 2}, True) if len(c) >= least)
 
 
 def by_pages(text: str, size: int = 2000, overlap: int = 200, least: int = 100) -> Iterator[str]:
-    start, n = 0, len(text)
-    while start < n:
-        end = start + size
-        if end < n:
-            at = text.rfind(". ", start, end)
-            if at - start > size * 0.5:
-                end = at + 1
-        chunk = text[start:end].strip()
-        if len(chunk) > least:
-            yield chunk
-        start = end - overlap
+    """Chunks of a page that end at a sentence; only those over ``least`` characters stay."""
+    yield from (c for c in overlapping(text, size, overlap, {". ": 1}, False) if len(c) > least)
 
 
 def by_words(text: str, size: int = 1500) -> Iterator[str]:
