@@ -89,5 +89,21 @@ def picture_overlap(rows: DataFrame, at: Point, yaw: float, pitch: float, fov: f
     return rows.select(key, "ring", "height").mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, pixels double, overlap double")
 
 
-def clip_area_deg(ring: list[Point], by: list[Point]) -> float:
-    return area(clip(ring, hull(by)))
+def visible_areas(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` with ``visible_m2``: what of each ring lies in the convex ring ``cone``, both arrays of (lng, lat).
+
+    Both are laid on the plane that touches the earth at the cone's apex, its first point.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for ring, cone in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                apex = cone[0]
+                wide = DEGREE_M * math.cos(math.radians(apex["lat"]))
+                flat = lambda pts: [((p["lng"] - apex["lng"]) * wide, (p["lat"] - apex["lat"]) * DEGREE_M) for p in pts]  # noqa: B023, E731
+                shape = clip(flat(ring[:-1]), hull(flat(cone)))
+                out.append(area(shape) if len(shape) > 2 else 0.0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], names=[key, "visible_m2"])
+
+    return rows.select(key, "ring", "cone").mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, visible_m2 double")

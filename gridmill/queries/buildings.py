@@ -50,8 +50,18 @@ def projected(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", F.round(at["lng"], 5).alias("lng"), F.round(at["lat"], 4).alias("lat"))
 
 
-QUERIES = {f.__name__: f for f in (building_texts, lookup_terms, relevant_results, tap_scores, projected)}
+def photo_keys(spark: SparkSession, d: str) -> DataFrame:
+    """SRC10, J30: building, angle and pitch from the keys of an object store; other keys are dropped."""
+    k = F.col("p_partkey")
+    key = F.concat(k.cast("string"), F.lit("/"), (k % 360).cast("string"), F.lit("deg_"), (k % 30 - 15).cast("string"), F.when(k % 7 == 0, F.lit(".png")).otherwise("pitch.jpg"))
+    shape = r"^(\d+)/(\d+)deg_(-?\d+)pitch\.jpg$"
+    part = lambda i: F.regexp_extract("key", shape, i).cast("int")
+    return load(spark, d, "part").select(key.alias("key")).where(F.col("key").rlike(shape)).select(part(1).alias("bin"), part(2).alias("angle"), part(3).alias("pitch"))
+
+
+QUERIES = {f.__name__: f for f in (building_texts, lookup_terms, relevant_results, tap_scores, projected, photo_keys)}
 ORACLE = {
+    "photo_keys": "SELECT p_partkey::INT AS bin, (p_partkey % 360)::INT AS angle, (p_partkey % 30 - 15)::INT AS pitch FROM part WHERE p_partkey % 7 <> 0",
     "building_texts": values([(i, t) for i, (_, t) in enumerate(BUILDINGS)], "id, text"),
     "lookup_terms": values(TERMS, "address, name, terms"),
     "relevant_results": values([h[:3] for h in HITS if h[3]], "request, host, title"),

@@ -138,7 +138,19 @@ def picture_overlap(spark: SparkSession, d: str) -> DataFrame:
     return told.select("p_partkey", F.round("pixels", 1).alias("pixels"), F.round("overlap", 4).alias("overlap"))
 
 
-QUERIES = {f.__name__: f for f in (picture_overlap, radius_filter, bearings, nearest_structure, block_context, neighbour_stories, walk_marks, cone_points, point_in_polygon, ring_measures, nearest_street, ray_hits, tiles, names_collapsed)}
+def cone_footprints(spark: SparkSession, d: str) -> DataFrame:
+    """Footprints that a view cone meets, with the area in it and the visibility score."""
+    near = places(spark, d, "part", "p_partkey").join(load(spark, d, "part").select("p_partkey", "p_size"), "p_partkey")
+    dist = geo.haversine(F.lit(AT_LAT), F.lit(AT_LNG), F.col("lat"), F.col("lng"))
+    cone = geo.view_cone(F.lit(AT_LAT), F.lit(AT_LNG), F.lit(TOWARDS), F.lit(REACH), F.lit(CONE))
+    rows = near.withColumn("dist", dist).where(F.col("dist") <= REACH + 100).withColumn("ring", square(F.col("lat"), F.col("lng"), 0.0003)).withColumn("cone", cone)
+    seen = rows.join(camera.visible_areas(rows, "p_partkey"), "p_partkey").where("visible_m2 > 0")
+    gap = geo.bearing_gap(geo.planar_azimuth(F.lit(AT_LAT), F.lit(AT_LNG), F.col("lat"), F.col("lng")), F.lit(TOWARDS))
+    score = geo.visibility(F.col("dist"), gap, F.lit(CONE), F.col("visible_m2"), F.lit(4000.0 / 0.0929), F.col("p_size") * 5.0)
+    return seen.select("p_partkey", F.round("visible_m2", 0).alias("visible_m2"), F.round(score, 2).alias("score"))
+
+
+QUERIES = {f.__name__: f for f in (cone_footprints, picture_overlap, radius_filter, bearings, nearest_structure, block_context, neighbour_stories, walk_marks, cone_points, point_in_polygon, ring_measures, nearest_street, ray_hits, tiles, names_collapsed)}
 
 
 def between(a: str, b: str) -> str:

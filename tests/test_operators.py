@@ -129,3 +129,13 @@ def test_streamed_events_are_counted_once(spark, tmp_path):
     stream = spark.readStream.schema("event_id long, ts timestamp").parquet(source)
     daily.run_available(daily.unique(stream), str(tmp_path / "out"), "append")
     assert sorted(r.event_id for r in spark.read.parquet(str(tmp_path / "out/rows")).collect()) == [1, 2]
+
+
+def test_visible_area_of_squares_in_a_cone(spark):
+    p = lambda x, y: {"lng": -74.0 + x, "lat": y}
+    ring = lambda x, y: [p(x - 1e-4, y - 1e-4), p(x + 1e-4, y - 1e-4), p(x + 1e-4, y + 1e-4), p(x - 1e-4, y + 1e-4), p(x - 1e-4, y - 1e-4)]
+    cone = [p(0, 0), p(-0.01, 0.01), p(0.01, 0.01), p(0, 0)]
+    rows = spark.createDataFrame([(1, ring(0, 0.005), cone), (2, ring(0.005, 0.005), cone), (3, ring(0.01, 0.0), cone)], "k int, ring array<struct<lng:double,lat:double>>, cone array<struct<lng:double,lat:double>>")
+    got = {r.k: r.visible_m2 for r in camera.visible_areas(rows, "k").collect()}
+    full = (2e-4 * geo.DEGREE_M) ** 2
+    assert math.isclose(got[1], full, rel_tol=1e-6) and math.isclose(got[2], full / 2, rel_tol=1e-6) and got[3] == 0
