@@ -132,7 +132,7 @@ def test_streamed_events_are_counted_once(spark, tmp_path):
 
 
 def test_visible_area_of_squares_in_a_cone(spark):
-    p = lambda x, y: {"lng": -74.0 + x, "lat": y}
+    p = lambda x, y: {"lng": -74.0 + x, "lat": float(y)}
     ring = lambda x, y: [p(x - 1e-4, y - 1e-4), p(x + 1e-4, y - 1e-4), p(x + 1e-4, y + 1e-4), p(x - 1e-4, y + 1e-4), p(x - 1e-4, y - 1e-4)]
     cone = [p(0, 0), p(-0.01, 0.01), p(0.01, 0.01), p(0, 0)]
     rows = spark.createDataFrame([(1, ring(0, 0.005), cone), (2, ring(0.005, 0.005), cone), (3, ring(0.01, 0.0), cone)], "k int, ring array<struct<lng:double,lat:double>>, cone array<struct<lng:double,lat:double>>")
