@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridmill.llm.common import ascii_lower, binary, table
+from gridmill.llm.common import ascii_lower, binary, fresh, materialize, table
 
 WINDOW = 10
 #: Bytes of patterns in one broadcast; more patterns are searched in several blocks.
@@ -94,14 +94,12 @@ def weight() -> Column:
     return F.octet_length(F.concat_ws(" ", "window")) + F.octet_length(F.concat_ws(",", "items"))
 
 
-def blocks_of(benchmark: DataFrame, most: int = TABLE_BYTES, size: int = WINDOW) -> list:
-    """Broadcasts of the tables, each of about ``most`` bytes; one for benchmarks up to that size."""
+def parts_of(benchmark: DataFrame, most: int = TABLE_BYTES, size: int = WINDOW) -> list[DataFrame]:
+    """The windows in parts of about ``most`` bytes each; one part for benchmarks up to that size."""
     found = windows(benchmark, size)
     total = found.agg(F.sum(weight()).alias("bytes")).first().bytes or 0
     n = max(1, -(-total // most))
-    context = benchmark.sparkSession.sparkContext
-    parts = [found] if n == 1 else [found.where(F.pmod(F.xxhash64("window"), F.lit(n)) == k) for k in range(n)]
-    return [context.broadcast(tables_of(p)) for p in parts]
+    return [found] if n == 1 else [found.where(F.pmod(F.xxhash64("window"), F.lit(n)) == k) for k in range(n)]
 
 
 def scan(texts: list[bytes], blocks: list) -> tuple[list[int], list[int], list[list[str]]]:
@@ -133,6 +131,23 @@ def runs(texts: list[bytes], most: int = 2 << 20) -> Iterator[list[bytes]]:
         yield held
 
 
+RESULT = "n_words long, n_hit long, n_items long, items_sha256 string, items array<string>, contaminated boolean"
+
+
+def result(doc_id: pa.Array, n_words: list[int], n_hit: list[int], items: list[list[str]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict(
+        {
+            "doc_id": doc_id,
+            "n_words": pa.array(n_words, pa.int64()),
+            "n_hit": pa.array(n_hit, pa.int64()),
+            "n_items": pa.array([len(x) for x in items], pa.int64()),
+            "items_sha256": pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items], pa.string()),
+            "items": pa.array(items, pa.list_(pa.string())),
+            "contaminated": pa.array([h > 0 for h in n_hit], pa.bool_()),
+        }
+    )
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, most: int = TABLE_BYTES, size: int = WINDOW) -> DataFrame:
     """One row per input row: doc_id, n_words, n_hit, n_items, items_sha256, items, contaminated.
 
@@ -140,39 +155,80 @@ def contamination(docs: DataFrame, benchmark: DataFrame, most: int = TABLE_BYTES
     judged like others; further columns are not read. An empty benchmark hits nothing, an empty
     documents table gives an empty result.
     """
-    blocks = blocks_of(benchmark, most, size)
+    parts = parts_of(benchmark, most, size)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    if len(parts) > 1:
+        return in_passes(docs, parts, kind)
+    sent = [docs.sparkSession.sparkContext.broadcast(tables_of(parts[0]))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, n_hit, items = [], [], []
             for texts in runs(binary(batch.column(1)).to_pylist()):
-                for into, part in zip((n_words, n_hit, items), scan(texts, blocks)):
+                for into, part in zip((n_words, n_hit, items), scan(texts, sent)):
                     into += part
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "doc_id": batch.column(0),
-                    "n_words": pa.array(n_words, pa.int64()),
-                    "n_hit": pa.array(n_hit, pa.int64()),
-                    "n_items": pa.array([len(x) for x in items], pa.int64()),
-                    "items_sha256": pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items], pa.string()),
-                    "items": pa.array(items, pa.list_(pa.string())),
-                    "contaminated": pa.array([h > 0 for h in n_hit], pa.bool_()),
-                }
-            )
+            yield result(batch.column(0), n_words, n_hit, items)
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, items array<string>, contaminated boolean"
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {RESULT}")
+
+
+def in_passes(docs: DataFrame, parts: list[DataFrame], kind: str) -> DataFrame:
+    """The result of ``contamination`` for more windows than one broadcast may hold.
+
+    Each part takes a pass of its own over the documents, its tables leave the executors before the
+    next one's come, and the passes' hits, rows for hit documents alone, are joined in the end.
+    """
+    context, told = docs.sparkSession.sparkContext, None
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    for part in parts:
+        sent = context.broadcast(tables_of(part))
+
+        def find(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                row, hits, items = [], [], []
+                for r, text in zip(batch.column(0).to_pylist(), binary(batch.column(1)).to_pylist()):
+                    words = words_of(text)
+                    found = [(s, t.length, i) for t in sent.value for s, i in t.search(words)]
+                    if found:
+                        row.append(r)
+                        hits.append(sorted({(s, n) for s, n, _ in found}))
+                        items.append(sorted({x for *_, i in found for x in i}))
+                places = pa.array([[{"start": s, "length": n} for s, n in h] for h in hits], pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())])))
+                yield pa.RecordBatch.from_pydict({"row": pa.array(row, pa.int64()), "hits": places, "items": pa.array(items, pa.list_(pa.string()))})
+
+        hit = materialize(rows.select("row", "text").mapInArrow(find, "row long, hits array<struct<start:int,length:int>>, items array<string>"), "hits")
+        sent.unpersist(blocking=True)
+        told = hit if told is None else told.unionByName(hit)
+    grouped = told.groupBy("row").agg(F.flatten(F.collect_list("hits")).alias("hits"), F.flatten(F.collect_list("items")).alias("items"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = [len(words_of(t)) for t in binary(batch.column(2)).to_pylist()]
+            yield pa.RecordBatch.from_pydict({"row": batch.column(0), "doc_id": batch.column(1), "n": pa.array(n, pa.int64())})
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_words = batch.column(1).to_pylist()
+            n_hit = [len({k for h in hits or () for k in range(h["start"], h["start"] + h["length"])}) for hits in batch.column(2).to_pylist()]
+            yield result(batch.column(0), n_words, n_hit, [sorted(set(i or ())) for i in batch.column(3).to_pylist()])
+
+    counted = rows.mapInArrow(count, f"row long, doc_id {kind}, n long")
+    return counted.join(grouped, "row", "left").select("doc_id", "n", "hits", "items").mapInArrow(settle, f"doc_id {kind}, {RESULT}")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents in which no benchmark window occurs."""
-    blocks = blocks_of(table(spark, sf_dir, "benchmark"))
-    at = docs.columns.index("text")
+    benchmark = table(spark, sf_dir, "benchmark")
+    parts = parts_of(benchmark)
+    if len(parts) > 1:
+        row, inner = fresh("row", docs), docs.select(F.monotonically_increasing_id().alias("doc_id"), "text")
+        gone = contamination(inner, benchmark).where("contaminated").select(F.col("doc_id").alias(row))
+        return docs.withColumn(row, F.monotonically_increasing_id()).join(gone, row, "left_anti").select(*docs.columns)
+    sent, at = [spark.sparkContext.broadcast(tables_of(parts[0]))], docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            clean = [h == 0 for texts in runs(binary(batch.column(at)).to_pylist()) for h in scan(texts, blocks)[1]]
+            clean = [h == 0 for texts in runs(binary(batch.column(at)).to_pylist()) for h in scan(texts, sent)[1]]
             yield batch.filter(pa.array(clean, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -44,9 +44,18 @@ def test_filter_finds_all_that_was_put_in_and_texts_do_not_mix():
     counts = {f"l{k}": {int(g): 5 for g in rng.integers(0, 1 << 32, 3000)} for k in range(12)}
     model = L.build(counts)
     for k, name in enumerate(model.languages):
-        found = model.masks_of(np.array(list(counts[name]), np.uint32))
+        (found,) = model.masks_of(np.array(list(counts[name]), np.uint32))
         assert (found >> np.uint64(k) & np.uint64(1)).all()
     assert model.false_rate.max() < 1e-3
     texts = pa.array([b"", b"ab", b"abcd efgh", b"abcd"], pa.large_binary())
     data, offsets = L.letters(texts)
     assert bytes(data) == b"  " + b" ab " + b" abcd efgh " + b" abcd " and list(offsets) == [0, 2, 6, 17, 23]
+
+
+def test_more_languages_than_one_mask_holds():
+    counts = {f"l{k:03}": {k * 100 + i: 5 for i in range(50)} for k in range(150)}
+    model = L.build(counts)
+    assert len(model.masks) == 3
+    for k, name in enumerate(model.languages):
+        found = model.masks_of(np.array(list(counts[name]), np.uint32))[k // L.BITS]
+        assert (found >> np.uint64(k % L.BITS) & np.uint64(1)).all()
