@@ -26,8 +26,8 @@ GRAM, SAMPLE, GRAMS = 4, 20_000, 60_000
 #: An n-gram belongs to a language if it is at least this frequent there, and not far rarer than elsewhere.
 RARE, SHARE = 2e-6, 0.25
 SLOTS, HASHES = 1 << 20, 3
-#: The mask has 64 bits.
-MOST_LANGUAGES = 64
+#: Bits of a mask; more languages take several masks for each slot. Languages that may be learned.
+BITS, MOST_LANGUAGES = 64, 1024
 #: Texts whose best language covers less of them than this are rejected in the pipeline.
 ACCEPT = 0.2
 
@@ -62,26 +62,32 @@ class Filter:
     """Languages in the order of their bits, the masks of the slots, and each language's share of set slots."""
 
     languages: list[str]
-    masks: np.ndarray
+    masks: list[np.ndarray]  # the n-th holds the bits of languages from n * BITS on
     false_rate: np.ndarray
     fallback: int  # the language of texts without any known n-gram
 
-    def masks_of(self, codes: np.ndarray) -> np.ndarray:
-        found = None
-        for at in slots(codes, len(self.masks)):
-            found = self.masks[at] if found is None else found & self.masks[at]
-        return found
+    def masks_of(self, codes: np.ndarray) -> list[np.ndarray]:
+        """For each n-gram the languages that contain it: the AND of its slots."""
+        places = slots(codes, len(self.masks[0]))
+        out = []
+        for mask in self.masks:
+            found = mask[places[0]]
+            for at in places[1:]:
+                found &= mask[at]
+            out.append(found)
+        return out
 
     def shares(self, array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(rows x languages) corrected shares of each text's n-grams, and the number of n-grams."""
         data, offsets = letters(array)
-        masks = self.masks_of(grams(data))
+        found = self.masks_of(grams(data))
         ends = np.maximum(offsets[1:] - GRAM + 1, offsets[:-1])  # n-grams stay within a text
         total = ends - offsets[:-1]
         out = np.zeros((len(array), len(self.languages)))
         for k in range(len(self.languages)):
+            masks = found[k // BITS]
             hits = np.zeros(len(data) + 1, np.int64)
-            np.cumsum((masks >> masks.dtype.type(k)) & masks.dtype.type(1), out=hits[1 : len(masks) + 1], dtype=np.int64)
+            np.cumsum((masks >> masks.dtype.type(k % BITS)) & masks.dtype.type(1), out=hits[1 : len(masks) + 1], dtype=np.int64)
             hits[len(masks) + 1 :] = hits[len(masks)]
             raw = (hits[ends] - hits[offsets[:-1]]) / np.maximum(total, 1)
             rate = self.false_rate[k]
@@ -93,20 +99,20 @@ def build(counts: dict[str, dict[int, int]], size: int = SLOTS) -> Filter:
     """The filter of n-gram counts by language; languages with most n-grams break ties, then names."""
     languages = sorted(counts)
     if len(languages) > MOST_LANGUAGES:
-        raise ValueError(f"the mask has {MOST_LANGUAGES} bits; {len(languages)} languages were given")
+        raise ValueError(f"{MOST_LANGUAGES} languages may be learned; there are {len(languages)}")
     totals = {l: max(1, sum(counts[l].values())) for l in languages}
     best: dict[int, float] = {}
     for l in languages:
         for g, n in counts[l].items():
             best[g] = max(best.get(g, 0.0), n / totals[l])
     kind = np.uint8 if len(languages) <= 8 else np.uint64
-    masks = np.zeros(size, kind)
+    masks = [np.zeros(size, kind) for _ in range(max(1, -(-len(languages) // BITS)))]
     rates = np.zeros(len(languages))
     for k, l in enumerate(languages):
         chosen = [g for g, n in counts[l].items() if n / totals[l] >= max(RARE, SHARE * best[g])]
         for at in slots(np.array(sorted(chosen), np.uint32), size):
-            np.bitwise_or.at(masks, at, kind(1 << k))
-        rates[k] = np.count_nonzero(masks & kind(1 << k)) / size
+            np.bitwise_or.at(masks[k // BITS], at, kind(1 << k % BITS))
+        rates[k] = np.count_nonzero(masks[k // BITS] & kind(1 << k % BITS)) / size
     fallback = max(range(len(languages)), key=lambda k: (totals[languages[k]], -k), default=0)
     return Filter(languages, masks, rates**HASHES, fallback)
 
@@ -120,7 +126,7 @@ def train(docs: DataFrame) -> Filter:
     known = docs.where(F.col("lang").isNotNull())
     sizes = {r.lang: r.n for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES + 1).collect()}
     if not sizes:
-        return Filter([], np.zeros(SLOTS, np.uint8), np.zeros(0), 0)
+        return Filter([], [np.zeros(SLOTS, np.uint8)], np.zeros(0), 0)
     part = F.create_map(*[x for l, n in sizes.items() for x in (F.lit(l), F.lit(min(1.0, SAMPLE / n)))])
     sample = known.where(F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1 << 20)) < part[F.col("lang")] * (1 << 20))
 
@@ -130,7 +136,7 @@ def train(docs: DataFrame) -> Filter:
             texts = binary(batch.column(1))
             for lang in sorted(set(langs)):
                 own = texts.take(pa.array(np.flatnonzero(langs == lang)))
-                for i, j in pieces(own, 8 << 20):
+                for i, j in pieces(own, 2 << 20):
                     data, _ = letters(own.slice(i, j - i))
                     codes, n = np.unique(grams(data), return_counts=True)
                     yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(codes), pa.string()), "gram": pa.array(codes.astype(np.int64)), "n": pa.array(n.astype(np.int64))})
@@ -155,7 +161,7 @@ def predictor(spark: SparkSession, model: Filter) -> Callable[[pa.Array], tuple[
         model, texts = sent.value, binary(column)
         names: list[str] = []
         scores: list[float] = []
-        for i, j in pieces(texts, 4 << 20):
+        for i, j in pieces(texts, 1 << 20):
             block = texts.slice(i, j - i)
             shares, total = model.shares(block) if model.languages else (np.zeros((j - i, 1)), np.zeros(j - i))
             best = np.argmax(shares, axis=1)
