@@ -18,6 +18,8 @@ from gridmill.llm.common import ascii_lower, fresh, materialize, table
 
 #: Characters of a chunk: at least and at most. A cut mark is a blank and a letter from a to h.
 MIN_CHUNK, MAX_CHUNK = 256, 1024
+#: Groups with over 1 / HOT of all rows are joined by broadcast, the others by a shuffle.
+HOT = 1024
 CHUNK = rf"(?s).{{{MIN_CHUNK},{MAX_CHUNK}}}?(?<=[\x20\n][a-h])|.{{1,{MAX_CHUNK}}}"
 
 
@@ -25,15 +27,9 @@ def chunks(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(CHUNK), F.lit(0))
 
 
-def collided(texts: DataFrame, hashed: Callable[[Column], Column]) -> DataFrame:
-    """Dictionary entries (h, chunk, k) of the hashes that different chunk texts share.
-
-    k numbers the texts of one hash; entry 0 keeps the plain hash as its identifier.
-    """
-    dictionary = texts.select(F.explode(chunks(F.col("norm"))).alias("chunk")).select(hashed(F.col("chunk")).alias("h"), "chunk").groupBy("h", "chunk").agg(F.count(F.lit(1)).alias("n"))
-    shared = dictionary.groupBy("h").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1")
-    # Spark plans one pass over the chunks; what is left after the filter is next to nothing.
-    return dictionary.join(shared, "h", "left_semi").select("h", "chunk", (F.row_number().over(Window.partitionBy("h").orderBy("chunk")) - 1).alias("k"))
+def dictionary(texts: DataFrame, hashed: Callable[[Column], Column]) -> DataFrame:
+    """(h, chunk): each distinct chunk of ``texts`` once; equal ones meet before the shuffle."""
+    return texts.select(F.explode(chunks(F.col("norm"))).alias("chunk")).groupBy(hashed(F.col("chunk")).alias("h"), "chunk").agg(F.count(F.lit(1)).alias("n"))
 
 
 def recipes(docs: DataFrame, hashed: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
@@ -42,12 +38,11 @@ def recipes(docs: DataFrame, hashed: Callable[[Column], Column] = F.xxhash64) ->
     sha = F.unhex(F.sha2("norm", 256)).alias("sha")
     plain = materialize(texts.select("doc_id", "row", F.transform(chunks(F.col("norm")), lambda c: F.struct(hashed(c).alias("h"), F.lit(0).alias("k"))).alias("recipe"), sha), "recipes")
 
-    counted = texts.select(F.explode(chunks(F.col("norm"))).alias("chunk")).groupBy(hashed(F.col("chunk")).alias("h"), "chunk").agg(F.count(F.lit(1)).alias("n"))
-    shared = materialize(counted.groupBy("h").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("h"), "shared")
+    shared = materialize(dictionary(texts, hashed).groupBy("h").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("h"), "shared")
     if not shared.head(1):
         return plain
     # Different chunk texts with one hash: number these texts and write the numbers into the recipes.
-    numbered = collided(texts, hashed)
+    numbered = dictionary(texts, hashed).join(shared, "h").select("h", "chunk", (F.row_number().over(Window.partitionBy("h").orderBy("chunk")) - 1).alias("k"))
     parts = texts.select("row", F.posexplode(chunks(F.col("norm"))).alias("pos", "chunk")).withColumn("h", hashed(F.col("chunk")))
     told = parts.join(numbered, ["h", "chunk"], "left").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("pos", "h", F.coalesce("k", F.lit(0)).alias("k")))).alias("at"))
     told = told.select("row", F.transform("at", lambda x: F.struct(x["h"].alias("h"), x["k"].alias("k"))).alias("told"))
@@ -64,8 +59,16 @@ def exact_groups(docs: DataFrame, hashed: Callable[[Column], Column] = F.xxhash6
     as one row.
     """
     listed = recipes(docs, hashed)
-    groups = listed.groupBy("recipe").agg(F.max(F.struct("doc_id", "row")).alias("best"), F.count(F.lit(1)).alias("group_size"))
-    return listed.join(groups, "recipe").select("doc_id", "row", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+    found = materialize(listed.groupBy("recipe").agg(F.max(F.struct("doc_id", "row")).alias("best"), F.count(F.lit(1)).alias("group_size"), F.first("sha").alias("name")), "groups")
+    # At most HOT groups hold over 1 / HOT of all rows, so these may be broadcast, under their texts' hash.
+    most = listed.count() // HOT
+    hot = F.broadcast(found.where(F.col("group_size") > most).drop("recipe")) if most else None
+    if hot is None:
+        joined = listed.join(found, "recipe")
+    else:
+        rest = listed.join(hot.select(F.col("name").alias("sha")), "sha", "left_anti").join(found.where(F.col("group_size") <= most), "recipe")
+        joined = listed.join(hot, F.col("sha") == F.col("name")).unionByName(rest, allowMissingColumns=True)
+    return joined.select("doc_id", "row", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
