@@ -9,7 +9,7 @@ from gridmill.llm.common import materialize
 
 
 def star(edges: DataFrame, large: bool) -> DataFrame:
-    """One round: every node links its larger neighbours (or its smaller ones and itself) to its least neighbour.
+    """One step: every node links its larger neighbours, or its smaller ones and itself, to its least neighbour.
 
     Least neighbours come from a pre-aggregated minimum that is joined back, so no neighbourhood is
     ever gathered, however large.
@@ -18,20 +18,20 @@ def star(edges: DataFrame, large: bool) -> DataFrame:
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
     joined = both.join(least, "u")
     if large:
-        out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        return joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+    out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
     return out.where("u <> v").distinct()
 
 
+def flat(edges: DataFrame) -> bool:
+    """Whether every node that has a parent has one, and is nobody's parent."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("child"), F.lit(0).alias("parent")), F.struct(F.col("v").alias("x"), F.lit(0).alias("child"), F.lit(1).alias("parent")))).alias("e"))
+    return ends.groupBy("e.x").agg(F.sum("e.child").alias("child"), F.max("e.parent").alias("parent")).where("child + parent > 1 AND child > 0").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of all nodes of ``edges`` (u, v); the component is its least node."""
     now = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
-    seen = None
-    while True:
-        told = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v") % (1 << 40)).alias("h")).first()
-        if told == seen or not told.n:
-            break
-        seen = told
+    while not flat(now):
         now = materialize(star(star(now, True), False), "edges")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -26,7 +26,7 @@ WORDS = 5
 #: A pair at a similarity of 0.8 shares no bucket with a chance of about 3e-6, at 0.85 of 7e-9.
 BANDS, ROWS = 32, 5
 BINS = BANDS * ROWS
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
@@ -116,11 +116,10 @@ def link(docs: DataFrame, percent: int, words: int = WORDS) -> tuple[DataFrame,
     classes = seen.where("n_shingles > 0").groupBy("digest").agg(F.min(F.struct("row", "n_shingles", "bands")).alias("best"))
     nodes = classes.select(F.col("best.row").alias("node"), F.col("best.n_shingles").alias("n"), F.explode("best.bands").alias("bucket"))
     shared = nodes.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("centre"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    shared = materialize(shared, "shared")
-    members = materialize(nodes.join(shared, "bucket").select("bucket", "node", "n", F.col("centre.node").alias("u"), F.col("centre.n").alias("n_u")), "buckets")
+    centre = shared.select("bucket", F.col("centre.node").alias("u"), F.col("centre.n").alias("n_u"))
     near = F.lit(100) * F.least("n", "n_u") >= F.lit(percent) * F.greatest("n", "n_u")
-    pairs = materialize(members.where("node <> u").where(near).select("u", F.col("node").alias("v")).distinct(), "pairs")
-    wanted = members.select("node").distinct()
+    pairs = materialize(nodes.join(centre, "bucket").where("node <> u").where(near).select("u", F.col("node").alias("v")).distinct(), "pairs")
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     rows = docs.select(F.monotonically_increasing_id().alias("node"), "text")
     texts = materialize(rows.join(wanted, "node", "left_semi"), "texts")
     links = materialize(confirm(pairs, texts, percent, words), "links")
@@ -148,11 +147,14 @@ def resolve(texts: DataFrame, pairs: DataFrame, links: DataFrame, percent: int,
     """
     blocks = components(pairs).withColumnRenamed("component", "block")
 
-    def labelled(rows: DataFrame, known: DataFrame) -> DataFrame:
-        return rows.join(components(known), "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+    def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+        return rows.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
 
-    told = materialize(labelled(blocks, links), "blocks")
-    mixed = told.groupBy("block").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("a"), F.max("label").alias("b")).where("size > 2 AND a <> b").select("block", "size")
+    labels = components(links)
+    told = materialize(labelled(blocks, labels), "blocks")
+    mixed = materialize(told.groupBy("block").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("a"), F.max("label").alias("b")).where("size > 2 AND a <> b").select("block", "size"), "mixed")
+    if mixed.isEmpty():
+        return labels
     sets = materialize(shingles(told.drop("label").join(mixed, "block").join(texts, "node"), words), "sets")
     counted = sets.select("block", "size", F.explode("tokens").alias("token")).groupBy("block", "size", "token").agg(F.count(F.lit(1)).alias("n"))
     consensus = counted.where("2 * n > size").groupBy("block").agg(F.collect_list("token").alias("held"))
@@ -169,12 +171,14 @@ def resolve(texts: DataFrame, pairs: DataFrame, links: DataFrame, percent: int,
     def second(side: DataFrame) -> DataFrame:
         return side.select("block", *[F.col(c).alias(f"{c}2") for c in ("node", "n", "d", "label")])
 
-    now = materialize(labelled(rows, links), "labels")
+    now = materialize(labelled(rows, labels), "labels")
     best = now.groupBy("block").agg(F.min(F.struct("d", "node", "n", "label")).alias("m")).select("block", "m.*")
     stars = now.join(second(best), "block").where(fits).select(*pair).distinct().join(pairs, ["u", "v"], "left_anti")
-    links = materialize(links.unionByName(confirm(stars, texts, percent, words)), "links")
-
-    now = materialize(labelled(rows, links), "labels")
+    new = materialize(confirm(stars, texts, percent, words), "links")
+    if not new.isEmpty():
+        links = links.unionByName(new)
+        labels = components(links)
+        now = materialize(labelled(rows, labels), "labels")
     parts = now.groupBy("block", "label").agg(F.count(F.lit(1)).alias("members"), F.min("d").alias("d"), F.max("n").alias("n"))
     largest = parts.groupBy("block").agg(F.max(F.struct("members", "label")).alias("m"), F.max("n").alias("most"), F.count(F.lit(1)).alias("labels")).where("labels > 1").select("block", F.col("m.label").alias("largest"), "most")
     outside = parts.join(largest, "block").where("label <> largest").groupBy("block").agg(F.min("d").alias("outer_d"))
@@ -196,7 +200,8 @@ def resolve(texts: DataFrame, pairs: DataFrame, links: DataFrame, percent: int,
     whole = shared.select("block", "token", *[F.col(c).alias(f"{c}2") for c in ("node", "n", "d", "label")])
     met = prefix.join(whole, ["block", "token"]).where(fits & (F.col("d2") >= F.col("d"))).select(*pair)
     more = little.unionByName(met).distinct().join(pairs, ["u", "v"], "left_anti")
-    return materialize(components(materialize(links.unionByName(confirm(more, texts, percent, words)), "links")), "labels")
+    new = materialize(confirm(more, texts, percent, words), "links")
+    return labels if new.isEmpty() else components(links.unionByName(new))
 
 
 def shingles(rows: DataFrame, words: int) -> DataFrame:
