@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from gridmill.llm.common import binary, materialize, scratch_path
 
 #: Documents of a unit, as a power of two, and bytes of text for each bucket of the key space.
-UNIT_SHIFT, BUCKET_BYTES = 11, 8 << 20
+UNIT_SHIFT, BUCKET_BYTES = 11, 32 << 20
 MAIL = "bucket long, unit long, data binary"
 MAIL_SCHEMA = pa.schema([("bucket", pa.int64()), ("unit", pa.int64()), ("data", pa.binary())])
 #: Stands for a null doc_id, which comes before all others.
