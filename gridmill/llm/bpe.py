@@ -18,6 +18,7 @@ from collections.abc import Iterable, Iterator
 import public_tokenizers
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +26,9 @@ from gridmill.llm.common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Bytes of words that a worker keeps encoded before it starts afresh.
-CACHE_BYTES = 32 << 20
+CACHE_BYTES = 48 << 20
+#: Ids are below 2 ** SHIFT.
+SHIFT = 20
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -33,65 +36,82 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-def replay(words: Iterable[bytes], ranks: dict[bytes, int]) -> dict[bytes, list[int]]:
+def pair_table(ranks: dict[bytes, int]) -> dict[int, int]:
+    """Rank of the merge of two tokens, by SHIFTed first and second id, for every split of every token."""
+    return {ranks[t[:i]] << SHIFT | ranks[t[i:]]: r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
+
+
+def replay(words: Iterable[bytes], ranks: dict[bytes, int], pairs: dict[int, int]) -> dict[bytes, list[int]]:
     """Token ids of each distinct word, by replaying the merges over all words together."""
-    text: list[bytes] = []  # token at each place; a merge leaves it at the left place
+    token: list[int] = []  # id at each place, -1 where a merge has taken it; a merge leaves its id at the left place
     after: list[int] = []
     before: list[int] = []
-    starts: list[tuple[bytes, int]] = []
-    index: dict[int, list[int]] = {}  # rank of the pair's merge -> left places
     word_of: list[int] = []
+    starts: list[tuple[bytes, int]] = []
+    index: dict[int, list[int]] = {}  # rank of a pair's merge -> left places
+    single = [ranks.get(bytes([b]), -2) for b in range(256)]
+    merge = pairs.get
 
     for word in dict.fromkeys(words):
         if word in ranks or not word:
             continue
-        first, n = len(text), len(word)
+        first, n = len(token), len(word)
         starts.append((word, first))
-        text += [word[i : i + 1] for i in range(n)]
-        after += [*range(first + 1, first + n), -1]
-        before += [-1, *range(first, first + n - 1)]
+        token += [single[b] for b in word]
+        after += range(first + 1, first + n + 1)
+        after[-1] = -1
+        before += range(first - 1, first + n - 1)
+        before[first] = -1
         word_of += [len(starts)] * n
-        for i in range(n - 1):
-            if (rank := ranks.get(word[i : i + 2])) is not None:
-                index.setdefault(rank, []).append(first + i)
+        for at in range(first, first + n - 1):
+            if (rank := merge(token[at] << SHIFT | token[at + 1])) is not None:
+                if rank in index:
+                    index[rank].append(at)
+                else:
+                    index[rank] = [at]
 
-    merged = {rank: token for token, rank in ranks.items()}
     heap = list(index)
     heapq.heapify(heap)
     while heap:
         rank = heapq.heappop(heap)
-        places = index.pop(rank, None)
-        if places is None:
-            continue
-        token, held, size = merged[rank], 0, len(merged[rank])
+        places, held = index.pop(rank), 0
         places.sort()
         for at in places:
-            if word_of[at] == held:  # a lower pair of this word goes first
+            right = after[at]
+            if right < 0 or token[at] < 0 or merge(token[at] << SHIFT | token[right]) != rank:
+                continue  # an earlier merge has taken one of the two
+            if held and word_of[at] == held:  # a lower pair of this word goes first
                 if rank not in index:
                     index[rank] = []
                     heapq.heappush(heap, rank)
                 index[rank].append(at)
                 continue
-            right = after[at]
-            if right < 0 or not text[at] or len(text[at]) + len(text[right]) != size or text[at] + text[right] != token:
-                continue  # an earlier merge has taken one of the two
-            text[at], text[right] = token, b""
+            token[at], token[right] = rank, -1
             after[at] = follow = after[right]
             if follow >= 0:
                 before[follow] = at
-            for left, pair in ((before[at], at), (at, follow)):
-                if left >= 0 and pair >= 0 and (new := ranks.get(text[left] + text[pair])) is not None:
-                    if new not in index:
-                        index[new] = []
+                if (new := merge(rank << SHIFT | token[follow])) is not None:
+                    if new in index:
+                        index[new].append(at)
+                    else:
+                        index[new] = [at]
                         heapq.heappush(heap, new)
-                    index[new].append(left)
                     if new < rank:
                         held = word_of[at]
+            left = before[at]
+            if left >= 0 and (new := merge(token[left] << SHIFT | rank)) is not None:
+                if new in index:
+                    index[new].append(left)
+                else:
+                    index[new] = [left]
+                    heapq.heappush(heap, new)
+                if new < rank:
+                    held = word_of[at]
     found = {}
     for word, at in starts:
         ids = []
         while at >= 0:
-            ids.append(ranks[text[at]])
+            ids.append(token[at])
             at = after[at]
         found[word] = ids
     return found
@@ -101,7 +121,7 @@ class Encoder:
     """Encodes and decodes texts with a store of encoded words that is bounded in bytes."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str = public_tokenizers.PATTERN) -> None:
-        self.ranks, self.split = ranks, regex.compile(pattern).findall
+        self.ranks, self.split, self.pairs = ranks, regex.compile(pattern).findall, pair_table(ranks)
         self.tokens = {str(rank).encode(): token for token, rank in ranks.items()}
         self.known: dict[str, bytes] = {}
         self.kept = 0
@@ -111,10 +131,10 @@ class Encoder:
         if self.kept > CACHE_BYTES:
             self.known, self.kept, new = {}, 0, list(words)
         coded = {w: w.encode() for w in new}
-        ids = replay(coded.values(), self.ranks)
+        ids = replay(coded.values(), self.ranks, self.pairs)
         for word, raw in coded.items():
             self.known[word] = b",".join(b"%d" % i for i in ids[raw]) if raw in ids else b"%d" % self.ranks[raw]
-            self.kept += len(raw) + 120
+            self.kept += len(raw) + 200
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text in decimal, joined by commas."""
@@ -127,6 +147,16 @@ class Encoder:
         return b"".join(map(self.tokens.__getitem__, ids.split(b","))) if ids else b""
 
 
+#: The encoder of this worker process and its vocabulary's name; later tasks go on with the words of earlier ones.
+HELD: list = [None, None]
+
+
+def held_encoder(name: str, ranks: Broadcast) -> Encoder:
+    if HELD[0] != name:
+        HELD[:] = [name, Encoder(ranks.value)]
+    return HELD[1]
+
+
 def blocks(texts: list[str], most: int = 1 << 20) -> Iterator[list[str]]:
     """Runs of texts with about ``most`` characters together."""
     held, size = [], 0
@@ -140,6 +170,12 @@ def blocks(texts: list[str], most: int = 1 << 20) -> Iterator[list[str]]:
         yield held
 
 
+def share(spark: SparkSession, vocabulary: str | None) -> tuple[Broadcast, str]:
+    """The ranks as a broadcast, and a name that tells this vocabulary from others."""
+    ranks = load_ranks(vocabulary or public_tokenizers.path(VOCABULARY))
+    return spark.sparkContext.broadcast(ranks), hashlib.sha256(repr(sorted(ranks.items())).encode()).hexdigest()
+
+
 def encode(docs: DataFrame, vocabulary: str | None = None, with_ids: bool = False) -> DataFrame:
     """One row per input row: doc_id, n_tokens, ids_sha256, decoded_sha256, and ids if asked for.
 
@@ -149,10 +185,10 @@ def encode(docs: DataFrame, vocabulary: str | None = None, with_ids: bool = Fals
     """
     spark = docs.sparkSession
     # The vocabulary is a file of fixed size, about 1 MB, whatever the input.
-    ranks = spark.sparkContext.broadcast(load_ranks(vocabulary or public_tokenizers.path(VOCABULARY)))
+    ranks, name = share(spark, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Encoder(ranks.value)
+        coder = held_encoder(name, ranks)
         for batch in batches:
             ids_of: list[bytes] = []
             rows: dict[str, list] = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
@@ -176,7 +212,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None, with_ids: bool = Fals
 
 def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """(doc_id, text) from rows with doc_id and ids, as the bytes that the ids stand for."""
-    ranks = encoded.sparkSession.sparkContext.broadcast(load_ranks(vocabulary or public_tokenizers.path(VOCABULARY)))
+    ranks, _ = share(encoded.sparkSession, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = {rank: raw for raw, rank in ranks.value.items()}
