@@ -2,8 +2,9 @@
 
 One hash of each shingle fills the bins of a signature with their least members, and optimal
 densification fills empty bins from full ones, picked by a hash of the bin alone. Bands of the
-signature name buckets. In a bucket every document is paired with one centre, not with every other,
-so a bucket of n makes n - 1 pairs. Pairs are confirmed on full shingle sets, and components follow.
+signature name buckets. In a bucket every document is paired with one centre of each of its two size
+bands, not with every other, so a bucket of n makes less than 2 n pairs. Pairs that can be links by
+their sizes are confirmed on full shingle sets, and components follow.
 Links between documents that share a bucket but not its centre are found by their differences from
 what most of their block has in common; see ``resolve``.
 """
@@ -11,6 +12,7 @@ what most of their block has in common; see ``resolve``.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -115,15 +117,20 @@ def link(docs: DataFrame, percent: int, words: int = WORDS) -> tuple[DataFrame,
     seen = materialize(sketch(docs, words), "sketches")
     classes = seen.where("n_shingles > 0").groupBy("digest").agg(F.min(F.struct("row", "n_shingles", "bands")).alias("best"))
     nodes = classes.select(F.col("best.row").alias("node"), F.col("best.n_shingles").alias("n"), F.explode("best.bands").alias("bucket"))
-    shared = nodes.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("centre"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    centre = shared.select("bucket", F.col("centre.node").alias("u"), F.col("centre.n").alias("n_u"))
+    # Sizes within the ratio lie in one step of its logarithm or in two neighbouring ones, so they share a band of two steps.
+    step = F.floor(F.log("n") / (math.log(100 / percent) + 1e-9))
+    banded = nodes.withColumn("band", F.explode(F.array(step, step + 1)))
+    shared = banded.groupBy("bucket", "band").agg(F.min(F.struct("node", "n")).alias("centre"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    centre = shared.select("bucket", "band", F.col("centre.node").alias("u"), F.col("centre.n").alias("n_u"))
     near = F.lit(100) * F.least("n", "n_u") >= F.lit(percent) * F.greatest("n", "n_u")
-    pairs = materialize(nodes.join(centre, "bucket").where("node <> u").where(near).select("u", F.col("node").alias("v")).distinct(), "pairs")
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    # Every edge of a star makes blocks; only one within the ratio can be a link.
+    edges = materialize(banded.join(centre, ["bucket", "band"]).where("node <> u").select("u", F.col("node").alias("v"), near.alias("near")).distinct(), "edges")
+    pairs = edges.where("near").drop("near")
+    wanted = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     rows = docs.select(F.monotonically_increasing_id().alias("node"), "text")
     texts = materialize(rows.join(wanted, "node", "left_semi"), "texts")
     links = materialize(confirm(pairs, texts, percent, words), "links")
-    return seen, resolve(texts, pairs, links, percent, words)
+    return seen, resolve(texts, edges.drop("near"), links, percent, words)
 
 
 def reach(n: Column, other: Column, percent: int) -> Column:

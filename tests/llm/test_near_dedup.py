@@ -79,6 +79,26 @@ def test_one_large_group_of_edited_copies(spark, hub):
     assert sorted((r.doc_id, r.component_id) for r in got) == sorted((d, c) for d, _, c in want)
 
 
+def test_shorter_copies_in_front_hide_no_links(spark):
+    """Every bucket that two near copies share has a shortened copy as its first row, too short to be linked with them."""
+    rng = random.Random(0)
+    base = [f"b{i}" for i in range(600)]
+    made = []
+    for _ in range(30):
+        at = rng.randrange(501)
+        made.append(base[:at] + base[at + 100 :])
+    for _ in range(40):
+        words = list(base)
+        for at in rng.sample(range(600), 4):
+            words[at] = f"e{rng.randrange(10**9)}"
+        made.append(words)
+    rows = [(i, " ".join(w)) for i, w in enumerate(made)]
+    got = N.near_groups(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    want = brute(rows, 85)
+    assert len({c for d, _, c in want if d >= 30}) < 10
+    assert sorted((r.doc_id, r.component_id) for r in got) == sorted((d, c) for d, _, c in want)
+
+
 def test_differences_find_links_that_no_star_tested(spark):
     """Only the pair (0, 1) is tested and fails; the links among the other candidates must be found all the same."""
     words = lambda *parts: " ".join(f"v{i}" for a, b in parts for i in range(a, b))
