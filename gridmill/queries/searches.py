@@ -34,6 +34,21 @@ def search_fused(spark: SparkSession, d: str) -> DataFrame:
     return found.select("id", F.round("cos", 4).alias("cos"), F.round("lex", 4).alias("lex"), F.round("score", 4).alias("score"))
 
 
+def whole_corpus(spark: SparkSession, d: str) -> DataFrame:
+    """(id, name, embedding, fame): every vector of ``embeddings``, with the parts' names and prices in turn."""
+    part = load(spark, d, "part")
+    told = part.agg(F.count(F.lit(1)).alias("parts"), F.max("p_retailprice").alias("most"))
+    rows = load(spark, d, "embeddings").crossJoin(F.broadcast(told)).withColumn("p_partkey", F.col("vec_id") % F.col("parts"))
+    named = rows.join(part.select("p_partkey", "p_name", "p_retailprice"), "p_partkey", "left")
+    return named.select(F.col("vec_id").alias("id"), F.coalesce("p_name", F.lit("")).alias("name"), "embedding", (F.col("p_retailprice") / F.col("most")).alias("fame"))
+
+
+def search_fused_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Hybrid search over the whole table of vectors."""
+    found = search.leg(whole_corpus(spark, d), F.lit(QUERY), query_vector(spark, d), LIMIT)
+    return found.select("id", F.round("cos", 4).alias("cos"), F.round("lex", 4).alias("lex"), F.round("score", 4).alias("score"))
+
+
 def vector_top(spark: SparkSession, d: str) -> DataFrame:
     """The 50 nearest vectors by cosine, and their dot products."""
     rows = load(spark, d, "embeddings").crossJoin(F.broadcast(query_vector(spark, d)))
@@ -139,7 +154,7 @@ def explanations(spark: SparkSession, d: str) -> DataFrame:
     return part.select("p_partkey", field.alias("field"), R.why(field, F.col("p_size"), F.lower("p_type"), F.col("p_brand"), F.col("p_name")).alias("why"), T.lexical_query(F.concat(F.lit("show me the first "), "p_name")).alias("lexical"))
 
 
-QUERIES = {f.__name__: f for f in (search_fused, vector_top, lexical_matches, unified_search, recommended, page_header, page_facets, chunk_retrieval, intents, ranking_rules, explanations)}
+QUERIES = {f.__name__: f for f in (search_fused, search_fused_whole, vector_top, lexical_matches, unified_search, recommended, page_header, page_facets, chunk_retrieval, intents, ranking_rules, explanations)}
 
 
 def grams(text: str) -> str:
@@ -164,6 +179,11 @@ ORACLE = {
         ids AS ((SELECT id FROM r ORDER BY cos DESC, id LIMIT 80) UNION (SELECT id FROM r WHERE word > 0.3 ORDER BY word DESC, id LIMIT 80) UNION (SELECT id FROM r WHERE tri > 0.2 ORDER BY tri DESC, id LIMIT 80) UNION (SELECT id FROM (SELECT * FROM r ORDER BY fame DESC, id LIMIT 1000) ORDER BY cos DESC, id LIMIT 40)),
         s AS (SELECT id, cos, greatest(word, tri) AS lex, 0.7 * cos + 0.3 * greatest(word, tri) + 0.15 * coalesce(fame, 0) AS score FROM r JOIN ids USING (id) ORDER BY round(score, 9) DESC, id LIMIT 20)
         SELECT id, round(cos, 4) AS cos, round(lex, 4) AS lex, round(score, 4) AS score FROM s""",
+    "search_fused_whole": f"""WITH {SIMS}, qv AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0),
+        r AS (SELECT e.vec_id AS id, round(list_cosine_similarity(e.embedding::DOUBLE[], qv.q::DOUBLE[]), 9) AS cos, p_retailprice / (SELECT max(p_retailprice) FROM part) AS fame, coalesce(word, 0) AS word, coalesce(tri, 0) AS tri FROM embeddings e LEFT JOIN part ON p_partkey = e.vec_id % (SELECT count(*) FROM part) LEFT JOIN sims USING (p_name) CROSS JOIN qv),
+        ids AS ((SELECT id FROM r ORDER BY cos DESC, id LIMIT 80) UNION (SELECT id FROM r WHERE word > 0.3 ORDER BY word DESC, id LIMIT 80) UNION (SELECT id FROM r WHERE tri > 0.2 ORDER BY tri DESC, id LIMIT 80) UNION (SELECT id FROM (SELECT * FROM r ORDER BY fame DESC, id LIMIT 1000) ORDER BY cos DESC, id LIMIT 40)),
+        s AS (SELECT id, cos, greatest(word, tri) AS lex, 0.7 * cos + 0.3 * greatest(word, tri) + 0.15 * coalesce(fame, 0) AS score FROM r JOIN ids USING (id) ORDER BY round(score, 9) DESC, id LIMIT 20)
+        SELECT id, round(cos, 4) AS cos, round(lex, 4) AS lex, round(score, 4) AS score FROM s""",
     "vector_top": "SELECT e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 5) AS cos, round(list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 5) AS dot FROM embeddings e, embeddings q WHERE q.vec_id = 0 ORDER BY round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) DESC, e.vec_id LIMIT 50",
     "lexical_matches": rf"WITH {SIMS} SELECT p_name, round(word, 4) AS word, round(tri, 4) AS tri, regexp_matches(lower(p_name), '\b(red|ring)\b') AS guard FROM sims",
     "unified_search": f"""WITH l AS ({leg_sql('buildings', 0, 'part', 'p_partkey', 0)} UNION ALL {leg_sql('venues', 1, 'supplier', 's_suppkey', 111)} UNION ALL {leg_sql('layers', 2, 'customer', 'c_custkey', 222)}),
