@@ -1,6 +1,6 @@
 """Queries that must read every row of their tables."""
 
-from gridmill.queries import searches
+from gridmill.queries import community, searches
 
 D = "/root/testdata/sf0.001"
 
@@ -9,3 +9,15 @@ def test_every_vector_is_searched(spark):
     vectors = spark.read.parquet(f"{D}/embeddings.parquet")
     seen = searches.whole_corpus(spark, D)
     assert vectors.count() == seen.count() == seen.select("id").distinct().count() > spark.read.parquet(f"{D}/part.parquet").count()
+
+
+def test_every_part_is_explained(spark):
+    d = "/root/testdata/sf0.01"
+    keys = {r.p_partkey for r in spark.read.parquet(f"{d}/part.parquet").select("p_partkey").collect()}
+    assert len(keys) > 500 and {r.p_partkey for r in searches.explanations(spark, d).collect()} == keys
+
+
+def test_every_contribution_is_voted_on(spark):
+    asked = {r.contribution for r in community.votes(spark, D).select("contribution").distinct().collect()}
+    told = {r.contribution: r for r in community.edit_votes_whole(spark, D).collect()}
+    assert max(asked) > 40 and set(told) == asked
