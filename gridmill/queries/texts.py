@@ -70,6 +70,12 @@ def names(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "documents").select("doc_id", F.array_join(T.tokens(line), " ").alias("tokens"), T.normal_name(line).alias("name"))
 
 
+def names_whole(spark: SparkSession, d: str) -> DataFrame:
+    """STR1, STR2: number and hash of the tokens, and hash of the normal name, of whole texts."""
+    told = load(spark, d, "documents").select("doc_id", T.tokens(F.col("text")).alias("t"), T.normal_name(F.col("text")).alias("name"))
+    return told.select("doc_id", F.size("t").alias("n"), F.md5(F.array_join("t", " ")).alias("tokens"), F.md5("name").alias("name"))
+
+
 CASES = [
     ("1 South First Street", "1 south 1st street", 1, "1st,south", "1"),
     ("469-475 Broome St", "469-475 broome st", 469, "469-475,broome", "469,471,473,475"),
@@ -115,7 +121,7 @@ def embedding_checks(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "embeddings").select("vec_id", (F.size("embedding") == 64).alias("valid"), whole.alias("profile"), F.decode(F.unbase64(F.base64(F.col("vec_id").cast("string").cast("binary"))), "UTF-8").alias("mask"))
 
 
-QUERIES = {f.__name__: f for f in (page_text, page_identity, char_chunks, page_chunks, word_chunks, source_budget, sentences_trimmed, quality_filter, names, addresses, dates_and_numbers, materials, embedding_checks)}
+QUERIES = {f.__name__: f for f in (page_text, page_identity, char_chunks, page_chunks, word_chunks, source_budget, sentences_trimmed, quality_filter, names, names_whole, addresses, dates_and_numbers, materials, embedding_checks)}
 
 
 def quoted(value) -> str:
@@ -146,6 +152,7 @@ ORACLE = {
     "source_budget": "WITH s AS (SELECT source, doc_id, length(text) AS chars, 7000 - coalesce(sum(length(text)) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest FROM documents) SELECT source, doc_id, least(chars, rest)::BIGINT AS used FROM s WHERE rest >= chars OR rest >= 200",
     "quality_filter": "WITH p AS (SELECT doc_id, left(text, (least(CASE WHEN instr(lower(text), 'sources:') > 0 THEN instr(lower(text), 'sources:') ELSE length(text) + 1 END, CASE WHEN instr(lower(text), 'facts:') > 0 THEN instr(lower(text), 'facts:') ELSE length(text) + 1 END) - 1)::BIGINT) AS t FROM documents) SELECT doc_id, length(t)::INT AS chars FROM p WHERE length(t) BETWEEN 100 AND 800 AND NOT regexp_matches(t, '(?i)copyright|licen[cs]e')",
     "names": r"SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(lower(left(text, 80)), '[^\p{L}\p{M}\p{N}_''-]+'), lambda x: x <> ''), ' ') AS tokens, regexp_replace(regexp_replace(lower(trim(left(text, 80))), '[^\p{L}\p{M}\p{N}_\s]', '', 'g'), '\s+', ' ', 'g') AS name FROM documents",
+    "names_whole": r"SELECT doc_id, len(t) AS n, md5(array_to_string(t, ' ')) AS tokens, md5(regexp_replace(regexp_replace(lower(trim(coalesce(text, ''))), '[^\p{L}\p{M}\p{N}_\s]', '', 'g'), '\s+', ' ', 'g')) AS name FROM (SELECT doc_id, text, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{M}\p{N}_''-]+'), lambda x: x <> '') AS t FROM documents)",
     "addresses": values([(a, b, c, e, f) for a, b, c, e, f in CASES], "address, folded, number, street, numbers"),
     "dates_and_numbers": values(DATES, "said, day, n, number"),
     "materials": "SELECT p_partkey, CASE WHEN lower(p_name) LIKE '%red%' THEN 'brick' WHEN lower(p_name) LIKE '%steel%' OR lower(p_name) LIKE '%blue%' THEN 'steel' WHEN 1850 + p_partkey % 150 < 1900 AND p_type = 'ECONOMY' THEN 'wood' WHEN 1850 + p_partkey % 150 < 1940 THEN 'limestone' ELSE 'concrete' END AS material, CASE WHEN p_partkey % 3 = 0 THEN p_size::DOUBLE WHEN p_type = 'PROMO' THEN 5.0 ELSE 1.0 END AS final_score FROM part",

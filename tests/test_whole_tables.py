@@ -1,6 +1,8 @@
 """Queries that must read every row of their tables."""
 
-from gridmill.queries import community, searches
+import re
+
+from gridmill.queries import community, searches, texts
 
 D = "/root/testdata/sf0.001"
 
@@ -21,3 +23,9 @@ def test_every_contribution_is_voted_on(spark):
     asked = {r.contribution for r in community.votes(spark, D).select("contribution").distinct().collect()}
     told = {r.contribution: r for r in community.edit_votes_whole(spark, D).collect()}
     assert max(asked) > 40 and set(told) == asked
+
+
+def test_tokens_of_whole_texts(spark):
+    told = {r.doc_id: r.n for r in texts.names_whole(spark, D).collect()}
+    plain = [r for r in spark.read.parquet(f"{D}/documents.parquet").select("doc_id", "text").collect() if r.text and len(r.text) > 80 and re.fullmatch("[a-zA-Z ,.]+", r.text)]
+    assert plain and all(told[r.doc_id] == len(re.findall("[a-zA-Z]+", r.text)) for r in plain)
