@@ -173,17 +173,16 @@ class Segment:
 def scan(docs: DataFrame, rules: list[Rule] = RULES, base: int = BASE) -> DataFrame:
     """One row per input row: doc_id, n_<kind> of the base rules, base_sha256, spans.
 
-    Spans are kind:start:end in code points by start, then in the order of the rules. Null text counts
-    as empty and has no spans. Repeated rows and null doc_ids are scanned like others, further columns
-    are not read, an empty table gives an empty result.
+    Spans are kind:start:end in code points by start, and spans that start at one place in the order of
+    the rules. Null text counts as empty and has no spans. A text of any length is scanned whole, as a
+    segment of its own if it is longer than one. Repeated rows and null doc_ids are scanned like
+    others, further columns are not read, an empty table gives an empty result.
     """
     names = sorted(set().union(*(trigrams(r.query) for r in rules)))
-    if len(names) > 65535:
-        raise ValueError("the rules ask for too many trigrams")
     kinds = [r.kind for r in rules]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked = np.zeros(1 << 24, np.uint16)
+        asked = np.zeros(1 << 24, np.min_scalar_type(len(names)))
         for k, g in enumerate(names):
             asked[int.from_bytes(g, "big")] = k + 1
         for batch in batches:
@@ -222,193 +221,6 @@ def oracle() -> str:
     parts = []
     for k, rule in enumerate(RULES):
         pattern = (either(rule.pattern) if rule.fold else rule.pattern).replace("'", "''")
-        parts.append(q)
-    return True if not parts else parts[0] if len(parts) == 1 else (kind, parts)
-
-
-def of_strings(strings: set[bytes]) -> Query:
-    """What a text that contains one of ``strings`` must contain."""
-    return both("or", [both("and", [s[i : i + 3] for i in range(len(s) - 2)]) for s in sorted(strings)])
-
-
-def derive(tree: parser.SubPattern) -> tuple[set[bytes] | None, Query]:
-    """(strings, query) of a parsed expression: all strings it stands for, if few, else what it demands."""
-    found: list[Query] = []
-    run: set[bytes] = {b""}
-    exact = True
-
-    def flush() -> None:
-        nonlocal run, exact
-        found.append(of_strings(run))
-        run, exact = {b""}, False
-
-    for kind, value in tree:
-        strings: set[bytes] | None = None
-        query: Query = True
-        again = False  # more copies of the same may follow
-        if kind is op.LITERAL:
-            strings = {chr(value).lower().encode()}
-        elif kind is op.IN:
-            strings = members(value)
-        elif kind in (op.AT, op.ASSERT, op.ASSERT_NOT):
-            strings = {b""}
-        elif kind is op.SUBPATTERN:
-            strings, query = derive(value[3])
-        elif kind is op.BRANCH:
-            parts = [derive(p) for p in value[1]]
-            if all(s is not None for s, _ in parts):
-                strings = set().union(*(s for s, _ in parts))
-            else:
-                query = both("or", [q if s is None else of_strings(s) for s, q in parts])
-        elif kind in (op.MAX_REPEAT, op.MIN_REPEAT, op.POSSESSIVE_REPEAT):
-            least, most, part = value
-            strings, query = derive(part)
-            if least == 0:
-                strings, query = ({b""} | strings, True) if strings is not None and most == 1 else (None, True)
-            again = most != 1 and least > 0
-        if strings is None or len(run) * len(strings) > MOST_STRINGS:
-            flush()
-            found.append(query if strings is None else of_strings(strings))
-        else:
-            run = {a + b for a in run for b in strings}
-            if again:
-                flush()
-    if exact:
-        return run, of_strings(run)
-    flush()
-    return None, both("and", found)
-
-
-def members(items: list) -> set[bytes] | None:
-    found: set[bytes] = set()
-    for kind, value in items:
-        if kind is op.LITERAL:
-            found.add(chr(value).lower().encode())
-        elif kind is op.RANGE and value[1] - value[0] < MOST_CHARACTERS:
-            found |= {chr(c).lower().encode() for c in range(value[0], value[1] + 1)}
-        else:
-            return None
-        if len(found) > MOST_CHARACTERS:
-            return None
-    return found
-
-
-@dataclass
-class Rule:
-    """A kind of secret: the expression, the least length of ``group``, and the derived query."""
-
-    kind: str
-    pattern: str
-    least: int = 0
-    group: int = 0
-    fold: bool = False
-    query: Query = field(init=False)
-
-    def __post_init__(self) -> None:
-        self.query = derive(parser.parse(self.pattern))[1]
-
-    def spans(self, text: str) -> list[tuple[int, int]]:
-        flags = re.ASCII | (re.IGNORECASE if self.fold else 0)
-        return [m.span() for m in re.finditer(self.pattern, text, flags) if len(m[self.group]) >= self.least]
-
-
-#: The base rules, and known key formats. Only maximal runs of hex digits match ``hex``.
-RULES = [
-    Rule("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 8, 2, True),
-    Rule("access", r"AKIA[A-Z0-9]+", 16),
-    Rule("hex", r"[0-9a-f]{32,}", 32),
-    Rule("code_host", r"gh[pousr]_[A-Za-z0-9]{36,}"),
-    Rule("chat_bot", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,32}PRIVATE KEY-----"),
-]
-BASE = 3
-
-
-def trigrams(query: Query) -> set[bytes]:
-    return set() if query is True else {query} if isinstance(query, bytes) else set().union(*map(trigrams, query[1]))
-
-
-class Segment:
-    """Postings of the asked trigrams over one block of documents."""
-
-    def __init__(self, asked: np.ndarray, data: np.ndarray, offsets: np.ndarray, names: list[bytes]) -> None:
-        self.size = len(offsets) - 1
-        low = np.frombuffer(LOWER, np.uint8)[data].astype(np.int32)
-        codes = (low[:-2] << 16) | (low[1:-1] << 8) | low[2:] if len(low) > 2 else low[:0]
-        which = asked[codes]
-        at = np.flatnonzero(which)
-        pairs = np.unique(which[at].astype(np.int64) * self.size + (np.searchsorted(offsets, at, "right") - 1))
-        cuts = np.searchsorted(pairs, np.arange(1, len(names) + 2) * self.size)
-        self.postings = {g: pairs[cuts[k] : cuts[k + 1]] - (k + 1) * self.size for k, g in enumerate(names)}
-
-    def candidates(self, query: Query) -> np.ndarray:
-        if query is True:
-            return np.arange(self.size)
-        if isinstance(query, bytes):
-            return self.postings[query]
-        parts = [self.candidates(q) for q in query[1]]
-        if query[0] == "or":
-            return np.unique(np.concatenate(parts))
-        found = parts[0]
-        for p in sorted(parts[1:], key=len):
-            found = np.intersect1d(found, p, assume_unique=True)
-        return found
-
-
-def scan(docs: DataFrame, rules: list[Rule] = RULES, base: int = BASE) -> DataFrame:
-    """One row per input row: doc_id, n_<kind> of the base rules, base_sha256, spans.
-
-    Spans are kind:start:end in code points by start, then in the order of the rules. Null text counts
-    as empty and has no spans. Repeated rows and null doc_ids are scanned like others, further columns
-    are not read, an empty table gives an empty result.
-    """
-    names = sorted(set().union(*(trigrams(r.query) for r in rules)))
-    if len(names) > 65535:
-        raise ValueError("the rules ask for too many trigrams")
-    kinds = [r.kind for r in rules]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked = np.zeros(1 << 24, np.uint16)
-        for k, g in enumerate(names):
-            asked[int.from_bytes(g, "big")] = k + 1
-        for batch in batches:
-            texts = binary(batch.column(1))
-            spans: list[list[tuple[int, int, int]]] = [[] for _ in range(len(texts))]
-            for i, j in pieces(texts, SEGMENT_BYTES):
-                block = texts.slice(i, j - i)
-                segment = Segment(asked, *buffers(block), names)
-                decoded: dict[int, str] = {}
-                for k, rule in enumerate(rules):
-                    for d in segment.candidates(rule.query).tolist():
-                        if d not in decoded:
-                            decoded[d] = block[d].as_py().decode()
-                        spans[i + d] += [(start, k, end) for start, end in rule.spans(decoded[d])]
-            told = [[(k, f"{kinds[k]}:{start}:{end}") for start, k, end in sorted(s)] for s in spans]
-            counts = {f"n_{kinds[b]}": pa.array([sum(k == b for k, _ in t) for t in told], pa.int64()) for b in range(base)}
-            digest = [hashlib.sha256(",".join(x for k, x in t if k < base).encode()).hexdigest() for t in told]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), **counts, "base_sha256": pa.array(digest, pa.string()), "spans": pa.array([",".join(x for _, x in t) for t in told], pa.string())})
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, " + "".join(f"n_{k} long, " for k in kinds[:base]) + "base_sha256 string, spans string"
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
-
-
-def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(table(spark, sf_dir, "documents"))
-
-
-def oracle() -> str:
-    """DuckDB SQL of the query: matches of each rule in order, each found again from where the last one ended."""
-
-    def either(pattern: str) -> str:
-        keys, rest = pattern[: pattern.index(")")], pattern[pattern.index(")") :]
-        return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in keys) + rest
-
-    parts = []
-    for k, rule in enumerate(RULES):
-        pattern = (either(rule.pattern) if rule.fold else rule.pattern).replace("'", "''")
-        asked = f"[{{'m': m, 'g': g, 'at': 0::BIGINT, 'all': []::STRUCT(s BIGINT, e BIGINT, n BIGINT)[]}} FOR m, g IN pairs]"
-        del asked
         parts.append(
             f"""SELECT doc_id, {k} AS k, '{rule.kind}' AS kind, unnest(list_reduce(list_transform(list_zip(regexp_extract_all(t, '{pattern}'), regexp_extract_all(t, '{pattern}', {rule.group})), lambda p: {{'m': p[1], 'n': length(p[2]), 'at': 0::BIGINT, 'all': []::STRUCT(s BIGINT, e BIGINT, n BIGINT)[]}}),
             lambda a, x: {{'m': x.m, 'n': x.n, 'at': a.at + instr(substr(t, a.at + 1), x.m) - 1 + length(x.m), 'all': list_append(a.all, {{'s': a.at + instr(substr(t, a.at + 1), x.m) - 1, 'e': a.at + instr(substr(t, a.at + 1), x.m) - 1 + length(x.m), 'n': x.n}})}},
