@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import contextlib
+import functools
 import os
 import string
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+#: Bytes of an Arrow batch that goes to a Python worker.
+ARROW_BYTES = 4 << 20
 #: Lower-cases A-Z only and keeps every other byte.
 LOWER = bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowercase.encode())
 
@@ -40,11 +45,60 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+#: For each open ``dropping`` block what it has to delete, the innermost block last.
+OPEN: list[list[Callable[[], object]]] = []
+
+
+@contextlib.contextmanager
+def dropping() -> Iterator[None]:
+    """Deletes the scratch tables that are written inside when the block ends, but for those kept.
+
+    What leaves the block must not read them any more: it is written inside, with ``keep``.
+    """
+    OPEN.append([])
+    try:
+        yield
+    finally:
+        for drop in OPEN.pop():
+            drop()
+
+
+def drop_later(drop: Callable[[], object], keep: bool = False) -> None:
+    """Hands a deletion to the innermost open block, or with ``keep`` to the one around it; without one nothing is deleted."""
+    if len(OPEN) > keep:
+        OPEN[-1 - keep].append(drop)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def materialize(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """Writes ``df`` once into scratch and returns a scan of it, so later uses do not recompute it."""
-    path = scratch_path(df.sparkSession, label)
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    drop_later(functools.partial(delete, spark, path), keep)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def numbered(docs: DataFrame, name: str = "row", label: str = "numbered") -> DataFrame:
+    """``docs`` with a number in column ``name``, written once.
+
+    Numbers taken again on a second reading may differ, as splits of the input follow the executors
+    that are there; every later step reads these rows and their numbers from the written table.
+    """
+    return materialize(docs.withColumn(name, F.monotonically_increasing_id()), label)
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """``mapInArrow`` with batches of at most about ARROW_BYTES, set for the session.
+
+    Spark's own bound is 64 MB and 10,000 rows; a batch stands in the executor and in its Python worker
+    at once, for every task and every step of a stage.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    return df.mapInArrow(run, schema)
 
 
 def fresh(name: str, *frames: DataFrame) -> str:
