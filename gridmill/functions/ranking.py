@@ -203,7 +203,7 @@ def style_parts(style: Column) -> Column:
 def hedged_style(styles: Column, style: Column) -> Column:
     """-0.10 where only an alternative of a hedged style answers the query."""
     parts = style_parts(style)
-    primary, rest = T.tokens(F.coalesce(F.try_element_at(parts, F.lit(1)), F.lit(""))), T.tokens(F.array_join(F.slice(parts, 2, 100), " "))
+    primary, rest = T.tokens(F.coalesce(F.try_element_at(parts, F.lit(1)), F.lit(""))), T.tokens(F.array_join(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), " "))
     return F.when((F.size(parts) > 1) & ~F.arrays_overlap(styles, primary) & F.arrays_overlap(styles, rest), -0.10).otherwise(0.0)
 
 

@@ -57,12 +57,6 @@ def fold_ordinals(text: Column) -> Column:
     return F.array_join(F.transform(tokens(text), lambda t: F.coalesce(numerals[t], t)), " ")
 
 
-def ordinal_variants(token: Column) -> Column:
-    """Both spellings of an ordinal, or the token alone."""
-    words, numerals = literal_map({v: k for k, v in NUMERAL_OF.items()}), literal_map(NUMERAL_OF)
-    return F.array_distinct(F.filter(F.array(token, numerals[token], words[token]), lambda t: t.isNotNull()))
-
-
 def lexical_query(query: Column) -> Column:
     """The query without stopwords, or all of it if nothing remains, with ordinals as numerals."""
     words = F.filter(F.split(F.trim(query), r"\s+"), lambda w: ~F.regexp_replace(F.lower(w), r"""^[.,!?;:'"]+|[.,!?;:'"]+$""", "").isin(STOPWORDS))
@@ -180,6 +174,12 @@ def flatten_html(html: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(text, r"\n\s*\n\s*\n+", "\n\n"), r"^\s+|\s+$", ""))
 
 
+def clean_report(text: Column) -> Column:
+    """Text of a scanned report with line ends of one kind, single blanks, and at most one empty line in a row."""
+    plain = F.regexp_replace(F.replace(text, F.lit("\r"), F.lit("\n")), r"[ \t]+", " ")
+    return F.regexp_replace(F.regexp_replace(plain, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
+
+
 def url_key(url: Column) -> Column:
     """The identity of a page: host without www, and the last path segment if it has four characters or more, else the path."""
     plain = F.regexp_replace(F.regexp_replace(F.lower(F.trim(url)), r"/+$", ""), r"[#?].*$", "")
@@ -209,14 +209,3 @@ def complete_prose(text: Column, least: int = 120) -> Column:
 
 def title_label(value: Column) -> Column:
     return F.initcap(F.replace(value, F.lit("_"), F.lit(" ")))
-
-
-def handle(text: Column) -> Column:
-    """A social media handle from a name, an @name or a link, else null."""
-    name = F.regexp_replace(F.regexp_replace(F.trim(text), r"(?i)^(https?://)?(www\.)?instagram\.com/", ""), r"^@|[/?#].*$", "")
-    return F.when(name.rlike(r"^[A-Za-z0-9._]{1,30}$"), F.lower(name))
-
-
-def leading_digits_guard(a: Column, b: Column) -> Column:
-    """Whether two street names hold the same digits in the same order."""
-    return F.regexp_replace(a, r"\D", "") == F.regexp_replace(b, r"\D", "")

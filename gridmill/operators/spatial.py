@@ -4,26 +4,44 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridmill.functions import geo
 
 
-def cell_join(left: DataFrame, right: DataFrame, metres: float, at_left: tuple[str, str], at_right: tuple[str, str], max_lat: float = 60.0) -> DataFrame:
+def columns_of(band: Column, tall: float, metres: float) -> Column:
+    """How many cells a band of latitude has around the globe, each as wide as the radius is anywhere near it."""
+    farthest = F.least(F.lit(90.0), F.greatest(F.abs(band - 1), F.abs(band + 2)) * tall)
+    half = math.sin(min(math.pi / 2, metres / geo.EARTH_M / 2)) / F.greatest(F.cos(F.radians(farthest)), F.lit(1e-12))
+    width = F.when(half >= 1, 360.0).otherwise(1.001 * F.degrees(2 * F.asin(F.least(half, F.lit(1.0)))))
+    return F.greatest(F.lit(1), F.floor(360 / width))
+
+
+def column_of(lng: Column, columns: Column) -> Column:
+    return F.least(columns - 1, F.floor(F.pmod(lng + 180, F.lit(360.0)) / 360 * columns))
+
+
+def cell_join(left: DataFrame, right: DataFrame, metres: float, at_left: tuple[str, str], at_right: tuple[str, str]) -> DataFrame:
     """All pairs within ``metres``, with their distance ``dist_m``; columns of both sides must differ.
 
-    Cells are as wide as the radius at ``max_lat``, so a pair lies in neighbouring cells up to there:
-    each left row goes to its nine cells and an equi-join on the cell does the rest. No row meets rows
-    beyond its neighbourhood, and AQE splits crowded cells.
+    Bands of latitude are as tall as the radius, and each has as many cells as its own latitude allows,
+    the last one beside the first across the date line. A left row goes to three cells of three bands and
+    an equi-join on the cell does the rest, so no row meets rows beyond its neighbourhood, and AQE
+    splits crowded cells.
     """
     tall = 1.02 * metres / geo.DEGREE_M
-    wide = tall / math.cos(math.radians(max_lat))
     (lat1, lng1), (lat2, lng2) = at_left, at_right
-    near = F.array(*[F.struct((geo.cell(F.col(lat1), tall) + dy).alias("y"), (geo.cell(F.col(lng1), wide) + dx).alias("x")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)])
-    spread = left.where(F.col(lat1).isNotNull() & F.col(lng1).isNotNull()).withColumn("_cell", F.explode(near))
-    keyed = right.withColumn("_y", geo.cell(F.col(lat2), tall)).withColumn("_x", geo.cell(F.col(lng2), wide))
+
+    def near(dy: int) -> Column:
+        band = geo.cell(F.col(lat1), tall) + dy
+        n = columns_of(band, tall, metres)
+        x = column_of(F.col(lng1), n)
+        return F.transform(F.array_distinct(F.array(*[F.pmod(x + dx, n) for dx in (-1, 0, 1)])), lambda c: F.struct(band.alias("y"), c.alias("x")))
+
+    spread = left.where(F.col(lat1).isNotNull() & F.col(lng1).isNotNull()).withColumn("_cell", F.explode(F.concat(*map(near, (-1, 0, 1)))))
+    band = geo.cell(F.col(lat2), tall)
+    keyed = right.withColumn("_y", band).withColumn("_x", column_of(F.col(lng2), columns_of(band, tall, metres)))
     pairs = spread.join(keyed, (F.col("_cell.y") == F.col("_y")) & (F.col("_cell.x") == F.col("_x")))
     return pairs.drop("_cell", "_y", "_x").withColumn("dist_m", geo.haversine(F.col(lat1), F.col(lng1), F.col(lat2), F.col(lng2))).where(F.col("dist_m") <= metres)
 
@@ -35,33 +53,17 @@ def nearest(left: DataFrame, right: DataFrame, metres: float, at_left: tuple[str
     return pairs.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k)
 
 
-def collapse_near(hits: DataFrame, metres: float = 150.0) -> DataFrame:
-    """Drops a hit within ``metres`` of a better hit that was kept and has the same ``norm_name``.
+def collapse_near(hits: DataFrame, metres: float = 150.0, page: str = "page") -> DataFrame:
+    """Drops the hits of a page that have the name of a better hit that stays, within ``metres`` of it.
 
-    Needs the columns pos (order of the list), norm_name, lat, lng and score; hits without a name or
-    place stay. One name's hits of one result list are walked in order, as the rule asks for; lists
-    are bounded by the page size.
+    Needs the columns page, pos (unique within the page), norm_name, lat, lng and score. The hits of one
+    name and page are taken best first, equal ones by pos; a null score counts as 0. Hits without a
+    name or place stay. A page has some hundred hits at most, so a name's list is short.
     """
-
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, kept = rows.sort_values("pos"), []
-        absorbed: set[int] = set()
-        at = list(rows.itertuples())
-        for i, row in enumerate(at):
-            if i in absorbed:
-                continue
-            cluster = [i] + [j for j in range(i + 1, len(at)) if j not in absorbed and distance(row, at[j]) <= metres]
-            best = max(cluster, key=lambda j: (at[j].score or 0.0, -j))
-            kept.append(best)
-            absorbed |= set(cluster) - {best}
-        return rows.iloc[sorted(set(kept))]
-
-    named = hits.where((F.coalesce(F.col("norm_name"), F.lit("")) != "") & F.col("lat").isNotNull() & F.col("lng").isNotNull())
-    others = hits.where(~((F.coalesce(F.col("norm_name"), F.lit("")) != "") & F.col("lat").isNotNull() & F.col("lng").isNotNull()))
-    return named.groupBy("norm_name").applyInPandas(walk, hits.schema).unionByName(others)
-
-
-def distance(a, b) -> float:
-    p, q = math.radians(a.lat), math.radians(b.lat)
-    h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(b.lng - a.lng) / 2) ** 2
-    return 2 * geo.EARTH_M * math.asin(min(1.0, math.sqrt(h)))
+    named = (F.coalesce(F.col("norm_name"), F.lit("")) != "") & F.col("lat").isNotNull() & F.col("lng").isNotNull()
+    hit = F.struct((-F.coalesce(F.col("score"), F.lit(0.0))).alias("order"), "pos", "lat", "lng")
+    lists = hits.where(named).groupBy(page, "norm_name").agg(F.array_sort(F.collect_list(hit)).alias("list"))
+    far = lambda kept, h: ~F.exists(kept, lambda k: geo.haversine(k["lat"], k["lng"], h["lat"], h["lng"]) <= metres)
+    kept = F.aggregate("list", F.slice("list", 1, 0), lambda so_far, h: F.when(far(so_far, h), F.array_append(so_far, h)).otherwise(so_far))
+    stay = lists.select(page, F.explode(F.transform(kept, lambda h: h["pos"])).alias("pos"))
+    return hits.where(named).join(stay, [page, "pos"], "left_semi").unionByName(hits.where(~named))

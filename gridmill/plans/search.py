@@ -7,13 +7,15 @@ the fused score. Only keys pass through the pools, so vectors are not dragged th
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridmill.functions import geo
 from gridmill.functions import ranking as R
 from gridmill.functions import text as T
-from gridmill.operators import fusion
+from gridmill.operators import fusion, spatial
 from gridmill.operators.keyed import best_per_key
 from gridmill.sources.tables import stored
 
@@ -21,11 +23,11 @@ LEX_FLOOR, FUZZY_FLOOR, VECTOR_WEIGHT, LEG_FAME = 0.3, 0.2, 0.7, 0.15
 FAMOUS, FAMOUS_KEPT = 1000, 40
 
 
-def leg(corpus: DataFrame, query: Column, vector: DataFrame, limit: int, floor: float = LEX_FLOOR, guard: str | None = None) -> DataFrame:
+def leg(corpus: DataFrame, query: Column, vector: DataFrame, limit: int, floor: float = LEX_FLOOR, guard: str | None = None, fame: Column | float = LEG_FAME) -> DataFrame:
     """(id, cos, lex, fame, score) of the best ``limit`` rows of a corpus (id, name, embedding, fame).
 
     ``vector`` is a table of one row with the column ``q``; ``guard`` asks for a whole word of it in
-    lexical matches. Equal scores are ordered by id.
+    lexical matches; ``fame`` is the weight of the rows' fame. Equal scores are ordered by id.
     """
     pool = fusion.pool_size(limit)
     names = corpus.select("name").distinct()  # similar names repeat, so each is compared once
@@ -43,7 +45,7 @@ def leg(corpus: DataFrame, query: Column, vector: DataFrame, limit: int, floor:
     ]
     lex = F.greatest("word", "tri")
     found = rows.join(fusion.union_pools(pools, "id"), "id")
-    scored = found.select("id", "cos", lex.alias("lex"), "fame", (VECTOR_WEIGHT * F.col("cos") + (1 - VECTOR_WEIGHT) * lex + LEG_FAME * F.coalesce("fame", F.lit(0.0))).alias("score"))
+    scored = found.select("id", "cos", lex.alias("lex"), "fame", (VECTOR_WEIGHT * F.col("cos") + (1 - VECTOR_WEIGHT) * lex + F.lit(fame) * F.coalesce("fame", F.lit(0.0))).alias("score"))
     return fusion.top(scored, limit, F.round("score", 9), "id")
 
 
@@ -69,6 +71,59 @@ def unified(legs: dict[str, DataFrame], intent: str, limit: int) -> DataFrame:
     return floored.orderBy(F.desc("score"), "nth", "rank").limit(limit).select("corpus", "key", "score")
 
 
+def understood(spark: SparkSession, query: str) -> Row:
+    """(intent, noun, styles) of one search; Spark works them out while planning, without a job."""
+    asked = F.lit(query)
+    told = spark.sql("SELECT 1 AS one").select(R.intent(asked).alias("intent"), R.poi_noun(asked).alias("noun")).first()
+    noun = told.noun if told.intent == "poi" else None
+    styles = spark.sql("SELECT 1 AS one").select(R.style_tokens(asked, F.lit(noun)).alias("styles")).first().styles
+    return Row(intent=told.intent, noun=noun, styles=styles)
+
+
+def within(corpus: DataFrame, intent: str, lat: float, lng: float, metres: float) -> DataFrame:
+    """``corpus`` (lat, lng, ...) with ``dist_m``; a radius cuts for hard intents alone, for others it is a signal."""
+    placed = corpus.withColumn("dist_m", distance_from(lat, lng))
+    return placed.where(F.col("dist_m") <= metres) if intent in R.HARD_RADIUS else placed
+
+
+def page(legs: dict[str, DataFrame], query: str, asked: Row, limit: int) -> DataFrame:
+    """(corpus, key, name, score, why) of the page that answers ``query`` from several legs, best first.
+
+    A leg has id, name, score, style, category, labels, architect, snippet, year, lat, lng, dist_m, fame,
+    dot and novel, and some hundred rows at most. For a place noun, what category, style and name say of a
+    venue counts twice: in the venue's own score, which its rank follows, and again in the fused one. All
+    terms are added, scores are rounded to five places, near-identical hits of one name fall together,
+    and the relevance floor and the limit cut. Equal scores are ordered by corpus, then rank.
+    """
+    query, intent, noun = F.lit(query), F.lit(asked.intent), F.lit(asked.noun).cast("string")
+    order = F.create_map(*[F.lit(x) for i, c in enumerate(R.CORPORA) for x in (c, i)])
+    styles = F.array(*map(F.lit, asked.styles)).cast("array<string>")
+    fits = R.poi_category(F.col("category"), noun, F.col("labels")) + R.venue_style(styles, F.col("style"), F.col("year")) + R.style_decoy(query, F.col("name"), F.col("category"), noun)
+    rows, ranked = [], []
+    for corpus, df in legs.items():
+        poi = fits if corpus == "venues" and asked.noun else F.lit(0.0)
+        told = df.withColumn("poi", F.round(poi, 9)).withColumn("score", F.round(F.col("score") + F.col("poi"), 9))
+        ranked.append(fusion.ranked(told, corpus, "id", "score"))
+        rows.append(told.withColumns({"corpus": F.lit(corpus), "key": F.col("id").cast("string")}).drop("id", "score"))
+    hits = fusion.fuse(ranked, R.corpus_weight(intent, F.col("corpus"))).join(reduce(DataFrame.unionByName, rows), ["corpus", "key"])
+    score = R.nudged(F.col("fused") * R.SCALE, F.col("dot"), F.col("dist_m"), F.col("novel"))
+    score += F.coalesce(R.soft_radius(intent, F.col("dist_m")), F.lit(0.0)) + R.fame_boost(intent, F.col("fame"))
+    if asked.intent == "name":
+        score += R.exact_name(query, F.col("name"))
+    if asked.intent == "architect":
+        score += R.architect_match(query, F.col("architect"))
+    if asked.intent in ("name", "address"):
+        score += F.when(F.col("corpus") == "buildings", R.house_number(query, F.col("name"), F.col("snippet"))).otherwise(0.0)
+    score += F.col("poi") + R.coverage(intent, query, F.col("name"), F.col("snippet"), F.col("category"), F.col("style")) + R.hedged_style(styles, F.col("style"))
+    field = R.matched_field(query, F.col("name"), F.col("style"), F.col("architect"), F.col("category"))
+    why = R.why(field, F.col("year"), F.col("style"), F.col("category"), F.col("snippet"))
+    scored = hits.select("corpus", "key", "name", "lat", "lng", "rank", F.round(score, 5).alias("score"), why.alias("why"), order[F.col("corpus")].alias("nth"), F.lit(1).alias("page"), T.normal_name(F.col("name")).alias("norm_name"))
+    best = (F.desc("score"), F.asc("nth"), F.asc("rank"))
+    placed = scored.withColumn("pos", F.row_number().over(Window.partitionBy("page").orderBy(*best)))
+    floored = fusion.relevance_floor(spatial.collapse_near(placed), list(best), "page")
+    return floored.orderBy(*best).limit(limit).select("corpus", "key", "name", "score", "why")
+
+
 def header(hits: DataFrame) -> DataFrame:
     """One line about a page of hits (type, style, year): count, majority style, most common type, years."""
     total = hits.agg(F.count(F.lit(1)).alias("n"), F.min("year").alias("low"), F.max("year").alias("high"))

@@ -39,19 +39,10 @@ def reliability(spark: SparkSession, d: str) -> DataFrame:
     return told.select("contribution", "verified", "disputed", F.round(score, 4).alias("reliability"), F.round(faded, 4).alias("decay"), F.round(score * faded, 4).alias("effective"), C.status(score).alias("status"))
 
 
-def judged(votes_: DataFrame) -> DataFrame:
-    told = votes_.groupBy("contribution").agg(F.count_if(F.col("kind") == "verified").alias("votes_for"), F.count_if(F.col("kind") == "disputed").alias("votes_against"))
-    return told.withColumn("accepted", C.accepted(F.col("votes_for"), F.col("votes_against")))
-
-
 def edit_votes(spark: SparkSession, d: str) -> DataFrame:
     """Edits that enough voters accept."""
-    return judged(votes(spark, d).where("contribution < 40"))
-
-
-def edit_votes_whole(spark: SparkSession, d: str) -> DataFrame:
-    """The same for the edits of every contribution."""
-    return judged(votes(spark, d))
+    told = votes(spark, d).groupBy("contribution").agg(F.count_if(F.col("kind") == "verified").alias("votes_for"), F.count_if(F.col("kind") == "disputed").alias("votes_against"))
+    return told.withColumn("accepted", C.accepted(F.col("votes_for"), F.col("votes_against")))
 
 
 def milestones(spark: SparkSession, d: str) -> DataFrame:
@@ -136,7 +127,7 @@ def prefer_known(spark: SparkSession, d: str) -> DataFrame:
     return raw.select("c_custkey", T.first_filled(F.col("a"), F.col("b")).alias("first"), T.known(F.col("b"), "attribution").alias("known"), T.canonical_key(F.col("a")).alias("key"), T.lot_key(F.lit(1), F.col("c_custkey"), F.col("c_custkey") % 100).alias("lot"), F.round(T.number(F.col("money")), 2).alias("money"), T.number(F.lit("12.0"), "int").alias("twelve"))
 
 
-QUERIES = {f.__name__: f for f in (contributions, last_votes, reliability, edit_votes, edit_votes_whole, milestones, unique_stamps, latest_verifications, upserted, merged, replaced, query_log, integrity, shared_text, prefer_known)}
+QUERIES = {f.__name__: f for f in (contributions, last_votes, reliability, edit_votes, milestones, unique_stamps, latest_verifications, upserted, merged, replaced, query_log, integrity, shared_text, prefer_known)}
 
 VOTES = "votes AS (SELECT event_id % 211 AS contribution, user_id AS \"user\", CASE WHEN event_type IN ('view', 'signup', 'purchase') THEN 'verified' ELSE 'disputed' END AS kind, ts, event_id FROM events WHERE event_id % 211 % 50 <> user_id)"
 LAST = VOTES + ", lastv AS (SELECT * FROM votes QUALIFY row_number() OVER (PARTITION BY contribution, \"user\" ORDER BY ts DESC, event_id DESC) = 1)"
@@ -153,8 +144,7 @@ ORACLE = {
         floor((epoch(TIMESTAMP '2024-06-01 00:00:00') - floor(epoch(coalesce(l - to_days((contribution % 200)::INT), created - to_days((contribution % 300)::INT))))) / 86400) AS days FROM t),
         u AS (SELECT *, CASE WHEN days < 90 THEN 1.0 ELSE greatest(0.5, 1 - (days - 90) / 365.0 * 0.5) END AS f FROM s)
         SELECT contribution, verified, disputed, round(r, 4) AS reliability, round(f, 4) AS decay, round(r * f, 4) AS effective, CASE WHEN r >= 0.9 THEN 'highly_verified' WHEN r >= 0.7 THEN 'verified' WHEN r >= 0.5 THEN 'partially_verified' ELSE 'unverified' END AS status FROM u""",
-    "edit_votes": f"WITH {VOTES} SELECT contribution, count(*) FILTER (kind = 'verified') AS votes_for, count(*) FILTER (kind = 'disputed') AS votes_against, count(*) FILTER (kind = 'verified') >= 3 AND count(*) FILTER (kind = 'verified') >= 2 * count(*) FILTER (kind = 'disputed') AS accepted FROM votes WHERE contribution < 40 GROUP BY 1",
-    "edit_votes_whole": f"WITH {VOTES} SELECT contribution, count(*) FILTER (kind = 'verified') AS votes_for, count(*) FILTER (kind = 'disputed') AS votes_against, count(*) FILTER (kind = 'verified') >= 3 AND count(*) FILTER (kind = 'verified') >= 2 * count(*) FILTER (kind = 'disputed') AS accepted FROM votes GROUP BY 1",
+    "edit_votes": f"WITH {VOTES} SELECT contribution, count(*) FILTER (kind = 'verified') AS votes_for, count(*) FILTER (kind = 'disputed') AS votes_against, count(*) FILTER (kind = 'verified') >= 3 AND count(*) FILTER (kind = 'verified') >= 2 * count(*) FILTER (kind = 'disputed') AS accepted FROM votes GROUP BY 1",
     "milestones": "SELECT user_id, CASE n WHEN 10 THEN 'master_validator' ELSE 'database_legend' END AS title, CASE n WHEN 10 THEN 50 ELSE 100 END AS xp, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE event_type = 'purchase') WHERE n IN (10, 25)",
     "unique_stamps": "SELECT user_id, event_type AS type, count(DISTINCT CASE WHEN event_id % 4 <> 0 THEN event_id % 50 END) + count(*) FILTER (event_id % 4 = 0) AS stamps FROM events GROUP BY 1, 2",
     "latest_verifications": f'WITH {VOTES} SELECT "user", nth::INT AS nth, event_id, kind FROM (SELECT *, row_number() OVER (PARTITION BY "user" ORDER BY ts DESC, event_id DESC) AS nth FROM votes) WHERE nth <= 5',

@@ -126,7 +126,7 @@ def names_collapsed(spark: SparkSession, d: str) -> DataFrame:
     """A page of 300 hits without near-identical ones: same name within 150 m of a better hit."""
     w = Window.orderBy(F.desc("p_retailprice"), "p_partkey")
     page = load(spark, d, "part").orderBy(F.desc("p_retailprice"), "p_partkey").limit(300)
-    hits = page.select("p_partkey", F.row_number().over(w).alias("pos"), T.normal_name(F.col("p_type")).alias("norm_name"), (F.lit(40.7) + (F.col("p_partkey") % 13) / 2000).alias("lat"), (F.lit(-74.0) + (F.col("p_partkey") % 7) / 2000).alias("lng"), F.col("p_retailprice").alias("score"))
+    hits = page.select("p_partkey", F.row_number().over(w).alias("pos"), T.normal_name(F.col("p_type")).alias("norm_name"), (F.lit(40.7) + (F.col("p_partkey") % 13) / 2000).alias("lat"), (F.lit(-74.0) + (F.col("p_partkey") % 7) / 2000).alias("lng"), F.col("p_retailprice").alias("score"), F.lit(1).alias("page"))
     return spatial.collapse_near(hits).select("p_partkey", "pos")
 
 

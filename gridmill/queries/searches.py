@@ -18,10 +18,10 @@ AT_LAT, AT_LNG = 40.6, -74.0
 
 def corpus(spark: SparkSession, d: str, name: str, key: str, said: str, fame: str, shift: int = 0) -> DataFrame:
     """(id, name, embedding, fame): a table's rows with the vectors of ``embeddings``, in turn."""
-    vectors = load(spark, d, "embeddings").where("vec_id < 500").select(F.col("vec_id").alias("v"), "embedding")
-    rows = load(spark, d, name)
+    vectors = load(spark, d, "embeddings").select(F.col("vec_id").alias("v"), "embedding")
+    rows, n = load(spark, d, name), vectors.count()
     most = rows.agg(F.max(fame).alias("most"))
-    return rows.select(F.col(key).alias("id"), F.col(said).alias("name"), F.col(fame).alias("f"), ((F.col(key) + shift) % 500).alias("v")).join(vectors, "v").crossJoin(F.broadcast(most)).select("id", "name", "embedding", (F.col("f") / F.col("most")).alias("fame"))
+    return rows.select(F.col(key).alias("id"), F.col(said).alias("name"), F.col(fame).alias("f"), ((F.col(key) + shift) % n).alias("v")).join(vectors, "v").crossJoin(F.broadcast(most)).select("id", "name", "embedding", (F.col("f") / F.col("most")).alias("fame"))
 
 
 def query_vector(spark: SparkSession, d: str, vec_id: int = 0) -> DataFrame:
@@ -64,8 +64,8 @@ def lexical_matches(spark: SparkSession, d: str) -> DataFrame:
 
 def legs(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     out = {}
-    for name, table, key, fame, shift in (("buildings", "part", "p_partkey", "p_retailprice", 0), ("venues", "supplier", "s_suppkey", "s_acctbal", 111), ("layers", "customer", "c_custkey", "c_acctbal", 222)):
-        rows = load(spark, d, table).select(F.col(key).alias("id"), (F.col(fame) * 7 % 1).alias("score"), lat(key).alias("lat"), lng(key).alias("lng"), F.when(F.col(key) % 3 == 0, (F.col(key) % 10) / 10.0).alias("fame"))
+    for name, table, key, shift in (("buildings", "part", "p_partkey", 0), ("venues", "supplier", "s_suppkey", 111), ("layers", "customer", "c_custkey", 222)):
+        rows = load(spark, d, table).select(F.col(key).alias("id"), lat(key).alias("lat"), lng(key).alias("lng"), F.when(F.col(key) % 3 == 0, (F.col(key) % 10) / 10.0).alias("fame"))
         rows = rows.withColumn("score", F.round((F.col("id") * 7919 + shift) % 10007 / 10007.0, 9))
         best = fusion.top(rows, 40, F.col("score"), "id")
         out[name] = best.select("id", "score", "fame", search.distance_from(AT_LAT, AT_LNG).alias("dist_m"), F.when(F.col("id") % 2 == 0, (F.col("id") % 5) / 5.0).alias("dot"), (F.col("id") % 4 == 0).alias("novel"))
@@ -175,7 +175,7 @@ def leg_sql(corpus_: str, nth: int, table: str, key: str, shift: int) -> str:
 
 ORACLE = {
     "search_fused": f"""WITH {SIMS}, qv AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0),
-        r AS (SELECT p_partkey AS id, round(list_cosine_similarity(e.embedding::DOUBLE[], qv.q::DOUBLE[]), 9) AS cos, p_retailprice / (SELECT max(p_retailprice) FROM part) AS fame, word, tri FROM part JOIN embeddings e ON e.vec_id = p_partkey % 500 AND e.vec_id < 500 JOIN sims USING (p_name), qv),
+        r AS (SELECT p_partkey AS id, round(list_cosine_similarity(e.embedding::DOUBLE[], qv.q::DOUBLE[]), 9) AS cos, p_retailprice / (SELECT max(p_retailprice) FROM part) AS fame, word, tri FROM part JOIN embeddings e ON e.vec_id = p_partkey % (SELECT count(*) FROM embeddings) JOIN sims USING (p_name), qv),
         ids AS ((SELECT id FROM r ORDER BY cos DESC, id LIMIT 80) UNION (SELECT id FROM r WHERE word > 0.3 ORDER BY word DESC, id LIMIT 80) UNION (SELECT id FROM r WHERE tri > 0.2 ORDER BY tri DESC, id LIMIT 80) UNION (SELECT id FROM (SELECT * FROM r ORDER BY fame DESC, id LIMIT 1000) ORDER BY cos DESC, id LIMIT 40)),
         s AS (SELECT id, cos, greatest(word, tri) AS lex, 0.7 * cos + 0.3 * greatest(word, tri) + 0.15 * coalesce(fame, 0) AS score FROM r JOIN ids USING (id) ORDER BY round(score, 9) DESC, id LIMIT 20)
         SELECT id, round(cos, 4) AS cos, round(lex, 4) AS lex, round(score, 4) AS score FROM s""",

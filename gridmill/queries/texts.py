@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,8 +28,8 @@ def page_identity(spark: SparkSession, d: str) -> DataFrame:
 
 
 def char_chunks(spark: SparkSession, d: str) -> DataFrame:
-    """STR19: overlapping chunks of 1,500 characters that end at a break in their second half."""
-    docs = load(spark, d, "documents").select("doc_id", "text")
+    """STR19: overlapping chunks of 1,500 characters of cleaned texts that end at a break in their second half."""
+    docs = load(spark, d, "documents").select("doc_id", T.clean_report(F.col("text")).alias("text"))
     return chunking.chunks(docs, "doc_id", "text", chunking.by_characters).select("doc_id", "nth", F.length("chunk").alias("chars"), F.md5("chunk").alias("hash"))
 
 
@@ -45,10 +47,13 @@ def word_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 def source_budget(spark: SparkSession, d: str) -> DataFrame:
     """STR18: texts of each source in order while 7,000 characters last; a rest under 200 is not used."""
-    w = Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    rows = load(spark, d, "documents").select("source", "doc_id", F.length("text").alias("chars"))
-    left = 7000 - F.coalesce(F.sum("chars").over(w), F.lit(0))
-    return rows.withColumn("left", left).where((F.col("left") >= F.col("chars")) | (F.col("left") >= 200)).select("source", "doc_id", F.least("chars", "left").alias("used"))
+    rows = load(spark, d, "documents").select("source", "doc_id", F.length("text").alias("chars"), F.floor(F.col("doc_id") / 1024).alias("run"))
+    # Runs of ids are summed first, so only the few runs in which a source's budget ends are put in order.
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy("source", "run").agg(F.sum("chars").alias("all"))
+    ahead = totals.select("source", "run", F.coalesce(F.sum("all").over(before.partitionBy("source").orderBy("run")), F.lit(0)).alias("ahead")).where("ahead <= 7000")
+    left = 7000 - F.col("ahead") - F.coalesce(F.sum("chars").over(before.partitionBy("source", "run").orderBy("doc_id")), F.lit(0))
+    return rows.join(ahead, ["source", "run"]).withColumn("left", left).where((F.col("left") >= F.col("chars")) | (F.col("left") >= 200)).select("source", "doc_id", F.least("chars", "left").alias("used"))
 
 
 def sentences_trimmed(spark: SparkSession, d: str) -> DataFrame:
@@ -64,10 +69,13 @@ def quality_filter(spark: SparkSession, d: str) -> DataFrame:
     return prose.where(F.length("prose").between(100, 800) & ~F.col("prose").rlike("(?i)copyright|licen[cs]e")).select("doc_id", F.length("prose").alias("chars"))
 
 
+NAMED = [("part", "p_partkey", "p_name", "p_brand", "p_type"), ("supplier", "s_suppkey", "s_name"), ("customer", "c_custkey", "c_name", "c_mktsegment")]
+
+
 def names(spark: SparkSession, d: str) -> DataFrame:
-    """STR1, STR2: tokens and normal names of the first lines of texts."""
-    line = F.substring(F.col("text"), 1, 80)
-    return load(spark, d, "documents").select("doc_id", F.array_join(T.tokens(line), " ").alias("tokens"), T.normal_name(line).alias("name"))
+    """STR1, STR2: tokens and normal names of every part, supplier and customer."""
+    said = [load(spark, d, t).select(F.lit(t).alias("kind"), F.col(k).alias("key"), F.concat_ws("  ", *own).alias("said")) for t, k, *own in NAMED]
+    return reduce(DataFrame.unionByName, said).select("kind", "key", F.array_join(T.tokens(F.col("said")), " ").alias("tokens"), T.normal_name(F.col("said")).alias("name"))
 
 
 def names_whole(spark: SparkSession, d: str) -> DataFrame:
@@ -144,6 +152,24 @@ for tag in ("script", "style", "noscript", "svg", "nav", "header", "footer", "fo
 FLAT = unescaped(rf"regexp_replace(regexp_replace(regexp_replace({STRIPPED}, '</(p|div|li|h[1-6]|tr|section|article)>', chr(10), 'gi'), '<br\s*/?>', chr(10), 'gi'), '<[^>]+>', ' ', 'g')")
 FLAT = rf"regexp_replace(regexp_replace(regexp_replace({FLAT}, '[ \t\r\f\x0B]+', ' ', 'g'), '\n\s*\n\s*\n+', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"
 
+def rfind(text: str, mark: str) -> str:
+    """Where a mark stands last, from 0, or -1."""
+    return f"CASE WHEN contains({text}, {mark}) THEN length({text}) - instr(reverse({text}), reverse({mark})) - length({mark}) + 1 ELSE -1 END"
+
+
+def chunks_sql(text: str, size: int, overlap: int, marks: list[tuple[str, int, int]], to_the_end: bool, keep: str) -> str:
+    """Chunks by recursion from each start to the next; marks are (mark, its length, characters kept)."""
+    breaks = " ".join(f"WHEN p{i} > {size} / 2 THEN a + p{i} + {kept}" for i, (_, _, kept) in enumerate(marks))
+    found = ", ".join(f"{rfind(f'substr(t, a + 1, {size})', mark)} AS p{i}" for i, (mark, _, _) in enumerate(marks))
+    stop = lambda source: f"SELECT *, CASE WHEN a + {size} >= n THEN a + {size} {breaks} ELSE a + {size} END AS b FROM (SELECT *, {found} FROM ({source}))"
+    names = "doc_id, t, n, a"
+    on = "c.b < c.n" if to_the_end else f"greatest(c.b - {overlap}, c.a + 1) < c.n"
+    return rf"""WITH RECURSIVE d AS (SELECT doc_id, {text} AS t, length({text})::BIGINT AS n FROM documents WHERE length({text}) > 0),
+        c AS (SELECT {names}, b FROM ({stop('SELECT doc_id, t, n, 0::BIGINT AS a FROM d')}) UNION ALL SELECT {names}, b FROM ({stop(f'SELECT c.doc_id, c.t, c.n, greatest(c.b - {overlap}, c.a + 1) AS a FROM c WHERE {on}')})),
+        k AS (SELECT doc_id, a, regexp_replace(substr(t, a + 1, b - a), '^\s+|\s+$', '', 'g') AS chunk FROM c)
+        SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY a) - 1)::INT AS nth, length(chunk)::INT AS chars, md5(chunk) AS hash FROM k WHERE {keep}"""
+
+
 ORACLE = {
     "page_text": rf"SELECT page_id, length(t)::INT AS chars, md5(t) AS hash FROM (SELECT page_id, {FLAT} AS t FROM pages WHERE NOT regexp_matches(url, '(?i)\.pdf$|instagram\.com|youtube\.com') AND strlen(html) <= 2000000) WHERE length(t) >= 400",
     "page_identity": r"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(lower(trim(url)), '/+$', ''), '[#?].*$', '') AS p FROM pages), b AS (SELECT page_id, regexp_replace(p, '^.*?://', '') AS r FROM a),
@@ -151,7 +177,19 @@ ORACLE = {
         SELECT min(page_id) AS page_id, key FROM (SELECT page_id, host || '/' || CASE WHEN length(l) >= 4 THEN l ELSE path END AS key FROM e) GROUP BY key""",
     "source_budget": "WITH s AS (SELECT source, doc_id, length(text) AS chars, 7000 - coalesce(sum(length(text)) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest FROM documents) SELECT source, doc_id, least(chars, rest)::BIGINT AS used FROM s WHERE rest >= chars OR rest >= 200",
     "quality_filter": "WITH p AS (SELECT doc_id, left(text, (least(CASE WHEN instr(lower(text), 'sources:') > 0 THEN instr(lower(text), 'sources:') ELSE length(text) + 1 END, CASE WHEN instr(lower(text), 'facts:') > 0 THEN instr(lower(text), 'facts:') ELSE length(text) + 1 END) - 1)::BIGINT) AS t FROM documents) SELECT doc_id, length(t)::INT AS chars FROM p WHERE length(t) BETWEEN 100 AND 800 AND NOT regexp_matches(t, '(?i)copyright|licen[cs]e')",
-    "names": r"SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(lower(left(text, 80)), '[^\p{L}\p{M}\p{N}_''-]+'), lambda x: x <> ''), ' ') AS tokens, regexp_replace(regexp_replace(lower(trim(left(text, 80))), '[^\p{L}\p{M}\p{N}_\s]', '', 'g'), '\s+', ' ', 'g') AS name FROM documents",
+    "names": " UNION ALL ".join(rf"SELECT '{t}' AS kind, key, array_to_string(list_filter(regexp_split_to_array(lower(said), '[^\p{{L}}\p{{M}}\p{{N}}_''-]+'), lambda x: x <> ''), ' ') AS tokens, regexp_replace(regexp_replace(lower(trim(said)), '[^\p{{L}}\p{{M}}\p{{N}}_\s]', '', 'g'), '\s+', ' ', 'g') AS name FROM (SELECT {k} AS key, {" || '  ' || ".join(own)} AS said FROM {t})" for t, k, *own in NAMED),
+    "char_chunks": chunks_sql(r"regexp_replace(regexp_replace(regexp_replace(replace(text, chr(13), chr(10)), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')", 1500, 150, [("chr(10) || chr(10)", 2, 2), ("chr(10)", 1, 1), ("'. '", 2, 2)], True, "length(chunk) >= 80"),
+    "page_chunks": chunks_sql("text", 2000, 200, [("'. '", 2, 1)], False, "length(chunk) > 100"),
+    "word_chunks": r"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents),
+        n AS (SELECT doc_id, list(total ORDER BY i) AS cum FROM (SELECT doc_id, i, sum(length(w[i]) + 1) OVER (PARTITION BY doc_id ORDER BY i) AS total FROM w, unnest(range(1, len(w) + 1)) AS u(i)) GROUP BY doc_id),
+        c AS (SELECT doc_id, 0 AS nth, 0::BIGINT AS a, greatest(1, len(list_filter(cum, lambda x: x <= 1500)))::BIGINT AS b FROM n
+          UNION ALL SELECT c.doc_id, nth + 1, c.b, greatest(c.b + 1, len(list_filter(cum, lambda x: x <= cum[c.b] + 1500)))::BIGINT FROM c JOIN n USING (doc_id) WHERE c.b < len(cum)),
+        t AS (SELECT doc_id, nth, array_to_string(w[a + 1 : b], ' ') AS chunk FROM c JOIN w USING (doc_id))
+        SELECT doc_id, nth::INT AS nth, length(chunk)::INT AS chars, md5(chunk) AS hash FROM t""",
+    "sentences_trimmed": rf"""WITH w AS (SELECT doc_id, text, left(text, 1000) AS w FROM documents),
+        p AS (SELECT doc_id, text, w, {", ".join(f"{rfind('w', m)} AS p{i}" for i, m in enumerate(("chr(10) || chr(10)", "'. '", "'.' || chr(10)", "'! '", "'? '", "' '")))} FROM w),
+        c AS (SELECT doc_id, CASE WHEN length(text) <= 1000 THEN text ELSE regexp_replace(left(w, (CASE {" ".join(f"WHEN p{i} > 660 THEN p{i} + 2" for i in range(5))} WHEN p5 > 660 THEN p5 ELSE 1000 END)::BIGINT), '^\s+|\s+$', '', 'g') END AS cut FROM p)
+        SELECT doc_id, length(cut)::INT AS chars, md5(cut) AS hash, length(trim(cut)) >= 120 AND regexp_matches(trim(cut), '[.!?"”’]$') AS complete FROM c""",
     "names_whole": r"SELECT doc_id, len(t) AS n, md5(array_to_string(t, ' ')) AS tokens, md5(regexp_replace(regexp_replace(lower(trim(coalesce(text, ''))), '[^\p{L}\p{M}\p{N}_\s]', '', 'g'), '\s+', ' ', 'g')) AS name FROM (SELECT doc_id, text, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{M}\p{N}_''-]+'), lambda x: x <> '') AS t FROM documents)",
     "addresses": values([(a, b, c, e, f) for a, b, c, e, f in CASES], "address, folded, number, street, numbers"),
     "dates_and_numbers": values(DATES, "said, day, n, number"),

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridmill.queries import analytics, buildings, community, places, reports, searches, texts
+from gridmill.queries import analytics, buildings, community, page, places, reports, rules, searches, texts
 from gridmill.streaming import daily
 
 FLAGSHIP = "search_fused"
-MODULES: list = [searches, analytics, community, places, texts, reports, buildings, daily]
+MODULES: list = [searches, page, rules, analytics, community, places, texts, reports, buildings, daily]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
