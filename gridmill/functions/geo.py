@@ -13,7 +13,7 @@ EARTH_M, DEGREE_M = 6371000.0, 111320.0
 
 def haversine(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lng2 - lng1) / 2), 2)
-    return 2 * EARTH_M * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
+    return 2 * EARTH_M * F.asin(F.when(a > 1, 1.0).otherwise(F.sqrt(a)))  # least() would turn a null into the farthest point
 
 
 def flat_distance(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
@@ -148,3 +148,82 @@ def rings_of_wkt(wkt: Column) -> Column:
         return F.struct(xy[0].cast("double").alias("lng"), xy[1].cast("double").alias("lat"))
 
     return F.transform(rings, lambda r: F.transform(F.split(r, ","), point))
+
+
+# The ellipsoid WGS 84.
+SEMI_MAJOR_M, FLATTENING = 6378137.0, 1 / 298.257223563
+
+
+def spheroid_distance(lat1: Column, lng1: Column, lat2: Column, lng2: Column, rounds: int = 10) -> Column:
+    """Metres of the geodesic on the ellipsoid, by Vincenty's inverse formula; points nearly opposite do not converge."""
+    minor = SEMI_MAJOR_M * (1 - FLATTENING)
+    u1, u2 = (F.atan((1 - FLATTENING) * F.tan(F.radians(p))) for p in (lat1, lat2))
+    s1, c1, s2, c2 = F.sin(u1), F.cos(u1), F.sin(u2), F.cos(u2)
+    apart = F.radians(lng2 - lng1)
+
+    def arc(lam: Column) -> tuple[Column, Column, Column, Column, Column]:
+        """(sine and cosine of the arc, the arc, squared cosine of the azimuth at the equator, cosine of twice the middle)."""
+        sine = F.sqrt(F.pow(c2 * F.sin(lam), 2) + F.pow(c1 * s2 - s1 * c2 * F.cos(lam), 2))
+        cosine = s1 * s2 + c1 * c2 * F.cos(lam)
+        azimuth = F.coalesce(F.try_divide(c1 * c2 * F.sin(lam), sine), F.lit(0.0))
+        flat = 1 - azimuth * azimuth
+        return sine, cosine, F.atan2(sine, cosine), flat, cosine - F.coalesce(F.try_divide(2 * s1 * s2, flat), F.lit(0.0))
+
+    def step(lam: Column, _: Column) -> Column:
+        sine, cosine, sigma, flat, middle = arc(lam)
+        azimuth = F.coalesce(F.try_divide(c1 * c2 * F.sin(lam), sine), F.lit(0.0))
+        c = FLATTENING / 16 * flat * (4 + FLATTENING * (4 - 3 * flat))
+        return apart + (1 - c) * FLATTENING * azimuth * (sigma + c * sine * (middle + c * cosine * (2 * middle * middle - 1)))
+
+    lam = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), apart, step)
+    told = F.transform(F.array(lam), lambda x: F.struct(*[c.alias(n) for c, n in zip(arc(x), ("sine", "cosine", "sigma", "flat", "middle"))]))[0]
+
+    def metres(t: Column) -> Column:
+        u = t["flat"] * (SEMI_MAJOR_M**2 - minor**2) / minor**2
+        a = 1 + u / 16384 * (4096 + u * (-768 + u * (320 - 175 * u)))
+        b = u / 1024 * (256 + u * (-128 + u * (74 - 47 * u)))
+        m, cosine, sine = t["middle"], t["cosine"], t["sine"]
+        bend = b * sine * (m + b / 4 * (cosine * (2 * m * m - 1) - b / 6 * m * (4 * sine * sine - 3) * (4 * m * m - 3)))
+        return minor * a * (t["sigma"] - bend)
+
+    return F.transform(F.array(told), metres)[0]
+
+
+def ground_point(across: Column, down: Column, lat: Column, lng: Column, yaw: Column, pitch: Column, focal: float, size: tuple[int, int], depth: Column, eye: float = 1.6, most: float = 150.0) -> Column:
+    """(lat, lng) of what a pixel, as shares of the picture's width and height, shows; null if that can't be told.
+
+    With a depth the ray ends there. Without one it ends on flat ground below the eye, so it must fall. A
+    positive pitch is tilted up. Beyond ``most`` nothing is told: metres of a given depth, and without one
+    times the ray's length to the picture, as the product has it.
+    """
+    right, below = (across - 0.5) * size[0], (down - 0.5) * size[1]
+    p, y = F.radians(pitch), F.radians(yaw)
+    up, ahead = focal * F.sin(p) - below * F.cos(p), below * F.sin(p) + focal * F.cos(p)
+    east, north = right * F.cos(y) + ahead * F.sin(y), ahead * F.cos(y) - right * F.sin(y)
+    deep = depth / F.sqrt(east * east + north * north + up * up)
+    flat = F.when(up < -1e-3, F.try_divide(F.lit(-eye), up))
+    times = F.when(depth > 0, F.when(depth <= most, deep)).otherwise(F.when(flat.between(0, most), flat))
+    shown = across.between(0, 1) & down.between(0, 1) & times.isNotNull()
+    return F.when(shown, F.struct((lat + F.degrees(times * north / EARTH_M)).alias("lat"), (lng + F.degrees(times * east / (EARTH_M * F.cos(F.radians(lat))))).alias("lng")))
+
+
+def facade_score(ring: Column, lat: Column, lng: Column, left: Column, right: Column) -> Column:
+    """Mean metres between the ends of a facade and of the ring's edge nearest the camera, either way round; infinite without a ring."""
+    middle = lambda e: flat_distance(lat, lng, (e["a"]["lat"] + e["b"]["lat"]) / 2, (e["a"]["lng"] + e["b"]["lng"]) / 2)
+    front = F.array_min(F.transform(edges(ring), lambda e: F.struct(middle(e).alias("far"), e["a"].alias("a"), e["b"].alias("b"))))
+    ends = lambda p, q: (haversine(left["lat"], left["lng"], p["lat"], p["lng"]) + haversine(right["lat"], right["lng"], q["lat"], q["lng"])) / 2
+    return F.coalesce(F.least(ends(front["a"], front["b"]), ends(front["b"], front["a"])), F.lit(float("inf")))
+
+
+def segment_gap(a: Column, b: Column, p: Column, q: Column) -> Column:
+    """Metres between two segments of (lng, lat), 0 where they meet."""
+    apart = F.least(*[segment_distance(x["lat"], x["lng"], y, z) for x, y, z in ((a, p, q), (b, p, q), (p, a, b), (q, a, b))])
+    return F.when(segments_meet(a, b, p, q), 0.0).otherwise(apart)
+
+
+def closest_on_segment(lat: Column, lng: Column, a: Column, b: Column) -> Column:
+    """(lng, lat) of the point of a segment that is nearest to a point, in the plane of degrees."""
+    dx, dy = b["lng"] - a["lng"], b["lat"] - a["lat"]
+    t = F.coalesce(F.try_divide((lng - a["lng"]) * dx + (lat - a["lat"]) * dy, dx * dx + dy * dy), F.lit(0.0))
+    t = F.least(F.lit(1.0), F.greatest(F.lit(0.0), t))
+    return F.struct((a["lng"] + t * dx).alias("lng"), (a["lat"] + t * dy).alias("lat"))

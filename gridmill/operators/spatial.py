@@ -53,6 +53,32 @@ def nearest(left: DataFrame, right: DataFrame, metres: float, at_left: tuple[str
     return pairs.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k)
 
 
+def camera_poses(buildings: DataFrame, streets: DataFrame, metres: float, longest: float) -> DataFrame:
+    """(building, street, lat, lng, heading, facing, gap, off, by) of the place on a street to look at each building from.
+
+    ``buildings`` has building, lat, lng and ring, ``streets`` street, a and b, at most ``longest`` metres
+    apart; only streets within ``metres`` of a building's centre count. Three rows for each building, by
+    what picks the street: ``near`` the distance, ``parallel`` the angle to the longest side plus half a
+    degree for each metre, ``front`` the gap to the outline and then the distance. Ties go to the lower
+    street. One looks from the street's point nearest the centre.
+    """
+    mid = F.struct(((F.col("a.lat") + F.col("b.lat")) / 2).alias("lat"), ((F.col("a.lng") + F.col("b.lng")) / 2).alias("lng"))
+    placed = streets.withColumn("mid", mid).select("street", "a", "b", F.col("mid.lat").alias("mid_lat"), F.col("mid.lng").alias("mid_lng"))
+    near = cell_join(buildings, placed, metres + longest / 2, ("lat", "lng"), ("mid_lat", "mid_lng"))
+    a, b = F.col("a"), F.col("b")
+    off = F.round(geo.segment_distance(F.col("lat"), F.col("lng"), a, b), 2)
+    side, line = geo.longest_edge(F.col("ring"))["azimuth"], geo.bearing(a["lat"], a["lng"], b["lat"], b["lng"])
+    turned = geo.bearing_gap(side, line)
+    gap = F.round(F.array_min(F.transform(geo.edges(F.col("ring")), lambda e: geo.segment_gap(e["a"], e["b"], a, b))), 2)
+    told = near.withColumn("off", off).where(F.col("off") <= metres).withColumn("facing", F.round(F.least(turned, 180 - turned), 2)).withColumn("gap", gap)
+    at = geo.closest_on_segment(F.col("lat"), F.col("lng"), a, b)
+    pose = F.struct("street", at["lat"].alias("lat"), at["lng"].alias("lng"), geo.planar_azimuth(at["lat"], at["lng"], F.col("lat"), F.col("lng")).alias("heading"), "facing", "gap", "off")
+    by = {"near": F.struct(F.col("off").alias("x"), F.lit(0.0).alias("y"), "street"), "parallel": F.struct((F.col("facing") + F.col("off") / 2).alias("x"), F.lit(0.0).alias("y"), "street"), "front": F.struct(F.col("gap").alias("x"), F.col("off").alias("y"), "street")}
+    best = told.groupBy("building").agg(*[F.min_by(pose, order).alias(name) for name, order in by.items()])
+    rows = F.explode(F.array(*[F.struct(F.lit(name).alias("by"), F.col(name).alias("p")) for name in by])).alias("r")
+    return best.select("building", rows).select("building", "r.p.*", "r.by")
+
+
 def collapse_near(hits: DataFrame, metres: float = 150.0, page: str = "page") -> DataFrame:
     """Drops the hits of a page that have the name of a better hit that stays, within ``metres`` of it.
 

@@ -184,5 +184,10 @@ ORACLE = {
         SELECT p_partkey, s_suppkey AS street, off AS off_m FROM o WHERE off <= 300 QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY off, s_suppkey) = 1""",
     "ray_hits": f"""WITH s AS (SELECT *, (lng - 0.004 - {AT_LNG}) / 0.2 AS x1, (lng + 0.004 - {AT_LNG}) / 0.2 AS x2, (lat - 0.004 - {AT_LAT}) / 0.15 AS y1, (lat + 0.004 - {AT_LAT}) / 0.15 AS y2 FROM {at('supplier', 's_suppkey')})
         SELECT s_suppkey, round({FROM}, 1) AS dist_m FROM s WHERE greatest(x1, y1, 0) <= least(x2, y2, 1) AND NOT (0 > greatest(x1, y1) AND 1 < least(x2, y2))""",
+    "names_collapsed": f"""WITH p AS (SELECT * FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 300),
+        h AS (SELECT p_partkey, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey)::INT AS pos, lower(p_type) AS name, 40.7 + (p_partkey % 13) / 2000.0 AS lat, -74.0 + (p_partkey % 7) / 2000.0 AS lng FROM p),
+        g AS (SELECT list_transform(list({{'key': p_partkey, 'pos': pos, 'lat': lat, 'lng': lng}} ORDER BY pos), lambda x: [x]) AS hs FROM h GROUP BY name),
+        k AS (SELECT unnest(list_reduce(hs, lambda a, b: CASE WHEN len(list_filter(a, lambda x: {HAVERSINE.format('x.lat', 'x.lng', 'b[1].lat', 'b[1].lng')} <= 150)) > 0 THEN a ELSE list_concat(a, b) END)) AS s FROM g)
+        SELECT s.key AS p_partkey, s.pos AS pos FROM k""",
     "tiles": f"""SELECT floor(lat / 0.005)::BIGINT || '_' || floor(lng / 0.005)::BIGINT AS cell, '[' || string_agg('{{"id":' || p_partkey || CASE WHEN p_size > 25 THEN ',"h":' || p_size ELSE '' END || '}}', ',' ORDER BY p_partkey) || ']' AS json FROM {at('part', 'p_partkey')} GROUP BY 1""",
 }

@@ -196,6 +196,9 @@ ORACLE = {
         b AS (SELECT bin, chunk, sp, nth, 0 AS tier FROM c UNION ALL SELECT nm, chunk, sp, nth, 1 FROM c WHERE nm NOT IN (SELECT bin FROM c)),
         f AS (SELECT *, min(sp) OVER (PARTITION BY bin) AS best FROM b)
         SELECT bin, place::INT AS at, chunk, tier FROM (SELECT *, row_number() OVER (PARTITION BY bin ORDER BY nth, chunk) AS place FROM f WHERE sp = best) WHERE place <= 5""".replace(" AS at,", ' AS "at",'),
+    "explanations": """WITH m AS (SELECT *, len(list_intersect(['red', 'economy', 'ring'], string_split(lower(p_name), ' '))) AS a, (lower(p_type) = 'economy')::INT AS b FROM part),
+        f AS (SELECT *, CASE WHEN greatest(a, b) = 0 THEN 'semantic' WHEN a >= b THEN 'name' ELSE 'style' END AS field FROM m)
+        SELECT p_partkey, field, lower(p_type) || ', ' || p_size || ', ' || p_brand || ' · matched: ' || field AS why, '1st ' || lower(p_name) AS lexical FROM f""",
     "intents": values(INTENTS, "query, intent, noun"),
     "ranking_rules": "SELECT id::INT AS id, rule, added::DOUBLE AS added FROM (VALUES " + ", ".join(f"({i}, '{r[0]}', {r[6]})" for i, r in enumerate(RULES)) + ") AS t(id, rule, added)",
 }
