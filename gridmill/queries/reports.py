@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridmill.functions import reports as P
+from gridmill.operators import matching
 from gridmill.queries.base import load
 from gridmill.queries.texts import values
 
@@ -68,7 +69,7 @@ def lot_records(spark: SparkSession, d: str) -> DataFrame:
 
 
 def resolved_names(spark: SparkSession, d: str) -> DataFrame:
-    """STR9, STR33, J21, J23-J25: misspelt names folded onto the likest known one with the same digits."""
+    """STR9, STR33: misspelt names folded onto the likest known one with the same digits."""
     known = load(spark, d, "part").select(F.upper("p_name").alias("street")).distinct()
     wrong = known.select(F.concat(F.substring("street", 1, 3), F.lit("X"), F.expr("substring(street, 5)")).alias("name")).distinct()
     return P.resolve_streets(wrong, known)
@@ -91,7 +92,7 @@ def canonical_streets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lore_tiers(spark: SparkSession, d: str) -> DataFrame:
-    """X10, X1, STR15, STR39: the first source that has text, the report's number and lots named in picture ids."""
+    """X10, STR15, STR39: the first source that has text, the report's number and lots named in picture ids."""
     k = F.col("p_partkey")
     sources = [("report", F.when(k % 4 == 0, F.col("p_name"))), ("encyclopedia", F.when(k % 3 == 0, F.col("p_type"))), ("web", F.when(k % 2 == 0, F.col("p_brand")))]
     tier = F.coalesce(*[F.when(text.isNotNull(), name) for name, text in sources], F.lit("fields"))
@@ -99,7 +100,33 @@ def lore_tiers(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "part").select("p_partkey", tier.alias("tier"), F.coalesce(*[t for _, t in sources]).alias("lore"), F.concat(*[F.regexp_extract(picture, r"^dof_(\d)_(\d{5})_(\d{4})$", i) for i in (1, 2, 3)]).alias("bbl"), F.format_string("%05d", F.regexp_extract(F.concat(F.lit("LP-"), k.cast("string")), r"(\d+)", 1).cast("int")).alias("report"))
 
 
-QUERIES = {f.__name__: f for f in (streets, table_addresses, venue_labels, handles, web_queries, lot_records, resolved_names, lore_tiers, number_runs, canonical_streets)}
+ENDINGS = ["Building", "House", "Hall", "Tower"]
+
+
+def known_places(spark: SparkSession, d: str) -> DataFrame:
+    """(id, name, address) of places made of the parts."""
+    k = F.col("p_partkey")
+    ending = F.element_at(F.array(*map(F.lit, ENDINGS)), (k % 4 + 1).cast("int"))
+    return load(spark, d, "part").select(k.alias("id"), F.concat_ws(" ", F.initcap("p_name"), ending, "p_type").alias("name"), F.concat(k.cast("string"), F.lit(" Market Street, New York")).alias("address"))
+
+
+def matched_places(spark: SparkSession, d: str) -> DataFrame:
+    """Titles matched by name, then by likeness among names that share a word, then by address."""
+    k = F.col("id")
+    title = F.when(k % 3 == 0, F.upper("name")).when(k % 3 == 1, F.concat(F.lit("Old "), F.regexp_replace("name", "[aeiou]", "x"))).otherwise(F.concat(k.cast("string"), F.lit(" Market Street House")))
+    known = known_places(spark, d)
+    told = matching.match_titles(known.select(F.col("id").alias("key"), title.alias("title")), known)
+    return told.select("key", "id", "tier", F.round("score", 4).alias("score"))
+
+
+def address_matches(spark: SparkSession, d: str) -> DataFrame:
+    """The ten likest addresses for each misspelt one, of a likeness of 0.9 or more."""
+    known = load(spark, d, "customer").select(F.concat_ws(" ", "c_name", "c_mktsegment", F.lit("street")).alias("text"))
+    asked = load(spark, d, "supplier").select(F.col("s_suppkey").alias("key"), F.concat(F.lit("Custmer#"), F.substring("s_name", 10, 9), F.lit(" MACHINERY  street")).alias("text"))
+    return matching.likest(asked, known).select("key", "text", "nth", F.round("score", 4).alias("score"))
+
+
+QUERIES = {f.__name__: f for f in (matched_places, address_matches, streets, table_addresses, venue_labels, handles, web_queries, lot_records, resolved_names, lore_tiers, number_runs, canonical_streets)}
 ORACLE = {
     "number_runs": values(RUNS, "run, numbers"),
     "canonical_streets": values([(r, s, f) for (r, s, _), f in zip(OCR, FOLDED)], "report, street, canonical"),

@@ -12,12 +12,14 @@ def expected(rows):
         by.setdefault(r[0], []).append(r)
     low = lambda v: (v is not None, v if v is not None else "")
     found = {}
+    for row in by.pop(None, []):
+        by[None, len(by)] = [row]
     for c, turns in by.items():
         turns.sort(key=lambda r: ((r[1] is not None, r[1] or 0), low(r[2]), low(r[3])))
         pairs = [(r[2] or "", r[3] or "") for r in turns]
         learned = "".join(t for role, t in pairs if role == "assistant")
-        found[c] = (len(pairs), hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in pairs).encode()).hexdigest(), len(learned), hashlib.sha256(learned.encode()).hexdigest())
-    return found
+        found.setdefault(c if isinstance(c, int) else None, []).append((len(pairs), hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in pairs).encode()).hexdigest(), len(learned), hashlib.sha256(learned.encode()).hexdigest()))
+    return {c: sorted(f) for c, f in found.items()}
 
 
 def test_digests_are_read_back_exactly(spark):
@@ -27,8 +29,10 @@ def test_digests_are_read_back_exactly(spark):
     rows += [rows[0], (5, None, "assistant", None, "y", 2), (5, 1, "user", "a", "y", 2), (5, 1, "user", "b", "y", 2)]
     rows += [(9, t, "assistant" if t % 2 else "user", f"turn {t}", "z", 3) for t in range(70)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, tree string, node int")
-    got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in chat.digests(df).collect()}
-    assert got == expected(rows)
+    got = {}
+    for r in chat.digests(df).collect():
+        got.setdefault(r.conv_id, []).append((r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256))
+    assert {c: sorted(f) for c, f in got.items()} == expected(rows)
     assert chat.digests(df.where("false")).count() == 0
 
 
@@ -72,3 +76,10 @@ def test_branches_become_conversations_with_exact_masks(spark):
     out = chat.format_trees(df, 2).select("leaf", "place", "formatted", chat.read_back(F.col("formatted")).alias("turns"), chat.learned_text(F.col("formatted"), F.col("loss_spans")).alias("learned")).orderBy("place").collect()
     assert [[(t.role, t.text) for t in r.turns] for r in out] == [[("user", "q<1>"), ("assistant", "go\\od"), ("user", "more")], [("user", "q<1>"), ("assistant", "bad")]]
     assert [r.learned for r in out] == ["go\\od", "bad"]
+
+
+def test_repeated_messages_and_a_null_tree(spark):
+    rows = [("a", 1, None, "user", "q", 0.0), ("a", 2, 1, "assistant", "x", 0.5), ("a", 2, 1, "assistant", "x", 0.5), ("a", 3, 2, "user", "z", 0.5), (None, 1, None, "user", "lone", 0.0), ("a", None, 1, "user", "no node", 0.0)]
+    df = spark.createDataFrame(rows, "tree string, node long, parent long, role string, text string, score double")
+    out = {r.tree: [t.text for t in r.turns] for r in chat.format_trees(df).select("tree", chat.read_back(F.col("formatted")).alias("turns")).collect()}
+    assert out == {"a": ["q", "x", "z"], None: ["lone"]}

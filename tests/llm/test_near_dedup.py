@@ -53,7 +53,8 @@ def test_components_match_all_pairs(spark):
     for percent in (85, 80):
         got = N.near_groups(df, percent).collect()
         assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == sorted(brute(rows, percent), key=str)
-        assert sum(r.kept for r in got if r.n_shingles) == len({str(c) for _, n, c in brute(rows, percent) if n})
+        assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+        assert sum(r.head for r in got if r.n_shingles) == len({str(c) for _, n, c in brute(rows, percent) if n})
     assert N.near_groups(df.where("false")).count() == 0
 
 

@@ -3,9 +3,10 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from gridmill.llm import substring_dedup, suffix_dedup
+from gridmill.llm import substring_dedup, suffix_dedup, units
 
 
 def gone_of(items, size):
@@ -76,6 +77,21 @@ def test_many_units_agree_with_one(spark):
         assert one == many and len(one) == docs.count()
 
 
+def test_small_units_and_homes_agree_and_no_text_is_shuffled(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    one = [{tuple(r) for r in m.repeats(docs.coalesce(1)).collect()} for m in (suffix_dedup, substring_dedup)]
+    monkeypatch.setattr(units, "UNIT_BYTES", 3000)
+    monkeypatch.setattr(units, "HOME_BYTES", 20000)
+    assert [{tuple(r) for r in m.repeats(docs.repartition(3)).collect()} for m in (suffix_dedup, substring_dedup)] == one
+    held = units.units_of(docs)
+    sizes = [r.n for r in held.docs.groupBy("home").agg({"text": "count"}).withColumnRenamed("count(text)", "n").collect()]
+    assert len(sizes) > 8 and held.docs.select("unit").distinct().count() > 30
+    asked = units.first_round(held, lambda unit: pa.Table.from_arrays([pa.array([-1 - unit.number]), pa.array([unit.home]), pa.array([unit.number]), pa.array([b""])], schema=units.MAIL_SCHEMA))
+    told = units.materialize(asked, "test")
+    plan = units.next_round(held, told, lambda unit, came: came)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "FlatMapCoGroupsInArrow" in plan
+
+
 def test_bytes_of_the_smallest_tables(spark):
     rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
     gone = gone_of([(r.doc_id, r.text.encode()) for r in rows], 100)

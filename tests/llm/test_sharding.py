@@ -40,3 +40,39 @@ def test_rebalancing_moves_little_and_versions_stay(spark, tmp_path):
     sharding.save_map(spark, first, 1, path)
     sharding.save_map(spark, grown, 2, path)
     assert sharding.load_map(spark, path) == (2, grown) and sharding.load_map(spark, path, 1) == (1, first)
+
+
+def test_every_row_is_placed_as_plain_python_places_it(spark, edge):
+    """Sizes and checksums by zlib, places by the map that was stored: shard from the slot, then order within."""
+    rows = sharding.shard(edge, map_path=(path := sharding.scratch_path(spark, "test-map"))).collect()
+    _, slot_map = sharding.load_map(spark, path)
+    told = sorted((str(r.doc_id), r.size, r.text_crc32) for r in rows)
+    assert told == sorted((str(r.doc_id), len(t := (r.text or "").encode()) + 1, zlib.crc32(t)) for r in edge.collect())
+    assert all(r.shard == slot_map[r.vslot] and r.law == "bytes" for r in rows)
+    for s in range(8):
+        own = sorted((r for r in rows if r.shard == s), key=lambda r: r.slot)
+        assert [r.vslot for r in own] == sorted(r.vslot for r in own) and [r.slot for r in own] == list(range(len(own)))
+
+
+def test_repeated_rows_and_null_ids_stay_near_equal(spark):
+    for doc_id in ("1", "CAST(NULL AS BIGINT)"):
+        same = spark.range(4000).selectExpr(f"{doc_id} AS doc_id", "repeat('abc ', 9) AS text")
+        other = spark.range(4000).selectExpr("id AS doc_id", "repeat('xyz ', 9) AS text")
+        load = defaultdict(int)
+        for r in sharding.shard(same.unionByName(other)).collect():
+            load[r.shard] += r.size
+        assert len(load) == 8 and max(load.values()) < 1.02 * min(load.values())
+
+
+def test_a_grown_map_moves_few_rows_and_nearly_all_to_the_new_shard(spark, tmp_path):
+    docs = spark.range(3000).selectExpr("id AS doc_id", "repeat('ab ', cast(1 + pmod(id * 7919, 97) AS int)) AS text")
+    path = f"{tmp_path}/map"
+    before = {r.doc_id: r.shard for r in sharding.shard(docs, map_path=path).collect()}
+    grown = sharding.shard(docs, 9, map_path=path, version=1).collect()
+    moved = [r for r in grown if r.shard != before[r.doc_id]]
+    assert {r.version for r in grown} == {2} and sum(r.shard == 8 for r in moved) > 0.9 * len(moved) > 0
+    assert len(moved) < len(before) / 7
+    load = defaultdict(int)
+    for r in grown:
+        load[r.shard] += r.size
+    assert max(load.values()) < 1.05 * min(load.values())

@@ -34,10 +34,29 @@ def test_cell_join_is_the_full_join_cut_at_the_radius(spark):
     assert got == {(r.a, r.b) for r in full.collect()} and got
 
 
-def test_collapse_walks_in_order(spark):
+@pytest.mark.parametrize("lat", [40.0, 75.0, 89.9, -89.99])
+def test_cell_join_holds_at_any_latitude_and_across_the_date_line(spark, lat):
+    rng = random.Random(2)
+    spread = 0.004 / max(0.0005, math.cos(math.radians(lat)))
+    wrapped = lambda x: (x + 180) % 360 - 180
+    points = lambda n: [(i, max(-90.0, min(90.0, lat + (rng.random() - 0.5) / 120)), wrapped(180 + (rng.random() - 0.5) * spread)) for i in range(n)]
+    left, right = spark.createDataFrame(points(90), "a long, y double, x double"), spark.createDataFrame(points(90), "b long, y2 double, x2 double")
+    got = [(r.a, r.b) for r in spatial.cell_join(left, right, 250, ("y", "x"), ("y2", "x2")).collect()]
+    full = left.crossJoin(right).where(geo.haversine(F.col("y"), F.col("x"), F.col("y2"), F.col("x2")) <= 250)
+    assert sorted(got) == sorted((r.a, r.b) for r in full.collect()) and got
+
+
+def test_collapse_walks_in_order_within_a_page(spark):
     rows = [(0, "dakota", 40.0, -74.0, 0.9), (1, "dakota", 40.001, -74.0, 0.8), (2, "dakota", 40.0022, -74.0, 0.7), (3, "", 40.0, -74.0, 0.6), (4, "dakota", None, -74.0, 0.5), (5, "plaza", 40.0, -74.0, 0.4)]
-    hits = spark.createDataFrame(rows, "pos int, norm_name string, lat double, lng double, score double")
-    assert sorted(r.pos for r in spatial.collapse_near(hits).collect()) == [0, 2, 3, 4, 5]
+    hits = spark.createDataFrame([(p, *r) for p in (1, 2) for r in rows], "page int, pos int, norm_name string, lat double, lng double, score double").where("page = 1 OR pos = 1")
+    assert sorted((r.page, r.pos) for r in spatial.collapse_near(hits).collect()) == [(1, 0), (1, 2), (1, 3), (1, 4), (1, 5), (2, 1)]
+
+
+def test_geodesics_and_missing_places(spark):
+    metres = lambda *at: one(spark, geo.spheroid_distance(*map(F.lit, at)))
+    assert math.isclose(metres(-37.95103341666667, 144.42486788888888, -37.65282113888889, 143.92649552777777), 54972.271, abs_tol=0.01)
+    assert metres(40.0, -74.0, 40.0, -74.0) == 0.0 and math.isclose(metres(0.0, 0.0, 0.0, 1.0), 111319.491, abs_tol=0.01)
+    assert one(spark, geo.haversine(F.lit(None).cast("double"), F.lit(0.0), F.lit(1.0), F.lit(1.0))) is None
 
 
 @pytest.mark.parametrize("scores, kept", [([1.0, 0.9, 0.5, 0.35, 0.2, 0.05], 3), ([1.0, 0.1, 0.1, 0.1], 3), ([0.0, -1.0, -2.0, -3.0], 4), ([1.0, 0.9, 0.8, 0.4], 4)])
