@@ -60,11 +60,6 @@ def building_text(c: dict[str, Column]) -> Column:
     return F.concat_ws(". ", *parts)
 
 
-def snippet(name: Column, address: Column, style: Column) -> Column:
-    shown = F.when(clean(name) != "", clean(name)).otherwise(clean(address))
-    return F.when(clean(style) != "", F.concat(shown, F.lit(" — "), clean(style))).otherwise(shown)
-
-
 def search_terms(address: Column, name: Column) -> Column:
     """What to look a building up by: address, number and street, name, name without its last type word."""
     short = F.regexp_replace(name, r"(?i)\s+(Building|House|Mansion|Church|Hotel|Company|No\.\s*\d+)$", "")

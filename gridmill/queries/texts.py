@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gridmill.functions import profiles
 from gridmill.functions import text as T
 from gridmill.operators import chunking, keyed
 from gridmill.queries.base import load
@@ -62,6 +63,14 @@ def sentences_trimmed(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "documents").select("doc_id", cut.alias("cut")).select("doc_id", F.length("cut").alias("chars"), F.md5("cut").alias("hash"), T.complete_prose(F.col("cut")).alias("complete"))
 
 
+def sections(spark: SparkSession, d: str) -> DataFrame:
+    """STR22: of each text, given headings by halves, the part between them; every third has none and starts later."""
+    k, half = F.col("doc_id"), F.floor(F.length("text") / 2).cast("int")
+    said = F.when(k % 3 == 0, F.col("text")).otherwise(F.concat(F.substring(F.col("text"), F.lit(1), half), F.lit(" HISTORY "), F.substring(F.col("text"), half + 1, F.length("text")), F.lit(" SOURCES x")))
+    told = profiles.section(F.col("said"), "history ", "sources ")
+    return load(spark, d, "documents").select("doc_id", said.alias("said")).select("doc_id", told.alias("part")).select("doc_id", F.length("part").alias("chars"), F.md5("part").alias("hash"))
+
+
 def quality_filter(spark: SparkSession, d: str) -> DataFrame:
     """F13, STR23: prose before a sources marker, of 100 to 800 characters and without boilerplate."""
     at = F.least(*[F.when(F.locate(m, F.lower("text")) > 0, F.locate(m, F.lower("text"))).otherwise(F.length("text") + 1) for m in ("sources:", "facts:")])
@@ -129,7 +138,7 @@ def embedding_checks(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "embeddings").select("vec_id", (F.size("embedding") == 64).alias("valid"), whole.alias("profile"), F.decode(F.unbase64(F.base64(F.col("vec_id").cast("string").cast("binary"))), "UTF-8").alias("mask"))
 
 
-QUERIES = {f.__name__: f for f in (page_text, page_identity, char_chunks, page_chunks, word_chunks, source_budget, sentences_trimmed, quality_filter, names, names_whole, addresses, dates_and_numbers, materials, embedding_checks)}
+QUERIES = {f.__name__: f for f in (page_text, page_identity, char_chunks, page_chunks, word_chunks, source_budget, sentences_trimmed, sections, quality_filter, names, names_whole, addresses, dates_and_numbers, materials, embedding_checks)}
 
 
 def quoted(value) -> str:
@@ -186,6 +195,9 @@ ORACLE = {
           UNION ALL SELECT c.doc_id, nth + 1, c.b, greatest(c.b + 1, len(list_filter(cum, lambda x: x <= cum[c.b] + 1500)))::BIGINT FROM c JOIN n USING (doc_id) WHERE c.b < len(cum)),
         t AS (SELECT doc_id, nth, array_to_string(w[a + 1 : b], ' ') AS chunk FROM c JOIN w USING (doc_id))
         SELECT doc_id, nth::INT AS nth, length(chunk)::INT AS chars, md5(chunk) AS hash FROM t""",
+    "sections": r"""WITH s AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text ELSE left(text, length(text) // 2) || ' HISTORY ' || substr(text, length(text) // 2 + 1) || ' SOURCES x' END AS said FROM documents),
+        f AS (SELECT doc_id, regexp_extract(said, '(?is)history (.*?)(sources |$)', 1) AS found, said FROM s),
+        p AS (SELECT doc_id, left(trim(CASE WHEN trim(found) <> '' THEN found ELSE substr(said, 501, 5000) END), 5000) AS part FROM f) SELECT doc_id, length(part)::INT AS chars, md5(part) AS hash FROM p""",
     "sentences_trimmed": rf"""WITH w AS (SELECT doc_id, text, left(text, 1000) AS w FROM documents),
         p AS (SELECT doc_id, text, w, {", ".join(f"{rfind('w', m)} AS p{i}" for i, m in enumerate(("chr(10) || chr(10)", "'. '", "'.' || chr(10)", "'! '", "'? '", "' '")))} FROM w),
         c AS (SELECT doc_id, CASE WHEN length(text) <= 1000 THEN text ELSE regexp_replace(left(w, (CASE {" ".join(f"WHEN p{i} > 660 THEN p{i} + 2" for i in range(5))} WHEN p5 > 660 THEN p5 ELSE 1000 END)::BIGINT), '^\s+|\s+$', '', 'g') END AS cut FROM p)

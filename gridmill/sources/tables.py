@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Iterator
 from urllib.request import urlopen
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -52,6 +52,32 @@ def append_log(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
+def read_shards(spark: SparkSession, paths: list[str], columns: list[str], condition: Column | None = None) -> DataFrame:
+    """Some columns of the rows of several Parquet shards that hold a condition; the scan prunes and filters."""
+    rows = spark.read.parquet(*paths)
+    return (rows if condition is None else rows.where(condition)).select(*columns)
+
+
+def read_landed_json(spark: SparkSession, path: str, schema: T.StructType | str, field: str | None = None) -> DataFrame:
+    """Records of JSON answers that were landed whole, one to a file: the answers, or the list in ``field`` of each.
+
+    Missing values are null; an answer without the list has no records.
+    """
+    if field is None:
+        return spark.read.schema(schema).option("multiLine", True).json(path)
+    kind = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    rows = spark.read.schema(T.StructType().add(field, T.ArrayType(kind))).option("multiLine", True).json(path)
+    return rows.select(F.explode(field).alias("r")).select("r.*")
+
+
+def accepted(rows: DataFrame, required: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(kept, rejected): rows in which every required column is filled, and the others."""
+    filled = F.lit(True)
+    for c in required:
+        filled = filled & F.coalesce(F.trim(F.col(c).cast("string")) != "", F.lit(False))
+    return rows.where(filled), rows.where(~filled)
+
+
 def write_tiles(tiles: DataFrame, path: str) -> None:
     """One gzip JSON line for each (cell, json) row, in as many files as there are partitions."""
     tiles.select("json").write.mode("overwrite").option("compression", "gzip").text(path)

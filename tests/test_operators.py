@@ -119,6 +119,22 @@ def test_text_tables_logs_and_optional_columns(spark, tmp_path):
     assert [r.bin for r in tables.unfinished(df, spark.read.json(log), ["bin"]).collect()] == ["101"]
 
 
+def test_shards_landed_json_and_rejected_rows(spark, tmp_path):
+    for i in range(3):
+        spark.range(10).selectExpr(f"id + {10 * i} AS id", "id % 2 AS odd", "'x' AS unused").write.parquet(f"{tmp_path}/s{i}")
+    rows = tables.read_shards(spark, [f"{tmp_path}/s{i}" for i in (0, 2)], ["id"], F.col("odd") == 1)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.id for r in rows.collect()) == [1, 3, 5, 7, 9, 21, 23, 25, 27, 29]
+    assert "unused" not in plan and "PushedFilters: [IsNotNull(odd), EqualTo(odd,1)]" in plan
+    (tmp_path / "landed").mkdir()
+    (tmp_path / "landed" / "a.json").write_text(json.dumps({"n": 2, "features": [{"bin": "1", "year": 1900}, {"bin": " "}]}, indent=1))
+    (tmp_path / "landed" / "b.json").write_text(json.dumps({"n": 0}))
+    found = tables.read_landed_json(spark, str(tmp_path / "landed"), "bin string, year int", "features")
+    kept, rejected = tables.accepted(found, ["bin"])
+    assert [tuple(r) for r in kept.collect()] == [("1", 1900)] and rejected.count() == 1
+    assert sorted(r.n for r in tables.read_landed_json(spark, str(tmp_path / "landed"), "n int").collect()) == [0, 2]
+
+
 def test_paged_source_reads_every_page_once(spark):
     class Handler(BaseHTTPRequestHandler):
         def do_GET(self):
