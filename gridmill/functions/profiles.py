@@ -114,3 +114,57 @@ def relevant(results: DataFrame, tokens: Column, junk: list[str]) -> DataFrame:
     good = ~F.exists(F.array(*map(F.lit, junk)), lambda j: F.contains(F.col("host"), j)) & F.exists(tokens, lambda t: F.contains(said, t))
     told = results.withColumn("_good", good).withColumn("_any", F.max("_good").over(Window.partitionBy("request")))
     return told.where("_good OR NOT _any").drop("_good", "_any")
+
+
+# Materials by style, by architect, and by era and class of building; the first that fits holds.
+STYLE_MATERIALS = [
+    (["cast iron"], "Cast Iron"),
+    (["art deco", "art moderne", "simplified colonial revival or art deco"], "Brick and Terra Cotta"),
+    (["romanesque revival", "neo-grec", "italianate"], "Brownstone"),
+    (["beaux-arts", "french renaissance", "baroque"], "Limestone and Terra Cotta"),
+    (["gothic revival", "collegiate gothic", "gothic"], "Limestone"),
+    (["renaissance revival", "roman brick", "neo-renaissance"], "Brick"),
+    (["classical revival", "greek revival", "federal", "georgian", "colonial revival", "neoclassical", "neo-classical"], "Limestone"),
+    (["tudor revival", "tudor", "jacobethan"], "Brick and Stone"),
+    (["anglo-american garden home", "storybook", "english cottage", "dutch colonial revival"], "Brick"),
+    (["international style", "modernist", "brutalist", "brutalism", "expressionist"], "Concrete"),
+    (["high-tech", "corporate modernism", "postmodern", "post-modern", "neo-futurist", "deconstructivist"], "Glass and Steel"),
+    (["industrial", "neo-industrial", "daylight factory"], "Brick"),
+]
+ARCHITECT_MATERIALS = [
+    ("hardenbergh", "Limestone"), ("mckim, mead", "Limestone"), ("carrere & hastings", "Limestone"), ("john russell pope", "Limestone"), ("cass gilbert", "Limestone"), ("richard morris hunt", "Limestone"), ("warren & wetmore", "Limestone"),
+    ("george f. pelham", "Brick"), ("emery roth", "Brick"), ("neville & bagge", "Brick"), ("cleverdon & putzel", "Brick"), ("benjamin driesler", "Brick"), ("slee & bryson", "Brick"), ("frank s. lowe", "Brick"), ("w. c. dickerson", "Brick"),
+    ("william j. bedell", "Brick"), ("clarence stein", "Brick"), ("henry j. hardenbergh", "Limestone"), ("skidmore, owings", "Glass and Steel"), ("som", "Glass and Steel"), ("mies van der rohe", "Glass and Steel"), ("eero saarinen", "Concrete"),
+    ("i.m. pei", "Concrete"), ("philip johnson", "Glass and Steel"), ("kevin roche", "Concrete"), ("paul rudolph", "Concrete"), ("marcel breuer", "Concrete"), ("le corbusier", "Concrete"), ("james bogardus", "Cast Iron"), ("daniel badger", "Cast Iron"),
+]
+#: (first year, year after the last, classes, material); no classes stand for all others.
+ERA_MATERIALS = [
+    (1, 1840, "ABC", "Wood Frame"), (1, 1840, "", "Brick"), (1840, 1880, "ABC", "Brownstone"), (1840, 1880, "KLEF", "Cast Iron"), (1840, 1880, "", "Brick"),
+    (1880, 1940, "ABCDSR", "Brick"), (1880, 1940, "OHK", "Brick and Limestone"), (1880, 1940, "EFL", "Brick"), (1880, 1940, "MWY", "Limestone"),
+    (1940, 1970, "DC", "Brick"), (1940, 1970, "OH", "Concrete"), (1940, 1970, "EF", "Concrete"), (1970, 9999, "OH", "Glass and Steel"), (1970, 9999, "DCR", "Concrete"), (1970, 9999, "EF", "Concrete"),
+]
+UNSAID = ("not determined", "nd", "unknown", "")
+
+
+def first_named(text: Column, table: list[tuple[str, str]]) -> Column:
+    """What a table of (part of a text, value) says, by its first entry that the text has."""
+    said = F.lower(F.trim(F.coalesce(text, F.lit(""))))
+    rows = F.array(*[F.struct(F.lit(part).alias("part"), F.lit(value).alias("value")) for part, value in table])
+    return F.when(~said.isin(*UNSAID), F.try_element_at(F.filter(rows, lambda r: F.contains(said, r["part"])), F.lit(1))["value"])
+
+
+def material(style: Column, architect: Column, year: Column, kind: Column) -> Column:
+    """The material that style, else architect, else era and class tell, or null. A year that is no number tells nothing."""
+    built, letter = F.coalesce(year.try_cast("double").cast("int"), F.lit(0)), F.upper(F.substring(F.coalesce(kind, F.lit("")), 1, 1))
+    era = F.when(F.lit(False), F.lit(None).cast("string"))
+    for low, high, classes, value in ERA_MATERIALS:
+        era = era.when((built >= low) & (built < high) & (letter.isin(*classes) if classes else F.lit(True)), value)
+    return F.coalesce(first_named(style, [(part, value) for parts, value in STYLE_MATERIALS for part in parts]), first_named(architect, ARCHITECT_MATERIALS), era)
+
+
+def lore(sources: dict[str, Column], block: Column, neighbours: Column, basis: Column, told_from: Column) -> Column:
+    """(tier, text, comparison, renew): the first source with text; its block is compared from two neighbours on, and
+    the text is written anew only if more is known than it was told from."""
+    filled_in = {name: F.when(F.trim(text) != "", text) for name, text in sources.items()}
+    tier = F.coalesce(*[F.when(text.isNotNull(), name) for name, text in filled_in.items()], F.lit("fields"))
+    return F.struct(tier.alias("tier"), F.coalesce(*filled_in.values()).alias("text"), F.when(neighbours >= 2, block).alias("comparison"), (told_from.isNull() | (basis > told_from)).alias("renew"))

@@ -59,8 +59,44 @@ def photo_keys(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "part").select(key.alias("key")).where(F.col("key").rlike(shape)).select(part(1).alias("bin"), part(2).alias("angle"), part(3).alias("pitch"))
 
 
-QUERIES = {f.__name__: f for f in (building_texts, lookup_terms, relevant_results, tap_scores, projected, photo_keys)}
+KNOWN_STYLES = ["Art Deco", "not determined", "Gothic Revival", "Federal, altered", "", "Neo-Grec", "Late Modern"]
+KNOWN_ARCHITECTS = ["Emery Roth & Sons", "Unknown", "Cass Gilbert", None, "I.M. Pei"]
+CLASSES = "ABDEKMOQRW"
+
+
+def material_rules(spark: SparkSession, d: str) -> DataFrame:
+    """The material of each part as a building, from style, architect, era and class."""
+    k = F.col("p_partkey")
+    pick = lambda values, key: F.element_at(F.array(*map(F.lit, values)), (key % len(values) + 1).cast("int"))
+    year = F.when(k % 13 == 0, "c. 1900").otherwise((1790 + k * 7 % 230).cast("string"))
+    return load(spark, d, "part").select("p_partkey", P.material(pick(KNOWN_STYLES, k), pick(KNOWN_ARCHITECTS, F.floor(k / 7)), year, pick(list(CLASSES), k)).alias("material"))
+
+
+def lore_gates(spark: SparkSession, d: str) -> DataFrame:
+    """Tier and text of each part's lore, its block's comparison and whether it is due for a new text."""
+    k = F.col("p_partkey")
+    sources = {"chunks": F.when(k % 4 == 0, F.col("p_name")), "wikipedia": F.when(k % 3 == 0, " ").when(k % 3 == 1, F.col("p_type")), "web": F.when(k % 5 < 2, F.col("p_brand"))}
+    told = P.lore(sources, F.concat(F.lit("block of "), "p_type"), k % 4, k % 6, F.when(k % 7 > 0, k % 5))
+    return load(spark, d, "part").select("p_partkey", told.alias("l")).select("p_partkey", "l.*")
+
+
+QUERIES = {f.__name__: f for f in (material_rules, lore_gates, building_texts, lookup_terms, relevant_results, tap_scores, projected, photo_keys)}
+
+def listed(values: list[str | None], key: str) -> str:
+    return "([" + ", ".join("NULL" if v is None else f"'{v}'" for v in values) + f"])[(({key}) % {len(values)} + 1)::INT]"
+
+
+def named_sql(text: str, table: list[tuple[str, str]]) -> str:
+    whens = " ".join(f"WHEN contains(lower({text}), '{part}') THEN '{value}'" for part, value in table)
+    return f"CASE WHEN lower(trim(coalesce({text}, ''))) IN ('not determined', 'nd', 'unknown', '') THEN NULL {whens} END"
+
+
+ERAS = " ".join(f"WHEN y >= {a} AND y < {b} AND {f'contains({chr(39)}{c}{chr(39)}, c)' if c else 'true'} THEN '{m}'" for a, b, c, m in P.ERA_MATERIALS)
 ORACLE = {
+    "material_rules": f"""WITH b AS (SELECT p_partkey, {listed(KNOWN_STYLES, 'p_partkey')} AS s, {listed(KNOWN_ARCHITECTS, 'p_partkey // 7')} AS a, {listed(list(CLASSES), 'p_partkey')} AS c, CASE WHEN p_partkey % 13 = 0 THEN 0 ELSE 1790 + p_partkey * 7 % 230 END AS y FROM part)
+        SELECT p_partkey, coalesce({named_sql('s', [(k, m) for ks, m in P.STYLE_MATERIALS for k in ks])}, {named_sql('a', P.ARCHITECT_MATERIALS)}, CASE {ERAS} END) AS material FROM b""",
+    "lore_gates": """SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN 'chunks' WHEN p_partkey % 3 = 1 THEN 'wikipedia' WHEN p_partkey % 5 < 2 THEN 'web' ELSE 'fields' END AS tier, CASE WHEN p_partkey % 4 = 0 THEN p_name WHEN p_partkey % 3 = 1 THEN p_type WHEN p_partkey % 5 < 2 THEN p_brand END AS text,
+        CASE WHEN p_partkey % 4 >= 2 THEN 'block of ' || p_type END AS comparison, p_partkey % 7 = 0 OR p_partkey % 6 > p_partkey % 5 AS renew FROM part""",
     "photo_keys": "SELECT p_partkey::INT AS bin, (p_partkey % 360)::INT AS angle, (p_partkey % 30 - 15)::INT AS pitch FROM part WHERE p_partkey % 7 <> 0",
     "building_texts": values([(i, t) for i, (_, t) in enumerate(BUILDINGS)], "id, text"),
     "lookup_terms": values(TERMS, "address, name, terms"),

@@ -66,7 +66,7 @@ def walk_marks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cone_points(spark: SparkSession, d: str) -> DataFrame:
-    """Buildings in a view cone by their centres, scored, with the smallest ring that holds them."""
+    """Buildings in a view cone by their centres, scored, with the smallest ring that holds them."""
     p = load(spark, d, "part").select("p_partkey", "p_size", lat("p_partkey").alias("lat"), lng("p_partkey").alias("lng"))
     dist, gap = geo.haversine(F.lit(AT_LAT), F.lit(AT_LNG), F.col("lat"), F.col("lng")), geo.bearing_gap(geo.bearing(F.lit(AT_LAT), F.lit(AT_LNG), F.col("lat"), F.col("lng")), F.lit(TOWARDS))
     seen = p.withColumn("dist", dist).withColumn("gap", gap).where((F.col("dist") <= REACH) & (F.col("gap") <= CONE / 2))
@@ -98,7 +98,7 @@ def ring_measures(spark: SparkSession, d: str) -> DataFrame:
 
 
 def nearest_street(spark: SparkSession, d: str) -> DataFrame:
-    """The nearest street, a west-east segment for each supplier, within 300 m of each part."""
+    """The nearest street, a west-east segment for each supplier, within 300 m of each part."""
     streets = places(spark, d, "supplier", "s_suppkey", "2").select("s_suppkey", "lat2", "lng2", F.struct((F.col("lng2") - 0.002).alias("lng"), F.col("lat2").alias("lat")).alias("a"), F.struct((F.col("lng2") + 0.002).alias("lng"), F.col("lat2").alias("lat")).alias("b"))
     near = spatial.cell_join(places(spark, d, "part", "p_partkey"), streets, 700, ("lat", "lng"), ("lat2", "lng2"))
     told = near.withColumn("off", F.round(geo.segment_distance(F.col("lat"), F.col("lng"), F.col("a"), F.col("b")), 2)).where("off <= 300")
@@ -131,7 +131,7 @@ def names_collapsed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def picture_overlap(spark: SparkSession, d: str) -> DataFrame:
-    """Buildings projected into a picture, and the overlap of their hulls with a mask."""
+    """Buildings projected into a picture, and the overlap of their hulls with a mask."""
     near = places(spark, d, "part", "p_partkey").where(F.col("lat").between(AT_LAT - 0.01, AT_LAT + 0.01) & F.col("lng").between(AT_LNG - 0.01, AT_LNG + 0.01))
     rows = near.select("p_partkey", square(F.col("lat"), F.col("lng"), 0.0002).alias("ring"), F.lit(20.0).alias("height"))
     told = camera.picture_overlap(rows, (AT_LAT, AT_LNG), TOWARDS, 5.0, 73.0, [(300.0, 200.0), (700.0, 200.0), (700.0, 600.0), (300.0, 600.0)], "p_partkey")
