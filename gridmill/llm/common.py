@@ -91,6 +91,19 @@ def numbered(docs: DataFrame, name: str = "row", label: str = "numbered") -> Dat
     return materialize(docs.withColumn(name, F.monotonically_increasing_id()), label)
 
 
+#: Row numbers that one broadcast may hold, some 32 MB in each executor.
+MOST_IDS = 1 << 20
+
+
+def by_number(rows: DataFrame, numbers: DataFrame, name: str, how: str) -> DataFrame:
+    """The ``rows`` whose number is among the distinct ``numbers`` (left_semi), or is not (left_anti).
+
+    Up to MOST_IDS numbers travel to the rows, which then stay where they are; more meet them in a shuffle.
+    """
+    numbers = materialize(numbers.select(name), "numbers")
+    return rows.join(F.broadcast(numbers) if numbers.count() <= MOST_IDS else numbers, name, how)
+
+
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """``mapInArrow`` with batches of at most about ARROW_BYTES, set for the session.
 

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from gridmill.llm.common import LOWER, binary, buffers, pieces, table
+from gridmill.llm.common import LOWER, binary, buffers, map_arrow, pieces, table
 
 #: Strings that a run of literals may stand for, and characters of a class, before they count as unknown.
 MOST_STRINGS, MOST_CHARACTERS = 64, 6
@@ -204,7 +204,7 @@ def scan(docs: DataFrame, rules: list[Rule] = RULES, base: int = BASE) -> DataFr
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, " + "".join(f"n_{k} long, " for k in kinds[:base]) + "base_sha256 string, spans string"
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return map_arrow(docs.select("doc_id", "text"), run, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
