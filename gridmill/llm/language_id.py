@@ -19,15 +19,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridmill.llm.common import binary, pieces, spread, table
+from gridmill.llm.common import binary, dropping, map_arrow, materialize, pieces, spread, table
 
-#: Bytes of an n-gram; labelled texts to learn from, about, and n-grams to keep, at most, of each language.
-GRAM, SAMPLE, GRAMS = 4, 20_000, 60_000
+#: Bytes of an n-gram; labelled texts of each language to learn from, about.
+GRAM, SAMPLE = 4, 20_000
 #: An n-gram belongs to a language if it is at least this frequent there, and not far rarer than elsewhere.
 RARE, SHARE = 2e-6, 0.25
 SLOTS, HASHES = 1 << 20, 3
-#: Bits of a mask; more languages take several masks for each slot. Languages that may be learned.
-BITS, MOST_LANGUAGES = 64, 1024
+#: Bits of a mask; more languages take several masks for each slot.
+BITS = 64
 #: Texts whose best language covers less of them than this are rejected in the pipeline.
 ACCEPT = 0.2
 
@@ -95,38 +95,55 @@ class Filter:
         return out, total
 
 
-def build(counts: dict[str, dict[int, int]], size: int = SLOTS) -> Filter:
-    """The filter of n-gram counts by language; languages with most n-grams break ties, then names."""
-    languages = sorted(counts)
-    if len(languages) > MOST_LANGUAGES:
-        raise ValueError(f"{MOST_LANGUAGES} languages may be learned; there are {len(languages)}")
-    totals = {l: max(1, sum(counts[l].values())) for l in languages}
-    best: dict[int, float] = {}
-    for l in languages:
-        for g, n in counts[l].items():
-            best[g] = max(best.get(g, 0.0), n / totals[l])
-    kind = np.uint8 if len(languages) <= 8 else np.uint64
-    masks = [np.zeros(size, kind) for _ in range(max(1, -(-len(languages) // BITS)))]
-    rates = np.zeros(len(languages))
-    for k, l in enumerate(languages):
-        chosen = [g for g, n in counts[l].items() if n / totals[l] >= max(RARE, SHARE * best[g])]
-        for at in slots(np.array(sorted(chosen), np.uint32), size):
-            np.bitwise_or.at(masks[k // BITS], at, kind(1 << k % BITS))
-        rates[k] = np.count_nonzero(masks[k // BITS] & kind(1 << k % BITS)) / size
-    fallback = max(range(len(languages)), key=lambda k: (totals[languages[k]], -k), default=0)
-    return Filter(languages, masks, rates**HASHES, fallback)
-
-
-def train(docs: DataFrame) -> Filter:
+def filter_of(languages: list[str], totals: list[int], masks: list[np.ndarray]) -> Filter:
+    """The filter of slot masks; texts without any known n-gram get the language with most n-grams, the first by name."""
+    size = len(masks[0])
+    rates = np.array([np.count_nonzero(masks[k // BITS] >> np.uint64(k % BITS) & np.uint64(1)) / size for k in range(len(languages))])
+    masks = [m.astype(np.uint8) for m in masks] if len(languages) <= 8 else masks  # an eighth of the memory to look through
+    return Filter(languages, masks, rates**HASHES, max(range(len(languages)), key=lambda k: (totals[k], -k), default=0))
+
+
+def chosen(counted: DataFrame) -> DataFrame:
+    """(lang, gram) of the n-grams that belong to a language, from all counts (lang, gram, n)."""
+    totals = counted.groupBy("lang").agg(F.sum("n").alias("total"))  # a row for each language
+    share = counted.join(F.broadcast(totals), "lang").select("lang", "gram", (F.col("n") / F.col("total")).alias("share"))
+    best = F.max("share").over(Window.partitionBy("gram"))  # a gram has a row for each language
+    return share.withColumn("best", best).where(F.col("share") >= F.greatest(F.lit(RARE), SHARE * F.col("best"))).select("lang", "gram")
+
+
+def slot_masks(grams_: DataFrame, languages: list[str], size: int = SLOTS) -> list[np.ndarray]:
+    """The masks of all slots, ORed together on the executors; ``size`` numbers for every BITS languages arrive here."""
+    place = {l: k for k, l in enumerate(languages)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = np.array([place[l] for l in batch.column(0).to_pylist()], np.int64)
+            codes = batch.column(1).to_numpy(zero_copy_only=False).astype(np.uint32)
+            for at in slots(codes, size):
+                mask = (np.uint64(1) << (bits % BITS).astype(np.uint64)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(bits // BITS), pa.array(at.astype(np.int64)), pa.array(mask)], names=["part", "slot", "mask"])
+
+    masks = [np.zeros(size, np.uint64) for _ in range(max(1, -(-len(languages) // BITS)))]
+    told = map_arrow(grams_.select("lang", "gram"), run, "part long, slot long, mask long").groupBy("part", "slot").agg(F.bit_or("mask").alias("mask")).toArrow()
+    part, slot, mask = (told.column(k).to_numpy() for k in range(3))
+    for k in range(len(masks)):
+        masks[k][slot[part == k]] = mask[part == k].astype(np.int64).view(np.uint64)
+    return masks
+
+
+def train(docs: DataFrame, size: int = SLOTS) -> Filter:
     """Learns from the rows of ``docs``, doc_id, text and lang, whose lang is not null.
 
     Of a language with more than SAMPLE texts, a part chosen by a hash of doc_id is read, about SAMPLE
-    texts; the GRAMS most frequent n-grams of each language reach the driver.
+    texts. Every n-gram of these texts is counted, and which language has it is decided by shares alone,
+    so at most 1 / RARE n-grams belong to one. Any number of languages may be learned; 64 of them take
+    8 MB. Null texts, repeated rows and null doc_ids (in the part that is read) count like others; without
+    any labelled row nothing is learned.
     """
     known = docs.where(F.col("lang").isNotNull())
-    sizes = {r.lang: r.n for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES + 1).collect()}
+    sizes = {r.lang: r.n for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
-        return Filter([], [np.zeros(SLOTS, np.uint8)], np.zeros(0), 0)
+        return Filter([], [np.zeros(size, np.uint64)], np.zeros(0), 0)
     part = F.create_map(*[x for l, n in sizes.items() for x in (F.lit(l), F.lit(min(1.0, SAMPLE / n)))])
     sample = known.where(F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1 << 20)) < part[F.col("lang")] * (1 << 20))
 
@@ -139,14 +156,17 @@ def train(docs: DataFrame) -> Filter:
                 for i, j in pieces(own, 2 << 20):
                     data, _ = letters(own.slice(i, j - i))
                     codes, n = np.unique(grams(data), return_counts=True)
-                    yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(codes), pa.string()), "gram": pa.array(codes.astype(np.int64)), "n": pa.array(n.astype(np.int64))})
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes.astype(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
+
+    with dropping():
+        return learned(sorted(sizes), map_arrow(sample.select("lang", "text"), count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), size)
 
-    counted = sample.select("lang", "text").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    counts: dict[str, dict[int, int]] = {l: {} for l in sizes}
-    ranked = counted.where("n > 1").withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram")))
-    for r in ranked.where(F.col("at") <= GRAMS).collect():
-        counts[r.lang][r.gram] = r.n
-    return build(counts)
+
+def learned(languages: list[str], counted: DataFrame, size: int) -> Filter:
+    """The filter of the counts (lang, gram, n)."""
+    counted = materialize(counted, "grams")
+    totals = {r.lang: r.n for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    return filter_of(languages, [totals.get(l, 0) for l in languages], slot_masks(chosen(counted), languages, size))
 
 
 def has_letter(text: bytes) -> bool:
@@ -183,7 +203,7 @@ def identify(docs: DataFrame, model: Filter) -> DataFrame:
 
     ``lang_pred`` is a learned language, or ``und`` with score 0 if the text is null, empty, has no
     letter, or nothing was learned. A text with letters but no known n-gram gets the most frequent
-    language and score 0. Ties go to the language that is first by name. Whole texts are read; a null
+    language and score 0. Ties go to the language that is first by name. Texts of any length are read whole; a null
     doc_id, repeated rows and further columns change nothing. An empty table gives an empty result.
     """
     predict = predictor(docs.sparkSession, model)
@@ -193,7 +213,7 @@ def identify(docs: DataFrame, model: Filter) -> DataFrame:
             names, scores = predict(batch.column(1))
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "lang_pred": pa.array(names, pa.string()), "score": pa.array(scores, pa.float64())})
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
+    return map_arrow(docs.select("doc_id", "text"), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -202,7 +222,10 @@ def held_out(doc_id: Column) -> Column:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents in no learned language: no letter, or less than ACCEPT of their n-grams known."""
+    """Drops the documents in no learned language: no letter, or less than ACCEPT of their n-grams known.
+
+    Null, empty and letterless texts are dropped with them; long texts are judged whole, repeated rows alike.
+    """
     predict = predictor(spark, train(docs))
     at = docs.columns.index("text")
 
@@ -211,7 +234,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             names, scores = predict(batch.column(at))
             yield batch.filter(pa.array([n != "und" and s >= ACCEPT for n, s in zip(names, scores)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
