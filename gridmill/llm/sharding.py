@@ -10,25 +10,32 @@ from __future__ import annotations
 
 import heapq
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gridmill.llm.common import materialize, scratch_path, table
+from gridmill.llm.common import dropping, materialize, scratch_path, table
 
 SLOTS, SHARDS = 8192, 8
 
 
-def virtual_slot(doc_id: Column, text_crc32: Column, slots: int = SLOTS) -> Column:
-    """The fixed slot of a record; a null doc_id falls back on the text alone."""
-    return F.pmod(F.xxhash64(doc_id, text_crc32), F.lit(slots)).cast("int")
-
-
 def records(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """doc_id, size, text_crc32 and virtual slot of each row; null text has no bytes."""
+    """doc_id, size, text_crc32, copy and virtual slot of each row; null text has no bytes.
+
+    The slot is a hash of doc_id, checksum and copy, the number of the row among rows with the same two, so
+    repeated rows spread over slots like others. Copies are numbered within the input's partitions and
+    these by their counts, so no task holds all rows of a key.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
-    sized = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    return sized.withColumn("vslot", virtual_slot(F.col("doc_id"), F.col("text_crc32"), slots))
+    sized = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.spark_partition_id().alias("part"))
+    sized = materialize(sized, "sizes")
+    key = ["doc_id", "text_crc32"]
+    counts = sized.groupBy(*key, "part").agg(F.count(F.lit(1)).alias("n"))
+    ahead = counts.withColumn("ahead", F.sum("n").over(Window.partitionBy(*key).orderBy("part")) - F.col("n")).where("ahead > 0").drop("n")
+    within = F.row_number().over(Window.partitionBy(*key, "part").orderBy("size")) - 1
+    rows = sized.withColumn("within", within)
+    rows = rows.join(ahead, [rows[c].eqNullSafe(ahead[c]) for c in (*key, "part")], "left").select(*[rows[c] for c in ("doc_id", "size", "text_crc32")], (F.col("within") + F.coalesce("ahead", F.lit(0))).alias("copy"))
+    return rows.withColumn("vslot", F.pmod(F.xxhash64("doc_id", "text_crc32", "copy"), F.lit(slots)).cast("int"))
 
 
 def assign(slot_bytes: dict[int, int], shards: int, slots: int = SLOTS) -> dict[int, int]:
@@ -61,7 +68,7 @@ def rebalance(slot_map: dict[int, int], slot_bytes: dict[int, int], shards: int)
         size, source = slot_bytes.get(slot, 0), new[slot]
         if size and load[source] > mean:
             target = min(load, key=lambda s: (load[s], s))
-            if load[target] + size <= mean + size / 2 and load[target] + size < load[source]:
+            if load[target] + size <= mean:  # a shard that is full takes nothing more
                 new[slot], load[source], load[target] = target, load[source] - size, load[target] + size
     return new
 
@@ -72,8 +79,8 @@ def slot_table(spark: SparkSession, slot_map: dict[int, int], version: int) -> D
 
 
 def save_map(spark: SparkSession, slot_map: dict[int, int], version: int, path: str) -> None:
-    """Appends one version to the stored map; earlier versions stay readable."""
-    slot_table(spark, slot_map, version).coalesce(1).write.mode("append").partitionBy("version").parquet(path)
+    """Adds one version to the stored map; earlier versions stay readable, and none is written twice."""
+    slot_table(spark, slot_map, version).drop("version").coalesce(1).write.mode("errorifexists").parquet(f"{path}/version={version}")
 
 
 def load_map(spark: SparkSession, path: str, version: int | None = None) -> tuple[int, dict[int, int]]:
@@ -83,27 +90,33 @@ def load_map(spark: SparkSession, path: str, version: int | None = None) -> tupl
     return version, {r.vslot: r.shard for r in stored.where(F.col("version") == version).collect()}
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, map_path: str | None = None) -> DataFrame:
-    """One row per input row: doc_id, size, text_crc32, law, shard, slot, grown_shard, vslot.
+def shard(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, map_path: str | None = None, version: int | None = None) -> DataFrame:
+    """One row per input row: doc_id, size, text_crc32, law, shard, slot, grown_shard, vslot, version.
 
-    The law is ``bytes``: the shards' sizes are near equal. ``slot`` numbers the rows of a shard from
-    0 without gaps, ordered by virtual slot, doc_id, checksum and size; repeated rows get a place
-    each. Null text has size 1, null doc_ids come first, an empty table gives an empty result, and
-    columns besides doc_id and text are not read. The driver sees ``slots`` totals and nothing else.
+    The law is ``bytes``: the shards' sizes are near equal. Without ``version`` a new map is made and
+    stored at ``map_path`` as version 1. With a version of the stored map, that map is edited for
+    ``shards`` shards and the bytes of today, stored as the next version, and records follow it, so only
+    records of the edited slots move. ``slot`` numbers the rows of a shard from 0 without gaps, ordered by
+    virtual slot, doc_id, checksum and copy. Null text has size 1, null doc_ids come first, texts of any
+    length count whole, an empty table gives an empty result, and columns besides doc_id and text are not
+    read. The driver sees ``slots`` totals and nothing else.
     """
-    spark = docs.sparkSession
-    rows = materialize(records(docs, slots), "shards")
+    spark, path = docs.sparkSession, map_path or scratch_path(docs.sparkSession, "slot-map")
+    with dropping():
+        rows = materialize(records(docs, slots), "shards", keep=True)
     totals = {r.vslot: (r.bytes, r.n) for r in rows.groupBy("vslot").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")).collect()}
-    slot_map = assign({v: b for v, (b, _) in totals.items()}, shards, slots)
-    save_map(spark, slot_map, 1, map_path or scratch_path(spark, "slot-map"))
+    slot_bytes = {v: b for v, (b, _) in totals.items()}
+    slot_map = assign(slot_bytes, shards, slots) if version is None else rebalance(load_map(spark, path, version)[1], slot_bytes, shards)
+    version = (version or 0) + 1
+    save_map(spark, slot_map, version, path)
     first, ahead = {}, [0] * shards
     for v in sorted(slot_map):
         first[v], ahead[slot_map[v]] = ahead[slot_map[v]], ahead[slot_map[v]] + totals.get(v, (0, 0))[1]
     places = spark.createDataFrame([(v, s, first[v]) for v, s in slot_map.items()], "vslot int, shard int, first long")
-    within = Window.partitionBy("vslot").orderBy(F.col("doc_id").asc_nulls_first(), "text_crc32", "size")
+    within = Window.partitionBy("vslot").orderBy(F.col("doc_id").asc_nulls_first(), "text_crc32", "copy")
     # The map has exactly `slots` rows, so it may be broadcast at any input size.
     placed = rows.withColumn("nth", F.row_number().over(within) - 1).join(F.broadcast(places), "vslot")
-    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("first") + F.col("nth")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "vslot")
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("first") + F.col("nth")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "vslot", F.lit(version).alias("version"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
