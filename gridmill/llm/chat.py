@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridmill.llm.common import materialize, table
+from gridmill.llm.common import dropping, materialize, table
 
 OPEN, HEADER_END, CLOSE = "<turn ", ">\n", "</turn>\n"
 LEARNED = "assistant"
@@ -78,8 +78,15 @@ def format_trees(messages: DataFrame, top: int = 1) -> DataFrame:
 
     ``loss_spans`` are (start, length) in code points of the formatted text, one for each assistant
     turn, escapes included. Null role or text counts as empty, a null score as 0. A tree is keyed by a
-    string, nodes by anything that orders. A conversation is one value, so it must fit a row.
+    string, nodes by anything that orders. A message that is given more than once, by tree and node,
+    counts once, as its least version by parent, role, text and score. Messages with a null tree form
+    one tree; a message with a null node can neither be answered nor placed and has no row. A
+    conversation is one value, so it must fit a row. An empty table gives none.
     """
+    # A key of its own for the null tree, and each message once.
+    named = F.coalesce(F.concat(F.lit("t"), "tree"), F.lit("n")).alias("tree")
+    version = F.struct("parent", "role", "text", "score")
+    messages = materialize(messages.where("node IS NOT NULL").groupBy(named, "node").agg(F.min(version).alias("m")).select("tree", "node", "m.*"), "messages")
     role, text = escape_role(F.coalesce("role", F.lit(""))), escape(F.coalesce("text", F.lit("")))
     head = F.concat(F.lit(OPEN), role, F.lit(HEADER_END))
     told = messages.select("tree", "node", F.concat(head, text, F.lit(CLOSE)).alias("piece"), F.length(head).alias("ahead"), F.length(text).alias("chars"), F.coalesce(F.col("role") == LEARNED, F.lit(False)).alias("learned"))
@@ -89,7 +96,8 @@ def format_trees(messages: DataFrame, top: int = 1) -> DataFrame:
     placed = turns.withColumn("start", before + F.col("ahead"))
     grouped = placed.groupBy("tree", "leaf", "place").agg(F.sort_array(F.collect_list(F.struct("depth", "piece", "start", "chars", "learned"))).alias("turns"))
     spans = F.transform(F.filter("turns", lambda t: t["learned"]), lambda t: F.struct(t["start"].alias("start"), t["chars"].alias("length")))
-    return grouped.select("tree", "leaf", "place", F.array_join(F.transform("turns", lambda t: t["piece"]), "").alias("formatted"), spans.alias("loss_spans"))
+    tree = F.when(F.col("tree") != "n", F.expr("substring(tree, 2)")).alias("tree")
+    return grouped.select(tree, "leaf", "place", F.array_join(F.transform("turns", lambda t: t["piece"]), "").alias("formatted"), spans.alias("loss_spans"))
 
 
 def read_back(formatted: Column) -> Column:
@@ -112,17 +120,27 @@ def learned_text(formatted: Column, spans: Column) -> Column:
 def conversations(rows: DataFrame) -> DataFrame:
     """Linear conversations (conv_id, turn, role, text) as reply trees: each row answers the one before.
 
-    Rows are ordered by turn, then role, then text, nulls first; repeated rows are turns of their own,
-    and rows without conv_id form one conversation.
+    Rows are ordered by turn, then role, then text, nulls first; repeated rows are turns of their own.
+    Nothing ties rows without conv_id together, so each is a conversation of its own.
     """
-    tree = F.coalesce(F.concat(F.lit("c"), F.col("conv_id").cast("string")), F.lit("none"))
-    order = Window.partitionBy("conv_id").orderBy(F.asc_nulls_first("turn"), F.asc_nulls_first("role"), F.asc_nulls_first("text"))
-    numbered = rows.select("conv_id", "role", "text", tree.alias("tree"), F.row_number().over(order).alias("node"))
+    tree = F.coalesce(F.concat(F.lit("c"), F.col("conv_id").cast("string")), F.concat(F.lit("n"), F.monotonically_increasing_id().cast("string")))
+    rows = rows.withColumn("tree", tree)
+    order = Window.partitionBy("tree").orderBy(F.asc_nulls_first("turn"), F.asc_nulls_first("role"), F.asc_nulls_first("text"))
+    numbered = rows.select("conv_id", "role", "text", "tree", F.row_number().over(order).alias("node"))
     return numbered.withColumn("parent", F.when(F.col("node") > 1, F.col("node") - 1)).withColumn("score", F.lit(0.0))
 
 
 def digests(rows: DataFrame) -> DataFrame:
-    """One row per conversation, read back from the formatted text; an empty table gives none."""
+    """One row per conversation, read back from the formatted text; an empty table gives none.
+
+    Null role or text counts as empty, null turns come first, repeated rows are turns each, and a row
+    without conv_id is a conversation of its own. Only conv_id, turn, role and text are read.
+    """
+    with dropping():
+        return materialize(told_digests(rows.select("conv_id", "turn", "role", "text")), "digests", keep=True)
+
+
+def told_digests(rows: DataFrame) -> DataFrame:
     messages = materialize(conversations(rows), "messages")
     ids = messages.where("node = 1").select("tree", "conv_id")
     formatted = format_trees(messages.drop("conv_id")).join(ids, "tree")
@@ -144,10 +162,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE = r"""
 WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
            UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
-e AS (SELECT *, length(replace(replace(text, '\', '\b'), '<', '\l')) + length(replace(replace(replace(role, '\', '\b'), '<', '\l'), '>', '\g')) + 16 AS chars FROM r)
+e AS (SELECT *, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone, length(replace(replace(text, '\', '\b'), '<', '\l')) + length(replace(replace(replace(role, '\', '\b'), '<', '\l'), '>', '\g')) + 16 AS chars FROM r)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
        coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
        sum(chars)::BIGINT AS formatted_chars
-FROM e GROUP BY conv_id
+FROM e GROUP BY conv_id, alone
 """
