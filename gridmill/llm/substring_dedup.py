@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from gridmill.llm.common import pieces, table
+from gridmill.llm.common import dropping, materialize, pieces, table
 from gridmill.llm.units import Unit, answered, bucket_of, distinct_first, first_round, letters_of, mail, next_round, not_first, opened, pack, split, units_of, unpack
 from gridmill.llm.words import KEEP, run_hashes, word_hashes
 
@@ -53,7 +53,7 @@ def ask_repeated(unit: Unit, seq: Sequence, places: np.ndarray, n: int, buckets:
     low = keys.astype(np.uint32)  # a bucket holds few enough keys; what collides is one candidate more
     flags = np.zeros(len(seq.words), bool)
     flags[places] = True
-    return mail(unit.number, cuts, lambda a, b: low[a:b].tobytes(), pack(flags))
+    return mail(unit, cuts, lambda a, b: low[a:b].tobytes(), pack(flags))
 
 
 def elsewhere(units: list[int], letters: list[bytes]) -> list[bytes]:
@@ -112,6 +112,11 @@ def repeats(docs: DataFrame, words: int = WORDS, base: int = BASE_WORDS, keep_te
     before all others; rows with one doc_id are ordered as they are read. Documents shorter than a
     window stay whole. Columns besides doc_id and text are not read, an empty table gives none.
     """
+    with dropping():
+        return materialize(told_repeats(docs, words, base, keep_text), "removed-words", keep=True)
+
+
+def told_repeats(docs: DataFrame, words: int, base: int, keep_text: bool) -> DataFrame:
     units = units_of(docs)
     buckets = units.buckets
     if words < base or words % base or (words // base) & (words // base - 1):

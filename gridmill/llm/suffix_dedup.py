@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from gridmill.llm.common import buffers, table
+from gridmill.llm.common import buffers, dropping, materialize, table
 from gridmill.llm.units import Unit, answered, distinct_first, first_round, letters_of, next_round, not_first, opened, pack, ranked, split, units_of, unpack
 from gridmill.llm.units import bucket_of
 from gridmill.llm.words import mix, powers
@@ -185,6 +185,11 @@ def repeats(docs: DataFrame, keep_bytes: bool = False) -> DataFrame:
     before all others; rows with one doc_id are ordered as they are read. Texts under 100 bytes stay
     whole. Columns besides doc_id and text are not read, an empty table gives an empty result.
     """
+    with dropping():
+        return materialize(told_repeats(docs, keep_bytes), "removed-bytes", keep=True)
+
+
+def told_repeats(docs: DataFrame, keep_bytes: bool) -> DataFrame:
     units = units_of(docs)
     buckets = units.buckets
     phrases = answered(first_round(units, lambda unit: ask_phrases(unit, Parse(unit), buckets)), met_or_shared, "phrases")

@@ -1,29 +1,33 @@
 """Units of documents, and questions about keys that units ask each other.
 
-A unit is a run of documents of one input partition, written once to a table bucketed by unit, so
-that every later round reads it where it lies and no text is shuffled. In a round each unit sends its
-distinct keys, packed as arrays, to buckets of the key space; a bucket answers for each key how the
-key stands among all units, and the answers, a few bits a key, go back to the unit. Duplicates inside
-a unit are settled there, so a key of any frequency reaches its bucket once from each unit.
+A unit is a run of documents of one input partition with a bounded number of bytes; a text that is
+longer is a unit alone. Neighbouring units share a home, a run with about as many bytes as every other
+home, and all units are written once to a table bucketed by home, so that every later round reads them
+where they lie and no text is shuffled. In a round each unit sends its distinct keys, packed as arrays,
+to buckets of the key space; a bucket answers for each key how the key stands among all units, and the
+answers, a few bits a key, go back to the unit. Duplicates inside a unit are settled there, so a key of
+any frequency reaches its bucket once from each unit.
 """
 
 from __future__ import annotations
 
+import math
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridmill.llm.common import binary, materialize, scratch_path
+from gridmill.llm.common import binary, buffers, delete, drop_later, map_arrow, materialize, scratch_path
 
-#: Documents of a unit, as a power of two, and bytes of text for each bucket of the key space.
-UNIT_SHIFT, BUCKET_BYTES = 11, 32 << 20
-MAIL = "bucket long, unit long, data binary"
-MAIL_SCHEMA = pa.schema([("bucket", pa.int64()), ("unit", pa.int64()), ("data", pa.binary())])
+#: Bytes of text of a unit, of a home, and for each bucket of the key space; homes that a table may have.
+UNIT_BYTES, HOME_BYTES, BUCKET_BYTES, MOST_HOMES = 6 << 20, 48 << 20, 32 << 20, 100_000
+MAIL = "bucket long, home long, unit long, data binary"
+MAIL_SCHEMA = pa.schema([("bucket", pa.int64()), ("home", pa.int64()), ("unit", pa.int64()), ("data", pa.binary())])
 #: Stands for a null doc_id, which comes before all others.
 NO_ID = np.iinfo(np.int64).min
 
@@ -34,17 +38,51 @@ class Units:
     buckets: int
 
 
+def home_keys(spark: SparkSession, homes: int) -> list[int]:
+    """For each bucket of a table with ``homes`` buckets a number that Spark puts into it."""
+    tried = spark.range(int(homes * (math.log(homes) + 12)))
+    return [r.id for r in tried.groupBy(F.pmod(F.hash("id"), F.lit(homes)).alias("at")).agg(F.min("id").alias("id")).orderBy("at").collect()]
+
+
 def units_of(docs: DataFrame) -> Units:
-    """Writes (unit, row, doc_id, text) of ``docs`` as a table bucketed by unit."""
+    """Writes (home, unit, row, doc_id, text) of ``docs`` as a table bucketed by home.
+
+    The number of homes follows the bytes of all texts, and homes are dealt out to the buckets in turn.
+    """
     spark = docs.sparkSession
-    row = F.monotonically_increasing_id()
-    seen = Observation(f"bytes-{uuid.uuid4().hex}")
-    rows = docs.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).select(F.shiftright(row, UNIT_SHIFT).alias("unit"), row.alias("row"), "doc_id", "text")
-    rows = rows.observe(seen, F.sum(F.octet_length("text").cast("long")).alias("bytes"))
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name = f"units_{uuid.uuid4().hex}"
-    rows.write.bucketBy(partitions, "unit").sortBy("unit").option("compression", "zstd").option("path", scratch_path(spark, "units")).saveAsTable(name)
-    return Units(spark.table(name), max(4 * partitions, -(-(seen.get["bytes"] or 0) // BUCKET_BYTES)))
+    # The home stands for the unit as well, so both sides of a round may be placed by it alone.
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    told = texts.select(F.octet_length("text").cast("long").alias("n"), F.spark_partition_id().alias("part")).agg(F.sum("n").alias("bytes"), F.max("part").alias("last")).first()
+    total, partitions = told.bytes or 0, int(spark.conf.get("spark.sql.shuffle.partitions"))
+    homes = min(MOST_HOMES, max(partitions, -(-total // HOME_BYTES)))
+    keys, each = home_keys(spark, homes), max(1, -(-total // homes))
+    step = max(1, -(-homes // ((told["last"] or 0) + 1)))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        row = unit = home = in_unit = in_home = 0
+        for batch in batches:
+            sizes = np.diff(buffers(binary(batch.column(1)))[1]).tolist()
+            at, units = [], []
+            for size in sizes:
+                if in_home and in_home + size > each:
+                    home, unit, in_home, in_unit = home + 1, unit + 1, 0, 0
+                elif in_unit and in_unit + size > UNIT_BYTES:
+                    unit, in_unit = unit + 1, 0
+                in_home, in_unit = in_home + size, in_unit + size
+                at.append(keys[(part * step + home) % homes])
+                units.append(part << 33 | unit)
+            rows = np.arange(row, row + len(sizes)) + (part << 33)
+            row += len(sizes)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(units, pa.int64()), pa.array(rows), batch.column(0), batch.column(1)], names=["home", "unit", "row", "doc_id", "text"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = map_arrow(texts, place, f"home long, unit long, row long, doc_id {kind}, text string")
+    name, path = f"units_{uuid.uuid4().hex}", scratch_path(spark, "units")
+    rows.write.bucketBy(homes, "home").sortBy("home", "unit").option("compression", "zstd").option("path", path).saveAsTable(name)
+    drop_later(lambda: (spark.sql(f"DROP TABLE IF EXISTS {name}"), delete(spark, path)))
+    return Units(spark.table(name), max(4 * partitions, -(-total // BUCKET_BYTES)))
 
 
 class Unit:
@@ -54,7 +92,7 @@ class Unit:
         ids = table.column("doc_id").combine_chunks().cast(pa.int64()).fill_null(NO_ID)
         rows = table.column("row").combine_chunks()
         order = np.lexsort((rows.to_numpy(zero_copy_only=False), ids.to_numpy(zero_copy_only=False)))
-        self.number = table.column("unit")[0].as_py()
+        self.home, self.number = table.column("home")[0].as_py(), table.column("unit")[0].as_py()
         self.ids = ids.to_numpy(zero_copy_only=False)[order]
         self.doc_ids = table.column("doc_id").combine_chunks().take(pa.array(order))
         self.texts = binary(table.column("text")).take(pa.array(order))
@@ -65,11 +103,12 @@ def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
 
 
-def mail(unit: int, cuts: np.ndarray, parts: Callable[[int, int], bytes], state: bytes) -> pa.Table:
+def mail(unit: Unit, cuts: np.ndarray, parts: Callable[[int, int], bytes], state: bytes) -> pa.Table:
     """A letter to each bucket with keys, and the unit's state, which comes back with the answers."""
     full = np.flatnonzero(np.diff(cuts))
     data = [parts(int(cuts[b]), int(cuts[b + 1])) for b in full]
-    return pa.Table.from_arrays([pa.array([*full.tolist(), -1 - unit], pa.int64()), pa.array([unit] * (len(data) + 1), pa.int64()), pa.array([*data, state], pa.binary())], schema=MAIL_SCHEMA)
+    own = [pa.array([x] * (len(data) + 1), pa.int64()) for x in (unit.home, unit.number)]
+    return pa.Table.from_arrays([pa.array([*full.tolist(), -1 - unit.number], pa.int64()), *own, pa.array([*data, state], pa.binary())], schema=MAIL_SCHEMA)
 
 
 def answered(letters: DataFrame, answer: Callable[[list[int], list[bytes]], list[bytes]], label: str) -> DataFrame:
@@ -79,7 +118,7 @@ def answered(letters: DataFrame, answer: Callable[[list[int], list[bytes]], list
         if group.column("bucket")[0].as_py() < 0:
             return group
         told = answer(group.column("unit").to_pylist(), group.column("data").to_pylist())
-        return pa.Table.from_arrays([group.column("bucket"), group.column("unit"), pa.array(told, pa.binary())], schema=MAIL_SCHEMA)
+        return pa.Table.from_arrays([*(group.column(c) for c in ("bucket", "home", "unit")), pa.array(told, pa.binary())], schema=MAIL_SCHEMA)
 
     return materialize(letters.groupBy("bucket").applyInArrow(run, MAIL), label)
 
@@ -101,11 +140,11 @@ def unpack(data: bytes, n: int, at: int = 0) -> np.ndarray:
 
 
 def first_round(units: Units, ask: Callable[[Unit], pa.Table]) -> DataFrame:
-    return units.docs.groupBy("unit").applyInArrow(lambda t: ask(Unit(t)), MAIL)
+    return units.docs.groupBy("home", "unit").applyInArrow(lambda t: ask(Unit(t)), MAIL)
 
 
 def next_round(units: Units, answers: DataFrame, ask: Callable[[Unit, pa.Table], pa.Table], schema: str = MAIL) -> DataFrame:
-    return units.docs.groupBy("unit").cogroup(answers.groupBy("unit")).applyInArrow(lambda docs, told: ask(Unit(docs), told), schema)
+    return units.docs.groupBy("home", "unit").cogroup(answers.groupBy("home", "unit")).applyInArrow(lambda docs, told: ask(Unit(docs), told), schema)
 
 
 def letters_of(unit: Unit, key: np.ndarray, other: np.ndarray, doc: np.ndarray, buckets: int, state: bytes) -> pa.Table:
@@ -121,7 +160,7 @@ def letters_of(unit: Unit, key: np.ndarray, other: np.ndarray, doc: np.ndarray,
         return b"".join((np.array([b - a, len(change)], np.int64).tobytes(), self_ids[doc[a:b][change]].tobytes(), sizes.astype(np.int32).tobytes(), key[a:b].tobytes(), other[a:b].tobytes()))
 
     self_ids = unit.ids
-    return mail(unit.number, cuts, part, state)
+    return mail(unit, cuts, part, state)
 
 
 def read_letter(data: bytes, kind: type) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
