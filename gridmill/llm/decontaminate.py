@@ -10,14 +10,15 @@ others. The documents stay where they are; the tables travel in blocks of bounde
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from gridmill.llm.common import ascii_lower, binary, fresh, materialize, table
+from gridmill.llm.common import ascii_lower, binary, fresh, map_arrow, materialize, numbered, table
 
 WINDOW = 10
 #: Bytes of patterns in one broadcast; more patterns are searched in several blocks.
@@ -102,22 +103,6 @@ def parts_of(benchmark: DataFrame, most: int = TABLE_BYTES, size: int = WINDOW)
     return [found] if n == 1 else [found.where(F.pmod(F.xxhash64("window"), F.lit(n)) == k) for k in range(n)]
 
 
-def scan(texts: list[bytes], blocks: list) -> tuple[list[int], list[int], list[list[str]]]:
-    """Words, hit words and items with occurring windows of each text."""
-    split = [words_of(t) for t in texts]
-    covered: list[np.ndarray | None] = [None] * len(texts)
-    items: list[set[str]] = [set() for _ in texts]
-    for block in blocks:
-        for tables in block.value:
-            for i, words in enumerate(split):
-                for start, found in tables.search(words):
-                    if covered[i] is None:
-                        covered[i] = np.zeros(len(words), bool)
-                    covered[i][start : start + tables.length] = True
-                    items[i].update(found)
-    return [len(w) for w in split], [0 if c is None else int(c.sum()) for c in covered], [sorted(s) for s in items]
-
-
 def runs(texts: list[bytes], most: int = 2 << 20) -> Iterator[list[bytes]]:
     held: list[bytes] = []
     size = 0
@@ -148,90 +133,96 @@ def result(doc_id: pa.Array, n_words: list[int], n_hit: list[int], items: list[l
     )
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, most: int = TABLE_BYTES, size: int = WINDOW) -> DataFrame:
-    """One row per input row: doc_id, n_words, n_hit, n_items, items_sha256, items, contaminated.
+#: What an earlier pass found in a document: windows as (start, length), and items.
+HITS, ITEMS = "array<struct<start:int,length:int>>", "array<string>"
 
-    A null text has no words and no hits, an empty one neither. Repeated rows and null doc_ids are
-    judged like others; further columns are not read. An empty benchmark hits nothing, an empty
-    documents table gives an empty result.
-    """
-    parts = parts_of(benchmark, most, size)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    if len(parts) > 1:
-        return in_passes(docs, parts, kind)
-    sent = [docs.sparkSession.sparkContext.broadcast(tables_of(parts[0]))]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n_words, n_hit, items = [], [], []
-            for texts in runs(binary(batch.column(1)).to_pylist()):
-                for into, part in zip((n_words, n_hit, items), scan(texts, sent)):
-                    into += part
-            yield result(batch.column(0), n_words, n_hit, items)
-
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {RESULT}")
+def search(texts: list[bytes], tables: list[Tables]) -> Iterator[tuple[list[bytes], set[tuple[int, int]], set[str]]]:
+    """The words of each text, the (start, length) of its windows, and the items with occurring windows."""
+    for text in texts:
+        words = words_of(text)
+        found = [(start, t.length, items) for t in tables for start, items in t.search(words)]
+        yield words, {(start, n) for start, n, _ in found}, {x for *_, items in found for x in items}
 
 
-def in_passes(docs: DataFrame, parts: list[DataFrame], kind: str) -> DataFrame:
-    """The result of ``contamination`` for more windows than one broadcast may hold.
+def searched(docs: DataFrame, benchmark: DataFrame, finish: Callable[[pa.RecordBatch, list], pa.RecordBatch], schema: str | StructType, most: int, size: int) -> DataFrame:
+    """``finish`` of the batches of ``docs`` and, for each row, its words, windows and items.
 
-    Each part takes a pass of its own over the documents, its tables leave the executors before the
-    next one's come, and the passes' hits, rows for hit documents alone, are joined in the end.
+    A part of the benchmark takes one pass; its tables leave the executors before the next part's come.
+    Every pass but the last writes the hits of hit documents alone, by row number, and the last takes them up.
     """
     context, told = docs.sparkSession.sparkContext, None
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    for part in parts:
+    parts = parts_of(benchmark, most, size)
+    row, hits_name, items_name = (fresh(n, docs) for n in ("row", "hits", "items"))
+    rows = numbered(docs, row) if len(parts) > 1 else docs
+    for part in parts[:-1]:
         sent = context.broadcast(tables_of(part))
 
         def find(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                row, hits, items = [], [], []
-                for r, text in zip(batch.column(0).to_pylist(), binary(batch.column(1)).to_pylist()):
-                    words = words_of(text)
-                    found = [(s, t.length, i) for t in sent.value for s, i in t.search(words)]
-                    if found:
-                        row.append(r)
-                        hits.append(sorted({(s, n) for s, n, _ in found}))
-                        items.append(sorted({x for *_, i in found for x in i}))
-                places = pa.array([[{"start": s, "length": n} for s, n in h] for h in hits], pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())])))
-                yield pa.RecordBatch.from_pydict({"row": pa.array(row, pa.int64()), "hits": places, "items": pa.array(items, pa.list_(pa.string()))})
-
-        hit = materialize(rows.select("row", "text").mapInArrow(find, "row long, hits array<struct<start:int,length:int>>, items array<string>"), "hits")
+                number, hits, items = [], [], []
+                for texts in runs(binary(batch.column(1)).to_pylist()):
+                    for k, (_, places, found) in enumerate(search(texts, sent.value), len(number)):
+                        number.append(batch.column(0)[k].as_py())
+                        hits.append([{"start": s, "length": n} for s, n in places])
+                        items.append(list(found))
+                hit = pa.array([bool(h) for h in hits], pa.bool_())
+                places = pa.array(hits, pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())])))
+                yield pa.RecordBatch.from_arrays([pa.array(number, pa.int64()).filter(hit), places.filter(hit), pa.array(items, pa.list_(pa.string())).filter(hit)], names=["row", "hits", "items"])
+
+        hit = materialize(map_arrow(rows.select(row, "text"), find, f"row long, hits {HITS}, items {ITEMS}"), "hits")
         sent.unpersist(blocking=True)
         told = hit if told is None else told.unionByName(hit)
-    grouped = told.groupBy("row").agg(F.flatten(F.collect_list("hits")).alias("hits"), F.flatten(F.collect_list("items")).alias("items"))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    if told is None:
+        rows = rows.select(*docs.columns, F.lit(None).cast(HITS).alias(hits_name), F.lit(None).cast(ITEMS).alias(items_name))
+    else:
+        grouped = told.groupBy(F.col("row").alias(row)).agg(F.flatten(F.collect_list("hits")).alias(hits_name), F.flatten(F.collect_list("items")).alias(items_name))
+        rows = rows.join(grouped, row, "left").select(*docs.columns, hits_name, items_name)
+    sent = context.broadcast(tables_of(parts[-1]))
+    at = rows.columns.index("text")
+
+    def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = [len(words_of(t)) for t in binary(batch.column(2)).to_pylist()]
-            yield pa.RecordBatch.from_pydict({"row": batch.column(0), "doc_id": batch.column(1), "n": pa.array(n, pa.int64())})
+            found = [f for texts in runs(binary(batch.column(at)).to_pylist()) for f in search(texts, sent.value)]
+            for (_, places, items), hits, more in zip(found, batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
+                places |= {(h["start"], h["length"]) for h in hits or ()}
+                items |= set(more or ())
+            yield finish(batch, found)
 
-    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n_words = batch.column(1).to_pylist()
-            n_hit = [len({k for h in hits or () for k in range(h["start"], h["start"] + h["length"])}) for hits in batch.column(2).to_pylist()]
-            yield result(batch.column(0), n_words, n_hit, [sorted(set(i or ())) for i in batch.column(3).to_pylist()])
+    return map_arrow(rows, last, schema)
 
-    counted = rows.mapInArrow(count, f"row long, doc_id {kind}, n long")
-    return counted.join(grouped, "row", "left").select("doc_id", "n", "hits", "items").mapInArrow(settle, f"doc_id {kind}, {RESULT}")
+
+def contamination(docs: DataFrame, benchmark: DataFrame, most: int = TABLE_BYTES, size: int = WINDOW) -> DataFrame:
+    """One row per input row: doc_id, n_words, n_hit, n_items, items_sha256, items, contaminated.
+
+    A null text has no words and no hits, an empty one neither; a text of any length is searched whole.
+    Repeated rows and null doc_ids are judged like others; further columns are not read. An empty
+    benchmark hits nothing, an empty documents table gives an empty result.
+    """
+
+    def finish(batch: pa.RecordBatch, found: list) -> pa.RecordBatch:
+        n_hit = []
+        for words, places, _ in found:
+            covered = np.zeros(len(words) if places else 0, bool)
+            for start, n in places:
+                covered[start : start + n] = True
+            n_hit.append(int(covered.sum()))
+        return result(batch.column(0), [len(w) for w, *_ in found], n_hit, [sorted(i) for *_, i in found])
+
+    return searched(docs.select("doc_id", "text"), benchmark, finish, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {RESULT}", most, size)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents in which no benchmark window occurs."""
-    benchmark = table(spark, sf_dir, "benchmark")
-    parts = parts_of(benchmark)
-    if len(parts) > 1:
-        row, inner = fresh("row", docs), docs.select(F.monotonically_increasing_id().alias("doc_id"), "text")
-        gone = contamination(inner, benchmark).where("contaminated").select(F.col("doc_id").alias(row))
-        return docs.withColumn(row, F.monotonically_increasing_id()).join(gone, row, "left_anti").select(*docs.columns)
-    sent, at = [spark.sparkContext.broadcast(tables_of(parts[0]))], docs.columns.index("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            clean = [h == 0 for texts in runs(binary(batch.column(at)).to_pylist()) for h in scan(texts, sent)[1]]
-            yield batch.filter(pa.array(clean, pa.bool_()))
+    """Keeps the documents in which no benchmark window occurs, with all columns of ``docs``.
+
+    Null and empty texts hold none and stay; long texts are searched whole; repeated rows share their fate.
+    """
+
+    def finish(batch: pa.RecordBatch, found: list) -> pa.RecordBatch:
+        return batch.select(names).filter(pa.array([not places for _, places, _ in found], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    names = docs.columns
+    return searched(docs, table(spark, sf_dir, "benchmark"), finish, docs.schema, TABLE_BYTES, WINDOW)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
