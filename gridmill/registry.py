@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridmill.queries import analytics, buildings, community, districts, geometry, page, places, reports, rules, searches, texts
+from gridmill.queries import analytics, buildings, community, districts, geometry, page, places, reports, rollups, rules, searches, texts
 from gridmill.streaming import daily
 
 FLAGSHIP = "search_fused"
-MODULES: list = [searches, page, rules, analytics, community, places, geometry, texts, reports, districts, buildings, daily]
+MODULES: list = [searches, page, rules, analytics, community, places, geometry, texts, reports, districts, rollups, buildings, daily]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
