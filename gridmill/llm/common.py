@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import functools
+import gc
 import os
 import string
 import tempfile
@@ -104,6 +106,14 @@ def by_number(rows: DataFrame, numbers: DataFrame, name: str, how: str) -> DataF
     return rows.join(F.broadcast(numbers) if numbers.count() <= MOST_IDS else numbers, name, how)
 
 
+def give_back() -> None:
+    """Returns freed memory to the system; a worker lives on beside those of other stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without it keeps its memory
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """``mapInArrow`` with batches of at most about ARROW_BYTES, set for the session.
 
@@ -111,7 +121,12 @@ def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[
     at once, for every task and every step of a stage.
     """
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
-    return df.mapInArrow(run, schema)
+
+    def all_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return df.mapInArrow(all_of, schema)
 
 
 def fresh(name: str, *frames: DataFrame) -> str:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridmill.llm.common import binary, fresh, materialize, pieces, table
+from gridmill.llm.common import binary, by_number, dropping, fresh, map_arrow, materialize, numbered, pieces, table
 from gridmill.llm.components import components
 from gridmill.llm.words import mix, powers, shingle_sets
 
@@ -58,8 +58,8 @@ def bands_of(sig: np.ndarray) -> np.ndarray:
     return mix(total + np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
 
 
-def sketch(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(row, doc_id, n_shingles, digest, bands): digest names the whole set, bands are null for an empty one."""
+def sketch(rows: DataFrame, words: int = WORDS) -> DataFrame:
+    """(row, doc_id, n_shingles, digest, bands) of (row, doc_id, text): digest names the whole set, bands are null for an empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -80,9 +80,8 @@ def sketch(docs: DataFrame, words: int = WORDS) -> DataFrame:
                     }
                 )
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    return rows.mapInArrow(run, f"row long, doc_id {kind}, n_shingles long, digest binary, bands array<long>")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return map_arrow(rows.select("row", "doc_id", "text"), run, f"row long, doc_id {kind}, n_shingles long, digest binary, bands array<long>")
 
 
 def similar(pairs: DataFrame, percent: int, words: int = WORDS) -> DataFrame:
@@ -103,7 +102,7 @@ def similar(pairs: DataFrame, percent: int, words: int = WORDS) -> DataFrame:
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_pydict({"u": batch.column(0).filter(mask), "v": batch.column(1).filter(mask)})
 
-    return pairs.select("u", "v", "text_u", "text_v").mapInArrow(run, "u long, v long")
+    return map_arrow(pairs.select("u", "v", "text_u", "text_v"), run, "u long, v long")
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, percent: int, words: int) -> DataFrame:
@@ -112,23 +111,26 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int, words: int) -> Dat
     return similar(own.join(texts.select(F.col("node").alias("u"), F.col("text").alias("text_u")), "u"), percent, words)
 
 
-def link(docs: DataFrame, percent: int, words: int = WORDS) -> tuple[DataFrame, DataFrame]:
-    """(sketches, labels): a row per document, and (node, component) of the linked representatives."""
-    seen = materialize(sketch(docs, words), "sketches")
-    classes = seen.where("n_shingles > 0").groupBy("digest").agg(F.min(F.struct("row", "n_shingles", "bands")).alias("best"))
+def link(rows: DataFrame, percent: int, words: int = WORDS) -> tuple[DataFrame, DataFrame]:
+    """(sketches, labels) of (row, doc_id, text): a row per document, and (node, component) of the linked representatives."""
+    seen = materialize(sketch(rows, words), "sketches")
+    classes = materialize(seen.where("n_shingles > 0").groupBy("digest").agg(F.min(F.struct("row", "n_shingles", "bands")).alias("best")).drop("digest"), "classes")
     nodes = classes.select(F.col("best.row").alias("node"), F.col("best.n_shingles").alias("n"), F.explode("best.bands").alias("bucket"))
     # Sizes within the ratio lie in one step of its logarithm or in two neighbouring ones, so they share a band of two steps.
     step = F.floor(F.log("n") / (math.log(100 / percent) + 1e-9))
-    banded = nodes.withColumn("band", F.explode(F.array(step, step + 1)))
-    shared = banded.groupBy("bucket", "band").agg(F.min(F.struct("node", "n")).alias("centre"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    centre = shared.select("bucket", "band", F.col("centre.node").alias("u"), F.col("centre.n").alias("n_u"))
-    near = F.lit(100) * F.least("n", "n_u") >= F.lit(percent) * F.greatest("n", "n_u")
+    # One number names a bucket and a size band; a clash only adds an edge, which is confirmed like others.
+    banded = nodes.select("node", F.explode(F.array(F.xxhash64("bucket", step), F.xxhash64("bucket", step + 1))).alias("key"))
+    # The least of a struct is found by sorting, which spills; a hash table of mostly single keys would fill the heap.
+    centres = banded.groupBy("key").agg(F.min(F.struct("node")).alias("least"), F.count(F.lit(1)).alias("members")).where("members > 1").select("key", F.col("least.node").alias("u"))
+    stars = banded.join(centres, "key").where("node <> u").select("u", F.col("node").alias("v")).distinct()
+    sizes = classes.select(F.col("best.row").alias("node"), F.col("best.n_shingles").alias("n"))
+    n_u, n_v = (sizes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}")) for c in ("u", "v"))
     # Every edge of a star makes blocks; only one within the ratio can be a link.
-    edges = materialize(banded.join(centre, ["bucket", "band"]).where("node <> u").select("u", F.col("node").alias("v"), near.alias("near")).distinct(), "edges")
+    near = F.lit(100) * F.least("n_u", "n_v") >= F.lit(percent) * F.greatest("n_u", "n_v")
+    edges = materialize(stars.join(n_u, "u").join(n_v, "v").select("u", "v", near.alias("near")), "edges")
     pairs = edges.where("near").drop("near")
     wanted = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    rows = docs.select(F.monotonically_increasing_id().alias("node"), "text")
-    texts = materialize(rows.join(wanted, "node", "left_semi"), "texts")
+    texts = materialize(by_number(rows.select(F.col("row").alias("node"), "text"), wanted, "node", "left_semi"), "texts")
     links = materialize(confirm(pairs, texts, percent, words), "links")
     return seen, resolve(texts, edges.drop("near"), links, percent, words)
 
@@ -223,24 +225,36 @@ def shingles(rows: DataFrame, words: int) -> DataFrame:
                 values = np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)
                 yield pa.RecordBatch.from_arrays([*[batch.column(k).slice(i, j - i) for k in range(3)], pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], names=["block", "node", "size", "tokens"])
 
-    return rows.select("block", "node", "size", "text").mapInArrow(run, "block long, node long, size long, tokens array<long>")
+    return map_arrow(rows.select("block", "node", "size", "text"), run, "block long, node long, size long, tokens array<long>")
 
 
-def near_groups(docs: DataFrame, percent: int = 85, words: int = WORDS) -> DataFrame:
-    """One row per input row: row, doc_id, n_shingles, component_id, kept.
+def groups_of(rows: DataFrame, percent: int, words: int = WORDS) -> DataFrame:
+    """``near_groups`` of written rows (row, doc_id, text)."""
+    with dropping():
+        return materialize(told_groups(rows, percent, words), "groups", keep=True)
 
-    ``component_id`` is the smallest doc_id reachable over links; one row of it is kept. Documents
-    without words, null ones too, are linked with nothing and kept. A null doc_id is larger than all
-    others. Repeated rows are equal texts, of which one is kept. Only doc_id and text are read; an
-    empty table gives an empty result. Equal sets are one node, so copies of a text add no pairs.
-    """
-    seen, labels = link(docs, percent, words)
+
+def told_groups(rows: DataFrame, percent: int, words: int) -> DataFrame:
+    seen, labels = link(rows, percent, words)
     nodes = seen.where("n_shingles > 0").groupBy("digest").agg(F.min("row").alias("node"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"))
     labelled = nodes.join(labels, "node", "left").select("digest", "first", F.coalesce("component", "node").alias("component"))
     heads = labelled.groupBy("component").agg(F.min("first").alias("head"))
     told = labelled.join(heads, "component").select("digest", "head")
     out = seen.drop("bands").join(told, "digest", "left")
-    return out.select("row", "doc_id", "n_shingles", F.when(F.col("head").isNull(), F.col("doc_id")).otherwise(F.col("head.doc_id")).alias("component_id"), F.coalesce(F.col("row") == F.col("head.row"), F.lit(True)).alias("kept"))
+    component = F.when(F.col("head").isNull(), F.col("doc_id")).otherwise(F.col("head.doc_id"))
+    return out.select("row", "doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), F.coalesce(F.col("row") == F.col("head.row"), F.lit(True)).alias("head"))
+
+
+def near_groups(docs: DataFrame, percent: int = 85, words: int = WORDS) -> DataFrame:
+    """One row per input row: row, doc_id, n_shingles, component_id, kept, head.
+
+    ``component_id`` is the smallest doc_id reachable over links, and ``kept`` tells the rows with that
+    doc_id; of them, repeated rows or not, exactly one is the ``head``. Documents without words, null
+    ones too, are linked with nothing and heads. A null doc_id is larger than all others. Only doc_id
+    and text are read, texts of any length whole; an empty table gives an empty result. Equal sets are
+    one node, so copies of a text add no pairs.
+    """
+    return groups_of(numbered(docs.select("doc_id", "text")), percent, words)
 
 
 #: The stage takes the usual similarity of 0.8.
@@ -248,10 +262,14 @@ STAGE_PERCENT = 80
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates, with all columns of ``docs``."""
+    """Keeps one document of each group of near-duplicates, the ``head``, with all columns of ``docs``.
+
+    Nulls, empty and long texts, ties and repeated rows are judged as ``near_groups`` says.
+    """
     row = fresh("row", docs)
-    gone = near_groups(docs, STAGE_PERCENT).where(~F.col("kept")).select(F.col("row").alias(row))
-    return docs.withColumn(row, F.monotonically_increasing_id()).join(gone, row, "left_anti").select(*docs.columns)
+    held = numbered(docs, row)
+    gone = groups_of(held.select(F.col(row).alias("row"), "doc_id", "text"), STAGE_PERCENT).where(~F.col("head")).select(F.col("row").alias(row))
+    return by_number(held, gone, row, "left_anti").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
