@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from gridmill.llm import bpe, decontaminate, exact_dedup, language_id, near_dedup
-from gridmill.llm.common import materialize, table
+from gridmill.llm.common import dropping, materialize, table
 
 #: (name, function) in order. All but the last return the columns of documents, rows that they keep.
 STAGES = [
@@ -26,5 +26,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with dropping():
+            docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"), keep=True)
     return STAGES[-1][1](spark, docs, sf_dir)
