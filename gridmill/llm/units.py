@@ -56,7 +56,8 @@ def units_of(docs: DataFrame) -> Units:
     told = texts.select(F.octet_length("text").cast("long").alias("n"), F.spark_partition_id().alias("part")).agg(F.sum("n").alias("bytes"), F.max("part").alias("last")).first()
     total, partitions = told.bytes or 0, int(spark.conf.get("spark.sql.shuffle.partitions"))
     homes = min(MOST_HOMES, max(partitions, -(-total // HOME_BYTES)))
-    keys, each = home_keys(spark, homes), max(1, -(-total // homes))
+    # A home has a whole unit at least: small units would send each bucket as many letters with little in them.
+    keys, each = home_keys(spark, homes), max(UNIT_BYTES, -(-total // homes))
     step = max(1, -(-homes // ((told["last"] or 0) + 1)))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
