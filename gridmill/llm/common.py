@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import functools
 import gc
+import hashlib
 import os
 import string
 import tempfile
@@ -129,6 +130,37 @@ def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[
     return df.mapInArrow(all_of, schema)
 
 
+def sealed(rows: DataFrame, key: str, order: str, line: str, between: str, name: str) -> DataFrame:
+    """(key, ``name``): the SHA-256 in hex of each key's lines by ``order``, nulls first, with ``between`` between them.
+
+    Lines stream through in order; a task holds one batch, however many lines a key has. Null lines count as empty.
+    """
+    laid = rows.select(key, order, line).repartition(key).sortWithinPartitions(F.asc_nulls_first(key), F.asc_nulls_first(order)).select(key, F.coalesce(line, F.lit("")).alias(line))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, state = None, None
+        for batch in batches:
+            keys, lines = batch.column(0), batch.column(1).to_pylist()
+            values = keys.to_pylist()
+            cuts = [0, *(i for i in range(1, len(values)) if values[i] != values[i - 1]), len(values)]
+            done, hashes = [], []
+            for i, j in zip(cuts[:-1], cuts[1:]):
+                if i == j:
+                    continue
+                if state is not None and values[i] == held:
+                    state.update((between + between.join(lines[i:j])).encode())
+                    continue
+                if state is not None:
+                    done.append(held)
+                    hashes.append(state.hexdigest())
+                held, state = values[i], hashlib.sha256(between.join(lines[i:j]).encode())
+            yield pa.RecordBatch.from_arrays([pa.array(done, keys.type), pa.array(hashes, pa.string())], names=[key, name])
+        if state is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([held], keys.type), pa.array([state.hexdigest()], pa.string())], names=[key, name])
+
+    return map_arrow(laid, run, f"{key} {rows.schema[key].dataType.simpleString()}, {name} string")
+
+
 def fresh(name: str, *frames: DataFrame) -> str:
     """``name``, with underscores put before it until no column of ``frames`` has it."""
     taken = {c.lower() for df in frames for c in df.columns}
