@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridmill.llm import bpe, chat, decontaminate, exact_dedup, language_id, near_dedup, repair, secret_scan, sharding, substring_dedup, suffix_dedup
+from gridmill.llm import bpe, chat, decontaminate, exact_dedup, language_id, near_dedup, prefix_trie, repair, secret_scan, sharding, substring_dedup, suffix_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_near_dedup": near_dedup.query,
         "op10_bpe": bpe.query,
         "op11_repair": repair.query,
+        "op12_prefix_trie": prefix_trie.query,
     }
 
 
@@ -33,4 +34,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_exact_dedup": exact_dedup.ORACLE,
         "op6_substring_dedup": substring_dedup.ORACLE,
         "op11_repair": repair.oracle(),
+        "op12_prefix_trie": prefix_trie.ORACLE,
     }
