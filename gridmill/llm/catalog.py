@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridmill.llm import bpe, chat, decontaminate, exact_dedup, language_id, near_dedup, prefix_trie, repair, secret_scan, sharding, substring_dedup, suffix_dedup
+from gridmill.llm import bpe, chat, decontaminate, exact_dedup, language_id, license_scan, near_dedup, prefix_trie, repair, secret_scan, sharding, substring_dedup, suffix_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_bpe": bpe.query,
         "op11_repair": repair.query,
         "op12_prefix_trie": prefix_trie.query,
+        "op13_license_scan": license_scan.query,
     }
 
 
@@ -35,4 +36,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_substring_dedup": substring_dedup.ORACLE,
         "op11_repair": repair.oracle(),
         "op12_prefix_trie": prefix_trie.ORACLE,
+        "op13_license_scan": license_scan.oracle(),
     }
