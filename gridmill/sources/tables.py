@@ -15,13 +15,18 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 
-def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh folder in the shared checkpoint folder; a local session without one gets a folder of its own."""
+def home(spark: SparkSession) -> str:
+    """The shared checkpoint folder; a local session without one gets a folder of its own, a cluster its warehouse."""
     conf = spark.sparkContext.getConf()
     base = conf.get("spark.checkpoint.dir", None)
     if not base:
         base = os.path.join(tempfile.gettempdir(), "gridmill-scratch") if conf.get("spark.master", "").startswith("local[") else spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A fresh folder in ``home``."""
+    return f"{home(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
