@@ -139,6 +139,14 @@ def reach_deg(metres: float, lat: float = 40.7) -> tuple[float, float]:
     return 1.02 * metres / DEGREE_M, 1.02 * metres / (DEGREE_M * math.cos(math.radians(lat)))
 
 
+def widest_lng(lat: float, metres: float) -> float:
+    """Degrees of longitude that a circle around a point spans on each side; 180 if it holds a pole."""
+    angle = metres / EARTH_M
+    if abs(math.radians(lat)) + angle >= math.pi / 2:
+        return 180.0
+    return math.degrees(math.asin(math.sin(angle) / math.cos(math.radians(lat))))
+
+
 def rings_of_wkt(wkt: Column) -> Column:
     """Outer and inner rings, arrays of (lng, lat), of a POLYGON or MULTIPOLYGON in WKT."""
     rings = F.regexp_extract_all(wkt, F.lit(r"\(([^()]+)\)"), F.lit(1))

@@ -10,18 +10,56 @@ from pyspark.sql import functions as F
 from gridmill.functions import geo
 
 
+def columns_in(first: int, last: int, tall: float, metres: float) -> int:
+    """How many cells the bands of latitude ``first`` to ``last`` have around the globe, each as wide as the radius is anywhere near them."""
+    farthest = min(90.0, max(abs(first - 1), abs(last + 2)) * tall)
+    half = math.sin(min(math.pi / 2, metres / geo.EARTH_M / 2)) / max(math.cos(math.radians(farthest)), 1e-12)
+    return 1 if half >= 1 else max(1, math.floor(360 / (1.001 * math.degrees(2 * math.asin(half)))))
+
+
 def columns_of(band: Column, tall: float, metres: float) -> Column:
-    """How many cells a band of latitude has around the globe, each as wide as the radius is anywhere near it."""
-    farthest = F.least(F.lit(90.0), F.greatest(F.abs(band - 1), F.abs(band + 2)) * tall)
-    half = math.sin(min(math.pi / 2, metres / geo.EARTH_M / 2)) / F.greatest(F.cos(F.radians(farthest)), F.lit(1e-12))
-    width = F.when(half >= 1, 360.0).otherwise(1.001 * F.degrees(2 * F.asin(F.least(half, F.lit(1.0)))))
-    return F.greatest(F.lit(1), F.floor(360 / width))
+    """How many cells a band has around the globe. Bands of one degree share the number, so some 200 stand in a list."""
+    together = max(1, int(1 / tall))
+    last = math.ceil(90 / tall / together) + 2
+    listed = [columns_in(g * together, (g + 1) * together - 1, tall, metres) for g in range(-last, last + 1)]
+    return F.get(F.lit(listed), (F.floor(band / together) + last).cast("int"))
 
 
 def column_of(lng: Column, columns: Column) -> Column:
     return F.least(columns - 1, F.floor(F.pmod(lng + 180, F.lit(360.0)) / 360 * columns))
 
 
+def cell_number(band: Column, column: Column) -> Column:
+    """A band and a column of it as one number."""
+    return band.cast("long") * (1 << 32) + column.cast("long")
+
+
+def height_of(metres: float) -> float:
+    """Degrees of a band that is a little taller than a radius."""
+    return 1.02 * metres / geo.DEGREE_M
+
+
+def cells_near(df: DataFrame, metres: float, at: tuple[str, str]) -> DataFrame:
+    """``df``, but for rows without a place, with ``_cells``: the cells that may hold what is within ``metres``."""
+    tall = height_of(metres)
+    placed = df.where(F.col(at[0]).isNotNull() & F.col(at[1]).isNotNull()).withColumn("_y", geo.cell(F.col(at[0]), tall))
+    placed = placed.withColumns({f"_n{dy + 1}": columns_of(F.col("_y") + dy, tall, metres) for dy in (-1, 0, 1)})
+
+    def near(dy: int) -> Column:
+        n = F.col(f"_n{dy + 1}")
+        x = column_of(F.col(at[1]), n)
+        return F.transform(F.array(*[F.pmod(x + dx, n) for dx in (-1, 0, 1)]), lambda c: cell_number(F.col("_y") + dy, c))
+
+    return placed.withColumn("_cells", F.array_distinct(F.concat(*map(near, (-1, 0, 1))))).drop("_y", "_n0", "_n1", "_n2")
+
+
+def cell_of_own(df: DataFrame, metres: float, at: tuple[str, str]) -> DataFrame:
+    """``df`` with ``_cell``, the cell that a row lies in; null without a place."""
+    tall = height_of(metres)
+    band = geo.cell(F.col(at[0]), tall)
+    return df.withColumn("_cell", cell_number(band, column_of(F.col(at[1]), columns_of(band, tall, metres))))
+
+
 def cell_join(left: DataFrame, right: DataFrame, metres: float, at_left: tuple[str, str], at_right: tuple[str, str]) -> DataFrame:
     """All pairs within ``metres``, with their distance ``dist_m``; columns of both sides must differ.
 
@@ -30,20 +68,10 @@ def cell_join(left: DataFrame, right: DataFrame, metres: float, at_left: tuple[s
     an equi-join on the cell does the rest, so no row meets rows beyond its neighbourhood, and AQE
     splits crowded cells.
     """
-    tall = 1.02 * metres / geo.DEGREE_M
     (lat1, lng1), (lat2, lng2) = at_left, at_right
-
-    def near(dy: int) -> Column:
-        band = geo.cell(F.col(lat1), tall) + dy
-        n = columns_of(band, tall, metres)
-        x = column_of(F.col(lng1), n)
-        return F.transform(F.array_distinct(F.array(*[F.pmod(x + dx, n) for dx in (-1, 0, 1)])), lambda c: F.struct(band.alias("y"), c.alias("x")))
-
-    spread = left.where(F.col(lat1).isNotNull() & F.col(lng1).isNotNull()).withColumn("_cell", F.explode(F.concat(*map(near, (-1, 0, 1)))))
-    band = geo.cell(F.col(lat2), tall)
-    keyed = right.withColumn("_y", band).withColumn("_x", column_of(F.col(lng2), columns_of(band, tall, metres)))
-    pairs = spread.join(keyed, (F.col("_cell.y") == F.col("_y")) & (F.col("_cell.x") == F.col("_x")))
-    return pairs.drop("_cell", "_y", "_x").withColumn("dist_m", geo.haversine(F.col(lat1), F.col(lng1), F.col(lat2), F.col(lng2))).where(F.col("dist_m") <= metres)
+    spread = cells_near(left, metres, at_left).withColumn("_cell", F.explode("_cells")).drop("_cells")
+    pairs = spread.join(cell_of_own(right, metres, at_right), "_cell").drop("_cell")
+    return pairs.withColumn("dist_m", geo.haversine(F.col(lat1), F.col(lng1), F.col(lat2), F.col(lng2))).where(F.col("dist_m") <= metres)
 
 
 def nearest(left: DataFrame, right: DataFrame, metres: float, at_left: tuple[str, str], at_right: tuple[str, str], key: str, tie: str, k: int = 1) -> DataFrame:

@@ -36,9 +36,19 @@ PLACES = 9
 class Blocks(NamedTuple):
     spark: SparkSession
     path: str
+    #: Names and types of the id and of what hits carry.
+    fields: tuple[tuple[str, str], ...]
 
-    def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}")
+    def vectors(self) -> DataFrame:
+        lists = ", ".join(f"{n} array<{t}>" for n, t in self.fields)
+        return self.spark.read.schema(f"angle double, units binary, {lists}, block int").parquet(f"{self.path}/vectors")
+
+    def blocks(self) -> DataFrame:
+        return self.spark.read.schema("block int, angle double, n long, centroid array<double>").parquet(f"{self.path}/blocks")
+
+
+def fields_of(vectors: DataFrame, carried: list[str]) -> tuple[tuple[str, str], ...]:
+    return tuple((n, vectors.schema[n].dataType.simpleString()) for n in ("id", *carried))
 
 
 def matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -82,7 +92,8 @@ def build(vectors: DataFrame, path: str, carried: list[str], blocks: int | None
     c = centroids_of(matrix(column, width), blocks)
     sent = spark.sparkContext.broadcast(c)  # at most MOST_BLOCKS rows
     types = {name: to_arrow_type(vectors.schema[name].dataType) for name in ("id", *carried)}
-    ddl = {name: vectors.schema[name].dataType.simpleString() for name in types}
+    index = Blocks(spark, path, fields_of(vectors, carried))
+    ddl = dict(index.fields)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = sent.value
@@ -109,11 +120,10 @@ def build(vectors: DataFrame, path: str, carried: list[str], blocks: int | None
     laid = told.repartitionByRange("block", "id").sortWithinPartitions("block", "id")
     laid.mapInArrow(pack, "block int, angle double, units binary, " + ", ".join(f"{n} array<{t}>" for n, t in ddl.items())).write.partitionBy("block").parquet(f"{path}/vectors")
     sent.unpersist()
-    stored = spark.read.parquet(f"{path}/vectors")
-    sizes = stored.groupBy("block").agg(F.max("angle").alias("angle"), F.sum(F.size("id")).alias("n"))
+    sizes = index.vectors().groupBy("block").agg(F.max("angle").alias("angle"), F.sum(F.size("id")).alias("n"))
     middles = spark.createDataFrame([(k, [float(x) for x in row]) for k, row in enumerate(c)] + [(len(c), [0.0] * width)], "block int, centroid array<double>")
     sizes.join(F.broadcast(middles), "block").write.parquet(f"{path}/blocks")
-    return Blocks(spark, path)
+    return index
 
 
 def bounds(queries: DataFrame, blocks: DataFrame, k: int, floor: bool) -> DataFrame:
@@ -124,7 +134,7 @@ def bounds(queries: DataFrame, blocks: DataFrame, k: int, floor: bool) -> DataFr
     """
     table = blocks.toArrow()
     numbers, width, n = (table.column(c).to_numpy() for c in ("block", "angle", "n"))
-    c = np.array(table.column("centroid").to_pylist(), float).reshape(len(numbers), -1)
+    c = np.array(table.column("centroid").to_pylist(), float).reshape(len(numbers), -1) if len(numbers) else np.zeros((0, 0))
     sent = queries.sparkSession.sparkContext.broadcast((numbers, width, n, c))
     kind = queries.schema["query_id"].dataType
 
@@ -135,6 +145,8 @@ def bounds(queries: DataFrame, blocks: DataFrame, k: int, floor: bool) -> DataFr
             ids, qs, out = batch.column("query_id").to_pylist(), batch.column("q").to_pylist(), ([], [], [])
             floors = batch.column("floor").to_pylist() if floor else [None] * len(ids)
             for i, q, least in zip(ids, qs, floors):
+                if not len(numbers):
+                    break
                 v = np.frombuffer(q)
                 bound = np.cos(np.maximum(0, np.arccos(np.clip(c @ v, -1, 1)) - width - SLACK)) + SLACK
                 bound[zero | ~v.any()] = SLACK
@@ -153,8 +165,8 @@ def bounds(queries: DataFrame, blocks: DataFrame, k: int, floor: bool) -> DataFr
 
 def measured(index: Blocks, pairs: DataFrame, k: int) -> DataFrame:
     """(query_id, cos, id, carried ...): up to k of each row of vectors that a query's blocks have."""
-    vectors = index.table("vectors")
-    names = [c for c in vectors.columns if c not in ("block", "angle", "units")]
+    vectors = index.vectors()
+    names = [n for n, _ in index.fields]
     asked = [r.block for r in pairs.select("block").distinct().collect()]  # MOST_BLOCKS at most
     kind = pairs.schema["query_id"].dataType
     grouped = pairs.withColumn("lot", F.pmod(F.xxhash64("query_id"), F.lit(1 << 20))).withColumn("lot", F.floor(F.row_number().over(Window.partitionBy("block").orderBy("lot", "query_id")) / TOGETHER))
@@ -210,7 +222,7 @@ class Found(NamedTuple):
 
 def nearest(index: Blocks, queries: DataFrame, k: int) -> Found:
     """The k vectors most like each query (query_id unique, q), by likeness in nine places, then by id: the same as a scan finds."""
-    blocks = index.table("blocks")
+    blocks = index.blocks()
     one = blocks.select(F.size("centroid").alias("w")).first()
     asked = stored(unit_queries(queries, one.w if one else 0), "asked")
     first = stored(bounds(asked, blocks, k, False), "first-blocks")
@@ -225,4 +237,4 @@ def nearest(index: Blocks, queries: DataFrame, k: int) -> Found:
 
 def opened(name: str, vectors: DataFrame, carried: list[str]) -> Blocks:
     path = index_store.opened(name, [vectors], f"vectors {MOST_BLOCKS} {SAMPLE} {CHUNK} {','.join(carried)}", lambda p: build(vectors, p, carried))
-    return Blocks(vectors.sparkSession, path)
+    return Blocks(vectors.sparkSession, path, fields_of(vectors, carried))

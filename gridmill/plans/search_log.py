@@ -11,6 +11,7 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from gridmill.functions import ranking as R
 from gridmill.functions import text as T
@@ -20,9 +21,14 @@ from gridmill.sources import index_store
 from gridmill.sources.tables import stored
 
 
+CARRIED = ["name", "fame"]
+
+
 class Corpus(NamedTuple):
     spark: SparkSession
     path: str
+    fields: tuple[tuple[str, str], ...]
+    schema: StructType
 
     @property
     def names(self) -> postings.Postings:
@@ -30,28 +36,32 @@ class Corpus(NamedTuple):
 
     @property
     def vectors(self) -> vector_blocks.Blocks:
-        return vector_blocks.Blocks(self.spark, f"{self.path}/vectors")
+        return vector_blocks.Blocks(self.spark, f"{self.path}/vectors", self.fields)
 
     @property
     def famous(self) -> vector_blocks.Blocks:
-        return vector_blocks.Blocks(self.spark, f"{self.path}/famous")
+        return vector_blocks.Blocks(self.spark, f"{self.path}/famous", self.fields)
 
     @property
     def rows(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/rows")
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/rows")
 
 
 def build(rows: DataFrame, path: str) -> None:
     """Stores a corpus (id unique, name, embedding, fame) in a new folder."""
     postings.build(rows.select("name"), f"{path}/names")
-    vector_blocks.build(rows, f"{path}/vectors", ["name", "fame"])
-    vector_blocks.build(fusion.top(rows, FAMOUS, F.col("fame"), "id"), f"{path}/famous", ["name", "fame"], blocks=1)
-    bucket = postings.bucket_of(F.col("name"), postings.BUCKETS)
-    postings.write(rows.select("id", "name", "fame", "embedding", bucket.alias("bucket")), f"{path}/rows", "name", "id")
+    vector_blocks.build(rows, f"{path}/vectors", CARRIED)
+    vector_blocks.build(fusion.top(rows, FAMOUS, F.col("fame"), "id"), f"{path}/famous", CARRIED, blocks=1)
+    postings.write(by_name(rows), f"{path}/rows", "name", "id")
+
+
+def by_name(rows: DataFrame) -> DataFrame:
+    return rows.select("id", "name", "fame", "embedding", postings.bucket_of(F.col("name"), postings.BUCKETS).alias("bucket"))
 
 
 def opened(name: str, rows: DataFrame) -> Corpus:
-    return Corpus(rows.sparkSession, index_store.opened(name, [rows], f"corpus {postings.BUCKETS} {FAMOUS}", lambda path: build(rows, path)))
+    path = index_store.opened(name, [rows], f"corpus {postings.BUCKETS} {FAMOUS}", lambda p: build(rows, p))
+    return Corpus(rows.sparkSession, path, vector_blocks.fields_of(rows, CARRIED), by_name(rows).schema)
 
 
 def first_rows(df: DataFrame, n: int, *order: F.Column) -> DataFrame:

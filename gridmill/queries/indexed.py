@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridmill.operators import postings, vector_blocks
+from gridmill.functions import geo
+from gridmill.operators import placed, postings, vector_blocks
 from gridmill.plans import search_log as log
-from gridmill.queries.base import load
+from gridmill.queries import places
+from gridmill.queries.base import lat, lng, load
 from gridmill.queries.searches import JACCARD, grams, whole_corpus
 from gridmill.sources import index_store
 
@@ -54,10 +56,36 @@ def search_log(spark: SparkSession, d: str) -> DataFrame:
     return found.select("query_id", "nth", "id", F.round("cos", 4).alias("cos"), F.round("lex", 4).alias("lex"), F.round("score", 4).alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (names_by_postings, vector_nearest, search_log)}
+def radius_stored(spark: SparkSession, d: str) -> DataFrame:
+    """Parts within 3 km of a point, from rows stored along a Z-order; the box reaches the scan."""
+    part = load(spark, d, "part")
+    rows = part.select("p_partkey", lat("p_partkey").alias("lat"), lng("p_partkey").alias("lng"))
+    path = index_store.opened("places", [part], f"z {placed.BITS} {placed.GROUP_BYTES}", lambda p: placed.write_along(rows, p))
+    found = placed.within(spark.read.parquet(path), places.AT_LAT, places.AT_LNG, 3000)
+    return found.select("p_partkey", F.round("dist_m", 1).alias("dist_m"))
+
+
+def block_context_stored(spark: SparkSession, d: str) -> DataFrame:
+    """What stands out of its neighbours within 1 km, over two tables bucketed by cell."""
+    own, other = places.block_sides(spark, d)
+    pairs = placed.pairs(placed.opened_pair("blocks", own, other, 1000, ("lat", "lng"), ("lat2", "lng2")))
+    return places.contrasts(pairs)
+
+
+def polygons_stored(spark: SparkSession, d: str) -> DataFrame:
+    """Which supplier's square each part lies in, over two tables bucketed by cell."""
+    squares = places.places(spark, d, "supplier", "s_suppkey", "2").withColumn("ring", places.square(F.col("lat2"), F.col("lng2"), 0.0041))
+    pairs = placed.pairs(placed.opened_pair("squares", places.places(spark, d, "part", "p_partkey"), squares, 700, ("lat", "lng"), ("lat2", "lng2")))
+    return pairs.where(geo.in_ring(F.col("lat"), F.col("lng"), F.col("ring"))).select("p_partkey", "s_suppkey")
+
+
+QUERIES = {f.__name__: f for f in (names_by_postings, vector_nearest, search_log, radius_stored, block_context_stored, polygons_stored)}
 
 WORD = f"list_max(flatten(list_transform(range(1, len(t) + 1), lambda a: list_transform(range(a, len(t) + 1), lambda b: {JACCARD.format('q', 'list_distinct(t[a:b])')}))))"
 ORACLE = {
+    "radius_stored": places.ORACLE["radius_filter"],
+    "block_context_stored": places.ORACLE["block_context"],
+    "polygons_stored": places.ORACLE["point_in_polygon"],
     "search_log": f"""WITH c AS (SELECT e.vec_id AS id, coalesce(p_name, '') AS name, embedding::DOUBLE[] AS v, p_retailprice / (SELECT max(p_retailprice) FROM part) AS fame FROM embeddings e LEFT JOIN part ON p_partkey = e.vec_id % (SELECT count(*) FROM part)),
         a AS (SELECT id AS qid, left(name, 3) || substr(name, 5) AS query, v AS qv FROM c WHERE id % {ASKED} = 0),
         g AS (SELECT query, name, list_distinct({grams('query')}) AS q, {grams('name')} AS t FROM (SELECT DISTINCT query FROM a), (SELECT DISTINCT name FROM c)),

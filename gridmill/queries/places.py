@@ -39,17 +39,27 @@ def nearest_structure(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select("c_custkey", "p_partkey", F.round("dist_m", 2).alias("dist_m"))
 
 
-def block_context(spark: SparkSession, d: str) -> DataFrame:
-    """Neighbours of each supplier within 1 km: how many, mean year, tallest, and what stands out."""
+def block_sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Suppliers with year and height, and parts as what stands around them."""
     own = load(spark, d, "supplier").select("s_suppkey", lat("s_suppkey").alias("lat"), lng("s_suppkey").alias("lng"), (1850 + F.col("s_suppkey") * 7 % 150).alias("year"), (10 + F.col("s_suppkey") * 13 % 400).alias("height"))
     other = load(spark, d, "part").select("p_partkey", lat("p_partkey").alias("lat2"), lng("p_partkey").alias("lng2"), (1650 + F.col("p_partkey") * 11 % 370).alias("year2"), (F.col("p_size") * 5).alias("height2"))
-    pairs = spatial.cell_join(own, other, 1000, ("lat", "lng"), ("lat2", "lng2")).where("s_suppkey <> p_partkey")
-    told = pairs.groupBy("s_suppkey", "year", "height").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.when(F.col("year2") > 1700, F.col("year2"))), 2).alias("mean_year"), F.min(F.when(F.col("year2") > 1700, F.col("year2"))).alias("oldest"), F.max("height2").alias("tallest"))
+    return own, other
+
+
+def contrasts(pairs: DataFrame) -> DataFrame:
+    """What is told of each supplier and its neighbours."""
+    told = pairs.where("s_suppkey <> p_partkey").groupBy("s_suppkey", "year", "height").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.when(F.col("year2") > 1700, F.col("year2"))), 2).alias("mean_year"), F.min(F.when(F.col("year2") > 1700, F.col("year2"))).alias("oldest"), F.max("height2").alias("tallest"))
     gap = F.col("year") - F.col("mean_year")
     said = F.concat_ws("; ", F.when((F.col("n") >= 5) & (F.abs(gap) >= 20), F.when(gap > 0, "newer than its block").otherwise("older than its block")), F.when(F.col("height") > 1.5 * F.col("tallest"), "towers over its block"))
     return told.select("s_suppkey", "n", "mean_year", "oldest", "tallest", said.alias("contrast"))
 
 
+def block_context(spark: SparkSession, d: str) -> DataFrame:
+    """Neighbours of each supplier within 1 km: how many, mean year, tallest, and what stands out."""
+    own, other = block_sides(spark, d)
+    return contrasts(spatial.cell_join(own, other, 1000, ("lat", "lng"), ("lat2", "lng2")))
+
+
 def neighbour_stories(spark: SparkSession, d: str) -> DataFrame:
     """Up to four neighbours of each supplier, those with a story first, then the nearest."""
     own = places(spark, d, "supplier", "s_suppkey")

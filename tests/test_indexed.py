@@ -96,10 +96,16 @@ def test_vector_blocks_find_what_a_scan_finds_and_skip_blocks(spark, tmp_path):
             order = np.lexsort((np.arange(len(cos)), -cos))[:k]
             assert [x for x, _ in hits[i]] == order.tolist()
         assert 91 not in hits
-        read, blocks = got.read.count(), index.table("blocks").count()
+        read, blocks = got.read.count(), index.blocks().count()
         assert read < 0.2 * blocks * 13 or k > 7
 
 
+def test_no_vectors(spark, tmp_path):
+    none = spark.createDataFrame([], "id long, embedding array<double>")
+    index = vector_blocks.build(none, str(tmp_path / "v"), [])
+    assert vector_blocks.nearest(index, spark.createDataFrame([(1, [1.0])], "query_id int, q array<double>"), 3).hits.count() == 0
+
+
 def test_an_index_is_built_once_for_its_files(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(index_store, "home", lambda _: str(tmp_path / "home"))
     spark.range(3).write.parquet(str(tmp_path / "in"))
