@@ -8,8 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridmill.functions import ranking as R
-from gridmill.plans import search
+from gridmill.operators import postings
+from gridmill.plans import pages
 from gridmill.queries.base import HAVERSINE, lat, lng, load
+from gridmill.sources import index_store
+from gridmill.sources.tables import stored
 
 #: Searches, one of each kind of intent: a place, a name, an address, an architect, a style, a lost place.
 SEARCHES = {"art deco bar": "poi", "Red Widget": "name", "12 red widget": "address", "gilbert architect": "architect", "gothic towers": "style", "demolished theaters": "lore"}
@@ -46,20 +49,19 @@ def corpus(spark: SparkSession, d: str, name: str, vectors: DataFrame, n: int) -
     return rows.join(vectors, "v").drop("v")
 
 
-def answer(spark: SparkSession, d: str, query: str) -> DataFrame:
-    asked, legs = search.understood(spark, query), {}
+def unified_page(spark: SparkSession, d: str) -> DataFrame:
+    """The pages of all searches in one run, with every term of the score."""
     vectors = load(spark, d, "embeddings").select(F.col("vec_id").alias("v"), "embedding")
     n, vector = vectors.count(), vectors.where("v = 1").select(F.col("embedding").alias("q"))
-    for name in LEGS:
-        rows = search.within(corpus(spark, d, name, vectors, n), asked.intent, *AT, RADIUS)
-        fame = search.LEG_FAME if name == "buildings" and asked.intent in R.FAME_INTENTS else 0.0
-        legs[name] = search.leg(rows.select("id", "name", "embedding", "fame"), F.lit(query), vector, LEG_ROWS, fame=fame).select("id", "score").join(rows.drop("embedding"), "id")
-    return search.page(legs, query, asked, PAGE_ROWS)
-
-
-def unified_page(spark: SparkSession, d: str) -> DataFrame:
-    """The page of each search, with every term of the score."""
-    return reduce(DataFrame.unionByName, [answer(spark, d, q).withColumn("query", F.lit(q)) for q in SEARCHES])
+    said = spark.createDataFrame([(q,) for q in SEARCHES], "query string").join(F.broadcast(vector))
+    asked = stored(pages.understood(said.select(F.col("query").alias("query_id"), "query", "q", *(F.lit(x).alias(c) for x, c in zip((*AT, RADIUS), ("lat", "lng", "metres"))))), "asked")
+    sources = {name: corpus(spark, d, name, vectors, n) for name in LEGS}
+    rows = {name: stored(source, "corpus") for name, source in sources.items()}
+    names = reduce(DataFrame.unionByName, [r.select("name") for r in rows.values()])
+    index = index_store.opened("page", list(sources.values()), f"{postings.BUCKETS} {VENUES} {LAYERS}", lambda path: postings.build(names, path))
+    like = pages.likenesses(postings.Postings(spark, index), asked)
+    found = {name: pages.legs(r, like, asked, LEG_ROWS, name == "buildings") for name, r in rows.items()}
+    return pages.pages(found, asked, PAGE_ROWS).withColumnRenamed("query_id", "query")
 
 
 QUERIES = {"unified_page": unified_page}
