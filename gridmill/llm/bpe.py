@@ -1,13 +1,12 @@
-"""Byte-level BPE by corpus-level merge replay.
-
-The distinct words of a block of documents form a small corpus. An inverted index leads from each
-pair of neighbouring tokens, named by the rank of its merge, to the places where it stands. A round
-takes from the index, for every word, its lowest rank and there the first place, applies these merges
-all at once, and indexes only the neighbours that they touch anew. Merges of different words never
-meet, so each word sees its merges one by one in rank order, and ends as it would alone. The index is
-a few arrays, so a round is a few array operations for all words. A word of many bytes would need as
-many rounds; such words share a second index, in which a heap hands out the ranks in order. Ranks are
-a broadcast of fixed size; the documents never move.
+"""Byte-level BPE by merge replay over all distinct words of a block at once.
+
+Words of more than LONG bytes are replayed as a corpus: an inverted index leads from the rank of each
+pair's merge to the places where the pair stands, a heap hands out the ranks in order, and only the
+neighbours that a merge touches are posted anew. For the many short words that index costs three times
+as much as arrays (figures in the README), so they advance in rounds: a round finds the lowest rank of
+every word among the places that are left, applies these merges all at once, and ranks only the
+neighbours that they touch anew. Merges of different words never meet, so each word sees its own merges
+one by one as it would alone. Ranks are a broadcast of fixed size; the documents never move.
 """
 
 from __future__ import annotations

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import ctypes
 import functools
 import gc
@@ -48,8 +49,8 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-#: For each open ``dropping`` block what it has to delete, the innermost block last.
-OPEN: list[list[Callable[[], object]]] = []
+#: For each open ``dropping`` block of this thread or task what it has to delete, the innermost block last.
+OPEN: contextvars.ContextVar[tuple[list[Callable[[], object]], ...]] = contextvars.ContextVar("OPEN", default=())
 
 
 @contextlib.contextmanager
@@ -58,18 +59,29 @@ def dropping() -> Iterator[None]:
 
     What leaves the block must not read them any more: it is written inside, with ``keep``.
     """
-    OPEN.append([])
+    mine: list[Callable[[], object]] = []
+    before = OPEN.set((*OPEN.get(), mine))
     try:
         yield
     finally:
-        for drop in OPEN.pop():
+        OPEN.reset(before)
+        for drop in mine:
             drop()
 
 
 def drop_later(drop: Callable[[], object], keep: bool = False) -> None:
     """Hands a deletion to the innermost open block, or with ``keep`` to the one around it; without one nothing is deleted."""
-    if len(OPEN) > keep:
-        OPEN[-1 - keep].append(drop)
+    blocks = OPEN.get()
+    if len(blocks) > keep:
+        blocks[-1 - keep].append(drop)
+
+
+def set_for_block(spark: SparkSession, key: str, value: str) -> None:
+    """Sets an option of the session until the innermost ``dropping`` block ends; without one it stays set, as a result that is still to run needs it."""
+    before = spark.conf.get(key, None)
+    if before != value:
+        spark.conf.set(key, value)
+        drop_later(lambda: spark.conf.unset(key) if before is None else spark.conf.set(key, before))
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -116,12 +128,12 @@ def give_back() -> None:
 
 
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
-    """``mapInArrow`` with batches of at most about ARROW_BYTES, set for the session.
+    """``mapInArrow`` with batches of at most about ARROW_BYTES, as ``set_for_block`` sets it.
 
     Spark's own bound is 64 MB and 10,000 rows; a batch stands in the executor and in its Python worker
     at once, for every task and every step of a stage.
     """
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    set_for_block(df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
     def all_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)

@@ -73,6 +73,13 @@ def rebalance(slot_map: dict[int, int], slot_bytes: dict[int, int], shards: int)
     return new
 
 
+def settled(slot_map: dict[int, int], slot_bytes: dict[int, int], shards: int) -> dict[int, int]:
+    """The map rebalanced until nothing moves any more; every move brings two shards nearer, so that comes."""
+    while (new := rebalance(slot_map, slot_bytes, shards)) != slot_map:
+        slot_map = new
+    return slot_map
+
+
 def slot_table(spark: SparkSession, slot_map: dict[int, int], version: int) -> DataFrame:
     """The map as rows (version, vslot, shard); its size is the fixed number of slots."""
     return spark.createDataFrame([(version, v, s) for v, s in sorted(slot_map.items())], "version int, vslot int, shard int")
@@ -85,30 +92,46 @@ def save_map(spark: SparkSession, slot_map: dict[int, int], version: int, path:
 
 def load_map(spark: SparkSession, path: str, version: int | None = None) -> tuple[int, dict[int, int]]:
     """(version, map) of the latest or the given version."""
-    stored = spark.read.parquet(path)
+    stored = spark.read.schema("vslot int, shard int, version int").parquet(path)
     version = version if version is not None else stored.agg(F.max("version")).first()[0]
     return version, {r.vslot: r.shard for r in stored.where(F.col("version") == version).collect()}
 
 
+def latest_version(spark: SparkSession, path: str) -> int:
+    """The latest version of the stored map; 0 without one."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in files.listStatus(where)] if files.exists(where) else []
+    return max((int(n.partition("=")[2]) for n in names if n.startswith("version=")), default=0)
+
+
 def shard(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, map_path: str | None = None, version: int | None = None) -> DataFrame:
     """One row per input row: doc_id, size, text_crc32, law, shard, slot, grown_shard, vslot, version.
 
-    The law is ``bytes``: the shards' sizes are near equal. Without ``version`` a new map is made and
-    stored at ``map_path`` as version 1. With a version of the stored map, that map is edited for
-    ``shards`` shards and the bytes of today, stored as the next version, and records follow it, so only
-    records of the edited slots move. ``slot`` numbers the rows of a shard from 0 without gaps, ordered by
+    The law is ``bytes``: the shards' sizes are near equal. Where ``map_path`` holds no map, one is made and
+    stored as version 1. Where it does, the latest version, or ``version``, is edited for ``shards`` shards
+    and the bytes of today and stored as the version after the latest, unless nothing changes; records
+    follow it, so only records of the edited slots move. A ``version`` that is not stored is refused before
+    any work, a map of another number of slots too. So the same call again, as after a failure, gives the same rows. ``slot`` numbers the rows of a shard from 0 without gaps, ordered by
     virtual slot, doc_id, checksum and copy. Null text has size 1, null doc_ids come first, texts of any
     length count whole, an empty table gives an empty result, and columns besides doc_id and text are not
     read. The driver sees ``slots`` totals and nothing else.
     """
     spark, path = docs.sparkSession, map_path or scratch_path(docs.sparkSession, "slot-map")
+    latest = latest_version(spark, path)
+    if version is not None and not 0 < version <= latest:
+        raise ValueError(f"no version {version} of the map at {path}; the latest is {latest}")
+    version, followed = (0, None) if not latest else load_map(spark, path, version or latest)
+    if followed is not None and set(followed) != set(range(slots)):
+        raise ValueError(f"the map at {path} has other slots than 0 to {slots - 1}")
     with dropping():
         rows = materialize(records(docs, slots), "shards", keep=True)
     totals = {r.vslot: (r.bytes, r.n) for r in rows.groupBy("vslot").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")).collect()}
     slot_bytes = {v: b for v, (b, _) in totals.items()}
-    slot_map = assign(slot_bytes, shards, slots) if version is None else rebalance(load_map(spark, path, version)[1], slot_bytes, shards)
-    version = (version or 0) + 1
-    save_map(spark, slot_map, version, path)
+    slot_map = settled(assign(slot_bytes, shards, slots) if followed is None else followed, slot_bytes, shards)
+    if slot_map != followed:
+        version = latest + 1
+        save_map(spark, slot_map, version, path)
     first, ahead = {}, [0] * shards
     for v in sorted(slot_map):
         first[v], ahead[slot_map[v]] = ahead[slot_map[v]], ahead[slot_map[v]] + totals.get(v, (0, 0))[1]

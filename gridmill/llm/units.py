@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridmill.llm.common import binary, buffers, delete, drop_later, map_arrow, materialize, scratch_path
+from gridmill.llm.common import binary, buffers, delete, drop_later, map_arrow, materialize, scratch_path, set_for_block
 
 #: Bytes of text of a unit, of a home, and for each bucket of the key space; homes that a table may have.
 UNIT_BYTES, HOME_BYTES, BUCKET_BYTES, MOST_HOMES = 6 << 20, 48 << 20, 32 << 20, 100_000
@@ -51,7 +51,7 @@ def units_of(docs: DataFrame) -> Units:
     """
     spark = docs.sparkSession
     # The home stands for the unit as well, so both sides of a round may be placed by it alone.
-    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    set_for_block(spark, "spark.sql.requireAllClusterKeysForCoPartition", "false")
     texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     told = texts.select(F.octet_length("text").cast("long").alias("n"), F.spark_partition_id().alias("part")).agg(F.sum("n").alias("bytes"), F.max("part").alias("last")).first()
     total, partitions = told.bytes or 0, int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -107,3 +107,22 @@ def test_edge_rows(edge, empty):
 def test_least_key_of_each_stretch():
     keys = np.random.default_rng(1).integers(0, 1 << 60, 500, dtype=np.uint64)
     assert (suffix_dedup.least(keys, 69) == [keys[i : i + 69].min() for i in range(432)]).all()
+
+
+def test_session_options_are_as_before_and_threads_keep_their_own_scratch(spark, edge):
+    import threading
+
+    from gridmill.llm import common, substring_dedup
+
+    keys = ["spark.sql.requireAllClusterKeysForCoPartition", "spark.sql.execution.arrow.maxBytesPerBatch"]
+    for k in keys:
+        spark.conf.unset(k)
+    before = [spark.conf.get(k) for k in keys]
+    substring_dedup.repeats(edge)
+    assert [spark.conf.get(k) for k in keys] == before
+    seen = []
+    with common.dropping():
+        thread = threading.Thread(target=lambda: seen.append(common.OPEN.get()))
+        thread.start()
+        thread.join()
+    assert seen == [()]

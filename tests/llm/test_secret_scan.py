@@ -6,6 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from gridmill.llm import secret_scan
+from gridmill.llm.common import LOWER
 
 
 def brute(text):
@@ -48,4 +49,17 @@ def test_every_match_satisfies_the_derived_query(data):
     pattern = data.draw(st.sampled_from([r.pattern for r in secret_scan.RULES] + [r"ab(cd|ef)+gh?ij", r"(abc|d.f)xyz[0-9]{2}", r"foo(bar)?baz{2,3}q", r"\bkey-[a-c]x\w+end$", r"a*b+cde"]))
     text = data.draw(st.from_regex(re.compile(pattern, re.ASCII), fullmatch=False))
     query = secret_scan.derive(secret_scan.parser.parse(pattern))[1]
-    assert holds(query, text.encode("utf-8", "ignore").lower())
+    assert holds(query, text.encode("utf-8", "ignore").translate(LOWER))
+
+
+def test_rules_of_every_kind_find_what_a_full_scan_finds(spark):
+    rules = [
+        secret_scan.Rule("plain", "CLÉ-SECRÈTE"), secret_scan.Rule("folded", "clÉ-secrÈte", fold=True), secret_scan.Rule("members", "[ÀÉa]BCD[x-z]"), secret_scan.Rule("either", "ÄÖÜ|ABC{2}"),
+        secret_scan.Rule("short", "ÉA"), secret_scan.Rule("repeat", "(?:ÑANDÚ){1,3}!"), secret_scan.Rule("open", "K[^ ]+ÇA"),
+    ]
+    texts = ["ma CLÉ-SECRÈTE ici", "ma CLÉ-secrÈTE ici", "clé-secrète", "ÉBCDy aBCDx ébcdz", "ÄÖÜ äöü ABCC abcc", "ÉA éa", "ÑANDÚÑANDÚ! ñandú!", "KxxÇA kxxça", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in secret_scan.scan(docs, rules, 2).collect():
+        text = texts[r.doc_id] or ""
+        want = sorted((m.start(), k, m.end()) for k, rule in enumerate(rules) for m in re.finditer(rule.pattern, text, re.ASCII | (re.IGNORECASE if rule.fold else 0)))
+        assert r.spans == ",".join(f"{rules[k].kind}:{a}:{b}" for a, k, b in want)

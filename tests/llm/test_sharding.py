@@ -1,6 +1,8 @@
 import zlib
 from collections import defaultdict
 
+import pytest
+
 from gridmill.llm import sharding
 
 
@@ -76,3 +78,37 @@ def test_a_grown_map_moves_few_rows_and_nearly_all_to_the_new_shard(spark, tmp_p
     for r in grown:
         load[r.shard] += r.size
     assert max(load.values()) < 1.05 * min(load.values())
+
+
+def test_a_second_call_follows_the_stored_map(spark, tmp_path):
+    docs = spark.range(500).selectExpr("id AS doc_id", "repeat('ab ', cast(1 + pmod(id * 7919, 97) AS int)) AS text")
+    path = f"{tmp_path}/map"
+    first = sorted(map(tuple, sharding.shard(docs, map_path=path).collect()))
+    assert sorted(map(tuple, sharding.shard(docs, map_path=path).collect())) == first
+    assert sharding.latest_version(spark, path) == 1
+    sharding.shard(docs, 9, map_path=path)
+    sharding.shard(docs, 10, map_path=path, version=1)
+    assert sharding.latest_version(spark, path) == 3
+    for wrong in (0, 4):
+        with pytest.raises(ValueError):
+            sharding.shard(docs, map_path=path, version=wrong)
+    with pytest.raises(ValueError):
+        sharding.shard(docs, slots=16, map_path=path)
+
+
+def test_the_map_is_the_greedy_one_of_the_slots_bytes(spark):
+    """Slots and map computed from the rows alone: bytes by slot, the heaviest first to the lightest shard, then what still moves."""
+    docs = spark.range(700).selectExpr("id AS doc_id", "repeat('x', cast(pmod(id * 31, 211) AS int)) AS text")
+    rows = sharding.shard(docs, 5, 64).collect()
+    load, sums = [0] * 5, defaultdict(int)
+    for r in rows:
+        sums[r.vslot] += r.size
+    where = {}
+    for v in sorted(range(64), key=lambda v: (-sums[v], v)):
+        where[v] = min(range(5), key=lambda s: (load[s], s))
+        load[where[v]] += sums[v]
+    mean = sum(load) / 5
+    moved = {r.vslot for r in rows if where[r.vslot] != r.shard}
+    assert len(moved) < 10
+    now = [sum(r.size for r in rows if r.shard == s) for s in range(5)]
+    assert max(now) - min(now) <= max(load) - min(load) and max(now) < 1.1 * mean
