@@ -8,6 +8,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from gridmill.functions import overlay
+
 # Metres of a degree, picture size, eye height.
 DEGREE_M, WIDTH, HEIGHT, EYE_M = 111320.0, 1024, 768, 1.6
 
@@ -107,3 +109,22 @@ def visible_areas(rows: DataFrame, key: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], names=[key, "visible_m2"])
 
     return rows.select(key, "ring", "cone").mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, visible_m2 double")
+
+
+def areas_in(rows: DataFrame, key: str) -> DataFrame:
+    """(key, visible_m2): what of each footprint, an array of rings, lies in the ring ``cone``; concave rings, holes and several parts count as they are.
+
+    Both are laid on the plane that touches the earth at the cone's apex, its first point.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for rings, cone in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                apex = cone[0]
+                wide = DEGREE_M * math.cos(math.radians(apex["lat"]))
+                flat = lambda pts: [((p["lng"] - apex["lng"]) * wide, (p["lat"] - apex["lat"]) * DEGREE_M) for p in pts]  # noqa: B023, E731
+                out.append(overlay.common_area([flat(r) for r in rings or [] if r], [flat(cone)]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], names=[key, "visible_m2"])
+
+    return rows.select(key, "rings", "cone").mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, visible_m2 double")
