@@ -54,6 +54,11 @@ def crossed(p: Column, q: Column, size: float) -> Column:
     return F.array_distinct(F.transform(middles, lambda t: F.struct(F.floor(x0 + t * (x1 - x0)).alias("x"), F.floor(y0 + t * (y1 - y0)).alias("y"))))
 
 
+def cells_at(p: Column, q: Column, level: int) -> Column:
+    """(level, x, y) of the cells of one level that a segment goes through."""
+    return F.transform(crossed(p, q, CELL * 2.0**level), lambda c: F.struct(F.lit(level).alias("level"), c["x"].alias("x"), c["y"].alias("y")))
+
+
 def covered(footprints: DataFrame) -> DataFrame:
     """``footprints`` (rings) with ``level``, ``x`` and ``y`` of each cell that their box touches; those without a ring are left out."""
     points = F.flatten("rings")
@@ -84,11 +89,7 @@ def first_footprint(rays: DataFrame, footprints: DataFrame, key: str, extend_m:
     """
     cells = covered(footprints.select(key, "rings"))
     levels = [r.level for r in cells.select("level").distinct().collect()]  # LEVELS + 1 numbers at most
-
-    def at_level(n: int) -> Column:
-        return F.transform(crossed(F.col("p"), F.col("q"), CELL * 2.0**n), lambda c: F.struct(F.lit(n).alias("level"), c["x"].alias("x"), c["y"].alias("y")))
-
-    each = [at_level(n) for n in sorted(levels)]
+    each = [cells_at(F.col("p"), F.col("q"), n) for n in sorted(levels)]
     followed = extended(rays, extend_m).withColumn("c", F.explode(F.concat(*each) if each else F.array().cast("array<struct<level:int,x:bigint,y:bigint>>")))
     met = followed.select("ray", "p", "q", "c.*").join(cells, ["level", "x", "y"]).withColumn("edges", all_edges(F.col("rings")))
     p, q = F.col("p"), F.col("q")

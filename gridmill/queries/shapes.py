@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridmill.functions import camera, geo, masks
-from gridmill.operators import rays
+from gridmill.operators import rays, simplify
 from gridmill.queries.base import HAVERSINE, LAT, LNG, lat, lng, load
 from gridmill.queries.places import AT_LAT, AT_LNG, CONE, REACH, TOWARDS, square
 
@@ -72,7 +72,36 @@ def mask_overlaps(spark: SparkSession, d: str) -> DataFrame:
     return masks.mask_overlaps(rows, "p_partkey").select("p_partkey", "pixels", "hits", F.round("overlap", 6).alias("overlap"))
 
 
-QUERIES = {f.__name__: f for f in (ray_buildings, cone_buildings, mask_overlaps)}
+#: Lots of a plan, in rows of ROW, each SIDE degrees wide. A border has nine points between its corners, all off the line by
+#: less than the tolerance, but for one in every second border, which stands out.
+ROW, SIDE, POINTS = 50, 0.001, 9
+
+
+def border(across: Column, up: Column, upright: bool) -> Column:
+    """The points of the border that begins at a corner of the plan (number across, number up), without its last corner."""
+    stands_out = (across * 7 + up * 3 + int(upright)) % 2 == 0
+    x0, y0 = F.lit(-74.2) + across * SIDE, F.lit(40.5) + up * SIDE
+
+    def point(i: Column) -> Column:
+        off = F.when((i == 5) & stands_out, 0.00006).when(i > 0, ((i * 5 + across + up) % 7 - 3) * 0.000001).otherwise(0.0)
+        along = i * SIDE / (POINTS + 1)
+        return F.struct((x0 + (off if upright else along)).alias("lng"), (y0 + (along if upright else off)).alias("lat"))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(POINTS)), point)
+
+
+def lots_simplified(spark: SparkSession, d: str) -> DataFrame:
+    """Lots that share their borders, simplified by 0.000005 degrees so that they still do."""
+    x, y = F.col("p_partkey") % ROW, F.floor(F.col("p_partkey") / ROW)
+    corner = lambda across, up: F.slice(border(across, up, True), 1, 1)
+    back = lambda line, end: F.concat(end, F.reverse(F.slice(line, 2, POINTS)))
+    ring_ = F.concat(border(x, y, False), border(x + 1, y, True), back(border(x, y + 1, False), corner(x + 1, y + 1)), back(border(x, y, True), corner(x, y + 1)), corner(x, y))
+    lots = load(spark, d, "part").select("p_partkey", F.array(ring_).alias("rings"))
+    told = simplify.simplify(lots, "p_partkey")
+    return told.select("p_partkey", F.size(F.col("rings")[0]).alias("points"), F.round(geo.ring_area(F.col("rings")[0]) / 2000, 0).alias("area_2000m2"))
+
+
+QUERIES = {f.__name__: f for f in (ray_buildings, cone_buildings, mask_overlaps, lots_simplified)}
 
 WIDTH_M, TALL_M = "(111320.0 * cos(radians({0})))", "111320.0"
 
@@ -112,7 +141,13 @@ X, Y = [f"({K} % 23 / 40.0 + {v})" for v in (0, 0.4, 0.2, 0.25)], [f"({K} % 17 /
 CROSSED = " + ".join(f"(CASE WHEN ({Y[i]} > py) <> ({Y[j]} > py) AND px < ({X[j]} - {X[i]}) * (py - {Y[i]}) / ({Y[j]} - {Y[i]}) + {X[i]} THEN 1 ELSE 0 END)" for i, j in ((0, 1), (1, 2), (2, 3), (3, 0)))
 AREA = "abs(" + " + ".join(f"({X[i]} * {Y[j]} - {X[j]} * {Y[i]})" for i, j in ((0, 1), (1, 2), (2, 3), (3, 0))) + ") / 2"
 
+# Four corners and the first again, and of each border that stands out its tip and the points beside it.
+OUT = "(CASE WHEN (({0}) * 7 + ({1}) * 3 + {2}) % 2 = 0 THEN 3 ELSE 0 END)"
+SOUTH, NORTH, WEST, EAST = OUT.format("x", "y", 0), OUT.format("x", "y + 1", 0), OUT.format("x", "y", 1), OUT.format("x + 1", "y", 1)
+
 ORACLE = {
+    "lots_simplified": f"""WITH p AS (SELECT p_partkey, p_partkey % {ROW} AS x, p_partkey // {ROW} AS y FROM part)
+        SELECT p_partkey, (5 + {SOUTH} + {NORTH} + {WEST} + {EAST})::INT AS points, round({SIDE} * {SIDE} * 111320.0 * 111320.0 * cos(radians(40.5 + (y + 0.5) * {SIDE})) / 2000, 0) AS area_2000m2 FROM p""",
     "ray_buildings": f"""WITH r AS (SELECT c_custkey AS ray, {LAT.format('c_custkey')} + 0.00041 AS lat, {LNG.format('c_custkey')} + 0.00037 AS lng, (c_custkey * 37 % 41 - 20) / 15000.0 AS dy, (c_custkey * 53 % 43 - 21) / 15000.0 AS dx FROM customer),
         m AS (SELECT *, sqrt(pow(dy * 111000.0, 2) + pow(dx * 111000.0 * cos(radians(lat)), 2)) AS seg FROM r), s AS (SELECT *, (seg + 30) / seg AS scale FROM m WHERE seg >= 0.5),
         b AS (SELECT p_partkey, {LAT.format(K)} AS y, {LNG.format(K)} AS x FROM part),
