@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import difflib
+import functools
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridmill.functions import reports as P
 from gridmill.operators.keyed import best_per_key
+from gridmill.sources.tables import stored
 
 # Words that a title has besides an address, the least likeness of names, the score of an address.
 KINDS = "house|building|hall|club|church|school|library|hotel|theater|theatre|apartments|museum|center|centre|station|tower|plaza|complex|chapel|synagogue|temple|convent|rectory|stable|garage|factory|warehouse|loft"
@@ -23,6 +30,110 @@ def long_words(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(text, " "), lambda w: F.length(w) >= 3))
 
 
+#: Letters that a bag counts one by one; all others share one more place. A count stops at 255, which only raises a bound.
+LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789 "
+
+
+def bags(texts: list[str]) -> np.ndarray:
+    """How often each letter stands in each text."""
+    out = np.zeros((len(texts), len(LETTERS) + 1), np.uint8)
+    for row, text in zip(out, texts):
+        counts = [text.count(c) for c in LETTERS]
+        row[:] = np.minimum(255, [*counts, len(text) - sum(counts)])
+    return out
+
+
+def with_bag(df: DataFrame, text: str) -> DataFrame:
+    """``df`` with ``bag_<text>``, the letter counts of a column as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = bags(batch.column(batch.schema.names.index(text)).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([r.tobytes() for r in rows], pa.binary())], names=[*batch.schema.names, f"bag_{text}"])
+
+    return df.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", bag_{text} binary")
+
+
+@functools.lru_cache(4096)
+def places_of(text: str) -> dict[str, int]:
+    """The places of each letter as bits."""
+    out: dict[str, int] = {}
+    for i, c in enumerate(text):
+        out[c] = out.get(c, 0) | 1 << i
+    return out
+
+
+def common_in_order(a: str, b: str) -> int:
+    """The length of the longest common subsequence, a machine word of ``a`` at a time."""
+    places, full = places_of(a), (1 << len(a)) - 1
+    rest = full
+    for c in b:
+        met = rest & places.get(c, 0)
+        rest = (rest + met | rest - met) & full
+    return len(a) - rest.bit_count()
+
+
+def measured(pairs: DataFrame) -> DataFrame:
+    """(key, id, score) of the pairs (key, said, id, name, floor, bag_said, bag_name) that may be the likest of their key.
+
+    Matching blocks are a common subsequence, and that is no longer than the letters that both texts
+    have. So letter counts bound the likeness for a whole batch at once, subsequences bound what is
+    left, and only pairs that may reach their floor, and the best of their key so far, are measured.
+    """
+    kinds = [pairs.schema[c].dataType.simpleString() for c in ("key", "id")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict = {}
+        for batch in batches:
+            own, other = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("bag_said", "bag_name"))
+            total = sum(pc.utf8_length(batch.column(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("said", "name"))
+            bound = np.minimum(own, other).sum(axis=1, dtype=np.int64)
+            # A letter counted 255 times may stand there more often.
+            bound = np.where((own == 255).any(axis=1) & (other == 255).any(axis=1), total // 2, bound)
+            share = 2 * bound / np.maximum(total, 1)
+            order = np.argsort(-share, kind="stable")
+            order = order[share[order] >= batch.column("floor").to_numpy()[order] - 1e-9]
+            kept, out = batch.take(pa.array(order)), ([], [], [])
+            for key, said, id_, name, floor, most in zip(*(kept.column(c).to_pylist() for c in ("key", "said", "id", "name", "floor")), share[order].tolist()):
+                floor = max(floor, best.get(key, 0.0))
+                if most < floor - 1e-9 or 2 * common_in_order(said, name) < (floor - 1e-9) * (len(said) + len(name)):
+                    continue
+                score = difflib.SequenceMatcher(None, said, name).ratio()
+                if score >= floor:
+                    best[key] = score
+                    for column, value in zip(out, (key, id_, score)):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], batch.column("key").type), pa.array(out[1], batch.column("id").type), pa.array(out[2], pa.float64())], names=["key", "id", "score"])
+
+    return pairs.select("key", "said", "id", "name", "floor", "bag_said", "bag_name").mapInArrow(run, f"key {kinds[0]}, id {kinds[1]}, score double")
+
+
+def likest_sharing(asked: DataFrame, names: DataFrame, least: float = LEAST_NAME) -> DataFrame:
+    """(key, id, score): of the names (id, name) that share a word of three letters with a text (key, said) the likest, of ``least`` or more.
+
+    A text is first measured with up to four names of its rarest shared word; the best of these is its floor.
+    All other names that share a word are met then, but only those whose length and letters may reach
+    the floor are measured. Ties go to the lowest id.
+    """
+    names = stored(with_bag(names.groupBy("name").agg(F.min("id").alias("id")).withColumn("words", long_words(F.col("name"))), "name"), "names")  # a name is compared once
+    texts = stored(with_bag(asked.select("said").distinct().withColumn("own", long_words(F.col("said"))), "said"), "texts")
+    listed = names.select("name", F.explode("words").alias("word"))
+    order = F.xxhash64("name")
+    some = F.array_distinct(F.array(F.min("name"), F.max("name"), F.min_by("name", order), F.max_by("name", order)))
+    counts = listed.groupBy("word").agg(F.count(F.lit(1)).alias("often"), some.alias("some"))
+    words = texts.select("said", F.explode("own").alias("word"))
+    rarest = words.join(counts, "word").groupBy("said").agg(F.min_by("some", F.struct("often", "word")).alias("some"))
+    tried = rarest.select("said", F.explode("some").alias("name")).join(names, "name").join(texts, "said").withColumn("key", F.col("said")).withColumn("floor", F.lit(least))
+    first = stored(measured(tried).groupBy("key").agg(F.max("score").alias("floor")), "floors")
+    n, m = F.length("said"), F.length("name")
+    floors = texts.join(first.withColumnRenamed("key", "said"), "said", "left").withColumn("floor", F.coalesce("floor", F.lit(least)))
+    met = floors.withColumn("word", F.explode("own")).join(names.withColumn("word", F.explode("words")), "word").where(2 * F.least(n, m) >= (F.col("floor") - 1e-9) * (n + m))
+    # A pair is met once, over the first word that both have.
+    once = met.where(F.col("word") == F.element_at(F.array_intersect("own", "words"), 1)).withColumn("key", F.col("said"))
+    best = best_per_key(measured(once), ["key"], F.desc("score"), F.asc("id")).withColumnRenamed("key", "said")
+    return asked.select("key", "said").join(best, "said").select("key", "id", "score")
+
+
 def match_titles(asked: DataFrame, known: DataFrame) -> DataFrame:
     """(key, id, tier, score) of the titles (key, title) that match a known place (id, name, address), by the first tier that does.
 
@@ -36,10 +147,7 @@ def match_titles(asked: DataFrame, known: DataFrame) -> DataFrame:
     exact = titles.join(names, F.col("said") == F.col("name")).groupBy("key").agg(F.min("id").alias("id")).select("key", "id", F.lit("exact_name").alias("tier"), F.lit(1.0).alias("score"))
 
     left = titles.join(exact, "key", "left_anti")
-    n, m = F.length("said"), F.length("name")
-    words = left.select("key", "said", F.explode(long_words(F.col("said"))).alias("word")).join(names.select("id", "name", F.explode(long_words(F.col("name"))).alias("word")), "word")
-    pairs = words.where(2 * F.least(n, m) / (n + m) >= LEAST_NAME).groupBy("key", "said", "name").agg(F.min("id").alias("id"))  # a name is compared once
-    fuzzy = best_per_key(pairs.withColumn("score", P.likeness("name", "said")).where(F.col("score") >= LEAST_NAME), ["key"], F.desc("score"), F.asc("id")).select("key", "id", F.lit("fuzzy_name").alias("tier"), "score")
+    fuzzy = likest_sharing(left.select("key", "said"), names).select("key", "id", F.lit("fuzzy_name").alias("tier"), "score")
 
     left = left.join(fuzzy, "key", "left_anti").where(F.col("place").rlike(r"\d")).withColumn("word", F.substring_index("place", " ", 1))
     full = plain(F.col("address"))

@@ -72,3 +72,28 @@ def test_house_number_runs(spark):
     runs = ["172-178 Elm", "172, 174 and 176", "128~146", "1~5-163", "262-2", "85-02 Road", "10 to 13", "2-200", "none", "", None, "7 & 9", "0, 5"]
     got = [r.n for r in spark.createDataFrame(list(enumerate(runs)), "i int, t string").select("i", reports.number_run(F.col("t")).alias("n")).orderBy("i").collect()]
     assert got == [[172, 174, 176, 178], [172, 174, 176], list(range(128, 147, 2)), [], [262], [85], [10, 13], [2], [], [], [], [7, 9], [5]]
+
+
+def test_the_likest_name_is_that_of_all_names_that_share_a_word(spark, monkeypatch):
+    rng = random.Random(5)
+    parts = ["building", "house", "old", "mill", "gate", "grand", "northern", "é", "of", "tower", "bilding", "howse"]
+    names = [(i, " ".join(rng.choice(parts) for _ in range(rng.randint(1, 5)))) for i in range(150)] + [(900, "z" * 300 + " mill"), (901, "z" * 290 + " mill")]
+    asked = [(i, " ".join(rng.choice(parts) for _ in range(rng.randint(1, 4)))) for i in range(120)] + [(900, "z" * 280 + " mill")]
+    got = {r.key: (round(r.score, 9), r.id) for r in matching.likest_sharing(spark.createDataFrame(asked, "key int, said string"), spark.createDataFrame(names, "id int, name string")).collect()}
+    want = {}
+    for key, said in asked:
+        own = {w for w in said.split(" ") if len(w) >= 3}
+        found = [(-round(difflib.SequenceMatcher(None, said, name).ratio(), 9), i) for i, name in names if own & {w for w in name.split(" ") if len(w) >= 3}]
+        if found and -min(found)[0] >= matching.LEAST_NAME:
+            want[key] = (-min(found)[0], min(found)[1])
+    assert got == want and len(got) > 50
+
+
+def test_letters_bound_the_likeness():
+    rng = random.Random(6)
+    some = ["".join(rng.choice("abc é-") for _ in range(rng.randint(0, 30))) for _ in range(60)]
+    rows = matching.bags(some)
+    for i, a in enumerate(some):
+        for j, b in enumerate(some):
+            common = sum(m.size for m in difflib.SequenceMatcher(None, a, b).get_matching_blocks())
+            assert common <= lcs(a, b) == matching.common_in_order(a, b) <= int(sum(map(min, rows[i].tolist(), rows[j].tolist())))
