@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridmill.queries import analytics, buildings, community, districts, geometry, indexed, page, places, reports, rollups, rules, searches, shapes, texts
+from gridmill.queries import analytics, buildings, community, districts, geometry, indexed, page, places, reports, rollups, rules, searches, shapes, texts, written
 from gridmill.streaming import daily
 
 FLAGSHIP = "search_fused"
-MODULES: list = [searches, page, indexed, rules, analytics, community, places, shapes, geometry, texts, reports, districts, rollups, buildings, daily]
+MODULES: list = [searches, page, indexed, rules, analytics, community, places, shapes, geometry, texts, reports, districts, rollups, buildings, written, daily]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
