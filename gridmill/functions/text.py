@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import re
+from html.entities import html5
 from itertools import chain
 
 from pyspark.sql import Column
@@ -156,8 +158,37 @@ def word_guard(text: Column, query: str, least: int = 3) -> Column | None:
     return F.lower(text).rlike(r"(?U)\b(" + "|".join(words) + r")\b") if words else None
 
 
-#: Named entities that pages use.
-ENTITIES = {"nbsp": "\u00a0", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "mdash": "\u2014", "ndash": "\u2013", "rsquo": "\u2019", "lsquo": "\u2018", "rdquo": "\u201d", "ldquo": "\u201c", "hellip": "\u2026", "eacute": "\u00e9", "egrave": "\u00e8", "copy": "\u00a9", "amp": "&"}
+#: Named entities as the standard has them, with their semicolon, and the old ones that do without it, longest first.
+ENTITIES = {name: char for name, char in html5.items() if name.endswith(";")}
+OLD_ENTITIES = dict(sorted(((n, c) for n, c in html5.items() if not n.endswith(";")), key=lambda e: (-len(e[0]), e[0])))
+ENTITY = r"^&(#[0-9]+|#[xX][0-9a-fA-F]+|[^\t\n\f <&#;]{1,32});?"
+
+
+def numbered_character(digits: Column, base: int) -> Column:
+    """The character of a numeric entity: those of an old code page for 128 to 159, none for control characters, a mark for what is no character."""
+    n = F.when(F.length(F.ltrim(digits, F.lit("0"))) > 8, F.lit(1 << 40)).otherwise(F.conv(digits, base, 10).cast("long"))
+    old = literal_map({i: bytes([i]).decode("cp1252", "ignore") or chr(i) for i in range(0x80, 0xA0)} | {0: "\ufffd", 13: "\r"})
+    control = n.between(1, 8) | n.between(14, 31) | n.isin(11, 127) | n.between(0xFDD0, 0xFDEF) | (n.bitwiseAND(0xFFFE) == 0xFFFE)
+    plain = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+    return F.when(n.isin(0, 13) | n.between(0x80, 0x9F), old[n.cast("int")]).when(n.between(0xD800, 0xDFFF) | (n > 0x10FFFF), "\ufffd").when(control, "").otherwise(plain)
+
+
+def unescape(text: Column) -> Column:
+    """The text with all its entities resolved, each once: what stands after an ampersand is looked up, the rest of it stays."""
+    names = F.from_json(F.lit(json.dumps(ENTITIES)), "map<string,string>")
+    old = F.from_json(F.lit(json.dumps(OLD_ENTITIES)), "map<string,string>")
+    first_of = r"^&(" + "|".join(OLD_ENTITIES) + ")"
+
+    def resolved(piece: Column) -> Column:
+        whole, said = F.regexp_extract(piece, ENTITY, 0), F.regexp_extract(piece, ENTITY, 1)
+        begun = F.regexp_extract(piece, first_of, 1)
+        rest = F.substring(piece, F.length(whole) + 1, F.length(piece))
+        number = F.when(said.rlike("^#[xX]"), numbered_character(F.substring(said, F.lit(3), F.length(said)), 16)).otherwise(numbered_character(F.substring(said, F.lit(2), F.length(said)), 10))
+        named = F.when(whole.endswith(";"), names[F.substring(whole, F.lit(2), F.length(whole))])
+        known = F.coalesce(F.concat(named, rest), F.when(begun != "", F.concat(old[begun], F.substring(piece, F.length(begun) + 2, F.length(piece)))), piece)
+        return F.when(~piece.startswith("&") | (said == ""), piece).when(said.startswith("#"), F.concat(number, rest)).otherwise(known)
+
+    return F.when(text.contains("&"), F.array_join(F.transform(F.split(text, "(?=&)"), resolved), "")).otherwise(text)
 
 
 def flatten_html(html: Column) -> Column:
@@ -166,10 +197,7 @@ def flatten_html(html: Column) -> Column:
     text = F.regexp_replace(text, r"(?i)</(p|div|li|h[1-6]|tr|section|article)>", "\n")
     text = F.regexp_replace(text, r"(?i)<br\s*/?>", "\n")
     text = F.regexp_replace(text, r"<[^>]+>", " ")
-    for code, char in (("#39", "'"), ("#x27", "'"), ("#160", "\u00a0")):
-        text = F.replace(text, F.lit(f"&{code};"), F.lit(char))
-    for name, char in ENTITIES.items():
-        text = F.replace(text, F.lit(f"&{name};"), F.lit(char))
+    text = unescape(text)
     text = F.regexp_replace(text, r"[ \t\r\f\x0B]+", " ")
     return F.trim(F.regexp_replace(F.regexp_replace(text, r"\n\s*\n\s*\n+", "\n\n"), r"^\s+|\s+$", ""))
 

@@ -149,10 +149,19 @@ def values(rows: list[tuple], columns: str) -> str:
     return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(quoted, r)) + ")" for r in rows) + f") AS t({columns})"
 
 
+def sql_map(table: dict[str, str]) -> str:
+    return "MAP {" + ", ".join(f"{quoted(k)}: {quoted(v)}" for k, v in table.items()) + "}"
+
+
 def unescaped(text: str) -> str:
-    for code, char in [("#39", "'"), ("#x27", "'"), ("#160", "\u00a0"), *T.ENTITIES.items()]:
-        text = f"replace({text}, '&{code};', {quoted(char)})"
-    return text
+    """Entities resolved piece by piece behind each ampersand; numeric ones by their code."""
+    names, old = sql_map({k: v for k, v in T.ENTITIES.items() if len(k) <= 9}), sql_map(T.OLD_ENTITIES)
+    said = r"regexp_extract(x, '^([^\t\n\f <#;]{1,32};)', 1)".replace("\\", "\\")
+    begun = f"regexp_extract(x, '^({'|'.join(T.OLD_ENTITIES)})', 1)"
+    number = "regexp_extract(x, '^#([0-9]+);?', 1)"
+    piece = f"""CASE WHEN {number} <> '' THEN chr({number}::INT) || regexp_replace(x, '^#[0-9]+;?', '') WHEN {names}[{said}] IS NOT NULL THEN {names}[{said}] || substr(x, length({said}) + 1)
+        WHEN {begun} <> '' THEN {old}[{begun}] || substr(x, length({begun}) + 1) ELSE '&' || x END"""
+    return f"(string_split({text}, '&')[1] || array_to_string(list_transform(string_split({text}, '&')[2:], lambda x: {piece}), ''))"
 
 
 STRIPPED = "html"
