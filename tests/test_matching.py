@@ -39,7 +39,7 @@ def test_pairs_on_rare_runs_are_all_pairs_of_that_likeness(spark):
     asked = list(dict.fromkeys(damaged(rng, rng.choice(known)) for _ in range(150)))
     left, right = spark.createDataFrame([(a,) for a in asked], "name string"), spark.createDataFrame([(k,) for k in known], "street string")
     digits = lambda s: re.sub(r"\D", "", s)
-    for least in (0.86, 0.9):
+    for least in (0.8, 0.82, 0.86, 0.9):
         got = {(r.name, r.street) for r in reports.like_pairs(left, right, least).collect()}
         assert got == {(a, k) for a in asked for k in known if a != k and digits(a) == digits(k) and difflib.SequenceMatcher(None, k, a).ratio() >= least} and got
     got = {(r.name, r.street): r.like for r in reports.like_pairs(left, right, 0.9, reports.edit_ratio, ".").collect()}
@@ -97,3 +97,23 @@ def test_letters_bound_the_likeness():
         for j, b in enumerate(some):
             common = sum(m.size for m in difflib.SequenceMatcher(None, a, b).get_matching_blocks())
             assert common <= lcs(a, b) == matching.common_in_order(a, b) <= int(sum(map(min, rows[i].tolist(), rows[j].tolist())))
+
+
+def test_streets_fold_as_over_all_pairs_of_a_report(spark):
+    rng = random.Random(7)
+    rows = []
+    for r in "ab":
+        heads = texts(rng, 12, 4, 14)
+        rows += [(r, s, list(range(rng.randint(1, 9)))) for s in dict.fromkeys(heads + [damaged(rng, rng.choice(heads)) for _ in range(40)] + [f"EAST {n} STREET" for n in (68, 78, 68)])]
+    got = {(r.report, r.street): r.canonical for r in reports.canonical_streets(spark.createDataFrame(rows, "report string, street string, numbers array<int>")).collect()}
+    want = {}
+    count = {(r, s): len(n) for r, s, n in rows}
+    numbers = lambda s: sorted(set(re.findall(r"\b\d+\b", s)))
+    for r, s in count:
+        found = [(difflib.SequenceMatcher(None, t, s).ratio(), t) for q, t in count if q == r and count[q, t] > count[r, s] and numbers(t) == numbers(s)]
+        best = max((f for f in found if f[0] >= 0.82), default=None)
+        want[r, s] = best[1] if best else s
+    for key in want:
+        while want[key[0], want[key]] != want[key]:
+            want[key] = want[key[0], want[key]]
+    assert got == want and sum(k[1] != v for k, v in want.items()) > 10
