@@ -74,6 +74,28 @@ def cell_join(left: DataFrame, right: DataFrame, metres: float, at_left: tuple[s
     return pairs.withColumn("dist_m", geo.haversine(F.col(lat1), F.col(lng1), F.col(lat2), F.col(lng2))).where(F.col("dist_m") <= metres)
 
 
+def box_join(left: DataFrame, right: DataFrame, metres: float, at_left: tuple[str, str], at_right: tuple[str, str]) -> DataFrame:
+    """All pairs whose right place lies in the box of ``metres`` to each side of the left one, with ``flat_m``, their flat distance.
+
+    The box is measured in degrees at the left place, so its corners lie beyond the radius; places across
+    the date line do not meet. A left row goes to the cells that its box touches, with bands as tall as the box.
+    """
+    (lat1, lng1), (lat2, lng2) = at_left, at_right
+    tall = metres / geo.DEGREE_M
+    wide = F.lit(metres) / F.greatest(F.lit(1.0), geo.DEGREE_M * F.cos(F.radians(lat1)))
+    # Columns are as wide as a box at this latitude's whole degree; a box touches two or three of them.
+    step = lambda degree: F.lit(metres) / F.greatest(F.lit(1.0), geo.DEGREE_M * F.cos(F.radians(F.least(F.lit(89.0), F.abs(degree)))))
+    degree = F.floor(lat1)
+    degrees = F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda o: F.floor(F.col(lat1) + o * tall)))
+    rows = F.transform(degrees, lambda g: F.transform(F.sequence(F.floor((F.col(lng1) - wide) / step(g)), F.floor((F.col(lng1) + wide) / step(g))), lambda x: F.struct(g.alias("g"), x.alias("x"))))
+    bands = F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda o: geo.cell(F.col(lat1), tall) + o)
+    cells = F.flatten(F.transform(bands, lambda y: F.transform(F.flatten(rows), lambda c: F.struct(c["g"].alias("g"), y.alias("y"), c["x"].alias("x")))))
+    spread = left.where(F.col(lat1).isNotNull() & F.col(lng1).isNotNull() & degree.isNotNull()).withColumn("_c", F.explode(cells)).select(*left.columns, "_c.*")
+    own = right.withColumns({"g": F.floor(lat2), "y": geo.cell(F.col(lat2), tall)}).withColumn("x", F.floor(F.col(lng2) / step(F.col("g"))))
+    inside = (F.abs(F.col(lat2) - F.col(lat1)) <= tall) & (F.abs(F.col(lng2) - F.col(lng1)) <= wide)
+    return spread.join(own, ["g", "y", "x"]).where(inside).drop("g", "y", "x").withColumn("flat_m", geo.flat_distance(F.col(lat1), F.col(lng1), F.col(lat2), F.col(lng2)))
+
+
 def nearest(left: DataFrame, right: DataFrame, metres: float, at_left: tuple[str, str], at_right: tuple[str, str], key: str, tie: str, k: int = 1) -> DataFrame:
     """The ``k`` nearest right rows within ``metres`` of each left row; ties go to the lower ``tie``."""
     pairs = cell_join(left, right, metres, at_left, at_right)

@@ -68,7 +68,7 @@ def latest_verifications(spark: SparkSession, d: str) -> DataFrame:
 
 
 def upserted(spark: SparkSession, d: str) -> DataFrame:
-    """SNK1, SNK7: newer rows replace older ones of the same key."""
+    """SNK1: newer rows replace older ones of the same key, as a new state; ``merged_table`` writes it."""
     old = load(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
     new = old.where("c_custkey % 3 = 0").select((F.col("c_custkey") * 2).alias("c_custkey"), F.lit("NEW").alias("c_mktsegment"), "c_acctbal")
     return keyed.upsert(old, new, ["c_custkey"])
@@ -83,14 +83,14 @@ def merged(spark: SparkSession, d: str) -> DataFrame:
 
 
 def replaced(spark: SparkSession, d: str) -> DataFrame:
-    """SNK6: all rows of the named partitions give way to new ones."""
+    """SNK6: all rows of the named partitions give way to new ones, as a new state; ``appended_log`` writes it."""
     old = load(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
     new = old.where("o_custkey % 11 = 0 AND o_totalprice > 250000").withColumn("o_totalprice", F.lit(0.0))
     return keyed.replace_partitions(old, new, ["o_custkey"]).groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
 def query_log(spark: SparkSession, d: str) -> DataFrame:
-    """SNK10, SNK13, STR37: log rows with ids as JSON, and the latest cached value of each query."""
+    """SNK13, STR37: log rows with ids as JSON, and the latest cached value of each query."""
     rows = load(spark, d, "events").select(F.concat(F.lit("q"), (F.col("event_id") % 97).cast("string")).alias("query"), F.get_json_object("props", "$.k").cast("int").alias("k"), "event_id")
     latest = keyed.best_per_key(rows, ["query"], F.desc("event_id"))
     return latest.select("query", F.to_json(F.struct("event_id", "k")).alias("payload"), "k")

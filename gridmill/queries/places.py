@@ -19,7 +19,7 @@ def places(spark: SparkSession, d: str, name: str, key: str, suffix: str = "") -
 
 
 def radius_filter(spark: SparkSession, d: str) -> DataFrame:
-    """Everything within 3 km of a point, nearest first; a box test prunes the scan."""
+    """Everything within 3 km of a point, nearest first; the box is on computed columns, ``radius_stored`` has it in the scan."""
     dy, dx = geo.reach_deg(3000)
     p = places(spark, d, "part", "p_partkey").where(F.col("lat").between(AT_LAT - dy, AT_LAT + dy) & F.col("lng").between(AT_LNG - dx, AT_LNG + dx))
     dist = geo.haversine(F.lit(AT_LAT), F.lit(AT_LNG), F.col("lat"), F.col("lng"))
@@ -61,7 +61,7 @@ def block_context(spark: SparkSession, d: str) -> DataFrame:
 
 
 def neighbour_stories(spark: SparkSession, d: str) -> DataFrame:
-    """Up to four neighbours of each supplier, those with a story first, then the nearest."""
+    """Up to four neighbours of each supplier, those with a story first, then the nearest."""
     own = places(spark, d, "supplier", "s_suppkey")
     other = load(spark, d, "part").select("p_partkey", lat("p_partkey").alias("lat2"), lng("p_partkey").alias("lng2"), (F.col("p_type") == "PROMO").alias("story"))
     pairs = spatial.cell_join(own, other, 800, ("lat", "lng"), ("lat2", "lng2"))
@@ -116,7 +116,7 @@ def nearest_street(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ray_hits(spark: SparkSession, d: str) -> DataFrame:
-    """suppliers' squares that a ray meets, nearest first; rays under half a metre meet none."""
+    """Suppliers' squares that one ray meets, with the distance of their centres; ``ray_buildings`` has the whole of J17 and G15."""
     squares = places(spark, d, "supplier", "s_suppkey").withColumn("ring", square(F.col("lat"), F.col("lng"), 0.004))
     p = F.struct(F.lit(AT_LNG).alias("lng"), F.lit(AT_LAT).alias("lat"))
     q = F.struct(F.lit(AT_LNG + 0.2).alias("lng"), F.lit(AT_LAT + 0.15).alias("lat"))

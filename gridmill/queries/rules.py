@@ -87,7 +87,7 @@ def part_terms(spark: SparkSession, d: str) -> DataFrame:
 
 def page_results(spark: SparkSession, d: str) -> DataFrame:
     """pages that name the subject and aren't from a junk host; a request with none keeps all of its pages."""
-    rows = load(spark, d, "pages").select((F.col("page_id") % 60).alias("request"), F.regexp_extract("url", r"^[a-z]+://([^/]+)", 1).alias("host"), F.substring("html", 1, 300).alias("title"), "page_id")
+    rows = load(spark, d, "pages").select((F.col("page_id") % 60).alias("request"), F.regexp_extract("url", r"^[a-z]+://([^/]+)", 1).alias("host"), F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1).alias("title"), "page_id")
     return profiles.relevant(rows, F.array(F.lit("th"), F.lit("ou")), ["example.net"]).select("request", "page_id")
 
 
@@ -178,7 +178,7 @@ ORACLE = {
         SELECT p_partkey, regexp_extract(top, '([^>]+)$', 1).trim() AS leaf, CASE WHEN lower(one) = lower(p_name) THEN one ELSE one || ',' || p_name END || ',Goods' AS leaves, p_type || ',Goods' AS domains FROM l""",
     "part_terms": f"""WITH b AS (SELECT p_partkey, CASE WHEN p_partkey % 4 <> 0 THEN (p_partkey % 90 + 1) || CASE WHEN p_partkey % 3 = 0 THEN 'B' ELSE '' END END AS no, CASE WHEN p_partkey % 5 <> 0 THEN upper(p_name[1]) || split_part(p_name, ' ', 1)[2:] || ' ' || upper(split_part(p_name, ' ', 2)[1]) || split_part(p_name, ' ', 2)[2:] END AS name, {at(ENDINGS, 'p_partkey')} AS ending FROM part)
         SELECT p_partkey, concat_ws('|', CASE WHEN no IS NULL THEN 'Elm Street' ELSE no || '  Elm Street' END, no || ' Elm Street', name || ' ' || ending, CASE WHEN ending <> 'Tower' THEN name END) AS terms FROM b""",
-    "page_results": """WITH r AS (SELECT page_id % 60 AS request, page_id, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host, left(html, 300) AS title FROM pages),
+    "page_results": """WITH r AS (SELECT page_id % 60 AS request, page_id, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title FROM pages),
         g AS (SELECT *, NOT contains(host, 'example.net') AND (contains(lower(title || ' ' || host), 'th') OR contains(lower(title || ' ' || host), 'ou')) AS good FROM r)
         SELECT request, page_id FROM (SELECT *, bool_or(good) OVER (PARTITION BY request) AS found FROM g) WHERE good OR NOT found""",
     "surveyed": projection_sql("(980000 + c_custkey * 37 % 90000)", "(130000 + c_custkey * 53 % 130000)"),

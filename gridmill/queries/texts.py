@@ -129,7 +129,7 @@ def materials(spark: SparkSession, d: str) -> DataFrame:
 
 
 def embedding_checks(spark: SparkSession, d: str) -> DataFrame:
-    """F19, STR34, STR35: valid vectors, a profile in a fixed order from a JSON object, decoded masks."""
+    """F19, STR34: valid vectors, a profile in a fixed order from a JSON object, decoded masks."""
     order = ["a", "b", "c"]
     keyed_ = F.concat(F.lit('{"a":'), F.col("vec_id").cast("string"), F.lit(',"c":2'), F.when(F.col("vec_id") % 2 == 0, ',"b":1}').otherwise("}"))
     parsed = F.from_json(keyed_, "map<string,double>")

@@ -30,9 +30,14 @@ def scratch(spark: SparkSession, label: str) -> str:
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """Writes ``df`` into scratch once and returns a scan of it, for rows that several branches read."""
+    """Writes ``df`` into scratch once and returns a scan of it, for rows that several branches read.
+
+    The folder goes when the application ends, as a result that is still to run may read it until then.
+    """
     path = scratch(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
+    where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).deleteOnExit(where)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

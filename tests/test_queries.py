@@ -27,10 +27,7 @@ def plain(value):
     return round(float(value), 5)
 
 
-@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
-def test_same_rows_as_sql(spark, duck, name):
-    df = registry.queries()[name](spark, D)
-    told = duck.execute(registry.oracle_sql()[name])
+def compare(df, told):
     names = [c[0] for c in told.description]
     assert sorted(df.columns) == sorted(names)
     want = sorted(repr([plain(v) for v in row]) for row in told.fetchall())
@@ -38,6 +35,18 @@ def test_same_rows_as_sql(spark, duck, name):
     assert got == want
 
 
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_same_rows_as_sql(spark, duck, name):
+    compare(registry.queries()[name](spark, D), duck.execute(registry.oracle_sql()[name]))
+
+
+@pytest.mark.parametrize("name", sorted(registry.SMALL))
+def test_small_cases(spark, duck, name):
+    run, answer = registry.small_cases()[name]
+    assert name not in registry.queries() and name not in registry.oracle_sql()
+    compare(run(spark, D), duck.execute(answer))
+
+
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
 def test_queries_beyond_sql_give_rows(spark, name):
     df = registry.queries()[name](spark, D)
