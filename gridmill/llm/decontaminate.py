@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from gridmill.llm.common import ascii_lower, binary, fresh, map_arrow, materialize, numbered, table
+from gridmill.llm.common import ascii_lower, binary, dropping, fresh, map_arrow, materialize, numbered, table
 
 WINDOW = 10
 #: Bytes of patterns in one broadcast; more patterns are searched in several blocks.
@@ -36,37 +36,80 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 class Tables:
-    """Shift and bucket tables of patterns with one length, in words."""
+    """Shift and bucket tables of patterns with one length, in words, as sorted arrays.
 
-    def __init__(self, patterns: dict[Words, list[str]]) -> None:
+    Words are numbered, a block is two numbers in one, and the patterns are rows of numbers in the order
+    of their last and first blocks, so a bucket is a run of rows. ``items`` of a row are a run of names.
+    """
+
+    def __init__(self, patterns: dict[Words, list[str]], numbers: dict[bytes, int] | None = None) -> None:
         self.length = m = len(next(iter(patterns)))
-        self.block = b = min(2, m)
-        self.shift: dict[Words, int] = {}
-        self.buckets: dict[Words, dict[Words, list[tuple[Words, list[str]]]]] = {}
-        for words, items in patterns.items():
-            for end in range(b, m + 1):
-                key = words[end - b : end]
-                self.shift[key] = min(self.shift.get(key, m), m - end)
-            self.buckets.setdefault(words[m - b :], {}).setdefault(words[:b], []).append((words, items))
-
-    def search(self, words: list[bytes]) -> Iterator[tuple[int, list[str]]]:
-        """(start, items) of every occurrence, overlapping ones too."""
-        m, b = self.length, self.block
-        shift, buckets, farthest, n = self.shift.get, self.buckets, m - b + 1, len(words)
+        self.numbers = {} if numbers is None else numbers
+        rows = np.array([[self.numbers.setdefault(w, len(self.numbers) + 1) for w in words] for words in patterns], np.uint32)
+        blocks = self.blocks(rows)
+        # The block that ends k words before a pattern's end lets the search skip k words.
+        order = np.lexsort((np.broadcast_to(np.arange(blocks.shape[1])[::-1], blocks.shape).ravel(), blocks.ravel()))
+        keys, first = np.unique(blocks.ravel()[order], return_index=True)
+        steps = np.broadcast_to(np.arange(blocks.shape[1])[::-1], blocks.shape).ravel()[order][first]
+        self.keys, self.steps = keys, np.append(steps, blocks.shape[1]).astype(np.int32)
+        order = np.lexsort((blocks[:, 0], blocks[:, -1]))
+        self.rows, self.last, self.first = rows[order], blocks[order, -1], blocks[order, 0]
+        names = list(patterns.values())
+        self.cuts = np.cumsum([0, *(len(names[i]) for i in order)])
+        self.names = [x for i in order for x in names[i]]
+
+    def blocks(self, rows: np.ndarray) -> np.ndarray:
+        """The blocks of two words of each row; of single words where the patterns have no more."""
+        return rows.astype(np.uint64) if self.length == 1 else rows[:, :-1].astype(np.uint64) << np.uint64(32) | rows[:, 1:]
+
+    def shifts(self, numbers: np.ndarray) -> np.ndarray:
+        """For each block of a text how far the search may skip from there, 0 where a pattern may end."""
+        blocks = self.blocks(numbers[None, :])[0]
+        at = np.searchsorted(self.keys, blocks)
+        at[at == len(self.keys)] = 0
+        return np.where(self.keys[at] == blocks, self.steps[at], self.steps[-1])
+
+    def search(self, numbers: np.ndarray) -> Iterator[tuple[int, list[str]]]:
+        """(start, items) of every occurrence in a text of numbered words, overlapping ones too."""
+        m, width = self.length, min(2, self.length)
+        if len(numbers) < m:
+            return
+        step, n = self.shifts(numbers).tolist(), len(numbers)
         end = m
         while end <= n:
-            key = (words[end - 2], words[end - 1]) if b == 2 else (words[end - 1],)
-            step = shift(key, farthest)
-            if step:
-                end += step
+            if s := step[end - width]:
+                end += s
                 continue
             start = end - m
-            for pattern, items in buckets[key].get(tuple(words[start : start + b]), ()):
-                if tuple(words[start:end]) == pattern:
-                    yield start, items
+            text = numbers[start:end]
+            own = self.blocks(text[None, :])[0]
+            low, high = np.searchsorted(self.last, own[-1]), np.searchsorted(self.last, own[-1], "right")
+            low, high = low + np.searchsorted(self.first[low:high], own[0]), low + np.searchsorted(self.first[low:high], own[0], "right")
+            for row in (low + np.flatnonzero((self.rows[low:high] == text).all(axis=1))).tolist():
+                yield start, self.names[self.cuts[row] : self.cuts[row + 1]]
             end += 1
 
 
+class Searcher:
+    """The tables of all lengths over one numbering of words; 0 stands for words that no pattern has."""
+
+    def __init__(self, patterns: list[dict[Words, list[str]]]) -> None:
+        self.numbers: dict[bytes, int] = {}
+        self.tables = [Tables(p, self.numbers) for p in patterns]
+
+    def numbered(self, words: list[bytes]) -> np.ndarray:
+        get = self.numbers.get
+        return np.array([get(w, 0) for w in words], np.uint32)
+
+    def search(self, words: list[bytes]) -> Iterator[tuple[int, int, list[str]]]:
+        """(start, length, items) of every occurrence."""
+        numbers = self.numbered(words)
+        if numbers.any():
+            for t in self.tables:
+                for start, items in t.search(numbers):
+                    yield start, t.length, items
+
+
 def windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """(window array<string>, items array<string>): each distinct window once, with all its items.
 
@@ -84,11 +127,11 @@ def windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     )
 
 
-def tables_of(found: DataFrame) -> list[Tables]:
+def tables_of(found: DataFrame) -> Searcher:
     by_length: dict[int, dict[Words, list[str]]] = {}
-    for r in found.collect():
+    for r in found.toLocalIterator():
         by_length.setdefault(len(r.window), {})[tuple(w.encode() for w in r.window)] = list(r["items"])
-    return [Tables(patterns) for _, patterns in sorted(by_length.items())]
+    return Searcher([patterns for _, patterns in sorted(by_length.items())])
 
 
 def weight() -> Column:
@@ -97,7 +140,7 @@ def weight() -> Column:
 
 def parts_of(benchmark: DataFrame, most: int = TABLE_BYTES, size: int = WINDOW) -> list[DataFrame]:
     """The windows in parts of about ``most`` bytes each; one part for benchmarks up to that size."""
-    found = windows(benchmark, size)
+    found = materialize(windows(benchmark, size), "windows")
     total = found.agg(F.sum(weight()).alias("bytes")).first().bytes or 0
     n = max(1, -(-total // most))
     return [found] if n == 1 else [found.where(F.pmod(F.xxhash64("window"), F.lit(n)) == k) for k in range(n)]
@@ -137,16 +180,25 @@ def result(doc_id: pa.Array, n_words: list[int], n_hit: list[int], items: list[l
 HITS, ITEMS = "array<struct<start:int,length:int>>", "array<string>"
 
 
-def search(texts: list[bytes], tables: list[Tables]) -> Iterator[tuple[list[bytes], set[tuple[int, int]], set[str]]]:
+def search(texts: list[bytes], tables: Searcher) -> Iterator[tuple[list[bytes], set[tuple[int, int]], set[str]]]:
     """The words of each text, the (start, length) of its windows, and the items with occurring windows."""
     for text in texts:
         words = words_of(text)
-        found = [(start, t.length, items) for t in tables for start, items in t.search(words)]
+        found = list(tables.search(words))
         yield words, {(start, n) for start, n, _ in found}, {x for *_, items in found for x in items}
 
 
 def searched(docs: DataFrame, benchmark: DataFrame, finish: Callable[[pa.RecordBatch, list], pa.RecordBatch], schema: str | StructType, most: int, size: int) -> DataFrame:
-    """``finish`` of the batches of ``docs`` and, for each row, its words, windows and items.
+    """``finish`` of the batches of ``docs`` and, for each row, its words, windows and items; scratch goes with the last part."""
+    with dropping():
+        rows, last, several = prepared(docs, benchmark, finish, most, size)
+        if several:
+            return materialize(map_arrow(rows, last, schema), "searched", keep=True)
+    return map_arrow(rows, last, schema)
+
+
+def prepared(docs: DataFrame, benchmark: DataFrame, finish: Callable[[pa.RecordBatch, list], pa.RecordBatch], most: int, size: int) -> tuple[DataFrame, Callable, bool]:
+    """(rows, the function for their last pass, whether there were several) of a search.
 
     A part of the benchmark takes one pass; its tables leave the executors before the next part's come.
     Every pass but the last writes the hits of hit documents alone, by row number, and the last takes them up.
@@ -189,14 +241,14 @@ def searched(docs: DataFrame, benchmark: DataFrame, finish: Callable[[pa.RecordB
                 items |= set(more or ())
             yield finish(batch, found)
 
-    return map_arrow(rows, last, schema)
+    return rows, last, len(parts) > 1
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, most: int = TABLE_BYTES, size: int = WINDOW) -> DataFrame:
     """One row per input row: doc_id, n_words, n_hit, n_items, items_sha256, items, contaminated.
 
     A null text has no words and no hits, an empty one neither; a text of any length is searched whole.
-    Repeated rows and null doc_ids are judged like others; further columns are not read. An empty
+    Repeated rows, ties and null doc_ids are judged like others; further columns are not read. An empty
     benchmark hits nothing, an empty documents table gives an empty result.
     """
 

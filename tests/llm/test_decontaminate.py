@@ -1,8 +1,11 @@
 import hashlib
+import pickle
 import random
 import re
 import string
 
+import numpy as np
+
 from gridmill.llm import decontaminate as d
 
 FOLD = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
@@ -49,6 +52,32 @@ def test_same_as_brute_force_with_short_items_and_several_blocks(spark, edge, em
 def test_shift_tables_skip_what_cannot_match():
     looked = []
     tables = d.Tables({tuple(b"a b c d e f g h i j".split()): ["1"]})
-    real = tables.shift
-    tables.shift = type("Spy", (), {"get": lambda self, key, other: looked.append(key) or real.get(key, other)})()
-    assert not list(tables.search([b"z"] * 900)) and len(looked) == 99
+    real = tables.shifts
+
+    class Spy(list):
+        def __getitem__(self, i):
+            looked.append(i)
+            return super().__getitem__(i)
+
+    tables.shifts = lambda numbers: type("Steps", (), {"tolist": lambda self: Spy(real(numbers).tolist())})()
+    assert not list(tables.search(np.zeros(900, np.uint32))) and len(looked) == 99
+
+
+def test_tables_take_little_more_than_their_patterns():
+    rng = random.Random(1)
+    words = [f"word{i:06d}".encode() for i in range(3000)]
+    patterns = {tuple(rng.choice(words) for _ in range(10)): [str(i % 500)] for i in range(20_000)}
+    tables = d.Searcher([patterns])
+    size = sum(len(b" ".join(p)) for p in patterns)
+    held = len(pickle.dumps(tables))
+    arrays = sum(x.nbytes for t in tables.tables for x in (t.keys, t.steps, t.rows, t.last, t.first, t.cuts))
+    assert held < 2 * size and arrays < 2.5 * size
+    some = list(patterns)[7]
+    assert [(s, n) for s, n, _ in tables.search([b"x", *some, b"y"])] == [(1, 10)]
+
+
+def test_several_parts_keep_clashing_columns_and_leave_no_scratch(spark, edge, tmp_path, monkeypatch):
+    monkeypatch.setattr(d, "TABLE_BYTES", 30)
+    bench = spark.createDataFrame([(i, f"hello big world {i}") for i in range(6)] + [(9, "hello big world")], "item_id long, text string")
+    told = d.contamination(edge.withColumnRenamed("kept", "hits"), bench, 40)
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.contaminated) for r in told.collect()) == sorted((r.doc_id is None, r.doc_id or 0, (r.text or "").lower() == "hello big world") for r in edge.collect())
