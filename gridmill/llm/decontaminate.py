@@ -36,9 +36,9 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 class Tables:
-    """Shift and bucket tables of patterns with one length, in words, as sorted arrays.
+    """Shift and bucket tables of patterns with one length, in words, as arrays.
 
-    Words are numbered, a block is two numbers in one, and the patterns are rows of numbers in the order
+    Words are numbered, a block is two numbers in one, shifts stand by the hash of a block, and the patterns are rows of numbers in the order
     of their last and first blocks, so a bucket is a run of rows. ``items`` of a row are a run of names.
     """
 
@@ -47,11 +47,12 @@ class Tables:
         self.numbers = {} if numbers is None else numbers
         rows = np.array([[self.numbers.setdefault(w, len(self.numbers) + 1) for w in words] for words in patterns], np.uint32)
         blocks = self.blocks(rows)
-        # The block that ends k words before a pattern's end lets the search skip k words.
-        order = np.lexsort((np.broadcast_to(np.arange(blocks.shape[1])[::-1], blocks.shape).ravel(), blocks.ravel()))
-        keys, first = np.unique(blocks.ravel()[order], return_index=True)
-        steps = np.broadcast_to(np.arange(blocks.shape[1])[::-1], blocks.shape).ravel()[order][first]
-        self.keys, self.steps = keys, np.append(steps, blocks.shape[1]).astype(np.int32)
+        # Eight places a block; blocks that fall together share the lesser shift, which only looks once more.
+        self.bits = np.uint64(min(26, max(8, int(blocks.size * 8).bit_length())))
+        self.table = np.full(1 << int(self.bits), blocks.shape[1], np.uint8 if m < 256 else np.int64)
+        for k in range(blocks.shape[1]):  # the block that ends k words before a pattern's end lets the search skip k words
+            at = self.place(blocks[:, blocks.shape[1] - 1 - k])
+            self.table[at] = np.minimum(self.table[at], k)
         order = np.lexsort((blocks[:, 0], blocks[:, -1]))
         self.rows, self.last, self.first = rows[order], blocks[order, -1], blocks[order, 0]
         names = list(patterns.values())
@@ -64,10 +65,10 @@ class Tables:
 
     def shifts(self, numbers: np.ndarray) -> np.ndarray:
         """For each block of a text how far the search may skip from there, 0 where a pattern may end."""
-        blocks = self.blocks(numbers[None, :])[0]
-        at = np.searchsorted(self.keys, blocks)
-        at[at == len(self.keys)] = 0
-        return np.where(self.keys[at] == blocks, self.steps[at], self.steps[-1])
+        return self.table[self.place(self.blocks(numbers[None, :])[0])]
+
+    def place(self, blocks: np.ndarray) -> np.ndarray:
+        return (blocks * np.uint64(0x9E3779B97F4A7C15)) >> (np.uint64(64) - self.bits)
 
     def search(self, numbers: np.ndarray) -> Iterator[tuple[int, list[str]]]:
         """(start, items) of every occurrence in a text of numbered words, overlapping ones too."""
@@ -84,6 +85,9 @@ class Tables:
             text = numbers[start:end]
             own = self.blocks(text[None, :])[0]
             low, high = np.searchsorted(self.last, own[-1]), np.searchsorted(self.last, own[-1], "right")
+            if low == high:  # another block has this place
+                end += 1
+                continue
             low, high = low + np.searchsorted(self.first[low:high], own[0]), low + np.searchsorted(self.first[low:high], own[0], "right")
             for row in (low + np.flatnonzero((self.rows[low:high] == text).all(axis=1))).tolist():
                 yield start, self.names[self.cuts[row] : self.cuts[row + 1]]

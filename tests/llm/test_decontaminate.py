@@ -70,7 +70,7 @@ def test_tables_take_little_more_than_their_patterns():
     tables = d.Searcher([patterns])
     size = sum(len(b" ".join(p)) for p in patterns)
     held = len(pickle.dumps(tables))
-    arrays = sum(x.nbytes for t in tables.tables for x in (t.keys, t.steps, t.rows, t.last, t.first, t.cuts))
+    arrays = sum(x.nbytes for t in tables.tables for x in (t.table, t.rows, t.last, t.first, t.cuts))
     assert held < 2 * size and arrays < 2.5 * size
     some = list(patterns)[7]
     assert [(s, n) for s, n, _ in tables.search([b"x", *some, b"y"])] == [(1, 10)]
