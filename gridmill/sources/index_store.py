@@ -52,6 +52,10 @@ def publish(spark: SparkSession, made: str, path: str) -> bool:
     return False
 
 
+#: Changes with what the folders hold, so that those of an older library are not opened.
+FORMAT = 1
+
+
 def fingerprint(inputs: list[DataFrame], settings: str) -> str:
     """Of the files that the frames read, their sizes and times, and of the settings of an index."""
     spark = inputs[0].sparkSession
@@ -60,7 +64,7 @@ def fingerprint(inputs: list[DataFrame], settings: str) -> str:
         fs, where = hadoop(spark, name)
         status = fs.getFileStatus(where)
         told.append(f"{name} {status.getLen()} {status.getModificationTime()}")
-    return hashlib.sha256("\n".join([settings, *told]).encode()).hexdigest()[:24]
+    return hashlib.sha256("\n".join([str(FORMAT), settings, *told]).encode()).hexdigest()[:24]
 
 
 def opened(name: str, inputs: list[DataFrame], settings: str, build: Callable[[str], None]) -> str:
