@@ -10,6 +10,8 @@ others. The documents stay where they are; the tables travel in blocks of bounde
 from __future__ import annotations
 
 import hashlib
+from array import array
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -29,6 +31,8 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 Words = tuple[bytes, ...]
+#: Hashes a block; the upper bits of the product in 64 bits are its place.
+MIX, ALL = 0x9E3779B97F4A7C15, (1 << 64) - 1
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -49,48 +53,41 @@ class Tables:
         blocks = self.blocks(rows)
         # Eight places a block; blocks that fall together share the lesser shift, which only looks once more.
         self.bits = np.uint64(min(26, max(8, int(blocks.size * 8).bit_length())))
-        self.table = np.full(1 << int(self.bits), blocks.shape[1], np.uint8 if m < 256 else np.int64)
+        table = np.full(1 << int(self.bits), blocks.shape[1], np.uint8 if m < 256 else np.int64)
         for k in range(blocks.shape[1]):  # the block that ends k words before a pattern's end lets the search skip k words
             at = self.place(blocks[:, blocks.shape[1] - 1 - k])
-            self.table[at] = np.minimum(self.table[at], k)
+            table[at] = np.minimum(table[at], k)
+        self.steps: bytes | list[int] = table.tobytes() if m < 256 else table.tolist()
         order = np.lexsort((blocks[:, 0], blocks[:, -1]))
-        self.rows, self.last, self.first = rows[order], blocks[order, -1], blocks[order, 0]
+        self.rows, self.last, self.first = array("I", rows[order].ravel().tobytes()), array("Q", blocks[order, -1].tobytes()), array("Q", blocks[order, 0].tobytes())
         names = list(patterns.values())
-        self.cuts = np.cumsum([0, *(len(names[i]) for i in order)])
+        self.cuts = array("Q", np.cumsum([0, *(len(names[i]) for i in order)], dtype=np.uint64).tobytes())
         self.names = [x for i in order for x in names[i]]
 
     def blocks(self, rows: np.ndarray) -> np.ndarray:
         """The blocks of two words of each row; of single words where the patterns have no more."""
         return rows.astype(np.uint64) if self.length == 1 else rows[:, :-1].astype(np.uint64) << np.uint64(32) | rows[:, 1:]
 
-    def shifts(self, numbers: np.ndarray) -> np.ndarray:
-        """For each block of a text how far the search may skip from there, 0 where a pattern may end."""
-        return self.table[self.place(self.blocks(numbers[None, :])[0])]
-
     def place(self, blocks: np.ndarray) -> np.ndarray:
-        return (blocks * np.uint64(0x9E3779B97F4A7C15)) >> (np.uint64(64) - self.bits)
-
-    def search(self, numbers: np.ndarray) -> Iterator[tuple[int, list[str]]]:
-        """(start, items) of every occurrence in a text of numbered words, overlapping ones too."""
-        m, width = self.length, min(2, self.length)
-        if len(numbers) < m:
-            return
-        step, n = self.shifts(numbers).tolist(), len(numbers)
-        end = m
+        return (blocks * np.uint64(MIX)) >> (np.uint64(64) - self.bits)
+
+    def search(self, words: list[bytes]) -> Iterator[tuple[int, list[str]]]:
+        """(start, items) of every occurrence, overlapping ones too; only the words where a skip ends are looked up."""
+        m, steps, n, down, number = self.length, self.steps, len(words), 64 - int(self.bits), self.numbers.get
+        pairs, end = m > 1, m
         while end <= n:
-            if s := step[end - width]:
-                end += s
+            block = number(words[end - 2], 0) << 32 | number(words[end - 1], 0) if pairs else number(words[end - 1], 0)
+            if step := steps[(block * MIX & ALL) >> down]:
+                end += step
                 continue
-            start = end - m
-            text = numbers[start:end]
-            own = self.blocks(text[None, :])[0]
-            low, high = np.searchsorted(self.last, own[-1]), np.searchsorted(self.last, own[-1], "right")
-            if low == high:  # another block has this place
-                end += 1
-                continue
-            low, high = low + np.searchsorted(self.first[low:high], own[0]), low + np.searchsorted(self.first[low:high], own[0], "right")
-            for row in (low + np.flatnonzero((self.rows[low:high] == text).all(axis=1))).tolist():
-                yield start, self.names[self.cuts[row] : self.cuts[row + 1]]
+            low, high = bisect_left(self.last, block), bisect_right(self.last, block)
+            if low < high:  # else another block has this place
+                text = array("I", [number(w, 0) for w in words[end - m : end]])
+                first = text[0] << 32 | text[1] if pairs else text[0]
+                low, high = bisect_left(self.first, first, low, high), bisect_right(self.first, first, low, high)
+                for row in range(low, high):
+                    if self.rows[row * m : row * m + m] == text:
+                        yield end - m, self.names[self.cuts[row] : self.cuts[row + 1]]
             end += 1
 
 
@@ -101,17 +98,11 @@ class Searcher:
         self.numbers: dict[bytes, int] = {}
         self.tables = [Tables(p, self.numbers) for p in patterns]
 
-    def numbered(self, words: list[bytes]) -> np.ndarray:
-        get = self.numbers.get
-        return np.array([get(w, 0) for w in words], np.uint32)
-
     def search(self, words: list[bytes]) -> Iterator[tuple[int, int, list[str]]]:
         """(start, length, items) of every occurrence."""
-        numbers = self.numbered(words)
-        if numbers.any():
-            for t in self.tables:
-                for start, items in t.search(numbers):
-                    yield start, t.length, items
+        for t in self.tables:
+            for start, items in t.search(words):
+                yield start, t.length, items
 
 
 def windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
