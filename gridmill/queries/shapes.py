@@ -160,6 +160,12 @@ ORACLE = {
         b AS (SELECT k, cone, {box_sql('0', '1', '0', '1')} AS box, {box_sql(miss(0), miss(1), miss(2), miss(3))} AS gap FROM n),
         a AS (SELECT k, {clipped('box')} - CASE WHEN k % 4 > 0 THEN {clipped('gap')} ELSE 0 END AS m2 FROM b)
         SELECT k AS p_partkey, round(m2, 0) AS visible_m2 FROM a WHERE m2 > 0.5""",
+    # The squares of places.cone_footprints, clipped in the same way.
+    "cone_footprints": f"""WITH p AS (SELECT p_partkey AS k, p_size, {LAT.format(K)} AS lat, {LNG.format(K)} AS lng FROM part), n AS (SELECT *, {HAVERSINE.format(AT_LAT, AT_LNG, 'lat', 'lng')} AS dist, {cone_points_sql()} AS cone FROM p),
+        b AS (SELECT *, {{'w': (lng - {HALF} - ({AT_LNG})) * 111320.0 * cos(radians({AT_LAT})), 'e': (lng + {HALF} - ({AT_LNG})) * 111320.0 * cos(radians({AT_LAT})), 's': (lat - {HALF} - {AT_LAT}) * 111320.0, 'n': (lat + {HALF} - {AT_LAT}) * 111320.0}} AS box,
+                abs(fmod(fmod(degrees(atan2(lng - ({AT_LNG}), lat - {AT_LAT})) + 360, 360) - {TOWARDS} + 540, 360) - 180) AS gap FROM n WHERE dist <= {REACH} + 100),
+        a AS (SELECT *, {clipped('box')} AS m2 FROM b)
+        SELECT k AS p_partkey, round(m2, 0) AS visible_m2, round(100 * (0.4 * exp(-dist / 30.0) + 0.3 * greatest(0.0, 1 - gap / ({CONE} / 2)) + 0.2 * least(1.0, m2 / 4000.0) + 0.1 * least(1.0, p_size * 5.0 / 200.0)), 2) AS score FROM a WHERE m2 > 0""",
     "mask_overlaps": f"""WITH x AS (SELECT p_partkey, i, (i % {ACROSS}) BETWEEN {K} % 20 AND {K} % 20 + 3 + {K} % 9 AND (i // {ACROSS}) BETWEEN {K} % 15 AND {K} % 15 + 2 + {K} % 7 AS lit, (i % {ACROSS} + 0.5) / {ACROSS} AS px, (i // {ACROSS} + 0.5) / {DOWN} AS py FROM part, unnest(range(0, {ACROSS * DOWN})) u(i)),
         c AS (SELECT p_partkey, count(*) FILTER (lit) AS pixels, count(*) FILTER (lit AND ({CROSSED}) % 2 = 1) AS hits FROM x GROUP BY p_partkey)
         SELECT p_partkey, CASE WHEN {K} % 9 > 0 THEN pixels END AS pixels, CASE WHEN {K} % 9 > 0 THEN hits END AS hits, round(CASE WHEN {K} % 9 > 0 THEN hits / (pixels + greatest(0, {AREA} * {ACROSS * DOWN} - hits)) ELSE 0 END, 6) AS overlap FROM c""",
