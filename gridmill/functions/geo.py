@@ -118,6 +118,24 @@ def segments_meet(p: Column, q: Column, a: Column, b: Column) -> Column:
     return ((s1 != s2) & (s3 != s4)) | ((s1 == 0) & within(a, b, p)) | ((s2 == 0) & within(a, b, q)) | ((s3 == 0) & within(p, q, a)) | ((s4 == 0) & within(p, q, b))
 
 
+def border_met(lat: Column, lng: Column, dlat: float, dlng: float, south: Column, north: Column, west: Column, east: Column) -> Column:
+    """Whether the segment from a point to one ``dlat`` and ``dlng`` from it meets the border of a box; touching counts, lying inside does not.
+
+    The shares of the segment at which it enters and leaves the box in either direction tell it.
+    """
+
+    def span(at: Column, d: float, low: Column, high: Column) -> tuple[Column, Column]:
+        if d == 0:
+            within = at.between(low, high)
+            return F.when(within, float("-inf")).otherwise(float("inf")), F.when(within, float("inf")).otherwise(float("-inf"))
+        first, last = (low, high) if d > 0 else (high, low)
+        return (first - at) / d, (last - at) / d
+
+    (x1, x2), (y1, y2) = span(lng, dlng, west, east), span(lat, dlat, south, north)
+    enters, leaves = F.greatest(x1, y1), F.least(x2, y2)
+    return (F.greatest(enters, F.lit(0.0)) <= F.least(leaves, F.lit(1.0))) & ~((enters < 0) & (leaves > 1))
+
+
 def visibility(dist: Column, gap: Column, cone: Column, visible_m2: Column, area_sqft: Column, height_ft: Column) -> Column:
     """Score 0 to 100 of a building in a view cone; a missing area counts as fully visible, a missing height as 30 ft."""
     share = F.try_divide(visible_m2, F.nullif(area_sqft, F.lit(0.0)) * 0.0929)

@@ -117,10 +117,8 @@ def nearest_street(spark: SparkSession, d: str) -> DataFrame:
 
 def ray_hits(spark: SparkSession, d: str) -> DataFrame:
     """Suppliers' squares that one ray meets, with the distance of their centres; ``ray_buildings`` has the whole of J17 and G15."""
-    squares = places(spark, d, "supplier", "s_suppkey").withColumn("ring", square(F.col("lat"), F.col("lng"), 0.004))
-    p = F.struct(F.lit(AT_LNG).alias("lng"), F.lit(AT_LAT).alias("lat"))
-    q = F.struct(F.lit(AT_LNG + 0.2).alias("lng"), F.lit(AT_LAT + 0.15).alias("lat"))
-    met = squares.where(F.exists(geo.edges(F.col("ring")), lambda e: geo.segments_meet(p, q, e["a"], e["b"])))
+    y, x = F.col("lat"), F.col("lng")
+    met = places(spark, d, "supplier", "s_suppkey").where(geo.border_met(F.lit(AT_LAT), F.lit(AT_LNG), 0.15, 0.2, y - 0.004, y + 0.004, x - 0.004, x + 0.004))
     return met.select("s_suppkey", F.round(geo.haversine(F.lit(AT_LAT), F.lit(AT_LNG), F.col("lat"), F.col("lng")), 1).alias("dist_m"))
 
 

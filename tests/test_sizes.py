@@ -40,3 +40,7 @@ def test_keys_of_six_digits(spark, tmp_path):
     part = pq.read_table(f"{D}/part.parquet")
     d = enlarged(tmp_path, {"part": 600})
     assert same_as_sql(spark, d, "lore_tiers") == 600 * part.num_rows > 100_000
+
+
+def test_a_ray_that_touches_a_corner(spark, tmp_path):
+    assert same_as_sql(spark, enlarged(tmp_path, {"supplier": 600}), "ray_hits") == 82
