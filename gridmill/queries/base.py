@@ -10,6 +10,11 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` dealt out to all cores: a file of some megabytes is read in one or two tasks, whatever its rows cost after that."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def lat(key: str) -> Column:
     """A place for a key, the same in every engine: about 55 km of latitude."""
     return F.lit(40.5) + (F.col(key) % 997) / 2000

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gridmill.functions import profiles, ranking
 from gridmill.functions import reports as P
 from gridmill.functions import text as T
-from gridmill.queries.base import load
+from gridmill.queries.base import load, spread
 from gridmill.queries.page import words
 
 ORDINAL_WORDS = [*T.ORDINALS[:19], "twentieth", *[f"twenty-{w}" for w in T.ORDINALS[:9]], "thirtieth"]
@@ -53,7 +53,7 @@ def report_streets(spark: SparkSession, d: str) -> DataFrame:
     """STR7: each part's street as a report spells it, in the address table's spelling."""
     k = F.col("p_partkey")
     raw = F.concat(pick(["West  ", "Old ", ""], k), pick([w.upper() for w in ORDINAL_WORDS], k), F.lit(" Street."), pick(SIDES, k))
-    return load(spark, d, "part").select("p_partkey", P.street(raw).alias("street"))
+    return spread(load(spark, d, "part").select("p_partkey")).select("p_partkey", P.street(raw).alias("street"))
 
 
 def table_streets(spark: SparkSession, d: str) -> DataFrame:
@@ -61,7 +61,7 @@ def table_streets(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("p_partkey")
     raw = F.concat_ws(" ", F.when(k % 7 != 0, (k % 300 + 1).cast("string")), pick(["E", "W", "So"], k), F.concat((k % 90 + 1).cast("string"), F.lit("th")), pick(list(SHORT), k))
     a = P.address(raw)
-    return load(spark, d, "part").select("p_partkey", a["number"].alias("number"), a["street"].alias("street"))
+    return spread(load(spark, d, "part").select("p_partkey")).select("p_partkey", a["number"].alias("number"), a["street"].alias("street"))
 
 
 def social_handles(spark: SparkSession, d: str) -> DataFrame:

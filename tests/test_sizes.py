@@ -44,3 +44,9 @@ def test_keys_of_six_digits(spark, tmp_path):
 
 def test_a_ray_that_touches_a_corner(spark, tmp_path):
     assert same_as_sql(spark, enlarged(tmp_path, {"supplier": 600}), "ray_hits") == 82
+
+
+@pytest.mark.parametrize("made", [reports.street, lambda raw: reports.address(raw)["street"]])
+def test_a_street_is_read_once(spark, made):
+    # Each mention of a column is worked out anew; the list of ordinal words once repeated all patterns for each of its words.
+    assert str(made(F.col("raw_street"))).count("raw_street") <= 2
