@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gridmill.functions.bind import bind
+
 # Radius of the earth in metres, metres of a degree of latitude.
 EARTH_M, DEGREE_M = 6371000.0, 111320.0
 
@@ -184,25 +187,24 @@ def spheroid_distance(lat1: Column, lng1: Column, lat2: Column, lng2: Column, ro
     """Metres of the geodesic on the ellipsoid, by Vincenty's inverse formula; points nearly opposite do not converge."""
     minor = SEMI_MAJOR_M * (1 - FLATTENING)
     u1, u2 = (F.atan((1 - FLATTENING) * F.tan(F.radians(p))) for p in (lat1, lat2))
-    s1, c1, s2, c2 = F.sin(u1), F.cos(u1), F.sin(u2), F.cos(u2)
-    apart = F.radians(lng2 - lng1)
-
-    def arc(lam: Column) -> tuple[Column, Column, Column, Column, Column]:
-        """(sine and cosine of the arc, the arc, squared cosine of the azimuth at the equator, cosine of twice the middle)."""
-        sine = F.sqrt(F.pow(c2 * F.sin(lam), 2) + F.pow(c1 * s2 - s1 * c2 * F.cos(lam), 2))
-        cosine = s1 * s2 + c1 * c2 * F.cos(lam)
-        azimuth = F.coalesce(F.try_divide(c1 * c2 * F.sin(lam), sine), F.lit(0.0))
-        flat = 1 - azimuth * azimuth
-        return sine, cosine, F.atan2(sine, cosine), flat, cosine - F.coalesce(F.try_divide(2 * s1 * s2, flat), F.lit(0.0))
-
-    def step(lam: Column, _: Column) -> Column:
-        sine, cosine, sigma, flat, middle = arc(lam)
-        azimuth = F.coalesce(F.try_divide(c1 * c2 * F.sin(lam), sine), F.lit(0.0))
-        c = FLATTENING / 16 * flat * (4 + FLATTENING * (4 - 3 * flat))
-        return apart + (1 - c) * FLATTENING * azimuth * (sigma + c * sine * (middle + c * cosine * (2 * middle * middle - 1)))
-
-    lam = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), apart, step)
-    told = F.transform(F.array(lam), lambda x: F.struct(*[c.alias(n) for c, n in zip(arc(x), ("sine", "cosine", "sigma", "flat", "middle"))]))[0]
+    given = F.struct(F.sin(u1).alias("s1"), F.cos(u1).alias("c1"), F.sin(u2).alias("s2"), F.cos(u2).alias("c2"), F.radians(lng2 - lng1).alias("apart"))
+
+    def arc(g: Column, lam: Column, body: Callable[[Column], Column]) -> Column:
+        """``body`` of sine and cosine of the arc, the arc, sine of the azimuth at the equator, its squared cosine, cosine of twice the middle."""
+        s1, c1, s2, c2 = g["s1"], g["c1"], g["s2"], g["c2"]
+        turned = F.struct(F.sin(lam).alias("s"), F.cos(lam).alias("c"))
+        arcs = lambda t: F.struct(F.sqrt(F.pow(c2 * t["s"], 2) + F.pow(c1 * s2 - s1 * c2 * t["c"], 2)).alias("sine"), (s1 * s2 + c1 * c2 * t["c"]).alias("cosine"), t["s"].alias("s"))
+        leant = lambda a: F.struct(a["sine"].alias("sine"), a["cosine"].alias("cosine"), F.coalesce(F.try_divide(c1 * c2 * a["s"], a["sine"]), F.lit(0.0)).alias("azimuth"))
+        flat = lambda a: F.struct(a["sine"].alias("sine"), a["cosine"].alias("cosine"), a["azimuth"].alias("azimuth"), (1 - a["azimuth"] * a["azimuth"]).alias("flat"))
+        middle = lambda a: F.struct(a["sine"].alias("sine"), a["cosine"].alias("cosine"), a["azimuth"].alias("azimuth"), a["flat"].alias("flat"), F.atan2(a["sine"], a["cosine"]).alias("sigma"), (a["cosine"] - F.coalesce(F.try_divide(2 * s1 * s2, a["flat"]), F.lit(0.0))).alias("middle"))
+        return bind(turned, lambda t: bind(arcs(t), lambda a: bind(leant(a), lambda b: bind(flat(b), lambda c: bind(middle(c), body)))))
+
+    def step(g: Column, lam: Column) -> Column:
+        def next_(t: Column) -> Column:
+            more = FLATTENING / 16 * t["flat"] * (4 + FLATTENING * (4 - 3 * t["flat"]))
+            return bind(more, lambda c: g["apart"] + (1 - c) * FLATTENING * t["azimuth"] * (t["sigma"] + c * t["sine"] * (t["middle"] + c * t["cosine"] * (2 * t["middle"] * t["middle"] - 1))))
+
+        return arc(g, lam, next_)
 
     def metres(t: Column) -> Column:
         u = t["flat"] * (SEMI_MAJOR_M**2 - minor**2) / minor**2
@@ -212,7 +214,7 @@ def spheroid_distance(lat1: Column, lng1: Column, lat2: Column, lng2: Column, ro
         bend = b * sine * (m + b / 4 * (cosine * (2 * m * m - 1) - b / 6 * m * (4 * sine * sine - 3) * (4 * m * m - 3)))
         return minor * a * (t["sigma"] - bend)
 
-    return F.transform(F.array(told), metres)[0]
+    return bind(given, lambda g: bind(F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), g["apart"], lambda lam, _: step(g, lam)), lambda lam: arc(g, lam, metres)))
 
 
 def ground_point(across: Column, down: Column, lat: Column, lng: Column, yaw: Column, pitch: Column, focal: float, size: tuple[int, int], depth: Column, eye: float = 1.6, most: float = 150.0) -> Column:

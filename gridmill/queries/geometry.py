@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gridmill.functions import geo
 from gridmill.operators import spatial
-from gridmill.queries.base import HAVERSINE, LAT, LNG, lat, lng, load
+from gridmill.queries.base import HAVERSINE, LAT, LNG, lat, lng, load, spread
 
 PICTURE, FOCAL = (1024, 768), 691.9
 STREET_M, REACH_M = 340.0, 600.0
@@ -21,7 +21,7 @@ def geodesics(spark: SparkSession, d: str) -> DataFrame:
     """Metres on the ellipsoid from each customer's place, anywhere on earth, to New York."""
     k = F.col("c_custkey")
     there = (k * 37 % 161 - 80).cast("double"), (k * 53 % 200 - 174).cast("double")
-    return load(spark, d, "customer").select("c_custkey", F.round(geo.spheroid_distance(F.lit(40.7), F.lit(-74.0), *there), 3).alias("metres"))
+    return spread(load(spark, d, "customer").select("c_custkey")).select("c_custkey", F.round(geo.spheroid_distance(F.lit(40.7), F.lit(-74.0), *there), 3).alias("metres"))
 
 
 def pixels_placed(spark: SparkSession, d: str) -> DataFrame:

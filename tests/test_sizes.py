@@ -50,3 +50,7 @@ def test_a_ray_that_touches_a_corner(spark, tmp_path):
 def test_a_street_is_read_once(spark, made):
     # Each mention of a column is worked out anew; the list of ordinal words once repeated all patterns for each of its words.
     assert str(made(F.col("raw_street"))).count("raw_street") <= 2
+
+
+def test_a_geodesic_works_out_its_angles_once(spark):
+    assert str(geo.spheroid_distance(F.lit(40.7), F.lit(-74.0), F.col("to_lat"), F.col("to_lng"))).count("to_lat") == 2
