@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ from gridmill.queries.base import HAVERSINE, LAT, LNG, lat, lng, load
 
 # The point that radius and cone queries look from, and where to.
 AT_LAT, AT_LNG, TOWARDS, CONE, REACH = 40.55, -74.15, 45.0, 75.0, 2000.0
+# Metres that a street of 0.004 degrees of longitude is long at most, here.
+STREET_M = 340.0
 
 
 def places(spark: SparkSession, d: str, name: str, key: str, suffix: str = "") -> DataFrame:
@@ -64,7 +68,8 @@ def neighbour_stories(spark: SparkSession, d: str) -> DataFrame:
     """Up to four neighbours of each supplier, those with a story first, then the nearest."""
     own = places(spark, d, "supplier", "s_suppkey")
     other = load(spark, d, "part").select("p_partkey", lat("p_partkey").alias("lat2"), lng("p_partkey").alias("lng2"), (F.col("p_type") == "PROMO").alias("story"))
-    pairs = spatial.cell_join(own, other, 800, ("lat", "lng"), ("lat2", "lng2"))
+    kinds = [other.where(F.col("story").eqNullSafe(F.lit(kind).cast("boolean"))) for kind in (True, False, None)]
+    pairs = reduce(DataFrame.unionByName, [spatial.nearest(own, rows, 800, ("lat", "lng"), ("lat2", "lng2"), "s_suppkey", "p_partkey", 4, 3) for rows in kinds])
     w = Window.partitionBy("s_suppkey").orderBy(F.desc("story"), F.round("dist_m", 3), "p_partkey")
     return pairs.withColumn("nth", F.row_number().over(w)).where("nth <= 4").select("s_suppkey", "nth", "p_partkey", "story")
 
@@ -110,9 +115,8 @@ def ring_measures(spark: SparkSession, d: str) -> DataFrame:
 def nearest_street(spark: SparkSession, d: str) -> DataFrame:
     """The nearest street, a west-east segment for each supplier, within 300 m of each part."""
     streets = places(spark, d, "supplier", "s_suppkey", "2").select("s_suppkey", "lat2", "lng2", F.struct((F.col("lng2") - 0.002).alias("lng"), F.col("lat2").alias("lat")).alias("a"), F.struct((F.col("lng2") + 0.002).alias("lng"), F.col("lat2").alias("lat")).alias("b"))
-    near = spatial.cell_join(places(spark, d, "part", "p_partkey"), streets, 700, ("lat", "lng"), ("lat2", "lng2"))
-    told = near.withColumn("off", F.round(geo.segment_distance(F.col("lat"), F.col("lng"), F.col("a"), F.col("b")), 2)).where("off <= 300")
-    return told.groupBy("p_partkey").agg(F.min(F.struct("off", "s_suppkey")).alias("best")).select("p_partkey", F.col("best.s_suppkey").alias("street"), F.col("best.off").alias("off_m"))
+    told = spatial.nearest_lines(places(spark, d, "part", "p_partkey"), streets, 300, STREET_M, "p_partkey", "s_suppkey")
+    return told.select("p_partkey", F.col("s_suppkey").alias("street"), F.col("off").alias("off_m"))
 
 
 def ray_hits(spark: SparkSession, d: str) -> DataFrame:

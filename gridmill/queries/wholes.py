@@ -62,9 +62,8 @@ def boxed_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """The nearest parts in the box around each supplier, in flat metres; corners beyond the radius stay, as the box alone cuts."""
     own = load(spark, d, "supplier").select("s_suppkey", lat("s_suppkey").alias("lat"), lng("s_suppkey").alias("lng"))
     other = load(spark, d, "part").select("p_partkey", lat("p_partkey").alias("lat2"), lng("p_partkey").alias("lng2"))
-    pairs = spatial.box_join(own, other, NEAR_M, ("lat", "lng"), ("lat2", "lng2"))
-    nth = F.row_number().over(Window.partitionBy("s_suppkey").orderBy(F.round("flat_m", 3), "p_partkey"))
-    return pairs.withColumn("nth", nth).where(F.col("nth") <= MOST).select("s_suppkey", "nth", "p_partkey", F.round("flat_m", 1).alias("flat_m"))
+    told = spatial.nearest_in_box(own, other, NEAR_M, ("lat", "lng"), ("lat2", "lng2"), "s_suppkey", "p_partkey", MOST)
+    return told.select("s_suppkey", "nth", "p_partkey", F.round("flat_m", 1).alias("flat_m"))
 
 
 def quality_examples(spark: SparkSession, d: str) -> DataFrame:

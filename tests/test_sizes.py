@@ -1,6 +1,8 @@
 """What larger tables bring: longer keys, points that only touch, crowded places, and expressions that are worked out once."""
 
+import math
 import os
+import random
 
 import duckdb
 import pyarrow.parquet as pq
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 
 from gridmill import registry
 from gridmill.functions import geo, reports
+from gridmill.operators import spatial
 
 D = "/root/testdata/sf0.001"
 KEYS = {"part": "p_partkey", "supplier": "s_suppkey", "customer": "c_custkey"}
@@ -54,3 +57,30 @@ def test_a_street_is_read_once(spark, made):
 
 def test_a_geodesic_works_out_its_angles_once(spark):
     assert str(geo.spheroid_distance(F.lit(40.7), F.lit(-74.0), F.col("to_lat"), F.col("to_lng"))).count("to_lat") == 2
+
+
+def test_crowded_places_meet_few_rows(spark, monkeypatch):
+    rng = random.Random(5)
+    spots = lambda n: [(i, 40.7 + rng.gauss(0, 0.001), -74.0 + rng.gauss(0, 0.001)) for i in range(n)] + [(n, 40.75, -74.05), (n + 1, None, 1.0)]
+    own, other = spots(800), spots(1500)
+    left, right = spark.createDataFrame(own, "a long, lat double, lng double"), spark.createDataFrame(other, "b long, lat2 double, lng2 double")
+    met, join = [], spatial.cell_join
+
+    def counted(*args):
+        pairs = join(*args)
+        met.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(spatial, "cell_join", counted)
+    got = {(r.a, r.nth): (r.b, round(r.dist_m, 3)) for r in spatial.nearest(left, right, 2000, ("lat", "lng"), ("lat2", "lng2"), "a", "b", 4).collect()}
+
+    def metres(p, q):
+        x = math.sin(math.radians(q[0] - p[0]) / 2) ** 2 + math.cos(math.radians(p[0])) * math.cos(math.radians(q[0])) * math.sin(math.radians(q[1] - p[1]) / 2) ** 2
+        return 2 * 6371000 * math.asin(math.sqrt(x))
+
+    want = {}
+    for a, *p in own[:-1]:
+        near = sorted((metres(p, q), b) for b, *q in other[:-1])
+        want |= {(a, i + 1): (b, round(d, 3)) for i, (d, b) in enumerate(near[:4]) if d <= 2000}
+    assert got == want
+    assert sum(met) < 0.4 * len(own) * len(other)
