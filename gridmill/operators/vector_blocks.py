@@ -78,6 +78,23 @@ def centroids_of(units: np.ndarray, n: int) -> np.ndarray:
     return c
 
 
+def least_hash(n: int, most: int) -> int:
+    """A hash that at least ``most`` of ``n`` rows are sure to stay under, and not many more: six deviations above their share."""
+    share = (most + 6 * math.sqrt(most) + 36) / max(n, 1)
+    return (1 << 63) - 1 if share >= 1 else int(-(1 << 63) + share * (1 << 64))
+
+
+def sample_of(vectors: DataFrame, most: int) -> pa.Table:
+    """The ``most`` vectors of the lowest hashes of their ids (unique), as (embedding, h, id).
+
+    The executors drop what lies above the hash that so many rows stay under; a sort with a limit would
+    send that many rows of every task to the driver.
+    """
+    rows = vectors.where("embedding IS NOT NULL").select("embedding", F.xxhash64("id").alias("h"), "id")
+    told = rows.where(F.col("h") <= F.lit(least_hash(rows.count(), most))).toArrow()
+    return told.sort_by([("h", "ascending"), ("id", "ascending")]).slice(0, most)
+
+
 def build(vectors: DataFrame, path: str, carried: list[str], blocks: int | None = None) -> Blocks:
     """Stores ``vectors`` (id, embedding, and the columns ``carried``) by block in a new folder.
 
@@ -86,8 +103,7 @@ def build(vectors: DataFrame, path: str, carried: list[str], blocks: int | None
     """
     spark, n = vectors.sparkSession, vectors.count()
     blocks = blocks or max(1, min(MOST_BLOCKS, math.isqrt(n)))
-    sample = vectors.where("embedding IS NOT NULL").select("embedding", F.xxhash64("id").alias("h"), "id").orderBy("h", "id").limit(SAMPLE * blocks).select("embedding").toArrow()
-    column = sample.column(0).combine_chunks()
+    column = sample_of(vectors, SAMPLE * blocks).column("embedding").combine_chunks()
     width = len(column[0]) if len(column) else 0
     c = centroids_of(matrix(column, width), blocks)
     sent = spark.sparkContext.broadcast(c)  # at most MOST_BLOCKS rows

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gridmill import registry
 from gridmill.functions import geo, reports
-from gridmill.operators import spatial
+from gridmill.operators import spatial, vector_blocks
 
 D = "/root/testdata/sf0.001"
 KEYS = {"part": "p_partkey", "supplier": "s_suppkey", "customer": "c_custkey"}
@@ -84,3 +84,11 @@ def test_crowded_places_meet_few_rows(spark, monkeypatch):
         want |= {(a, i + 1): (b, round(d, 3)) for i, (d, b) in enumerate(near[:4]) if d <= 2000}
     assert got == want
     assert sum(met) < 0.4 * len(own) * len(other)
+
+
+def test_a_sample_of_vectors_by_hash(spark):
+    rows = spark.range(5000).select("id", F.when(F.col("id") % 9 > 0, F.array(F.col("id").cast("float"))).alias("embedding"))
+    want = [r.id for r in rows.where("embedding IS NOT NULL").orderBy(F.xxhash64("id"), "id").limit(200).collect()]
+    assert vector_blocks.sample_of(rows, 200).column("id").to_pylist() == want
+    assert vector_blocks.sample_of(rows, 9000).num_rows == 4444
+    assert vector_blocks.least_hash(1 << 40, 1 << 16) < -(1 << 63) + (1 << 64) * 1.2 / (1 << 24)
