@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gridmill.functions import profiles, reports
 from gridmill.operators import spatial
-from gridmill.queries.base import LAT, LNG, lat, lng, load
+from gridmill.queries.base import LAT, LNG, lat, lng, load, spread
 from gridmill.queries.buildings import FIELDS
 
 #: What is known of the buildings that parts stand for, by key.
@@ -43,7 +43,7 @@ def building_searches(spark: SparkSession, d: str) -> DataFrame:
     cats = F.when(k % 2 == 0, F.array(F.lit("murals"), F.lit(" arches "), F.lit("murals"), F.lit("")))
     claim = F.when(k % 5 > 1, F.concat(F.lit("Stone, carved in 1901 by "), "p_type", F.lit(" masons!")))
     asked = reports.web_queries(name, addr, pick(ARCHITECTS, k), F.when(k % 7 > 0, 1800 + k % 200), cats, claim)
-    return load(spark, d, "part").select("p_partkey", F.array_join(asked, "|").alias("queries"))
+    return spread(load(spark, d, "part").select("p_partkey", "p_name", "p_type")).select("p_partkey", F.array_join(asked, "|").alias("queries"))
 
 
 def streets_folded(spark: SparkSession, d: str) -> DataFrame:

@@ -86,6 +86,11 @@ def test_crowded_places_meet_few_rows(spark, monkeypatch):
     assert sum(met) < 0.4 * len(own) * len(other)
 
 
+def test_web_queries_trim_once(spark):
+    asked = reports.web_queries(*map(F.col, ("name", "addr", "raw_architect", "year", "categories", "raw_claim")))
+    assert str(asked).count("raw_architect") == 1 and str(asked).count("raw_claim") == 1
+
+
 def test_a_sample_of_vectors_by_hash(spark):
     rows = spark.range(5000).select("id", F.when(F.col("id") % 9 > 0, F.array(F.col("id").cast("float"))).alias("embedding"))
     want = [r.id for r in rows.where("embedding IS NOT NULL").orderBy(F.xxhash64("id"), "id").limit(200).collect()]
