@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridmill.operators import extract
-from gridmill.queries.base import load
+from gridmill.queries.base import load, spread
 
 STREETS = {0: ("MAPLE STREET", "MAPLE STREET North Side"), 1: ("WALNUT AVENUE", "WALNUT AVENUE South Side (Nos. 1-99)")}
 LOT = "Borough of Brooklyn Tax Map Block 45, Lot 7"
@@ -62,8 +62,9 @@ def attached_entries(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("p_partkey")
     street = F.when(k % 3 == 0, "Mapel Street").when(k % 3 == 1, "Maple  Street").otherwise("Walnut Ave")
     buildings = load(spark, d, "part").select(k.alias("key"), F.col("p_brand").alias("report"), F.concat_ws(" ", (k % 45 + 1).cast("string"), street).alias("address"))
-    told = extract.attach(extract.entry_index(extract.prose_entries(prose(spark, d))), buildings)
-    return told.select("key", F.md5("text").alias("hash"))
+    # A house's text is hashed once, before it goes to each of its buildings.
+    index = extract.entry_index(extract.prose_entries(prose(spark, d))).withColumn("text", F.md5("text"))
+    return extract.attach(index, spread(buildings)).select("key", F.col("text").alias("hash"))
 
 
 QUERIES = {f.__name__: f for f in (prose_houses, marginal_houses, report_layouts, attached_entries)}
