@@ -11,11 +11,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridmill.functions import geo
+from gridmill.sources.tables import stored
 
 #: Degrees of a cell of level 0, and levels up to the whole globe.
 CELL, LEVELS = 0.0005, 20
 #: Degrees by which boxes are widened, for rays that only touch.
 EDGE = 1e-9
+#: Degrees around a ray's origin that hold all that is 0.00 m away, up to the latitude POLAR.
+TOUCH, POLAR = 1e-6, 80.0
 #: Metres of a degree in a ray's own length, metres it goes on past the hit, farthest footprint, shortest ray.
 RAY_DEGREE_M, EXTEND_M, FARTHEST_M, SHORTEST_M = 111000.0, 30.0, 200.0, 0.5
 
@@ -55,8 +58,13 @@ def crossed(p: Column, q: Column, size: float) -> Column:
 
 
 def cells_at(p: Column, q: Column, level: int) -> Column:
-    """(level, x, y) of the cells of one level that a segment goes through."""
-    return F.transform(crossed(p, q, CELL * 2.0**level), lambda c: F.struct(F.lit(level).alias("level"), c["x"].alias("x"), c["y"].alias("y")))
+    """(level, x, y) of the cells of one level that a segment goes through; where its box has four cells at most, or one row of them, all of these."""
+    size = CELL * 2.0**level
+    low, high = ([F.floor(f(p[c] / size, q[c] / size)) for c in ("lng", "lat")] for f in (F.least, F.greatest))
+    wide, tall = (b - a + 1 for a, b in zip(low, high))
+    cell = lambda x, y: F.struct(F.lit(level).alias("level"), x.alias("x"), y.alias("y"))
+    box = F.flatten(F.transform(F.sequence(low[0], high[0]), lambda x: F.transform(F.sequence(low[1], high[1]), lambda y: cell(x, y))))
+    return F.when((wide * tall <= 4) | (wide == 1) | (tall == 1), box).otherwise(F.transform(crossed(p, q, size), lambda c: cell(c["x"], c["y"])))
 
 
 def covered(footprints: DataFrame) -> DataFrame:
@@ -87,15 +95,31 @@ def first_footprint(rays: DataFrame, footprints: DataFrame, key: str, extend_m:
     rings of (lng, lat). The distance is 0 inside and rounds to centimetres; ties go to the lower key.
     Rays of less than half a metre and rays that meet nothing have no row; touching counts.
     """
-    cells = covered(footprints.select(key, "rings"))
-    levels = [r.level for r in cells.select("level").distinct().collect()]  # LEVELS + 1 numbers at most
-    each = [cells_at(F.col("p"), F.col("q"), n) for n in sorted(levels)]
-    followed = extended(rays, extend_m).withColumn("c", F.explode(F.concat(*each) if each else F.array().cast("array<struct<level:int,x:bigint,y:bigint>>")))
-    met = followed.select("ray", "p", "q", "c.*").join(cells, ["level", "x", "y"]).withColumn("edges", all_edges(F.col("rings")))
+    points = F.flatten("rings")
+    sides = {name: f(points[c]) + w for name, f, c, w in (("west", F.array_min, "lng", -EDGE), ("east", F.array_max, "lng", EDGE), ("south", F.array_min, "lat", -EDGE), ("north", F.array_max, "lat", EDGE))}
+    # Equal footprints are met once, as the one with the lowest key.
+    cells = stored(covered(footprints.groupBy("rings").agg(F.min(key).alias(key))).withColumns(sides), "cells")
+    levels = sorted(r.level for r in cells.select("level").distinct().collect())  # LEVELS + 1 numbers at most
+    each = lambda p, q: F.concat(*[cells_at(p, q, n) for n in levels]) if levels else F.array().cast("array<struct<level:int,x:bigint,y:bigint>>")
+    shot = extended(rays, extend_m).select("ray", "p", "q")
+    p, q = F.col("p"), F.col("q")
+    beside = lambda d: F.struct((p["lng"] + d).alias("lng"), (p["lat"] + d).alias("lat"))
+    through = each(F.col("u"), F.col("v"))
+    # Most rays of a crowded place begin in a footprint, and nothing is nearer than that.
+    begun = footprints_met(shot.where(F.abs(p["lat"]) <= POLAR).withColumns({"u": beside(-TOUCH), "v": beside(TOUCH)}), cells, key, through).where("dist_m = 0")
+    begun = stored(begun.groupBy("ray").agg(F.min(key).alias(key), F.min("dist_m").alias("dist_m")), "begun").select("ray", key, "dist_m")
+    told = footprints_met(shot.join(begun.select("ray"), "ray", "left_anti").withColumns({"u": p, "v": q}), cells, key, through)
+    best = told.groupBy("ray").agg(F.min(F.struct("dist_m", key)).alias("b")).select("ray", "b.*")
+    return begun.unionByName(best.select("ray", key, "dist_m")).where(F.col("dist_m") <= farthest_m)
+
+
+def footprints_met(shot: DataFrame, cells: DataFrame, key: str, through: Column) -> DataFrame:
+    """(ray, key, dist_m): the footprints in ``cells`` that rays (ray, p, q) meet, of those that lie in the cells ``through`` and touch the box from u to v."""
+    low, high = ({c: f(F.col("u")[c], F.col("v")[c]) for c in ("lng", "lat")} for f in (F.least, F.greatest))
+    followed = shot.withColumns({"w": low["lng"], "e": high["lng"], "s": low["lat"], "n": high["lat"]}).withColumn("c", F.explode(through)).select("ray", "p", "q", "w", "e", "s", "n", "c.*")
+    met = followed.join(cells, ["level", "x", "y"]).where("w <= east AND e >= west AND s <= north AND n >= south").withColumn("edges", all_edges(F.col("rings")))
     p, q = F.col("p"), F.col("q")
     within = inside(p["lat"], p["lng"], F.col("edges"))
     hit = within | F.exists("edges", lambda e: geo.segments_meet(p, q, e["a"], e["b"]))
     far = F.array_min(F.transform("edges", lambda e: geo.segment_distance(p["lat"], p["lng"], e["a"], e["b"])))
-    told = met.where(hit).select("ray", key, F.round(F.when(within, 0.0).otherwise(far), 2).alias("dist_m"))
-    best = told.groupBy("ray").agg(F.min(F.struct("dist_m", key)).alias("b")).select("ray", "b.*")
-    return best.where(F.col("dist_m") <= farthest_m).select("ray", key, "dist_m")
+    return met.where(hit).select("ray", key, F.round(F.when(within, 0.0).otherwise(far), 2).alias("dist_m"))
