@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -44,7 +45,7 @@ def by_pages(text: str, size: int = 2000, overlap: int = 200, least: int = 100)
 def by_words(text: str, size: int = 1500) -> Iterator[str]:
     held: list[str] = []
     n = 0
-    for word in text.split():
+    for word in (m.group() for m in re.finditer(r"\S+", text)):
         if held and n + len(word) + 1 > size:
             yield " ".join(held)
             held, n = [], 0
@@ -54,19 +55,38 @@ def by_words(text: str, size: int = 1500) -> Iterator[str]:
         yield " ".join(held)
 
 
+#: Characters of the chunks that a batch holds before it is handed on.
+HELD = 1 << 22
+
+
 def chunks(docs: DataFrame, key: str, text: str, cut: Callable[[str], Iterator[str]]) -> DataFrame:
-    """(key, nth, chunk) of every text, cut where it lies; null texts have no chunks."""
+    """(key, nth, chunk) of every text, cut where it lies; null texts have no chunks.
+
+    Texts become Python strings one at a time, and batches are handed on when they hold HELD characters,
+    so a task holds one batch of Spark's, one of its own and one text, however many rows it has.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys: list = []
+            rows: list[int] = []
             nth: list[int] = []
             out: list[str] = []
-            for k, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for i, chunk in enumerate(cut(value or "")):
-                    keys.append(k)
+            held = 0
+
+            def told() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(nth, pa.int32()), pa.array(out, pa.string())], names=[key, "nth", "chunk"])
+
+            for row, value in enumerate(batch.column(1)):
+                for i, chunk in enumerate(cut(value.as_py() or "")):
+                    rows.append(row)
                     nth.append(i)
                     out.append(chunk)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.column(0).type), pa.array(nth, pa.int32()), pa.array(out, pa.string())], names=[key, "nth", "chunk"])
-
+                    held += len(chunk)
+                    if held >= HELD:
+                        yield told()
+                        rows, nth, out, held = [], [], [], 0
+            yield told()
+
+    # A batch of Spark's own size may hold 10,000 whole texts; the session keeps this setting, as the result is still to run.
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 1 << 22)
     return docs.select(key, text).mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, nth int, chunk string")

@@ -3,16 +3,20 @@
 import math
 import os
 import random
+from types import SimpleNamespace
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from gridmill import registry
 from gridmill.functions import geo, reports
-from gridmill.operators import rays, simplify, spatial, vector_blocks
+from gridmill.operators import chunking, extract, rays, simplify, spatial, vector_blocks
+from gridmill.queries import districts
 
 D = "/root/testdata/sf0.001"
 KEYS = {"part": "p_partkey", "supplier": "s_suppkey", "customer": "c_custkey"}
@@ -125,3 +129,30 @@ def test_arcs_are_tables_of_numbers(spark, monkeypatch):
         (2, 0): (False, [(1.0, 0.0), (2.0, 0.0), (1.0, 1.0)]), (2, 1): (True, [(1.0, 0.0), (1.0, 1.0)]),
     }
     assert simplify.thinned(np.array([(0.0, 0.0), (0.5, 0.01), (1.0, 0.0)]), 0.1).tolist() == [True, False, True]
+
+
+def test_batches_of_chunks_are_bounded(spark):
+    docs = SimpleNamespace(sparkSession=spark, schema={"id": SimpleNamespace(dataType=LongType())}, select=lambda *_: docs, mapInArrow=lambda run, _: run)
+    run = chunking.chunks(docs, "id", "t", chunking.by_words)
+    batch = pa.RecordBatch.from_pydict({"id": pa.array(range(40), pa.int64()), "t": ["ab " * 150_000] * 39 + [None]})
+    told = list(run(iter([batch])))
+    assert max(sum(map(len, b.column(2).to_pylist())) for b in told) < chunking.HELD + 1501 and sum(b.num_rows for b in told) == 39 * 300
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") in (str(1 << 22), "4194304b")
+
+
+def test_repeated_sentences_of_an_entry_are_grouped(spark):
+    # Distinct items of an array of structs are found by comparing all pairs.
+    told = extract.prose_entries(districts.prose(spark, D))
+    assert "array_distinct(transform" not in told._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_points_and_rings_of_one_place_are_met_once(spark):
+    rng = random.Random(8)
+    places = [(40.7 + rng.uniform(0, 0.02), -74 + rng.uniform(0, 0.02)) for _ in range(40)]
+    points = [(i, *rng.choice(places)) for i in range(3000)] + [(9000, None, 1.0)]
+    ring = lambda y, x, h: [(x - h, y - h), (x - h, y + h), (x + h, y + h), (x + h, y - h), (x - h, y - h)]
+    spots = [(*rng.choice(places), rng.choice([0.0003, 0.003, 0.012])) for _ in range(25)]
+    rings = [(i, ring(*rng.choice(spots))) for i in range(120)]
+    inside = spatial.points_in_rings(spark.createDataFrame(points, "a int, lat double, lng double"), spark.createDataFrame(rings, "b int, ring array<struct<lng:double,lat:double>>"), "a", "b")
+    got = sorted((r.a, r.b) for r in inside.collect())
+    assert got == sorted((a, b) for a, y, x in points[:-1] for b, r in rings if abs(y - (r[0][1] + r[1][1]) / 2) < (r[1][1] - r[0][1]) / 2 and abs(x - (r[0][0] + r[2][0]) / 2) < (r[2][0] - r[0][0]) / 2) and len(got) > 1000
