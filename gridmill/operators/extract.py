@@ -198,8 +198,10 @@ def prose_entries(fragments: DataFrame) -> DataFrame:
     pieces = stored(own.unionByName(inline), "pieces")
     folds = P.canonical_streets(pieces.select("report", "street", "numbers").distinct())
     fold = lambda df: df.join(folds, ["report", "street"], "left").withColumn("street", F.coalesce("canonical", "street")).drop("canonical")
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("kind", "at", "said"))), lambda p: F.struct(p["kind"].alias("kind"), p["said"].alias("said")))
-    entries = fold(pieces).groupBy("report", "street", "numbers").agg(F.max("tier").alias("tier"), F.min_by("area", "at").alias("area"), F.array_sort(F.collect_set("at.page")).alias("pages"), F.array_distinct(listed).alias("parts"), F.min("at").alias("first"))
+    # What an entry has word for word already is left out by groups: an array of structs would be compared pair by pair.
+    once = fold(pieces).groupBy("report", "street", "numbers", "kind", "said").agg(F.max("tier").alias("tier"), F.min(F.struct("at", "area")).alias("first"), F.collect_set("at.page").alias("pages"))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("kind", F.col("first.at").alias("at"), "said"))), lambda p: F.struct(p["kind"].alias("kind"), p["said"].alias("said")))
+    entries = once.groupBy("report", "street", "numbers").agg(F.max("tier").alias("tier"), F.min_by("first.area", "first.at").alias("area"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("pages")))).alias("pages"), parts.alias("parts"), F.min("first.at").alias("first"))
     said = lambda keep: joined(F.transform(F.filter("parts", keep), lambda p: p["said"]))
     tier = F.when(F.col("tier") == 3, "head").when(F.col("tier") == 2, "lead").otherwise("inline")
     entries = entries.select("report", "street", "numbers", F.lit("building").alias("kind"), tier.alias("tier"), "area", "pages", said(lambda p: p["kind"] == 0).alias("own_text"), said(lambda p: F.lit(True)).alias("text"), "first")
