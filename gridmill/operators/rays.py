@@ -67,12 +67,12 @@ def cells_at(p: Column, q: Column, level: int) -> Column:
     return F.when((wide * tall <= 4) | (wide == 1) | (tall == 1), box).otherwise(F.transform(crossed(p, q, size), lambda c: cell(c["x"], c["y"])))
 
 
-def covered(footprints: DataFrame) -> DataFrame:
-    """``footprints`` (rings) with ``level``, ``x`` and ``y`` of each cell that their box touches; those without a ring are left out."""
+def covered(footprints: DataFrame, finer: int = 0) -> DataFrame:
+    """``footprints`` (rings) with ``level``, ``x`` and ``y`` of each cell that their box touches, ``finer`` levels below their own; those without a ring are left out."""
     points = F.flatten("rings")
     low, high = ({c: f(points[c]) for c in ("lng", "lat")} for f in (F.array_min, F.array_max))
     wide = F.greatest(high["lng"] - low["lng"], high["lat"] - low["lat"], F.lit(CELL)) + 2 * EDGE
-    boxed = footprints.where(F.size("rings") > 0).withColumn("level", F.least(F.lit(LEVELS), F.ceil(F.log2(wide / CELL))).cast("int"))
+    boxed = footprints.where(F.size("rings") > 0).withColumn("level", F.greatest(F.lit(0), F.least(F.lit(LEVELS), F.ceil(F.log2(wide / CELL))) - finer).cast("int"))
     size = CELL * F.pow(F.lit(2.0), F.col("level"))
     span = lambda c: F.sequence(F.floor((low[c] - EDGE) / size), F.floor((high[c] + EDGE) / size))
     return boxed.withColumn("x", F.explode(span("lng"))).withColumn("y", F.explode(span("lat")))

@@ -97,9 +97,8 @@ def square(lat_: Column, lng_: Column, half: float) -> Column:
 
 def point_in_polygon(spark: SparkSession, d: str) -> DataFrame:
     """Which supplier's square each part lies in, by cells and an even-odd test."""
-    squares = places(spark, d, "supplier", "s_suppkey", "2").withColumn("ring", square(F.col("lat2"), F.col("lng2"), 0.0041))
-    near = spatial.cell_join(places(spark, d, "part", "p_partkey"), squares, 700, ("lat", "lng"), ("lat2", "lng2"))
-    return near.where(geo.in_ring(F.col("lat"), F.col("lng"), F.col("ring"))).select("p_partkey", "s_suppkey")
+    squares = places(spark, d, "supplier", "s_suppkey").select("s_suppkey", square(F.col("lat"), F.col("lng"), 0.0041).alias("ring"))
+    return spatial.points_in_rings(places(spark, d, "part", "p_partkey"), squares, "p_partkey", "s_suppkey")
 
 
 def ring_measures(spark: SparkSession, d: str) -> DataFrame:
