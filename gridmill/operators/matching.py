@@ -157,15 +157,30 @@ def match_titles(asked: DataFrame, known: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, (exact, fuzzy, address))
 
 
+#: Shares of the unlikeness allowed that are tried one after another.
+STEPS = (0.6, 1.0)
+
+
 def likest(asked: DataFrame, known: DataFrame, least: float = 0.9, most: int = 10) -> DataFrame:
     """(key, text, nth, score): for each asked text (key, text) the ``most`` likest known ones (text) of ``least`` or more.
 
     Likeness counts what insertions and deletions leave alike, blind to case; pairs meet on shared runs
-    of letters, so no text is compared with all others.
+    of letters, so no text is compared with all others. The nearest are sought first: a text that has
+    ``most`` of a higher likeness needs no others, and only the rest meet under the next lower one.
     """
     cleaned = lambda df: df.withColumn("text", F.lower(F.trim("text")))
     own, other = cleaned(asked), cleaned(known).select("text").distinct()
-    near = P.like_pairs(own.select(F.col("text").alias("name")).distinct(), other.select(F.col("text").alias("street")), least, P.edit_ratio, ".")
+    names, streets = stored(own.select(F.col("text").alias("name")).distinct(), "asked"), stored(other.select(F.col("text").alias("street")), "known")
+    found, left = [], names
+    for share in STEPS:
+        pairs = stored(P.like_pairs(left, streets, 1 - (1 - least) * share, P.edit_ratio, "."), "alike")
+        if share == STEPS[-1]:
+            found.append(pairs)
+            break
+        done = pairs.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= most).select("name")
+        found.append(pairs.join(done, "name", "left_semi"))
+        left = stored(left.join(done, "name", "left_anti"), "asked-on")
+    near = reduce(DataFrame.unionByName, found)
     same = own.join(other, "text").select("key", "text", F.lit(1.0).alias("score"))
     pairs = own.select("key", F.col("text").alias("name")).join(near, "name").select("key", F.col("street").alias("text"), F.col("like").alias("score")).unionByName(same)
     ranked = pairs.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), "text")))

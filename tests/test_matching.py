@@ -117,3 +117,27 @@ def test_streets_fold_as_over_all_pairs_of_a_report(spark):
         while want[key[0], want[key]] != want[key]:
             want[key] = want[key[0], want[key]]
     assert got == want and sum(k[1] != v for k, v in want.items()) > 10
+
+
+def test_common_letters_of_a_batch():
+    rng = random.Random(9)
+    a, b = (["".join(rng.choice("abcé -") for _ in range(rng.randint(1, reports.WORD))) for _ in range(300)] for _ in "ab")
+    a, b = [*a, "a" * reports.WORD, "x"], [*b, "a" * reports.WORD, "y"]
+    assert reports.common_letters(a, b).tolist() == [lcs(x, y) for x, y in zip(a, b)]
+
+
+def test_the_likest_are_those_of_all_pairs(spark, monkeypatch):
+    rng = random.Random(10)
+    known = list(dict.fromkeys(f"customer {rng.randint(0, 999):04} {rng.choice(['mill', 'gate'])} street" for _ in range(120)))
+    asked = [(i, f"custmer {rng.randint(0, 999):04} mill  street") for i in range(40)] + [(99, "nothing"), (98, None)]
+    asked.append((97, known[0].upper()))
+    met, pairs = [], matching.P.like_pairs
+    monkeypatch.setattr(matching.P, "like_pairs", lambda names, streets, *rest: met.append((names.count(), rest[0])) or pairs(names, streets, *rest))
+    got = {(r.key, r.nth): (r.text, round(r.score, 9)) for r in matching.likest(spark.createDataFrame(asked, "key int, text string"), spark.createDataFrame([(k,) for k in known], "text string"), 0.85, 3).collect()}
+    want = {}
+    for key, text in asked:
+        own = (text or "").strip().lower()
+        scored = sorted((-2 * lcs(own, k) / (len(own) + len(k)), k) for k in known if text)
+        want |= {(key, n + 1): (k, round(-s, 9)) for n, (s, k) in enumerate([x for x in scored if -x[0] >= 0.85][:3])}
+    assert got == want and len(got) > 60
+    assert len(met) == 2 and met[0][1] > met[1][1] == 0.85 and met[1][0] < met[0][0]
