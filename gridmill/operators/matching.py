@@ -23,7 +23,7 @@ LEAST_NAME, ADDRESS_SCORE = 0.55, 0.9
 
 
 def plain(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), r"[',.\-()]", " "), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.translate(F.lower(text), "',.-()", " " * 6), r"\s+", " "))
 
 
 def long_words(text: Column) -> Column:
@@ -108,30 +108,86 @@ def measured(pairs: DataFrame) -> DataFrame:
     return pairs.select("key", "said", "id", "name", "floor", "bag_said", "bag_name").mapInArrow(run, f"key {kinds[0]}, id {kinds[1]}, score double")
 
 
+#: Stands for each letter of a text that no name it is compared with has.
+HIDDEN = "\uffff"
+#: Texts, and names, of one word that meet in one block.
+SIDE = 128
+
+
+def hidden(text: Column, letters: Column) -> Column:
+    """``text`` with HIDDEN for what is not among ``letters``; as it is if HIDDEN is one of them."""
+    shown = F.transform(F.split(text, ""), lambda c: F.when(F.array_contains(letters, c), c).otherwise(HIDDEN))
+    return F.when(F.array_contains(letters, HIDDEN), text).otherwise(F.array_join(shown, ""))
+
+
+def folded(asked: DataFrame, counts: DataFrame) -> DataFrame:
+    """(said, own, alike, group) of the distinct texts that share a word with a name.
+
+    ``own`` are the shared words. Likeness only asks where two texts have equal letters, so those that
+    no name with a shared word has may all be one: ``alike`` is the text with them hidden, and texts
+    that differ in nothing else, for one in their numbers, are of one ``group``.
+    """
+    dealt = asked.select("said").repartition(4 * asked.sparkSession.sparkContext.defaultParallelism, "said")
+    words = dealt.distinct().withColumn("word", F.explode(long_words(F.col("said")))).join(counts.select("word", "letters"), "word")
+    shared = words.groupBy("said").agg(F.array_sort(F.collect_set("word")).alias("own"), F.array_distinct(F.flatten(F.collect_set("letters"))).alias("letters"))
+    told = shared.select("said", "own", hidden(F.col("said"), F.col("letters")).alias("alike"))
+    return told.withColumn("group", F.concat(F.array_join("own", " "), F.lit("  "), "alike"))  # no word is empty or has a space
+
+
+def blocks(texts: DataFrame, names: DataFrame, counts: DataFrame) -> DataFrame:
+    """All pairs of ``texts`` and ``names`` over each word of ``own`` and ``words``, in blocks of about SIDE by SIDE, so that no frequent word is one task."""
+    tasks = 4 * texts.sparkSession.sparkContext.defaultParallelism
+    left, right = texts.withColumn("word", F.explode("own")), names.withColumn("word", F.explode("words"))
+    shares = left.groupBy("word").agg(F.ceil(F.count(F.lit(1)) / SIDE).alias("rows")).join(counts.select("word", F.ceil(F.col("often") / SIDE).alias("columns")), "word")
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = left.join(shares, "word").select(*left.columns, F.pmod(F.xxhash64("key"), "rows").alias("row"), each("columns").alias("column"))
+    right = right.join(shares, "word").select(*right.columns, F.pmod(F.xxhash64("name"), "columns").alias("column"), each("rows").alias("row"))
+    place = ["word", "row", "column"]
+    return left.repartition(tasks, *place).join(right.repartition(tasks, *place), place)
+
+
 def likest_sharing(asked: DataFrame, names: DataFrame, least: float = LEAST_NAME) -> DataFrame:
     """(key, id, score): of the names (id, name) that share a word of three letters with a text (key, said) the likest, of ``least`` or more.
 
-    A text is first measured with up to four names of its rarest shared word; the best of these is its floor.
-    All other names that share a word are met then, but only those whose length and letters may reach
-    the floor are measured. Ties go to the lowest id.
+    Texts that are alike to all names they meet are measured once. Each is first measured with up to four
+    names of its rarest shared word; the best of these is its floor. All other names that share a word are
+    met then, but only those whose length and letters may reach the floor are measured. Ties go to the
+    lowest id.
     """
     names = stored(with_bag(names.groupBy("name").agg(F.min("id").alias("id")).withColumn("words", long_words(F.col("name"))), "name"), "names")  # a name is compared once
-    texts = stored(with_bag(asked.select("said").distinct().withColumn("own", long_words(F.col("said"))), "said"), "texts")
     listed = names.select("name", F.explode("words").alias("word"))
     order = F.xxhash64("name")
     some = F.array_distinct(F.array(F.min("name"), F.max("name"), F.min_by("name", order), F.max_by("name", order)))
-    counts = listed.groupBy("word").agg(F.count(F.lit(1)).alias("often"), some.alias("some"))
-    words = texts.select("said", F.explode("own").alias("word"))
-    rarest = words.join(counts, "word").groupBy("said").agg(F.min_by("some", F.struct("often", "word")).alias("some"))
-    tried = rarest.select("said", F.explode("some").alias("name")).join(names, "name").join(texts, "said").withColumn("key", F.col("said")).withColumn("floor", F.lit(least))
-    first = stored(measured(tried).groupBy("key").agg(F.max("score").alias("floor")), "floors")
+    letters = listed.select("word", F.explode(F.array_distinct(F.split("name", ""))).alias("letter")).distinct().groupBy("word").agg(F.collect_set("letter").alias("letters"))
+    counts = stored(listed.groupBy("word").agg(F.count(F.lit(1)).alias("often"), some.alias("some")).join(letters, "word"), "counts")
+    told = stored(folded(asked, counts), "folded")
+    texts = stored(with_bag(told.select(F.col("group").alias("key"), "own", F.col("alike").alias("said")).distinct(), "said"), "texts")
+    rarest = texts.select("key", F.explode("own").alias("word")).join(counts, "word").groupBy("key").agg(F.min_by("some", F.struct("often", "word")).alias("some"))
+    tried = rarest.select("key", F.explode("some").alias("name")).join(names, "name").join(texts, "key").withColumn("floor", F.lit(least))
+    tasks = 4 * asked.sparkSession.sparkContext.defaultParallelism  # pairs are few bytes, their likeness is slow
+    first = stored(measured(tried.repartition(tasks, "key")).groupBy("key").agg(F.max("score").alias("floor")), "floors")
     n, m = F.length("said"), F.length("name")
-    floors = texts.join(first.withColumnRenamed("key", "said"), "said", "left").withColumn("floor", F.coalesce("floor", F.lit(least)))
-    met = floors.withColumn("word", F.explode("own")).join(names.withColumn("word", F.explode("words")), "word").where(2 * F.least(n, m) >= (F.col("floor") - 1e-9) * (n + m))
+    floors = texts.join(first, "key", "left").withColumn("floor", F.coalesce("floor", F.lit(least)))
+    met = blocks(floors, names, counts).where(2 * F.least(n, m) >= (F.col("floor") - 1e-9) * (n + m))
     # A pair is met once, over the first word that both have.
-    once = met.where(F.col("word") == F.element_at(F.array_intersect("own", "words"), 1)).withColumn("key", F.col("said"))
-    best = best_per_key(measured(once), ["key"], F.desc("score"), F.asc("id")).withColumnRenamed("key", "said")
-    return asked.select("key", "said").join(best, "said").select("key", "id", "score")
+    once = met.where(F.col("word") == F.element_at(F.array_intersect("own", "words"), 1))
+    best = best_per_key(measured(once), ["key"], F.desc("score"), F.asc("id")).withColumnRenamed("key", "group")
+    return asked.select("key", "said").join(told.select("said", "group").join(best, "group"), "said").select("key", "id", "score")
+
+
+def addressed(places: DataFrame, addresses: DataFrame) -> DataFrame:
+    """(word, place, id): for each place (word, place) the lowest id of the addresses (id, word, full, short) of its first word that begin with it, or whose short form it begins with.
+
+    Beginnings are cut to the lengths that the other side has for the word, and meet as equal texts.
+    """
+    places = places.select("word", "place").distinct()
+    cut = lambda text: F.col(text).substr(F.lit(1), F.col("size"))
+    asked = addresses.join(places.select("word", F.length("place").alias("size")).distinct(), "word").where(F.col("size") <= F.length("full"))
+    longer = places.join(asked.groupBy("word", cut("full").alias("place")).agg(F.min("id").alias("id")), ["word", "place"])
+    shorts = addresses.where("short <> ''").groupBy("word", "short").agg(F.min("id").alias("id"))
+    own = places.join(shorts.select("word", F.length("short").alias("size")).distinct(), "word").where(F.col("size") <= F.length("place"))
+    shorter = own.select("word", "place", cut("place").alias("short")).join(shorts, ["word", "short"]).select("word", "place", "id")
+    return longer.unionByName(shorter).groupBy("word", "place").agg(F.min("id").alias("id"))
 
 
 def match_titles(asked: DataFrame, known: DataFrame) -> DataFrame:
@@ -142,17 +198,21 @@ def match_titles(asked: DataFrame, known: DataFrame) -> DataFrame:
     the title begins with, where both begin with the same word and the title has a number. Ties go to the
     lowest id. Only texts whose lengths allow the likeness are compared.
     """
-    titles = asked.select("key", plain(F.col("title")).alias("said"), plain(F.trim(F.regexp_replace("title", rf"(?i)\b({KINDS})\b", ""))).alias("place"))
-    names = known.select("id", plain(F.col("name")).alias("name")).where("name <> ''")
-    exact = titles.join(names, F.col("said") == F.col("name")).groupBy("key").agg(F.min("id").alias("id")).select("key", "id", F.lit("exact_name").alias("tier"), F.lit(1.0).alias("score"))
-
-    left = titles.join(exact, "key", "left_anti")
-    fuzzy = likest_sharing(left.select("key", "said"), names).select("key", "id", F.lit("fuzzy_name").alias("tier"), "score")
-
-    left = left.join(fuzzy, "key", "left_anti").where(F.col("place").rlike(r"\d")).withColumn("word", F.substring_index("place", " ", 1))
-    full = plain(F.col("address"))
-    addresses = known.where("address <> ''").select("id", full.alias("full"), plain(F.substring_index("address", ",", 1)).alias("short"), F.substring_index(full, " ", 1).alias("word"))
-    found = left.join(addresses, "word").where(F.startswith("full", "place") | ((F.col("short") != "") & F.startswith("place", "short")))
+    # Patterns cost more than all joins: a text is cleaned once, not again in each branch and filter.
+    titles = stored(asked.select("key", plain(F.col("title")).alias("said"), plain(F.trim(F.regexp_replace("title", rf"(?i)\b({KINDS})\b", ""))).alias("place")), "titles")
+    address = F.when(F.col("address") != "", F.col("address"))
+    places = stored(known.select("id", plain(F.col("name")).alias("name"), plain(address).alias("full"), plain(F.substring_index(address, ",", 1)).alias("short")), "places")
+    names = places.where("name <> ''").groupBy("name").agg(F.min("id").alias("id"))  # many places may have one name
+    same = titles.join(names, F.col("said") == F.col("name")).groupBy("key").agg(F.min("id").alias("id"))
+    exact = stored(same.select("key", "id", F.lit("exact_name").alias("tier"), F.lit(1.0).alias("score")), "exact")
+
+    left = stored(titles.join(exact, "key", "left_anti"), "titles-left")
+    fuzzy = stored(likest_sharing(left.select("key", "said"), names).select("key", "id", F.lit("fuzzy_name").alias("tier"), "score"), "fuzzy")
+
+    first_word = lambda c: F.substring_index(c, " ", 1).alias("word")
+    left = left.join(fuzzy, "key", "left_anti").where(F.col("place").rlike(r"\d")).select("key", "place", first_word("place"))
+    addresses = places.where("full IS NOT NULL").select("id", "full", "short", first_word("full"))
+    found = left.join(addressed(left, addresses), ["word", "place"])
     address = found.groupBy("key").agg(F.min("id").alias("id")).select("key", "id", F.lit("address").alias("tier"), F.lit(ADDRESS_SCORE).alias("score"))
     return reduce(DataFrame.unionByName, (exact, fuzzy, address))
 

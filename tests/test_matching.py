@@ -141,3 +141,66 @@ def test_the_likest_are_those_of_all_pairs(spark, monkeypatch):
         want |= {(key, n + 1): (k, round(-s, 9)) for n, (s, k) in enumerate([x for x in scored if -x[0] >= 0.85][:3])}
     assert got == want and len(got) > 60
     assert len(met) == 2 and met[0][1] > met[1][1] == 0.85 and met[1][0] < met[0][0]
+
+
+def likest_of_all(asked, names):
+    told = {}
+    for key, said in asked:
+        own = {w for w in said.split(" ") if len(w) >= 3}
+        found = [(-round(difflib.SequenceMatcher(None, said, name).ratio(), 9), i) for i, name in names if own & {w for w in name.split(" ") if len(w) >= 3}]
+        if found and -min(found)[0] >= matching.LEAST_NAME:
+            told[key] = (-min(found)[0], min(found)[1])
+    return told
+
+
+def test_texts_that_differ_in_letters_no_name_has_are_measured_once(spark, monkeypatch):
+    rng = random.Random(11)
+    parts = ["house", "hall", "market", "street", "gate", "é", "of", "🏠🏡 inn", "9th"]
+    names = [(i, " ".join(rng.choice(parts) for _ in range(rng.randint(1, 4)))) for i in range(60)] + [(70, "￿￿￿ lodge"), (71, "m" * 210 + " house")]
+    asked = [(i, f"{100 + i} market street house") for i in range(600)] + [(700 + i, " ".join(rng.choice([*parts, "xyz", "hxll", "🏢🏠 inn", "￿￿￿", "777", "lodge"]) for _ in range(rng.randint(1, 4)))) for i in range(150)]
+    asked += [(900, ""), (901, "￿￿￿ house"), (902, "777 house"), (903, "777 lodge"), (904, "house  777"), (905, "m" * 205 + " 5 house")]
+    met, measured = [], matching.measured
+    monkeypatch.setattr(matching, "measured", lambda pairs: met.append(pairs.count()) or measured(pairs))
+    got = {r.key: (round(r.score, 9), r.id) for r in matching.likest_sharing(spark.createDataFrame(asked, "key int, said string"), spark.createDataFrame(names, "id int, name string")).collect()}
+    assert got == likest_of_all(asked, names) and len(got) > 600
+    assert sum(met) < 20_000
+
+
+def test_frequent_words_meet_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(matching, "SIDE", 7)
+    rng = random.Random(12)
+    some = lambda n: [(i, f"{''.join(rng.choice('abcde') for _ in range(rng.randint(2, 8)))} house{rng.choice(['', ' mill', ' gate'])}") for i in range(n)]
+    asked, names = some(90), some(60)
+    met, measured = [], matching.measured
+    monkeypatch.setattr(matching, "measured", lambda pairs: met.append(pairs) or measured(pairs))
+    got = {r.key: (round(r.score, 9), r.id) for r in matching.likest_sharing(spark.createDataFrame(asked, "key int, said string"), spark.createDataFrame(names, "id int, name string")).collect()}
+    assert got == likest_of_all(asked, names) and len(got) > 50
+    assert met[1].groupBy("key", "name").count().where("count > 1").isEmpty()
+
+
+def test_places_of_one_name_are_met_once(spark, monkeypatch):
+    given, likest = [], matching.likest_sharing
+    monkeypatch.setattr(matching, "likest_sharing", lambda asked, names: given.append(names.count()) or likest(asked, names))
+    known = [(i, "Chrysler Building", f"{i} Lexington Avenue, New York") for i in range(5, 500)]
+    asked = [(i, "CHRYSLER BUILDING") for i in range(400)] + [(i, "Chrysler Bilding") for i in range(400, 700)]
+    told = matching.match_titles(spark.createDataFrame(asked, "key int, title string"), spark.createDataFrame(known, "id int, name string, address string"))
+    assert {(r.key, r.id, r.tier) for r in told.collect()} == {(i, 5, "exact_name" if i < 400 else "fuzzy_name") for i in range(700)}
+    assert given == [1]
+
+
+def test_addresses_of_one_first_word_are_those_of_all_pairs(spark):
+    rng = random.Random(13)
+    words = ["1", "12", "elm", "st", "é", "street"]
+    text = lambda: " ".join([rng.choice(["1", "12", "elm"]), *(rng.choice(words) for _ in range(rng.randint(0, 3)))])
+    known = [(i, None, rng.choice(["", ", "]).join([text(), rng.choice(["", "new york", "st", ",x"])])) for i in range(300)] + [(900, None, None), (901, None, ""), (902, None, ", 12 elm"), (903, None, ",")]
+    asked = [(i, text()[: rng.randint(1, 12)]) for i in range(200)] + [(900, None), (901, "12 elm st é street street 1 1"), (902, "house")]
+    told = matching.match_titles(spark.createDataFrame(asked, "key int, title string"), spark.createDataFrame(known, "id int, name string, address string"))
+    plain = lambda s: re.sub(r"\s+", " ", re.sub(r"[',.\-()]", " ", s.lower())).strip()
+    want = {}
+    for key, title in asked:
+        place = plain(re.sub(rf"(?i)\b({matching.KINDS})\b", "", title or "").strip())
+        pairs = [(i, plain(a), plain(a.split(",")[0])) for i, _, a in known if a]
+        found = [i for i, full, short in pairs if re.search(r"\d", place) and full.split(" ")[0] == place.split(" ")[0] and (full.startswith(place) or (short and place.startswith(short)))]
+        if found:
+            want[key] = min(found)
+    assert {r.key: r.id for r in told.collect() if r.tier == "address"} == want and len(want) > 50
