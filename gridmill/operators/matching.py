@@ -171,7 +171,8 @@ def likest_sharing(asked: DataFrame, names: DataFrame, least: float = LEAST_NAME
     met = blocks(floors, names, counts).where(2 * F.least(n, m) >= (F.col("floor") - 1e-9) * (n + m))
     # A pair is met once, over the first word that both have.
     once = met.where(F.col("word") == F.element_at(F.array_intersect("own", "words"), 1))
-    best = best_per_key(measured(once), ["key"], F.desc("score"), F.asc("id")).withColumnRenamed("key", "group")
+    # Stored, so its size is known: where it is small it goes to all texts, of which one group may have most.
+    best = stored(best_per_key(measured(once), ["key"], F.desc("score"), F.asc("id")).withColumnRenamed("key", "group"), "best")
     return asked.select("key", "said").join(told.select("said", "group").join(best, "group"), "said").select("key", "id", "score")
 
 
