@@ -163,7 +163,7 @@ def test_texts_that_differ_in_letters_no_name_has_are_measured_once(spark, monke
     monkeypatch.setattr(matching, "measured", lambda pairs: met.append(pairs.count()) or measured(pairs))
     got = {r.key: (round(r.score, 9), r.id) for r in matching.likest_sharing(spark.createDataFrame(asked, "key int, said string"), spark.createDataFrame(names, "id int, name string")).collect()}
     assert got == likest_of_all(asked, names) and len(got) > 600
-    assert sum(met) < 20_000
+    assert sum(met) < 5_000, sum(met)
 
 
 def test_frequent_words_meet_in_blocks(spark, monkeypatch):
