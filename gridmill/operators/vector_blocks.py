@@ -10,7 +10,7 @@ whose bound reaches it are read after that.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -25,8 +25,8 @@ from gridmill.sources.tables import stored
 
 #: Centroids come from a bounded sample of vectors: SAMPLE for each of at most MOST_BLOCKS blocks.
 MOST_BLOCKS, SAMPLE, ROUNDS = 4096, 16, 4
-#: Vectors of a stored row, queries of a row that meets it.
-CHUNK, TOGETHER = 512, 64
+#: Vectors of a stored row, queries of a row that meets it, groups of blocks for each core.
+CHUNK, TOGETHER, GROUPS = 512, 512, 4
 #: What rounding may take from a bound.
 SLACK = 1e-9
 #: Places to which likenesses are compared; equal ones go by id.
@@ -70,7 +70,8 @@ def centroids_of(units: np.ndarray, n: int) -> np.ndarray:
         return np.zeros((0, units.shape[1]))
     c = units[:n].copy()
     for _ in range(ROUNDS):
-        nearest = np.argmax(units @ c.T, axis=1)
+        # All likenesses at once would be SAMPLE numbers for the square of the blocks: 2 GB for the most of them.
+        nearest = np.concatenate([np.argmax(units[at : at + CHUNK] @ c.T, axis=1) for at in range(0, len(units), CHUNK)])
         sums = np.zeros_like(c)
         np.add.at(sums, nearest, units)
         norms = np.linalg.norm(sums, axis=1, keepdims=True)
@@ -142,73 +143,127 @@ def build(vectors: DataFrame, path: str, carried: list[str], blocks: int | None
     return index
 
 
-def bounds(queries: DataFrame, blocks: DataFrame, k: int, floor: bool) -> DataFrame:
-    """(query_id, q, block) of the blocks to read for each query, a unit vector as bytes.
+def bounds(queries: DataFrame, table: pa.Table, k: int) -> DataFrame:
+    """``queries`` (query_id, q, a unit vector as bytes) with ``asked``, the blocks to read for each, and ``floor``.
 
-    Without ``floor`` those of the best bounds that hold k vectors together; with it, where the queries
-    have a column of that name, the others whose bound reaches it. ``blocks`` has MOST_BLOCKS rows at most.
+    Those of the best bounds that hold k vectors together; where the queries have ``done``, blocks that were
+    read, and the ``floor`` that these gave, the others whose bound reaches it. ``table`` has MOST_BLOCKS rows at most.
     """
-    table = blocks.toArrow()
     numbers, width, n = (table.column(c).to_numpy() for c in ("block", "angle", "n"))
     c = np.array(table.column("centroid").to_pylist(), float).reshape(len(numbers), -1) if len(numbers) else np.zeros((0, 0))
     sent = queries.sparkSession.sparkContext.broadcast((numbers, width, n, c))
-    kind = queries.schema["query_id"].dataType
+    again = "done" in queries.columns
+    kind = queries.schema["query_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers, width, n, c = sent.value
         zero = ~c.any(axis=1)
         for batch in batches:
-            ids, qs, out = batch.column("query_id").to_pylist(), batch.column("q").to_pylist(), ([], [], [])
-            floors = batch.column("floor").to_pylist() if floor else [None] * len(ids)
-            for i, q, least in zip(ids, qs, floors):
+            out = []
+            for r, q in enumerate(batch.column("q").to_pylist()):
                 if not len(numbers):
-                    break
+                    out.append([])
+                    continue
                 v = np.frombuffer(q)
                 bound = np.cos(np.maximum(0, np.arccos(np.clip(c @ v, -1, 1)) - width - SLACK)) + SLACK
                 bound[zero | ~v.any()] = SLACK
                 order = np.lexsort((numbers, -bound))
-                first = order[: int(np.searchsorted(np.cumsum(n[order]), k)) + 1]
-                chosen = first if least is None else np.setdiff1d(order[bound[order] >= least - SLACK], first)
-                if least is None and floor:
-                    chosen = order  # fewer than k vectors were found: all that there are
-                for b in numbers[chosen].tolist():
-                    for column, value in zip(out, (i, q, b)):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], to_arrow_type(kind)), pa.array(out[1], pa.binary()), pa.array(out[2], pa.int32())], names=["query_id", "q", "block"])
+                if again:
+                    # Without a floor fewer than k vectors were found: all that there are.
+                    least = batch.column("floor")[r].as_py()
+                    chosen = np.setdiff1d(numbers[order if least is None else order[bound[order] >= least - SLACK]], batch.column("done")[r].values.to_numpy())
+                else:
+                    chosen = numbers[order[: int(np.searchsorted(np.cumsum(n[order]), k)) + 1]]
+                out.append(chosen.tolist())
+            floors = batch.column("floor") if again else pa.nulls(len(out), pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("q"), pa.array(out, pa.list_(pa.int32())), floors], names=["query_id", "q", "asked", "floor"])
+
+    return queries.mapInArrow(run, f"query_id {kind}, q binary, asked array<int>, floor double")
+
 
-    return queries.mapInArrow(run, f"query_id {kind.simpleString()}, q binary, block int")
+def lots(queries: DataFrame, groups: int) -> DataFrame:
+    """(grp, most, query_ids, qs, floors, wanted): up to TOGETHER queries and the blocks that they ask for of one group, for all groups that have some.
 
+    Block b is of group b % groups, and ``wanted`` has a bit for each query and each ``most`` blocks of the group.
+    So a query's vector goes to each group once, not to each block.
+    """
+    kind = queries.schema["query_id"].dataType
 
-def measured(index: Blocks, pairs: DataFrame, k: int) -> DataFrame:
-    """(query_id, cos, id, carried ...): up to k of each row of vectors that a query's blocks have."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, TOGETHER):
+                lot = batch.slice(at, TOGETHER)
+                asked = lot.column("asked")
+                row, block = np.repeat(np.arange(lot.num_rows), pc.list_value_length(asked).to_numpy()), asked.flatten().to_numpy()
+                if not len(block):
+                    continue
+                of, nth = block % groups, block // groups
+                wanted = np.zeros((groups, lot.num_rows, int(nth.max()) + 1), bool)
+                wanted[of, row, nth] = True
+                for g in np.unique(of).tolist():
+                    some = np.flatnonzero(wanted[g].any(axis=1))
+                    kept = lot.take(pa.array(some))
+                    one = lambda x, t: pa.array([x], t)
+                    columns = [one(g, pa.int32()), one(wanted.shape[2], pa.int32()), one(kept.column("query_id").to_pylist(), pa.list_(to_arrow_type(kind))), one(b"".join(kept.column("q").to_pylist()), pa.binary())]
+                    columns += [one(kept.column("floor").to_pylist(), pa.list_(pa.float64())), one(np.packbits(wanted[g][some]).tobytes(), pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["grp", "most", "query_ids", "qs", "floors", "wanted"])
+
+    return queries.select("query_id", "q", "asked", "floor").mapInArrow(run, f"grp int, most int, query_ids array<{kind.simpleString()}>, qs binary, floors array<double>, wanted binary")
+
+
+def likest_of(cos: np.ndarray, floors: np.ndarray, k: int, numbers: Callable[[], np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, rounded) of up to ``k`` likenesses of each row that may be among the best, of its floor or more; floors rise to the k-th of a row.
+
+    Equal ones go by ``numbers``, which are asked for only where more than k are left.
+    """
+    may = cos >= floors[:, None] - 2 * SLACK
+    over = np.flatnonzero(may.sum(axis=1) > k)
+    if len(over):
+        some = cos[over]
+        floors[over] = np.maximum(floors[over], np.partition(some, some.shape[1] - k, axis=1)[:, some.shape[1] - k])
+        may[over] = some >= floors[over, None] - 2 * SLACK
+        for r in over[may[over].sum(axis=1) > k]:
+            at = np.flatnonzero(may[r])
+            may[r, at[np.lexsort((numbers()[at], -np.round(cos[r, at], PLACES)))[k:]]] = False
+    row, column = np.nonzero(may)
+    return row, column, np.round(cos[row, column], PLACES)
+
+
+def measured(index: Blocks, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, cos, id, carried ...): of each stored row that a query (query_id, q, asked, floor) asks for up to k vectors, of its floor or more."""
     vectors = index.vectors()
     names = [n for n, _ in index.fields]
-    asked = [r.block for r in pairs.select("block").distinct().collect()]  # MOST_BLOCKS at most
-    kind = pairs.schema["query_id"].dataType
-    grouped = pairs.withColumn("lot", F.pmod(F.xxhash64("query_id"), F.lit(1 << 20))).withColumn("lot", F.floor(F.row_number().over(Window.partitionBy("block").orderBy("lot", "query_id")) / TOGETHER))
-    grouped = grouped.groupBy("block", "lot").agg(F.collect_list("query_id").alias("query_ids"), F.collect_list("q").alias("qs"))
-    rows = vectors.where(F.col("block").isin(asked)).join(grouped, "block").select("query_ids", "qs", "units", *names)
+    asked = [r.block for r in queries.select(F.explode("asked").alias("block")).distinct().collect()]  # MOST_BLOCKS at most
+    kind = queries.schema["query_id"].dataType
+    groups = max(1, min(len(asked), GROUPS * queries.sparkSession.sparkContext.defaultParallelism))
+    rows = vectors.where(F.col("block").isin(asked)).withColumn("grp", (F.col("block") % groups).cast("int")).repartition(groups, "grp")
+    # Of neither side Spark knows the size before it is there, and a broadcast of either would go through the driver.
+    met = lots(queries, groups).repartition(groups, "grp").join(rows.hint("merge"), "grp").select("query_ids", "qs", "floors", "wanted", "most", (F.col("block") / groups).cast("int").alias("nth"), "units", *names)
     ddl = {n: vectors.schema[n].dataType.elementType for n in names}
+    types = [to_arrow_type(kind), pa.float64(), *(to_arrow_type(t) for t in ddl.values())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lot, marks, floors = None, b"", np.zeros(0)
         for batch in batches:
-            out: list[list] = [[] for _ in range(2 + len(names))]
             for r in range(batch.num_rows):
-                ids, qs = batch.column(0)[r].as_py(), np.frombuffer(b"".join(batch.column(1)[r].as_py())).reshape(len(batch.column(1)[r].values), -1)
-                units = np.frombuffer(batch.column(2)[r].as_py()).reshape(-1, qs.shape[1])
-                cos = np.round(qs @ units.T, PLACES)
-                carried = [batch.column(3 + j)[r].values for j in range(len(names))]
-                numbers = np.array(carried[0].to_pylist())
-                for i, row in zip(ids, cos):
-                    best = np.lexsort((numbers, -row))[:k]
-                    out[0] += [i] * len(best)
-                    out[1] += row[best].tolist()
-                    for j, column in enumerate(carried):
-                        out[2 + j] += column.take(pa.array(best)).to_pylist()
-            types = [to_arrow_type(kind), pa.float64(), *(to_arrow_type(t) for t in ddl.values())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=["query_id", "cos", *names])
-
-    return rows.mapInArrow(run, f"query_id {kind.simpleString()}, cos double, " + ", ".join(f"{n} {t.simpleString()}" for n, t in ddl.items()))
+                ids, floor, qs, wanted = batch.column(0)[r].values, batch.column(2)[r].values, batch.column(1)[r].as_py(), batch.column(3)[r].as_py()
+                # The rows that a lot meets follow each other, and what one gives is a floor for the next; the same queries may ask for other blocks of another group.
+                if lot is None or wanted != marks or not lot.equals(ids):
+                    lot, marks, floors = ids, wanted, pc.fill_null(floor, -2.0).to_numpy(zero_copy_only=False).copy()
+                    q, told = np.frombuffer(qs).reshape(len(ids), -1), np.unpackbits(np.frombuffer(wanted, np.uint8), count=len(ids) * batch.column(4)[r].as_py()).reshape(len(ids), -1)
+                nth = batch.column(5)[r].as_py()
+                own = np.flatnonzero(told[:, nth]) if nth < told.shape[1] else np.zeros(0, int)
+                if not len(own):
+                    continue
+                carried = [batch.column(7 + j)[r].values for j in range(len(names))]
+                least = floors[own]
+                row, column, cos = likest_of(q[own] @ np.frombuffer(batch.column(6)[r].as_py()).reshape(-1, q.shape[1]).T, least, k, lambda: np.array(carried[0].to_pylist()))  # noqa: B023
+                floors[own] = least
+                at = pa.array(column)
+                columns = [ids.take(pa.array(own[row])), pa.array(cos), *(c.take(at) for c in carried)]
+                yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(columns, types)], names=["query_id", "cos", *names])
+
+    return met.mapInArrow(run, f"query_id {kind.simpleString()}, cos double, " + ", ".join(f"{n} {t.simpleString()}" for n, t in ddl.items()))
 
 
 def best(rows: DataFrame, k: int) -> DataFrame:
@@ -238,17 +293,17 @@ class Found(NamedTuple):
 
 def nearest(index: Blocks, queries: DataFrame, k: int) -> Found:
     """The k vectors most like each query (query_id unique, q), by likeness in nine places, then by id: the same as a scan finds."""
-    blocks = index.blocks()
-    one = blocks.select(F.size("centroid").alias("w")).first()
-    asked = stored(unit_queries(queries, one.w if one else 0), "asked")
-    first = stored(bounds(asked, blocks, k, False), "first-blocks")
+    blocks = index.blocks().toArrow()  # MOST_BLOCKS rows at most
+    width = len(blocks.column("centroid")[0]) if len(blocks) else 0
+    asked = unit_queries(queries, width)
+    first = stored(bounds(asked, blocks, k), "first-blocks")
     hits = stored(best(measured(index, first, k), k).drop("nth"), "first-hits")
     floor = hits.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("cos")).alias("floor"))
-    rest = stored(bounds(asked.join(floor, "query_id"), blocks, k, True), "other-blocks")
-    done = first.select("query_id", "block")
-    rest = rest.join(done, ["query_id", "block"], "left_anti")
+    again = first.select("query_id", "q", F.col("asked").alias("done")).join(floor.hint("merge"), "query_id", "left")
+    rest = stored(bounds(again, blocks, k), "other-blocks")
     both = hits.unionByName(measured(index, rest, k))
-    return Found(best(both, k).select("query_id", "nth", "id", "cos", *[c for c in hits.columns if c not in ("query_id", "id", "cos")]), done.unionByName(rest.select("query_id", "block")))
+    read = first.unionByName(rest).select("query_id", F.explode("asked").alias("block"))
+    return Found(best(both, k).select("query_id", "nth", "id", "cos", *[c for c in hits.columns if c not in ("query_id", "id", "cos")]), read)
 
 
 def opened(name: str, vectors: DataFrame, carried: list[str]) -> Blocks:

@@ -100,6 +100,20 @@ def test_vector_blocks_find_what_a_scan_finds_and_skip_blocks(spark, tmp_path):
         assert read < 0.2 * blocks * 13 or k > 7
 
 
+def test_queries_and_blocks_meet_without_a_broadcast(spark, tmp_path):
+    # Spark took the pairs of queries and blocks for small, by their packed files, and sent them through the driver.
+    rng = np.random.default_rng(4)
+    vectors = rng.normal(size=(900, 16))
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(vectors)]
+    index = vector_blocks.build(spark.createDataFrame(rows, "id long, embedding array<double>").repartition(1), str(tmp_path / "v"), [], blocks=30)
+    got = vector_blocks.nearest(index, spark.createDataFrame(rows[:100], "query_id long, q array<double>"), 5)
+    assert "Broadcast" not in got.hits._jdf.queryExecution().executedPlan().toString()
+    units = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    want = np.argsort(-(units[:100] @ units.T), axis=1)[:, :5].tolist()
+    hits = [(r.query_id, r.nth, r.id) for r in got.hits.collect()]
+    assert sorted(hits) == [(q, n + 1, i) for q, ids in enumerate(want) for n, i in enumerate(ids)]
+
+
 def test_no_vectors(spark, tmp_path):
     none = spark.createDataFrame([], "id long, embedding array<double>")
     index = vector_blocks.build(none, str(tmp_path / "v"), [])
