@@ -136,5 +136,6 @@ def search(index: Postings, queries: DataFrame, word_floor: float = 0.3, tri_flo
     names = in_buckets(index.table("names", NAMES), found).join(found.select("name_id").distinct(), "name_id", "left_semi")
     live = latest(names).withColumn("name_id", F.xxhash64("name"))
     pairs = found.select("query_id", "name_id").join(live, "name_id").join(queries.select("query_id", "query"), "query_id")
+    pairs = pairs.repartition(4 * index.spark.sparkContext.defaultParallelism)  # they are few bytes, their likeness is slow
     told = pairs.select("query_id", "name", T.word_similarity(F.col("query"), F.col("name")).alias("word"), T.trigram_similarity(F.col("query"), F.col("name")).alias("tri"))
     return told.where((F.col("word") > word_floor) | (F.col("tri") > tri_floor))

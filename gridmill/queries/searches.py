@@ -39,7 +39,8 @@ def whole_corpus(spark: SparkSession, d: str) -> DataFrame:
     part = load(spark, d, "part")
     told = part.agg(F.count(F.lit(1)).alias("parts"), F.max("p_retailprice").alias("most"))
     rows = load(spark, d, "embeddings").crossJoin(F.broadcast(told)).withColumn("p_partkey", F.col("vec_id") % F.col("parts"))
-    named = rows.join(part.select("p_partkey", "p_name", "p_retailprice"), "p_partkey", "left")
+    # By the size of its packed file Spark would broadcast a table of parts that is ten times as large in the driver.
+    named = rows.join(part.select("p_partkey", "p_name", "p_retailprice").hint("merge"), "p_partkey", "left")
     return named.select(F.col("vec_id").alias("id"), F.coalesce("p_name", F.lit("")).alias("name"), "embedding", (F.col("p_retailprice") / F.col("most")).alias("fame"))
 
 

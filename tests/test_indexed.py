@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gridmill.functions import text as T
 from gridmill.operators import postings, vector_blocks
+from gridmill.plans import search_log as log
 from gridmill.sources import index_store
 
 
@@ -114,6 +115,18 @@ def test_queries_and_blocks_meet_without_a_broadcast(spark, tmp_path):
     assert sorted(hits) == [(q, n + 1, i) for q, ids in enumerate(want) for n, i in enumerate(ids)]
 
 
+def test_a_query_text_is_searched_for_once(spark, tmp_path, monkeypatch):
+    rows = [(i, f"{'old new big'.split()[i % 3]} house", [float(i % 7), 1.0, float(i % 5)], 0.1) for i in range(30)]
+    log.build(spark.createDataFrame(rows, "id long, name string, embedding array<float>, fame double"), str(tmp_path / "c"))
+    corpus = log.Corpus(spark, str(tmp_path / "c"), (("id", "bigint"), ("name", "string"), ("fame", "double")), log.by_name(spark.createDataFrame(rows, "id long, name string, embedding array<float>, fame double")).schema)
+    met, search = [], postings.search
+    monkeypatch.setattr(postings, "search", lambda index, queries, *rest: met.append(queries.count()) or search(index, queries, *rest))
+    asked = [(k, ["old hose", "new hous"][k % 2], rows[k][2]) for k in range(12)] + [(99, None, [1.0, 0.0, 0.0])]
+    told = log.search(corpus, spark.createDataFrame(asked, "query_id long, query string, q array<float>"), 4).collect()
+    assert met == [3] and sorted((r.query_id, r.nth) for r in told if r.query_id != 99) == [(k, n) for k in range(12) for n in range(1, 5)]
+    assert all(round(r.lex, 9) == max(likeness(asked[r.query_id][1], rows[r.id][1])) for r in told if r.query_id != 99)
+
+
 def test_no_vectors(spark, tmp_path):
     none = spark.createDataFrame([], "id long, embedding array<double>")
     index = vector_blocks.build(none, str(tmp_path / "v"), [])
