@@ -82,9 +82,10 @@ def crosses(ring: Column, e: Column) -> Column:
     return (e["a"]["lng"] - o["lng"]) * (e["b"]["lat"] - o["lat"]) - (e["b"]["lng"] - o["lng"]) * (e["a"]["lat"] - o["lat"])
 
 
-def ring_area(ring: Column) -> Column:
-    """Square metres of a closed ring, by the shoelace rule on its own tangent plane."""
-    lat0 = F.aggregate(ring, F.lit(0.0), lambda s, p: s + p["lat"]) / F.size(ring)
+def ring_area(ring: Column, lat0: Column | None = None) -> Column:
+    """Square metres of a closed ring, by the shoelace rule on the plane at the latitude ``lat0``, or else its points' mean."""
+    if lat0 is None:
+        lat0 = F.aggregate(ring, F.lit(0.0), lambda s, p: s + p["lat"]) / F.size(ring)
     twice = F.aggregate(edges(ring), F.lit(0.0), lambda s, e: s + crosses(ring, e))
     return F.abs(twice) / 2 * DEGREE_M * DEGREE_M * F.cos(F.radians(lat0))
 

@@ -156,3 +156,11 @@ def test_points_and_rings_of_one_place_are_met_once(spark):
     inside = spatial.points_in_rings(spark.createDataFrame(points, "a int, lat double, lng double"), spark.createDataFrame(rings, "b int, ring array<struct<lng:double,lat:double>>"), "a", "b")
     got = sorted((r.a, r.b) for r in inside.collect())
     assert got == sorted((a, b) for a, y, x in points[:-1] for b, r in rings if abs(y - (r[0][1] + r[1][1]) / 2) < (r[1][1] - r[0][1]) / 2 and abs(x - (r[0][0] + r[2][0]) / 2) < (r[2][0] - r[0][0]) / 2) and len(got) > 1000
+
+
+def test_areas_of_lots_near_a_half(spark, tmp_path):
+    # Far up the plan 4.5 times 2,000 square metres are crossed, where the points between a lot's corners decided.
+    d = enlarged(tmp_path, {"part": 1})
+    part = pq.read_table(f"{d}/part.parquet")
+    pq.write_table(part.set_column(0, "p_partkey", pa.array(range(142500, 142500 + part.num_rows), pa.int64())), f"{d}/part.parquet")
+    assert same_as_sql(spark, d, "lots_simplified") == part.num_rows
